@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tidegauge.llm.line_dedup import OP10_SQL, op10_line_dedup
 from tidegauge.llm.media_columns import op6_media_columns
 
 QUERIES = {
     "op6_media_columns": op6_media_columns,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_line_dedup": OP10_SQL,
+}
