@@ -99,10 +99,3 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
     length = (ends - starts).astype(np.uint64)
     return mix((total[ends] - total[starts]) * down[starts] + mix(length + np.uint64(0x2545F4914F6CDD1D)))
-
-
-def crc32_below(modulus: int, keep: int, ids: pa.Array) -> np.ndarray:
-    """Whether crc32 of the id as text leaves this remainder; a null id counts as empty text."""
-    import zlib
-
-    return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % modulus == keep for x in ids.to_pylist()], dtype=bool)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tidegauge.llm.language_id import op3_language_id
 from tidegauge.llm.line_dedup import OP10_SQL, op10_line_dedup
 from tidegauge.llm.media_columns import op6_media_columns
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
     "op6_media_columns": op6_media_columns,
     "op10_line_dedup": op10_line_dedup,
 }
