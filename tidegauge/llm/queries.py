@@ -7,9 +7,11 @@ from tidegauge.llm.license_scan import op9_license_scan
 from tidegauge.llm.line_dedup import OP10_SQL, op10_line_dedup
 from tidegauge.llm.media_columns import op6_media_columns
 from tidegauge.llm.packing import op5_best_fit_packing
+from tidegauge.llm.simhash import op2_simhash_near_dedup
 from tidegauge.llm.token_counts import op8_token_counts
 
 QUERIES = {
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_token_counts": op8_token_counts,
     "op9_license_scan": op9_license_scan,
