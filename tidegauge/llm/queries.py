@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidegauge.llm.decontamination import OP7_SQL, op7_benchmark_decontamination
 from tidegauge.llm.language_id import op3_language_id
 from tidegauge.llm.license_scan import op9_license_scan
 from tidegauge.llm.line_dedup import OP10_SQL, op10_line_dedup
@@ -11,6 +12,7 @@ from tidegauge.llm.simhash import op2_simhash_near_dedup
 from tidegauge.llm.token_counts import op8_token_counts
 
 QUERIES = {
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_token_counts": op8_token_counts,
@@ -21,5 +23,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_benchmark_decontamination": OP7_SQL,
     "op10_line_dedup": OP10_SQL,
 }
