@@ -6,12 +6,14 @@ from tidegauge.llm.decontamination import OP7_SQL, op7_benchmark_decontamination
 from tidegauge.llm.language_id import op3_language_id
 from tidegauge.llm.license_scan import op9_license_scan
 from tidegauge.llm.line_dedup import OP10_SQL, op10_line_dedup
+from tidegauge.llm.lm_scoring import op4_lm_scoring
 from tidegauge.llm.media_columns import op6_media_columns
 from tidegauge.llm.packing import op5_best_fit_packing
 from tidegauge.llm.simhash import op2_simhash_near_dedup
 from tidegauge.llm.token_counts import op8_token_counts
 
 QUERIES = {
+    "op4_lm_scoring": op4_lm_scoring,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
