@@ -10,9 +10,11 @@ from tidegauge.llm.lm_scoring import op4_lm_scoring
 from tidegauge.llm.media_columns import op6_media_columns
 from tidegauge.llm.packing import op5_best_fit_packing
 from tidegauge.llm.simhash import op2_simhash_near_dedup
+from tidegauge.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from tidegauge.llm.token_counts import op8_token_counts
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op4_lm_scoring": op4_lm_scoring,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -25,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": OP1_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
     "op10_line_dedup": OP10_SQL,
 }
