@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tidegauge.llm.batches import text_buffer, text_slices
 
@@ -66,16 +67,19 @@ def train(labelled: DataFrame, orders: tuple[int, ...] = (1, 2, 3), buckets: int
     return languages, np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32)
 
 
-def predict(texts: DataFrame, languages: list[str], weights: np.ndarray, orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """doc_id, lang_pred, score of (doc_id, text) rows; score is the posterior of the language, with log-likelihoods scaled by 10 / sqrt(n-grams) as n-grams overlap."""
+def predict(texts: DataFrame, languages: list[str], weights: np.ndarray, orders: tuple[int, ...] = (1, 2, 3), carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns in carry, lang_pred, score of (doc_id, text) rows; score is the posterior of the language, with log-likelihoods scaled by 10 / sqrt(n-grams) as n-grams overlap."""
     spark = texts.sparkSession
+    given = ["doc_id", *carry]
+    if not languages:
+        return texts.select(*given, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared, buckets = spark.sparkContext.broadcast(weights), weights.shape[0]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             w, n = shared.value, batch.num_rows
             totals, size = np.zeros((n, len(languages))), np.zeros((n, 1))
-            for owner, bucket in ngram_buckets(*text_buffer(batch.column(1)), orders, buckets):
+            for owner, bucket in ngram_buckets(*text_buffer(batch.column(-1)), orders, buckets):
                 # Rows of the sparse matrix texts x buckets times the weights: gather the entries' weights, add them up by text.
                 starts = np.flatnonzero(np.diff(owner, prepend=-1))
                 if len(starts):
@@ -83,26 +87,25 @@ def predict(texts: DataFrame, languages: list[str], weights: np.ndarray, orders:
                     size[owner[starts], 0] += np.diff(starts, append=len(owner))
             z = 10 * (totals - totals.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(1, size))
             p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
-            letters = pc.fill_null(pc.match_substring_regex(batch.column(1), r"\p{L}"), False).to_numpy(zero_copy_only=False)
+            letters = pc.fill_null(pc.match_substring_regex(batch.column(-1), r"\p{L}"), False).to_numpy(zero_copy_only=False)
             best = p.argmax(axis=1)
             names = [languages[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
-            yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(np.where(letters, p.max(axis=1), 0.0))], names=["doc_id", "lang_pred", "score"])
+            yield pa.record_batch([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(np.where(letters, p.max(axis=1), 0.0))], names=[*given, "lang_pred", "score"])
 
-    if not languages:
-        return texts.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows = texts.select(*given, F.col("text").alias("_text"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def held_out(documents: DataFrame, modulus: int, keep: int):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == keep
 
 
-def language_id(documents: DataFrame, modulus: int = 3, keep: int = 1) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row; learns from the labelled rows that are not held out."""
+def language_id(documents: DataFrame, modulus: int = 3, keep: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and the columns in carry of every row; learns from the labelled rows that are not held out."""
     fold = held_out(documents, modulus, keep)
     languages, weights = train(documents.where(~fold).select("text", "lang"))
-    out = predict(documents, languages, weights)
-    return out.select("doc_id", held_out(out, modulus, keep).alias("held_out"), "lang_pred", "score")
+    out = predict(documents, languages, weights, carry=carry)
+    return out.select("doc_id", held_out(out, modulus, keep).alias("held_out"), "lang_pred", "score", *carry)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
