@@ -144,9 +144,11 @@ def infer_period(start: Column | str, end: Column | str) -> Column:
     return F.when(F.abs(days - 1) < 0.01, "day").when(F.abs(days - 7) < 0.01, "week").otherwise("month")
 
 
-def shifted(ts: Column | str, start: Column | str, end: Column | str, windows: int) -> Column:
+def shifted(ts: Column | str, start: Column | str, end: Column | str, windows: int | Column) -> Column:
     """ts moved by so many lengths of the window from start to end."""
-    return col(ts) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.timestamp_diff("MICROSECOND", col(start), col(end)) * windows).cast("decimal(18,6)") / F.lit(1000000).cast("decimal(7,0)"))
+    micros, day = F.timestamp_diff("MICROSECOND", col(start), col(end)) * windows, F.lit(86_400_000_000)
+    seconds = ((micros % day).cast("decimal(12,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    return col(ts) + F.make_dt_interval(((micros - micros % day) / day).cast("int"), F.lit(0), F.lit(0), seconds)
 
 
 def iso_text(ts: Column | str) -> Column:
@@ -180,6 +182,11 @@ def exact_mean(x: Column | str, count: Column | None = None) -> Column:
     return F.sum(v.cast("decimal(20,6)")).cast("double") / (F.count(v) if count is None else count)
 
 
+def rounded(x: Column, digits: int | None) -> Column:
+    """x to so many digits, or as it is."""
+    return x if digits is None else F.round(x, digits)
+
+
 def number_variants(x: Column | str) -> Column:
     """A number as text with four to one decimals, and with the zeros at its end cut."""
     v = col(x)

@@ -1,6 +1,6 @@
 """All queries outside the corpus subpackage."""
 
-from tidegauge.plans import candidate_queries, store_queries  # noqa: F401
+from tidegauge.plans import candidate_queries, store_queries, tool_queries  # noqa: F401
 from tidegauge.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

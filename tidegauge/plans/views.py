@@ -85,7 +85,7 @@ def aggregate_sql(obs: str, period: str) -> str:
 
 def quality_sql(obs: str, keys: str = "site_id, stream_id") -> str:
     return f"""SELECT {keys}, n_points, first_ts, last_ts, median_step_seconds, longest_gap_seconds,
-  round(least(1.0, n_points / (round_even(date_diff('microsecond', first_ts, last_ts) / 1e6 / raw_step, 0) + 1)), 6) AS observed_fraction,
+  CASE WHEN raw_step IS NOT NULL THEN round(least(1.0, n_points / (round_even(date_diff('microsecond', first_ts, last_ts) / 1e6 / raw_step, 0) + 1)), 6) END AS observed_fraction,
   nan_fraction, zero_fraction, constant_fraction, duplicate_timestamp_fraction
   FROM (SELECT {keys}, count(*) AS n_points, min(ts) AS first_ts, max(ts) AS last_ts,
     quantile_cont(gap, 0.5) FILTER (gap > 0) AS raw_step, round(quantile_cont(gap, 0.5) FILTER (gap > 0), 7) AS median_step_seconds, max(gap) AS longest_gap_seconds,
