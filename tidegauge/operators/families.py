@@ -47,4 +47,4 @@ def neighbours(summary: DataFrame, groups: list[str], metric: str, margin: float
 def every_nth(rows: DataFrame, order: list[str], n: int, cap: int) -> DataFrame:
     """Every n-th row in order, from the first on, at most cap of them."""
     k = F.row_number().over(Window.partitionBy("site_id").orderBy(*order))
-    return rows.withColumn("k", k).where((F.col("k") % n == 1) & (F.col("k") <= n * cap)).drop("k")
+    return rows.withColumn("_k", k).where((F.col("_k") % n == 1) & (F.col("_k") <= n * cap)).drop("_k")

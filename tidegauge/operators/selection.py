@@ -22,7 +22,7 @@ def take_by_split(rows: DataFrame, order: list, held_out: str, balance: list[str
     def limit(values: dict[str, int]):
         return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("split"))
 
-    capped = split.withColumn("k", F.row_number().over(Window.partitionBy("split", *balance).orderBy(*order))).where(F.col("k") <= limit(caps)).drop("k")
+    capped = split.withColumn("_k", F.row_number().over(Window.partitionBy("split", *balance).orderBy(*order))).where(F.col("_k") <= limit(caps)).drop("_k")
     return capped.withColumn("ordinal", F.row_number().over(Window.partitionBy("split").orderBy(*order))).where(F.col("ordinal") <= limit(targets))
 
 
@@ -36,4 +36,4 @@ def identity_problems(candidates: DataFrame, contract: DataFrame, key: str) -> D
 def diversity_subset(rows: DataFrame, mode: str, order: list, per_mode: int, total: int) -> DataFrame:
     """Up to per_mode rows of each mode first, then the rest in order, up to total."""
     k = F.row_number().over(Window.partitionBy(mode).orderBy(*order))
-    return rows.withColumn("later", (k > per_mode).cast("int")).orderBy("later", *order).limit(total).drop("later")
+    return rows.withColumn("_later", (k > per_mode).cast("int")).orderBy("_later", *order).limit(total).drop("_later")
