@@ -33,7 +33,7 @@ class Encoder:
     text goes through the tokenizer whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 800_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -44,15 +44,26 @@ class Encoder:
         self.heads: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.newline = self.whole("\n")
+        self.newline_id = int.from_bytes(self.newline, "little")
         self.by_words = self.whole("a b\nc") == self.whole("a") + self.whole(" b") + self.newline + self.whole("c")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str], lead: str, known: dict[str, bytes]) -> None:
+    def learn(self, words: set[str], lead: str, known: dict[str, bytes], together: int = 200) -> None:
+        """Ids of new words; many are tokenized as the lines of one text, as a call costs more than a word."""
         new = [w for w in words if w not in known]
-        for w, e in zip(new, self.tokenizer.encode_batch([lead + w for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+        parts = [new[i : i + together] for i in range(0, len(new), together)]
+        # A word holds no newline, and a newline before a word or its space is a token by itself.
+        for part, e in zip(parts, self.tokenizer.encode_batch(["\n".join(lead + w for w in part) for part in parts], add_special_tokens=False), strict=True):
+            lines = np.array(e.ids, "<u4")
+            cuts = np.flatnonzero(lines == self.newline_id)
+            if len(cuts) != len(part) - 1 or (not lead and "" in part):
+                known.update((w, self.whole(lead + w)) for w in part)
+                continue
+            raw = lines.tobytes()
+            for w, start, stop in zip(part, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
+                known[w] = raw[start:stop]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.heads) + len(self.spaced) > self.most:
