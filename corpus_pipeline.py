@@ -6,6 +6,9 @@ Stages read whole tables and texts; the docstrings of the operators say what the
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +17,9 @@ from tidegauge.llm.language_id import language_id
 from tidegauge.llm.line_dedup import line_dedup
 from tidegauge.llm.near_copies import without_near_copies
 from tidegauge.llm.packing import pack
-from tidegauge.llm.shared import materialise
+from tidegauge.llm.shared import release, shared_folder
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -49,12 +53,22 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def stage(f: Stage) -> Stage:
+    """A stage that first removes what earlier stages left in the shared folder: their results are written tables by then."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language", known_language),
-    ("lines", without_repeated_lines),
-    ("near_copies", one_of_near_copies),
-    ("benchmark", without_benchmark),
-    ("packing", packed),
+    ("language", stage(known_language)),
+    ("lines", stage(without_repeated_lines)),
+    ("near_copies", stage(one_of_near_copies)),
+    ("benchmark", stage(without_benchmark)),
+    ("packing", stage(packed)),
 ]
 
 #: Naive Bayes, SimHash and tokenizers are beyond SQL; tests/llm hold the stages against brute force.
@@ -62,8 +76,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each stage's result is a written table that the next one reads."""
+    """All stages on documents; each stage's result is a table in the shared folder that the next one reads."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    for name, f in STAGES[:-1]:
+        out = f(spark, docs, sf_dir)
+        out.write.parquet(f"{folder}/{name}")
+        docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,0 +1,358 @@
+"""Each operator against a brute-force version, on rows with missing values, odd white space, copies, long texts and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tidegauge.llm import decontamination, language_id, license_scan, line_dedup, lm_scoring, media_columns, near_copies, packing, simhash, substring_dedup, token_counts
+
+tokenizers = pytest.importorskip("tokenizers")
+import public_tokenizers as P  # noqa: E402
+
+SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n int, words string, key bigint, anchor bigint, stop int"
+
+
+def _texts() -> list[tuple[int | None, str | None]]:
+    rng = np.random.default_rng(7)
+    vocabulary = ["the", "of", "Éa", "tion", "and,", "that", "x<|endoftext|>y", "ñu", "GNU", "MIT"] + [f"w{i}" for i in range(400)]
+
+    def words(n):
+        return [vocabulary[i] for i in rng.integers(0, len(vocabulary), n)]
+
+    passage, line = " ".join(words(60)), "All rights reserved. Every line that is long enough"
+    base = words(150)
+    near = [*base[:70], "changed", *base[71:]]
+    out: list[tuple[int | None, str | None]] = [(0, None), (1, ""), (2, " \n\t "), (3, "12 34 !!"), (None, "no id at all here " + passage), (5, passage), (6, " ".join(words(30)) + "\n" + passage + "\n" + " ".join(words(25)))]
+    out += [(7, " ".join(base)), (8, " ".join(near)), (9, " ".join(base)), (10, " ".join(base).upper())]
+    out += [(11, f"{line}\n{' '.join(words(12))}\n\n"), (12, f"  {line.upper()} \r\nshort\n{line}"), (13, f"a\n{line}\x0b"), (14, "Licensed under CC BY-NC 4.0.\nx cc by cc by general public license"), (15, "a  b   c  d　e▁f  "), (15, "a  b   c  d　e▁f  ")]
+    out += [(16, " ".join(words(6000))), (17, passage.replace(passage.split()[30], "zzz")), (18, "w1 " * 45), (19, "▁ ▁▁x"), (20, "under the\nApache"), (21, "one two three four"), (22, "é" * 50), (23, "GNU General Public License")]
+    return out
+
+
+TEXTS = _texts()
+BY_ID = [(i, t) for i, t in TEXTS]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    langs = ["en", "fr", None]
+    return spark.createDataFrame([(i, t, langs[k % 3], "s", 0, 1, "x", 1, 1, 1) for k, (i, t) in enumerate(TEXTS)], SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def raw(t):
+    return (t or "").encode()
+
+
+def rows(df, *cols):
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
+
+
+def test_substring_dedup(docs, empty):
+    got = rows(substring_dedup.substring_dedup(docs, digest=True), "doc_id", "n_words", "n_removed", "kept")
+    first, want = {}, []
+    order = sorted((i, t) for i, t in set(TEXTS) if i is not None)
+    windows = {}
+    for i, t in order:
+        w = SPLIT.findall(raw(t))
+        windows[i, t] = [tuple(w[k : k + 20]) for k in range(len(w) - 19)]
+        for k, x in enumerate(windows[i, t]):
+            first.setdefault(x, (i, k))
+    for i, t in TEXTS:
+        w = SPLIT.findall(raw(t))
+        gone = set()
+        for k, x in enumerate(windows.get((i, t), [])):
+            if first[x] < (i, k):
+                gone.update(range(k, k + 20))
+        kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
+        want.append((i, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    assert got == sorted(want, key=repr)
+    assert sum(r[2] for r in want) > 200
+    assert substring_dedup.substring_dedup(empty).count() == 0
+
+
+def test_substring_dedup_of_crowded_anchors(docs):
+    """Anchors sent window by window, and many shards, give the same."""
+    plain = rows(substring_dedup.substring_dedup(docs), "doc_id", "n_removed", "kept")
+    assert rows(substring_dedup.substring_dedup(docs, hot=1, shard_words=300), "doc_id", "n_removed", "kept") == plain
+
+
+def test_fm_index_finds_foreign_patterns():
+    from tidegauge.llm.fm_index import FmIndex
+
+    rng = np.random.default_rng(0)
+    text = np.concatenate([np.append(rng.integers(1, 4, n), 0) for n in (40, 3, 60)])
+    index = FmIndex(text, 5)
+    query = np.concatenate([rng.integers(1, 4, 50), text[10:30], rng.integers(1, 4, 10)])
+    known = {tuple(text[k : k + 5]) for k in range(len(text) - 4)}
+    found = index.stream(query, np.array([0]), np.array([len(query)]))
+    assert [f >= 0 for f in found[: len(query) - 4]] == [tuple(query[k : k + 5]) in known for k in range(len(query) - 4)]
+    least = index.least_of_class(np.arange(len(text)))
+    assert all(tuple(text[least[f] : least[f] + 5]) == tuple(query[k : k + 5]) for k, f in enumerate(found) if f >= 0)
+
+
+def _fingerprint(t):
+    w = raw(t).lower().split()
+    hs = [xxhash.xxh64_intdigest(b" ".join(w[k : k + 3]), 42) for k in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def test_simhash(docs, empty):
+    out = simhash.simhash_components(docs)
+    assert rows(out, "doc_id", "fingerprint") == sorted(((i, f"{_fingerprint(t):016x}") for i, t in TEXTS), key=repr)
+    ids = sorted({i for i, _ in TEXTS if i is not None})
+    fps = {i: _fingerprint(t) for i, t in TEXTS if i is not None}
+    group = {i: i for i in ids}
+    for _ in ids:
+        for a in ids:
+            for b in ids:
+                if (fps[a] ^ fps[b]).bit_count() <= 3:
+                    group[a] = group[b] = min(group[a], group[b])
+    assert {r.doc_id: r.component_id for r in out.collect()} == group | {None: None}
+    assert simhash.simhash_components(empty).count() == 0
+
+
+def test_links_of_crowded_variants(spark):
+    rng = np.random.default_rng(3)
+    base = int(rng.integers(0, 1 << 62))
+    fps = sorted({base ^ sum(1 << int(b) for b in rng.choice(62, k, replace=False)) for k in (1, 2, 3, 4) for _ in range(40)})
+    want = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3}
+    df = spark.createDataFrame([(x,) for x in fps], "fp bigint")
+    for hot in (2000, 3):
+        assert set(map(tuple, simhash.links(df, hot).collect())) == want
+
+
+def test_language_id(spark, small, docs, empty):
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    out = language_id.language_id(table).join(table.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in out if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
+    assert sum(r.lang_pred == r.lang for r in held) / len(held) > 0.98 and all(0 <= r.score <= 1 for r in out)
+    odd = language_id.language_id(docs).collect()
+    assert {r.doc_id for r in odd if r.lang_pred == "und"} == {i for i, t in TEXTS if not any(c.isalpha() for c in t or "")} and len(odd) == len(TEXTS)
+    assert language_id.language_id(empty).count() == 0
+    assert {r.lang_pred for r in language_id.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_lm_scoring(docs, empty):
+    c: Counter = Counter()
+    tokens = {}
+    for k, (i, t) in enumerate(TEXTS):
+        tokens[k] = [*raw(t).lower().split(), None]
+        if i is None or zlib.crc32(str(i).encode()) % 10:
+            c.update(tokens[k])
+    n, v = sum(c.values()), len(c)
+    want = sorted(((i, len(tokens[k]), sum(c[x] > 0 for x in tokens[k]), n) for k, (i, _) in enumerate(TEXTS)), key=repr)
+    for most in (1 << 19, 10):
+        got = lm_scoring.lm_scores(docs, max_broadcast=most)
+        assert rows(got, "doc_id", "n_tokens", "n_known", "train_tokens") == want
+        base = sorted(r.base_score for r in got.collect())
+        assert np.allclose(base, sorted(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in tokens[k]) for k in tokens))
+        assert all(r.score <= 0 and math.isfinite(r.score) for r in got.collect())
+    assert lm_scoring.lm_scores(empty).count() == 0
+
+
+def test_language_model_beats_words_alone(spark, small):
+    rows_ = [r for r in lm_scoring.lm_scores(spark.read.parquet(f"{small}/documents.parquet")).collect() if r.held_out]
+    assert sum(r.score for r in rows_) > sum(r.base_score for r in rows_)
+
+
+def test_filter_counts():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 44, 20_000).astype(np.uint64))
+    counts = rng.integers(1, 3000, len(keys))
+    bits, block_bits = 4, 1 << 18
+    data = np.concatenate([np.frombuffer(lm_scoring.Filter.block(keys[keys >> np.uint64(40) == b] & np.uint64((1 << 40) - 1), counts[keys >> np.uint64(40) == b], 3, block_bits), np.uint8) for b in range(16)])
+    f = lm_scoring.Filter(block_bits, bits, 3, data)
+    hashed = keys << np.uint64(20)
+    assert (f.level(hashed) >= lm_scoring.levels(counts)).all() and (f.level(hashed) == lm_scoring.levels(counts)).mean() > 0.9
+    assert (f.count(hashed + np.uint64(1 << 63)) > 0).mean() < 0.2
+
+
+def test_packing(docs, empty):
+    t = tokenizers.Tokenizer.from_file(str(P.path("byte_bpe_50k.json")))
+    want = []
+    for i, text in TEXTS:
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        want += [(i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    out = packing.pack(docs, str(P.path("byte_bpe_50k.json")))
+    assert rows(out, "doc_id", "piece", "start", "length", "ids_crc32") == sorted(want, key=repr)
+    full: dict[int, int] = {}
+    for r in sorted(out.collect(), key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == full.get(r.sequence_id, 0)
+        full[r.sequence_id] = r.offset + r.length
+    assert max(full.values()) <= 1024 and len(full) <= -(-sum(w[3] for w in want) // 1024) + 2
+    assert packing.pack(empty, str(P.path("byte_bpe_50k.json"))).count() == 0
+
+
+def test_plan_fills_sequences():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        counts = Counter(rng.integers(1, 101, rng.integers(1, 400)).tolist())
+        groups = packing.plan(dict(counts), 100)
+        placed: Counter = Counter()
+        for bins, inside in groups:
+            assert sum(n * k for n, k in inside) <= 100 and bins > 0
+            assert sum(k for n, k in inside if 3 * n > 100) <= 2
+            for n, k in inside:
+                placed[n] += bins * k
+        assert placed == counts
+        used, bound = sum(b for b, _ in groups), max(math.ceil(sum(n * c for n, c in counts.items()) / 100), sum(c for n, c in counts.items() if n > 50))
+        assert used <= 1.15 * bound + 1
+
+
+def test_media_columns(docs, empty):
+    stored = media_columns.store_as_audio(docs)
+    got = rows(media_columns.probe_audio(stored), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "crc_bad", "resync_bytes")
+    want = []
+    for i, t in TEXTS:
+        p = raw(t)
+        padded = p + bytes(-len(p) % 64 if p else 64)
+        want.append((i, len(p), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), 0, 0))
+    assert got == sorted(want, key=repr) and media_columns.store_as_audio(empty).count() == 0
+
+
+def test_audio_parser_resynchronises_and_sees_damage():
+    payload = bytes(range(32, 127)) * 40
+    good = media_columns.write_audio(payload)
+    p = media_columns.parse_audio(good)
+    assert p["vbr"]["frames"] == len(p["offsets"]) and p["bad"] == 0 and p["samples"] == 1152 * len(p["offsets"])
+    assert media_columns.read_payload(good, p) == payload
+    at = p["offsets"][1]
+    q = media_columns.parse_audio(good[:at] + b"\xffgarbage\xff\xfb" + good[at:] + b"TAG" + b"title".ljust(125, b"\0"))
+    assert q["lost"] == 10 and len(q["offsets"]) >= len(p["offsets"]) - 1 and q["fields"]["TIT2"] == "title"
+    broken = bytearray(good)
+    broken[at + 10] ^= 1
+    assert media_columns.parse_audio(bytes(broken))["bad"] == 1
+    for junk in (b"", b"ID3", b"\xff" * 50, bytes(1000)):
+        assert media_columns.parse_audio(junk)["offsets"] == []
+
+
+def test_token_counts(docs, empty):
+    import sentencepiece
+
+    path = str(P.path("piece_bpe_32k.model"))
+    s = sentencepiece.SentencePieceProcessor(model_file=path)
+    want = sorted(((i, len(raw(t)), len(s.encode(t or "")), len(s.encode(t or "")) > 4096) for i, t in TEXTS), key=repr)
+    for most in (1 << 19, 5):
+        assert rows(token_counts.token_counts(docs, path, max_broadcast=most), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
+    assert token_counts.token_counts(empty, path).count() == 0
+
+
+def test_license_scan(docs, empty):
+    word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+    def lower(b):
+        return b.translate(bytes(x + 32 if 65 <= x <= 90 else x for x in range(256)))
+
+    sets = [(label, set(word.findall(lower(t.encode())))) for label, t in license_scan.TEMPLATES]
+    want = []
+    for i, t in TEXTS:
+        w = word.findall(lower(raw(t)))
+        places, base = [], set()
+        for phrase, label in license_scan.PHRASES.items():
+            q = phrase.encode().split()
+            for k in range(len(w) - len(q) + 1):
+                if w[k : k + len(q)] == q:
+                    places.append(k)
+                    base.add(label)
+        best, labels = float(bool(places)), set(base)
+        for block in raw(t).split(b"\n"):
+            own = set(word.findall(lower(block)))
+            for label, s in sets:
+                if len(own & s) / len(s) >= 0.9:
+                    labels.add(label)
+                    best = max(best, len(own & s) / len(s))
+        want.append((i, len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), best))
+    cols = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    assert rows(license_scan.license_scan(docs), *cols) == sorted(want, key=repr)
+    assert any("cc-by-nc-4.0" in r[6] for r in want) and license_scan.license_scan(empty).count() == 0
+
+
+def test_line_dedup(docs, empty):
+    holders: dict[str, set] = {}
+
+    def key(line):
+        return re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
+
+    for i, t in TEXTS:
+        for line in (t or "").split("\n"):
+            if i is not None and len(key(line)) >= 20:
+                holders.setdefault(key(line), set()).add(i)
+    want = []
+    for i, t in TEXTS:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if i is None or len(holders.get(key(x), ())) < 3 or i == max(holders[key(x)])]
+        want.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    for batches in (1, 7):
+        got = line_dedup.line_dedup(docs, batches=batches).withColumn("text", F.coalesce("text", F.lit("")))
+        assert rows(got, "doc_id", "n_lines", "n_dropped", "text") == sorted(want, key=repr)
+    assert sum(r[2] for r in want) > 2 and line_dedup.line_dedup(empty).count() == 0
+
+
+def test_decontamination(spark, docs, empty):
+    passage = dict(TEXTS)[5].split()
+    swapped = [*passage[:10], "swap", *passage[11:20], "swap", *passage[21:30]]
+    items = spark.createDataFrame([(1, " ".join(passage[5:45])), (2, " ".join(swapped)), (3, "too short"), (4, None), (5, " ".join(f"q{k}" for k in range(30)))], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()}
+    assert got == {(i, k) for i in (None, 5, 6, 17) for k in (1, 2)}
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items, max_broadcast_words=0).collect()} == got
+    assert decontamination.contaminated(empty, items).count() == 0 == decontamination.contaminated(docs, items.where("item_id = 3")).count()
+
+
+def test_near_copies(spark, small, docs, empty):
+    def check(df):
+        table = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect() if r.doc_id is not None]
+        sets = {}
+        for i, t in table:
+            w = raw(t).lower().split()
+            sets[i] = {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+        group = {i: i for i in sets}
+
+        def find(x):
+            while group[x] != x:
+                x = group[x]
+            return x
+
+        holders: dict[bytes, list] = {}
+        for i, s in sets.items():
+            for x in s:
+                holders.setdefault(x, []).append(i)
+        for i, s in sets.items():
+            for j, both in Counter(j for x in s for j in holders[x] if j > i).items():
+                if both >= 0.8 * (len(s) + len(sets[j]) - both):
+                    a, b = find(i), find(j)
+                    group[max(a, b)] = min(a, b)
+        return {i: find(i) for i in group}
+
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    for df in (table, docs):
+        assert {r.doc_id: r.component for r in near_copies.near_copies(df).collect()} == check(df)
+    left = near_copies.without_near_copies(docs)
+    assert left.columns == docs.columns and left.where("doc_id is null").count() == 1
+    assert near_copies.near_copies(empty).count() == 0
+
+
+def test_components_of_a_long_path(spark):
+    from tidegauge.llm.components import components
+
+    n = 200
+    edges = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(500, 501), (501, 501), (501, 500)], "a bigint, b bigint")
+    got = {r.node: r.component for r in components(edges).collect()}
+    assert got == {k: 0 for k in range(n + 1)} | {500: 500, 501: 500}
+    assert components(edges.where("a < 0")).count() == 0

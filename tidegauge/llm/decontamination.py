@@ -20,31 +20,36 @@ MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 5), (0, 1, 4, 6, 7))
 WINDOW = 16
 
 
-def token_hashes(text: Column) -> Column:
-    """A 64-bit hash for each run of letters and digits, in lower case; ends may give an empty token, which matches nothing but another."""
-    return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
+def tokens(text: Column) -> Column:
+    """Runs of letters and digits, in lower case; ends may give an empty token, which matches nothing but another."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
 
 
 def seeds(rows: DataFrame, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """rows (with the array h) once for each position and mask: position `at` and `seed`. Past the end a mask picks fewer tokens."""
-    n = len(masks)
-    picked = "CASE t % {n} {cases} END".format(n=n, cases=" ".join(f"WHEN {m} THEN xxhash64({m}, {', '.join(f'get(h, t div {n} + {k})' for k in keep)})" for m, keep in enumerate(masks)))
-    # At least one token stands in h, so that the sequence never runs backwards.
-    return rows.select("*", F.posexplode(F.expr(f"transform(sequence(0, cast({n} * size(h) - 1 as int)), t -> {picked})")).alias("t", "seed")).withColumn("at", F.expr(f"t div {n}")).drop("t")
+    """rows (with the array `words`) once for each position and mask: position `at` and `seed`, null where the mask reaches past the end.
+
+    Exploding first and then picking neighbours from the array keeps all of it in generated code, which a lambda over the array would not be. The outer form of
+    explode keeps the optimizer from splitting texts a second time to see whether they are empty; they never are.
+    """
+    at = rows.select("*", F.posexplode_outer("words").alias("at", "_word")).drop("_word")
+    picked = [F.when(F.col("at") + max(keep) < F.size("words"), F.xxhash64(F.lit(m), *[F.get("words", F.col("at") + k) for k in keep])) for m, keep in enumerate(masks)]
+    return at.select("*", F.explode(F.array(*picked)).alias("seed"))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, min_match: float = 0.8, min_words: int = 8, max_broadcast_words: int = 500_000) -> DataFrame:
     """doc_id, item_id, n_hits, first_word, similarity (of the best window) for each document that holds a passage of an item."""
-    items = benchmark.select("item_id", token_hashes(F.col("text")).alias("item")).where(F.size("item") >= min_words).withColumnRenamed("item", "h")
-    words = items.agg(F.coalesce(F.sum(F.size("h")), F.lit(0))).first()[0]
-    tested = seeds(items, masks).select("item_id", F.col("h").alias("item"), F.col("at").alias("j"), "seed")
-    tested = F.broadcast(tested) if words <= max_broadcast_words else tested
-    hits = seeds(documents.select("doc_id", token_hashes(F.col("text")).alias("h")), masks).join(tested, "seed")
+    items = benchmark.select("item_id", tokens(F.col("text")).alias("words")).where(F.size("words") >= min_words)
+    total = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    tested = seeds(items, masks).select("item_id", F.col("words").alias("item"), F.col("at").alias("j"), "seed")
+    tested = F.broadcast(tested) if total <= max_broadcast_words else tested
+    hits = seeds(documents.select("doc_id", tokens(F.col("text")).alias("words")), masks).join(tested, "seed")
     # Item position p lies beside document position p + at - j: both exist from lo to before hi.
-    lo, hi = "greatest(0, j - at)", "least(size(item), size(h) - at + j)"
+    lo, hi = "greatest(0, j - at)", "least(size(item), size(words) - at + j)"
     hits = hits.withColumn("size", F.expr(f"least({window}, {hi} - {lo})")).withColumn("start", F.expr(f"least(greatest({lo}, j - {window // 2 - 2}), {hi} - size)"))
-    equal = F.expr("size(filter(zip_with(slice(item, start + 1, size), slice(h, start + at - j + 1, size), (x, y) -> x = y), e -> e))")
-    hits = hits.where(F.col("size") >= min_words).withColumn("similarity", equal / F.col("size")).where(F.col("similarity") >= min_match)
+    equal = F.expr("size(filter(zip_with(slice(item, start + 1, size), slice(words, start + at - j + 1, size), (x, y) -> x = y), e -> e))")
+    # The comparison stands in a generator, which no filter passes: inside the join's condition its lambda would take the join out of generated code.
+    compared = hits.where(F.col("size") >= min_words).select("doc_id", "item_id", "start", "at", "j", F.explode(F.array(equal / F.col("size"))).alias("similarity"))
+    hits = compared.where(F.col("similarity") >= min_match)
     return hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"), F.min(F.expr("start + at - j")).cast("long").alias("first_word"), F.max("similarity").alias("similarity"))
 
 
@@ -57,9 +62,9 @@ WITH d AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^\p
 b AS (SELECT item_id, regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') AS h FROM benchmark),
 m AS (SELECT * FROM (VALUES (0, [0, 1, 2, 3, 4]), (1, [0, 1, 3, 4, 5]), (2, [0, 1, 4, 6, 7])) AS t(mask, keep)),
 ds AS (SELECT doc_id, h, pos, mask, array_to_string(list_transform(keep, lambda k: h[pos + k + 1]), ' ') AS seed
-       FROM (SELECT *, unnest(range(len(h))) AS pos FROM d), m),
+       FROM (SELECT *, unnest(range(len(h))) AS pos FROM d), m WHERE pos + keep[-1] < len(h)),
 bs AS (SELECT item_id, h AS item, j, mask, array_to_string(list_transform(keep, lambda k: h[j + k + 1]), ' ') AS seed
-       FROM (SELECT *, unnest(range(len(h))) AS j FROM b WHERE len(h) >= 8), m),
+       FROM (SELECT *, unnest(range(len(h))) AS j FROM b WHERE len(h) >= 8), m WHERE j + keep[-1] < len(h)),
 x AS (SELECT *, greatest(0, j - pos) AS lo, least(len(item), len(h) - pos + j) AS hi FROM ds JOIN bs USING (mask, seed)),
 y AS (SELECT *, least(16, hi - lo) AS size, least(greatest(lo, j - 6), hi - least(16, hi - lo)) AS start FROM x),
 z AS (SELECT *, len(list_filter(range(size), lambda k: item[start + k + 1] = h[start + pos - j + k + 1])) / size AS similarity FROM y WHERE size >= 8)

@@ -51,21 +51,29 @@ class FmIndex:
         while have < 32:
             ranks[2 * have] = self._join(ranks[have], ranks[have], have)
             have *= 2
-        classes, done = None, 0
-        for power in (16, 8, 4, 2, 1):
-            if width & power:
-                classes = ranks[power] if classes is None else self._join(classes, ranks[power], done)
-                done += power
         order = np.argsort(ranks[32], kind="stable")
         bwt = text[order - 1]
         self.wavelet = WaveletMatrix(bwt, max(1, int(text.max(initial=0)).bit_length()))
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=1 << self.wavelet.bits))])
-        # Rows of the sorted suffixes that share their first `width` words: the interval that a longer match is cut back to.
-        own = classes[order]
-        heads = np.flatnonzero(np.diff(own, prepend=-1))
-        self.order, self.heads = order, heads
+        self.order = order
+        # Classes of rows that share their first `width` words: what a match belongs to.
+        own = self._prefix(ranks, width)[order]
+        self.heads = np.flatnonzero(np.diff(own, prepend=-1))
         self.class_of_row = np.cumsum(np.diff(own, prepend=-1) != 0) - 1
-        self.tails = np.append(heads[1:], self.n)
+        # Intervals of rows that share one word less: what a match is cut back to before the next word comes in front.
+        less = self._prefix(ranks, width - 1)[order] if width > 1 else np.zeros(len(order), np.int64)
+        heads = np.flatnonzero(np.diff(less, prepend=-1))
+        row = np.cumsum(np.diff(less, prepend=-1) != 0) - 1
+        self.low, self.high = heads[row], np.append(heads[1:], self.n)[row]
+
+    def _prefix(self, ranks: dict[int, np.ndarray], words: int) -> np.ndarray:
+        """Ranks of suffixes by their first so many words, put together from those by powers of two."""
+        out, done = None, 0
+        for power in (16, 8, 4, 2, 1):
+            if words & power:
+                out = ranks[power] if out is None else self._join(out, ranks[power], done)
+                done += power
+        return out
 
     def _join(self, left: np.ndarray, right: np.ndarray, shift: int) -> np.ndarray:
         """Dense ranks of left[i] followed by right[i + shift]; nothing follows the end."""
@@ -88,8 +96,8 @@ class FmIndex:
     def stream(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each place of text the class of the `width` words from there on, or -1 where the index holds them nowhere.
 
-        Texts run side by side from right to left. A match is extended by the word in front of it and cut back to `width` words, so each place costs one step;
-        where a match is lost, the next place is searched anew.
+        Texts run side by side from right to left. A match loses its last word (an interval known for every row) and gains the word in front of it, so each
+        place costs one step of backward search; where a match is lost, the next place is searched anew.
         """
         out = np.full(len(text), -1, np.int64)
         lanes = np.flatnonzero(ends - starts >= self.width)
@@ -98,9 +106,9 @@ class FmIndex:
         lo, hi = self.find(text, ends[lanes])
         while len(lanes):
             found = hi > lo
-            cls = self.class_of_row[np.minimum(lo, self.n - 1)]
-            out[at[found]] = cls[found]
-            lo, hi = np.where(found, self.heads[cls], 0), np.where(found, self.tails[cls], 0)
+            row = np.minimum(lo, self.n - 1)
+            out[at[found]] = self.class_of_row[row][found]
+            lo, hi = np.where(found, self.low[row], 0), np.where(found, self.high[row], 0)
             more = at > starts[lanes]
             lanes, at, lo, hi, found = lanes[more], at[more] - 1, lo[more], hi[more], found[more]
             if not len(lanes):

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.shared import materialise
+from tidegauge.llm.shared import join_spread, materialise
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,20 +83,20 @@ def add_batch(batch: DataFrame, first: Levels, again: Levels) -> None:
 
 
 def repeated_keys(keys: DataFrame, min_docs: int = 3, batches: int = 4, fan_out: int = 3) -> DataFrame:
-    """h1, h2, max_doc of the keys that at least min_docs documents hold; keys: (doc_id, h1, h2, batch)."""
+    """h1, h2, n_docs, max_doc of the keys that at least min_docs documents hold; keys: (doc_id, h1, h2, batch)."""
     first, again = Levels("line-first", fan_out), Levels("line-again", fan_out)
     for b in range(batches):
         add_batch(keys.where(F.col("batch") == b), first, again)
-    return merge(first.all() + again.all()).where(F.col("n_docs") >= min_docs).select(*KEY, "max_doc")
+    return merge(first.all() + again.all()).where(F.col("n_docs") >= min_docs)
 
 
 def line_dedup(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text (kept lines), n_lines, n_dropped and the columns named in carry, for each row of documents."""
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")
     keys = materialise(line_keys(documents, min_chars).select("*", batch), "line-keys", "batch")
-    repeated = repeated_keys(keys, min_docs, batches)
+    repeated = materialise(repeated_keys(keys, min_docs, batches), "line-repeated")
     drops = (
-        keys.join(repeated, KEY).where(F.col("doc_id") < F.col("max_doc"))
+        join_spread(keys, repeated, KEY, "n_docs").where(F.col("doc_id") < F.col("max_doc"))
         .groupBy(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text"))
         .agg(F.array_sort(F.collect_set("line_no")).alias("_drop"))
     )

@@ -185,15 +185,17 @@ def parse_audio(data: bytes) -> dict:
     start, end, fields = parse_tags(data)
     at, offsets, bodies, vbr = start, [], [], None
     rate = samples = checked = bad = lost = 0
+    synced = False
     while at + 4 <= end:
         h = header(data[at : at + 4])
         after = at + h.size if h.ok else 0
-        # A header counts if the frame ends the audio or another header follows; else look for the next sync byte.
-        if not h.ok or after > end or (after + 4 <= end and not header(data[after : after + 4]).ok):
+        # A header counts if it stands right behind a frame, if its frame ends the audio, or if another header follows; else look for the next sync byte.
+        if not h.ok or after > end or (not synced and after + 4 <= end and not header(data[after : after + 4]).ok):
             follow = data.find(b"\xff", at + 1, end)
             follow = end if follow < 0 else follow
-            lost, at = lost + follow - at, follow
+            lost, at, synced = lost + follow - at, follow, False
             continue
+        synced = True
         if not offsets and vbr is None and (vbr := parse_vbr(data, at, h)) is not None:
             at = after
             continue

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,9 +22,44 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+#: Folders that materialise() has written and release() not yet removed.
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables that materialise() has written; for callers that know that no result still to be computed reads them."""
+    jvm = spark.sparkContext._jvm
+    for path in _WRITTEN:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.clear()
+
+
 def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def largest(df: DataFrame, column: str, most: int) -> DataFrame:
+    """The rows with the largest whole numbers in a column, at most `most` of them, without a sort: the cut lies between two levels of an eighth of an octave."""
+    level = F.floor(8 * F.log2(F.col(column) + 1))
+    cut, held = 1 << 10, 0
+    for r in sorted(df.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
+        if held + r["n"] > most:
+            break
+        cut, held = r["level"], held + r["n"]
+    return df.where(level >= cut)
+
+
+def join_spread(rows: DataFrame, counted: DataFrame, keys: list[str], n: str = "n", parts: int = 1000) -> DataFrame:
+    """rows joined with a written table of their keys, which has how often each occurs; keys of over a thousandth of all go by broadcast.
+
+    Of these there are fewer than `parts`, whatever the data, so that the broadcast is bounded, and no key has more than a thousandth of the shuffled rows.
+    """
+    total = counted.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot, cold = F.broadcast(counted.where(F.col(n) * parts > total)), counted.where(F.col(n) * parts <= total)
+    return rows.join(hot, keys, "left_anti").join(cold, keys).unionByName(rows.join(hot, keys))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.batches import mix, run_hashes, text_buffer, text_slices, word_spans
 from tidegauge.llm.fm_index import FmIndex
-from tidegauge.llm.shared import materialise
+from tidegauge.llm.shared import join_spread, materialise
 
 _ALL = (1 << 31) - 1
 
@@ -242,8 +242,8 @@ def repeated_spans(documents: DataFrame, width: int = 20, anchor: int = 5, hot:
     least = keys.groupBy("text_id", "text_id2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
     copies = materialise(keys.join(least, ["text_id", "text_id2"]).where("doc_id > least").select("doc_id", "text_id"), "copies")
     placed = materialise(anchors(rows, width, anchor), "anchors")
-    repeated = placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    found = placed.join(repeated, "anchor").select("doc_id", F.struct("anchor", F.col("n").cast("int").alias("n")).alias("hit"), F.lit(None).cast("long").alias("copy"))
+    repeated = materialise(placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors-repeated")
+    found = join_spread(placed, repeated, ["anchor"]).select("doc_id", F.struct("anchor", F.col("n").cast("int").alias("n")).alias("hit"), F.lit(None).cast("long").alias("copy"))
     found = found.unionByName(copies.select("doc_id", F.lit(None).cast(found.schema["hit"].dataType).alias("hit"), F.col("text_id").alias("copy")))
     by_doc = materialise(found.groupBy("doc_id").agg(F.collect_set("hit").alias("found"), F.collect_set("copy").alias("copies")), "anchors-by-doc")
     total = by_doc.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.batches import text_slices
-from tidegauge.llm.shared import materialise
+from tidegauge.llm.shared import largest, materialise
 
 _SPACED = re.compile(" *[^ ]+| +$")
 
@@ -88,7 +88,7 @@ def token_counts(documents: DataFrame, path: str, limit: int = 4096, max_broadca
     spark = documents.sparkSession
     pieces = materialise(with_pieces(distinct_pre_tokens(documents), path), "pieces")
     # Bounded: max_broadcast pre-tokens of at most 64 characters, whatever the corpus.
-    common = pieces.where(F.length("pre_token") <= 64).orderBy(F.desc("df"), "pre_token").limit(max_broadcast).select("pre_token", "pieces").toArrow()
+    common = largest(pieces.where(F.length("pre_token") <= 64), "df", max_broadcast).select("pre_token", "pieces").toArrow()
     shared = spark.sparkContext.broadcast(dict(zip(common.column(0).to_pylist(), common.column(1).to_pylist(), strict=True)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
