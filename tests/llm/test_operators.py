@@ -342,7 +342,10 @@ def test_near_copies(spark, small, docs, empty):
 
     table = spark.read.parquet(f"{small}/documents.parquet")
     for df in (table, docs):
-        assert {r.doc_id: r.component for r in near_copies.near_copies(df).collect()} == check(df)
+        want = check(df)
+        # The second call takes nearly every shared variant for crowded and leaves what one round of hubs doesn't settle to the exact join.
+        for how in ({}, {"crowd": 1, "rounds": 1}):
+            assert {r.doc_id: r.component for r in near_copies.near_copies(df, **how).collect()} == want
     left = near_copies.without_near_copies(docs)
     assert left.columns == docs.columns and left.where("doc_id is null").count() == 1
     assert near_copies.near_copies(empty).count() == 0

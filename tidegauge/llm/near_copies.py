@@ -6,6 +6,8 @@
 3. Every segment is indexed with each of its bits as a wildcard, equal variants are joined, pairs within max_bits are verified on their exact shingle sets.
    Variants that more than `crowd` documents share are not paired all with all: their members are compared with the hub of the variant (whose segments are
    the most frequent ones, hence the text that the others were made from), those that it doesn't match with the next hub, and so on for `rounds` rounds.
+   Variants whose members these rounds leave in more than one component go on to an exact join of their members' shingle sets: prefixes of the rarest
+   shingles meet, and only pairs from different components are compared. So hubs save work, and no variant is cut short.
 4. Components of verified links; the smallest doc_id of each group stays.
 
 Null and empty texts are one class. Rows without doc_id stay and link to nothing. Repeated rows of one doc_id count as one document. Texts of fewer words than a
@@ -19,7 +21,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.batches import mix, run_hashes, text_buffer, text_slices, word_spans
@@ -128,6 +130,27 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: the pairs of members (doc_id, component) in different components that can reach the similarity, by size and by a shared shingle among each one's rarest."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            raws = batch.column(2).to_pylist()
+            sizes = np.array([len(x) // 8 for x in raws])
+            owner = np.repeat(np.arange(len(raws)), sizes)
+            yield pa.record_batch([*(batch.column(k).take(pa.array(owner)) for k in (0, 1)), pa.array(sizes[owner]), pa.array(np.frombuffer(b"".join(raws), np.int64))], names=["doc_id", "component", "size", "shingle"])
+
+    rows = materialise(members.join(sets, "doc_id").select("doc_id", "component", "shingles").mapInArrow(run, "doc_id long, component long, size long, shingle long"), "crowd-shingles")
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("n"), (F.min("component") < F.max("component")).alias("mixed"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "shingle"))
+    # Two sets of which one lacks every shingle of the other's prefix have too few in common.
+    prefix = rows.join(counts, "shingle").withColumn("place", place).where(F.col("mixed") & (F.col("place") <= F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1))
+    prefix = materialise(prefix.select("shingle", "doc_id", "component", "size"), "crowd-prefixes")
+    left, right = (prefix.select("shingle", F.col("doc_id").alias(x), F.col("component").alias(f"{x}_of"), F.col("size").alias(f"{x}_size")) for x in "ab")
+    fits = (F.col("a_of") < F.col("b_of")) & (F.least("a_size", "b_size") >= F.lit(similarity) * F.greatest("a_size", "b_size") - 1e-9)
+    return left.join(right, "shingle").where(fits).select("a", "b").distinct()
+
+
 def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, max_bits: int = 26, crowd: int = 32, rounds: int = 3) -> DataFrame:
     """doc_id, component of every document with a doc_id; component is the smallest doc_id of its group."""
     every = materialise(prints(documents, rarity(documents)), "prints")
@@ -153,7 +176,7 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, m
     # A hub has the segments that most representatives have.
     frequent = cut.select(F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.col(f"s{s}").alias("v")) for s in range(SEGMENTS)])).alias("c"), "rep").select("rep", "c.s", "c.v")
     score = frequent.join(frequent.groupBy("s", "v").agg(F.count("*").alias("n")), ["s", "v"]).groupBy("rep").agg(F.sum("n").alias("score"))
-    many = materialise(members.where(F.col("n") > crowd).join(score, "rep").select("key", "rep", "fp0", "fp1", "score"), "crowds")
+    crowds = many = materialise(members.where(F.col("n") > crowd).join(score, "rep").select("key", "rep", "fp0", "fp1", "score"), "crowds")
     for _ in range(rounds):
         hubs = many.groupBy("key").agg(F.max(F.struct("score", F.col("rep").alias("hub"), F.col("fp0").alias("h0"), F.col("fp1").alias("h1"))).alias("h")).select("key", "h.hub", "h.h0", "h.h1")
         tried = many.join(hubs, "key").where("rep <> hub").withColumns({"f0": F.col("fp0"), "f1": F.col("fp1")})
@@ -164,7 +187,14 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, m
         many = materialise(tried.join(linked, ["rep", "hub"], "left_anti").select("key", "rep", "fp0", "fp1", "score"), "crowds")
         if many.isEmpty():
             break
-    grouped = classes.select("class1", "class2", "rep").join(components(edges), F.col("rep") == F.col("node"), "left")
+    found = components(edges)
+    crowds = crowds.select("key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("key", F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("component"))
+    mixed = crowds.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    rest = materialise(crowds.join(mixed, "key", "left_semi").select("doc_id", "component").distinct(), "crowds-mixed")
+    if not rest.isEmpty():
+        more = verified(across(rest, sets, similarity), sets, similarity)
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    grouped = classes.select("class1", "class2", "rep").join(found, F.col("rep") == F.col("node"), "left")
     return every.join(grouped, ["class1", "class2"]).select("doc_id", F.coalesce("component", "rep").alias("component"))
 
 
