@@ -50,7 +50,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences and their places in sequences of 1024 tokens."""
     import public_tokenizers
 
-    return pack(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
+    # Workers live on from stage to stage, so that what they remember adds to the memory of the others.
+    return pack(docs, str(public_tokenizers.path("byte_bpe_50k.json")), remember=200_000)
 
 
 def stage(f: Stage) -> Stage:

@@ -22,7 +22,7 @@ def columns(documents, *names: str):
     return documents.select(*names)
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterable[pa.RecordBatch], max_bytes: int = 512 << 10) -> Iterator[pa.RecordBatch]:
     """Cut batches whose last column is text so that each slice has about max_bytes; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
@@ -35,6 +35,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], max_bytes: int = 2 << 20) ->
                 total, start = 0, i
             total += int(n)
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

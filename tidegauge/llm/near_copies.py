@@ -74,17 +74,20 @@ def prints(documents: DataFrame, weights: np.ndarray) -> DataFrame:
     bits = SEGMENTS * LENGTH
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, 512 << 10):
+        for batch in text_slices(batches, 256 << 10):
             words, bounds = lower_words(batch.column(1))
             names = [run_hashes(mix(words ^ np.uint64(salt)), bounds[:-1], bounds[1:]) for salt in (0, 0x5BD1E995)]
             text, distinct = distinct_words(words, bounds)
             sums = np.zeros((batch.num_rows, bits), np.float32)
-            if len(text):
-                raw = np.stack([mix(distinct + np.uint64(1)), mix(distinct ^ np.uint64(0xABCDEF0123456789))], axis=1).view(np.uint8)
-                signs = np.unpackbits(raw.reshape(len(distinct), 16), axis=1)[:, :bits].astype(np.float32) * 2 - 1
-                signs *= shared.value[(distinct % np.uint64(CELLS)).astype(np.int64)][:, None]
-                heads = np.flatnonzero(np.diff(text, prepend=-1))
-                sums[text[heads]] = np.add.reduceat(signs, heads, axis=0)
+            # So many words at a time that their signs stay small, however long a text is.
+            for at in range(0, len(text), 16_384):
+                owner, some = text[at : at + 16_384], distinct[at : at + 16_384]
+                raw = np.stack([mix(some + np.uint64(1)), mix(some ^ np.uint64(0xABCDEF0123456789))], axis=1).view(np.uint8)
+                signs = np.unpackbits(raw.reshape(len(some), 16), axis=1)[:, :bits].astype(np.float32)
+                signs -= np.float32(0.5)
+                signs *= shared.value[(some % np.uint64(CELLS)).astype(np.int64)][:, None]
+                heads = np.flatnonzero(np.diff(owner, prepend=-1))
+                sums[owner[heads]] += np.add.reduceat(signs, heads, axis=0)
             powers = 1 << np.arange(60, dtype=np.int64)
             halves = [((sums[:, k : k + 60] > 0) * powers).sum(axis=1) for k in (0, 60)]
             yield pa.record_batch([batch.column(0), *(pa.array(n.view(np.int64)) for n in names), *map(pa.array, halves)], names=["doc_id", "class1", "class2", "fp0", "fp1"])
@@ -102,45 +105,31 @@ def shingle_sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFra
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decompress = zstandard.ZstdDecompressor().decompress
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, 128 << 10):
             hashes, bounds = lower_words(pa.array([decompress(x) for x in batch.column(1).to_pylist()], pa.large_binary()))
             out = []
             for a, b in zip(bounds, bounds[1:], strict=False):
                 at = np.arange(a, max(a, b - words) + 1)
-                out.append(np.unique(run_hashes(hashes, at, np.minimum(at + words, b))).tobytes())
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "shingles"])
+                out.append(np.unique(run_hashes(hashes, at, np.minimum(at + words, b))).view(np.int64))
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
     packed = documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(pack, "doc_id long, packed binary")
-    return packed.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, shingles binary")
+    return packed.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach the Jaccard similarity."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
 def across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """a, b: the pairs of members (doc_id, component) in different components that can reach the similarity, by size and by a shared shingle among each one's rarest."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
-            raws = batch.column(2).to_pylist()
-            sizes = np.array([len(x) // 8 for x in raws])
-            owner = np.repeat(np.arange(len(raws)), sizes)
-            yield pa.record_batch([*(batch.column(k).take(pa.array(owner)) for k in (0, 1)), pa.array(sizes[owner]), pa.array(np.frombuffer(b"".join(raws), np.int64))], names=["doc_id", "component", "size", "shingle"])
-
-    rows = materialise(members.join(sets, "doc_id").select("doc_id", "component", "shingles").mapInArrow(run, "doc_id long, component long, size long, shingle long"), "crowd-shingles")
+    rows = members.join(sets, "doc_id").select("doc_id", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    rows = materialise(rows, "crowd-shingles")
     counts = rows.groupBy("shingle").agg(F.count("*").alias("n"), (F.min("component") < F.max("component")).alias("mixed"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "shingle"))
     # Two sets of which one lacks every shingle of the other's prefix have too few in common.

@@ -86,14 +86,14 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, most: int) -> Encoder:
+    return Encoder(path, most)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int"
 
 
-def token_pieces(documents: DataFrame, path: str, capacity: int, end_id: int, parts: int) -> DataFrame:
+def token_pieces(documents: DataFrame, path: str, capacity: int, end_id: int, parts: int, remember: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece; part deals the pieces out evenly, copies of one text too."""
     end = np.array([end_id], "<u4").tobytes()
 
@@ -102,7 +102,7 @@ def token_pieces(documents: DataFrame, path: str, capacity: int, end_id: int, pa
         for batch in text_slices(batches):
             ids = batch.column(0).to_pylist()
             out: list[list] = [[], [], [], [], []]
-            for doc_id, tokens in zip(ids, encoder(path).encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            for doc_id, tokens in zip(ids, encoder(path, remember).encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 tokens += end
                 n, view = len(tokens) // 4, memoryview(tokens)
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
@@ -186,9 +186,9 @@ def places(groups: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndar
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def pack(documents: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
-    """One row per piece with its sequence and its offset there."""
-    pieces = materialise(token_pieces(documents, path, capacity, end_id, parts=1 << 10), "pieces-packed")
+def pack(documents: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, remember: int = 800_000) -> DataFrame:
+    """One row per piece with its sequence and its offset there. Each worker remembers the ids of `remember` words."""
+    pieces = materialise(token_pieces(documents, path, capacity, end_id, parts=1 << 10, remember=remember), "pieces-packed")
     cells = materialise(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "pieces-cells")
     counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = places(plan(counts, capacity))
