@@ -10,6 +10,8 @@
    shingles meet, and only pairs from different components are compared. So hubs save work, and no variant is cut short.
 4. Components of verified links; the smallest doc_id of each group stays.
 
+No pair under the similarity is linked. Pairs just above it can be missed: those that differ by two bits or more in every segment share no variant.
+
 Null and empty texts are one class. Rows without doc_id stay and link to nothing. Repeated rows of one doc_id count as one document. Texts of fewer words than a
 shingle are compared whole. Very long texts are read whole. An empty table gives an empty result. Extra columns stay as they are.
 """
