@@ -359,6 +359,25 @@ def test_near_copies_close_to_the_threshold(docs):
     assert {r.doc_id: r.component for r in near_copies.near_copies(docs).collect()} == near_groups(docs)
 
 
+def test_near_copies_with_new_words(spark):
+    """Words new to the corpus weigh most, so that copies with some differ in every segment of the fingerprint."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for k in range(60):
+        base = [f"w{i}" for i in rng.integers(0, 300, 40 + 8 * k)]
+        texts.append(base)
+        for c in range(2):
+            new = list(base)
+            for j in rng.choice(len(base), max(1, len(base) // 60), replace=False):
+                new[j] = f"new{k}x{c}x{j}"
+            texts.append(new)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    want = near_groups(df)
+    assert sum(i != g for i, g in want.items()) > 40
+    for how in ({}, {"max_bits": 0}):
+        assert {r.doc_id: r.component for r in near_copies.near_copies(df, **how).collect()} == want
+
+
 def test_components_of_a_long_path(spark):
     from tidegauge.llm.components import components
 

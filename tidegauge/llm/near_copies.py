@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of word shingles, found by SimHash with deletion-variant signatures.
+"""Near copies by the Jaccard similarity of word shingles: SimHash with deletion-variant signatures first, an exact prefix-filter join after it.
 
 1. Texts with the same words (A-Z in lower case) form a class; only one document of a class goes on.
 2. The fingerprint adds up the bits of the distinct words' hashes, each with the word's rarity (log of documents over documents with it, counted over the whole corpus in
@@ -6,11 +6,11 @@
 3. Every segment is indexed with each of its bits as a wildcard, equal variants are joined, pairs within max_bits are verified on their exact shingle sets.
    Variants that more than `crowd` documents share are not paired all with all: their members are compared with the hub of the variant (whose segments are
    the most frequent ones, hence the text that the others were made from), those that it doesn't match with the next hub, and so on for `rounds` rounds.
-   Variants whose members these rounds leave in more than one component go on to an exact join of their members' shingle sets: prefixes of the rarest
-   shingles meet, and only pairs from different components are compared. So hubs save work, and no variant is cut short.
-4. Components of verified links; the smallest doc_id of each group stays.
+4. Fingerprints only save work: all documents with their components so far go on to an exact join of shingle sets. A prefix in the order of the hashes leaves those that can
+   have a partner in another component; of these, prefixes of the rarest shingles meet, and only pairs from different components are compared.
+5. Components of verified links; the smallest doc_id of each group stays.
 
-No pair under the similarity is linked. Pairs just above it can be missed: those that differ by two bits or more in every segment share no variant.
+The groups are those of brute force: every pair of the similarity or more is in one group, and no pair under it is linked.
 
 Null and empty texts are one class. Rows without doc_id stay and link to nothing. Repeated rows of one doc_id count as one document. Texts of fewer words than a
 shingle are compared whole. Very long texts are read whole. An empty table gives an empty result. Extra columns stay as they are.
@@ -127,18 +127,38 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b: the pairs of members (doc_id, component) in different components that can reach the similarity, by size and by a shared shingle among each one's rarest."""
+def crossing(firsts: DataFrame, members: DataFrame, similarity: float, least: int = 16) -> DataFrame:
+    """The members (doc_id, component) that can reach the similarity with one of another component; firsts: doc_id, shingles of all.
+
+    Two sets that reach it share the `least` first of their common shingles (all, where they need fewer) in prefixes longer by as much, whatever the order; here it is
+    that of the hashes. So a member of whose prefix fewer shingles are in the prefixes of other components has no partner.
+    """
+    size = F.size("shingles")
+    need = F.ceil(F.lit(similarity) * size - 1e-9)
+    extra = F.least(F.lit(least), need)
+    cut = firsts.select("doc_id", extra.alias("extra"), F.slice("shingles", F.lit(1), (size - need + extra).cast("int")).alias("shingles"))
+    rows = cut.join(members, "doc_id").select("doc_id", "component", "extra", F.explode("shingles").alias("shingle"))
+    mixed = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
+    enough = rows.join(mixed, "shingle").groupBy("doc_id", "component").agg(F.count("*").alias("n"), F.first("extra").alias("extra")).where("n >= extra")
+    return enough.select("doc_id", "component")
 
-    rows = members.join(sets, "doc_id").select("doc_id", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
-    rows = materialise(rows, "crowd-shingles")
-    counts = rows.groupBy("shingle").agg(F.count("*").alias("n"), (F.min("component") < F.max("component")).alias("mixed"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "shingle"))
+
+def across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: the pairs of members (doc_id, component) in different components that can reach the similarity, by size and by the place of a shared shingle among each one's rarest."""
+
+    size = F.size("shingles")
+    rows = sets.join(members, "doc_id").select("doc_id", "component", size.alias("size"), F.explode("shingles").alias("shingle"))
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle", "n")
+    # In the order of the prefixes the shingles of one component only stand first: they are counted, not listed.
+    own = Window.partitionBy("doc_id")
+    place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "shingle"))
     # Two sets of which one lacks every shingle of the other's prefix have too few in common.
-    prefix = rows.join(counts, "shingle").withColumn("place", place).where(F.col("mixed") & (F.col("place") <= F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1))
-    prefix = materialise(prefix.select("shingle", "doc_id", "component", "size"), "crowd-prefixes")
-    left, right = (prefix.select("shingle", F.col("doc_id").alias(x), F.col("component").alias(f"{x}_of"), F.col("size").alias(f"{x}_size")) for x in "ab")
-    fits = (F.col("a_of") < F.col("b_of")) & (F.least("a_size", "b_size") >= F.lit(similarity) * F.greatest("a_size", "b_size") - 1e-9)
+    prefix = rows.join(counts, "shingle").withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1)
+    prefix = materialise(prefix.select("shingle", "doc_id", "component", "size", "place"), "prefixes")
+    left, right = (prefix.select("shingle", F.col("doc_id").alias(x), F.col("component").alias(f"{x}_of"), F.col("size").alias(f"{x}_size"), F.col("place").alias(f"{x}_at")) for x in "ab")
+    # At the first shingle that two sets share, what follows it bounds what they have in common; of two that reach the similarity at least this row stays.
+    bound = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")) + 1
+    fits = (F.col("a_of") < F.col("b_of")) & (bound >= F.lit(similarity / (1 + similarity)) * (F.col("a_size") + F.col("b_size")) - 1e-9)
     return left.join(right, "shingle").where(fits).select("a", "b").distinct()
 
 
@@ -155,7 +175,7 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, m
     keys = cut.select("rep", F.explode(F.array(*variants)).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialise(keys.join(shared, "key").join(reps, "rep"), "variants")
-    sets = materialise(shingle_sets(documents, members.select(F.col("rep").alias("doc_id")).distinct(), words), "shingles")
+    sets = materialise(shingle_sets(documents, reps.select(F.col("rep").alias("doc_id")), words), "shingles")
 
     def apart(a: str, b: str):
         return sum(F.bit_count(F.col(f"{a}{h}").bitwiseXOR(F.col(f"{b}{h}"))) for h in (0, 1))
@@ -167,7 +187,7 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, m
     # A hub has the segments that most representatives have.
     frequent = cut.select(F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.col(f"s{s}").alias("v")) for s in range(SEGMENTS)])).alias("c"), "rep").select("rep", "c.s", "c.v")
     score = frequent.join(frequent.groupBy("s", "v").agg(F.count("*").alias("n")), ["s", "v"]).groupBy("rep").agg(F.sum("n").alias("score"))
-    crowds = many = materialise(members.where(F.col("n") > crowd).join(score, "rep").select("key", "rep", "fp0", "fp1", "score"), "crowds")
+    many = materialise(members.where(F.col("n") > crowd).join(score, "rep").select("key", "rep", "fp0", "fp1", "score"), "crowds")
     for _ in range(rounds):
         hubs = many.groupBy("key").agg(F.max(F.struct("score", F.col("rep").alias("hub"), F.col("fp0").alias("h0"), F.col("fp1").alias("h1"))).alias("h")).select("key", "h.hub", "h.h0", "h.h1")
         tried = many.join(hubs, "key").where("rep <> hub").withColumns({"f0": F.col("fp0"), "f1": F.col("fp1")})
@@ -178,12 +198,11 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, m
         many = materialise(tried.join(linked, ["rep", "hub"], "left_anti").select("key", "rep", "fp0", "fp1", "score"), "crowds")
         if many.isEmpty():
             break
-    found = components(edges)
-    crowds = crowds.select("key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("key", F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("component"))
-    mixed = crowds.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = materialise(crowds.join(mixed, "key", "left_semi").select("doc_id", "component").distinct(), "crowds-mixed")
+    found = materialise(components(edges), "components")
+    every_rep = reps.join(found, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("component"))
+    rest = materialise(crossing(sets, every_rep, similarity), "crossing")
     if not rest.isEmpty():
-        more = verified(across(rest, sets, similarity), sets, similarity)
+        more = materialise(verified(across(rest, sets, similarity), sets, similarity), "links")
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     grouped = classes.select("class1", "class2", "rep").join(found, F.col("rep") == F.col("node"), "left")
     return every.join(grouped, ["class1", "class2"]).select("doc_id", F.coalesce("component", "rep").alias("component"))
