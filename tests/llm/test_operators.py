@@ -166,6 +166,34 @@ def test_lm_scoring(docs, empty):
     assert lm_scoring.lm_scores(empty).count() == 0
 
 
+def test_language_model_holds_all_pairs(docs):
+    """Scores are those of levels of the whole counts, pairs seen once too, but for what the filter finds by chance."""
+    runs = [[x.lower() for x in raw(t).split()] for _, t in TEXTS]
+    words, pairs = Counter(), Counter()
+    for (i, _), run in zip(TEXTS, runs, strict=True):
+        if i is None or zlib.crc32(str(i).encode()) % 10:
+            words.update([*run, None])
+            pairs.update(zip([None, *run], [*run, None], strict=True))
+    mass = sum(words.values()) + 0.1 * (len(words) + 1)
+
+    def middle(c):
+        return lm_scoring._MIDDLE[lm_scoring.levels(np.array([c]))[0]] if c else 0.0
+
+    def score(run):
+        total = 0.0
+        for a, b in zip([None, *run], [*run, None], strict=True):
+            w, c = middle(words[b]), middle(words[a])
+            total += math.log10(min(1.0, 0.2 * min(middle(pairs[a, b]), c) / max(1.0, c) + 0.8 * (w + 0.1) / (mass + w)))
+        return total
+
+    want = sorted(((len(run) + 1, score(run)) for run in runs))
+    for most in (1 << 19, 10, 0):
+        got = sorted((r.n_tokens, r.score) for r in lm_scoring.lm_scores(docs, max_broadcast=most).collect())
+        a, b = np.array(got), np.array(want)
+        assert (a[:, 0] == b[:, 0]).all() and np.allclose(a[:, 1].sum(), b[:, 1].sum(), rtol=0.01)
+        assert np.isclose(a[:, 1], b[:, 1], rtol=0.05, atol=0.5).mean() > 0.9
+
+
 def test_language_model_beats_words_alone(spark, small):
     rows_ = [r for r in lm_scoring.lm_scores(spark.read.parquet(f"{small}/documents.parquet")).collect() if r.held_out]
     assert sum(r.score for r in rows_) > sum(r.base_score for r in rows_)

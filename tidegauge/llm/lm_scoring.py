@@ -2,8 +2,8 @@
 
 Training counts words and pairs of neighbouring words in Spark, all training texts whole: every task counts what it has read, the counts meet by blocks of hashes, and
 each block is finished on its own. Counts are quantised as q = 1 + floor(2 log2 c), and an n-gram of level q is put into the filter q times, once for each level up to it. A probe asks for
-level 1, 2, ... until one is missing. The filter has at most max_bits bits, whatever the corpus, and goes to every worker; where n-grams don't fit, those of the
-least counts are left out of the model (never out of the base counts), from min_count on.
+level 1, 2, ... until one is missing. All words and pairs of training are in the filter, which grows with them: it is a table of blocks of hashes in the shared folder. The levels
+of the most frequent n-grams, at most max_broadcast of them, go to every worker; all other probes go to their blocks by a shuffle.
 
 The base score is that of exact word counts: those of the most frequent words, at most max_broadcast of them, go to every worker, and the rest of each text's words
 are joined to the table of counts by a shuffle. Words are told apart by a 64-bit hash.
@@ -82,8 +82,8 @@ def _rows(kind: int, keys: np.ndarray, counts: np.ndarray, high: int) -> Iterato
         yield kind, int(blocks[a]), _packed(keys[a:b], WIDTH[kind]), counts[a:b].astype("<u4").tobytes()
 
 
-def count_ngrams(texts: DataFrame, bits: int, min_count: int = 2, together: int = 1_500_000) -> DataFrame:
-    """kind, block, keys, counts, n_keys, total: exact word counts, and the model's counts of words and, from min_count on, of pairs; each by 2**bits blocks. A task counts about `together` tokens at a time."""
+def count_ngrams(texts: DataFrame, bits: int, together: int = 1_500_000) -> DataFrame:
+    """kind, block, keys, counts, n_keys, total: exact word counts, and the model's counts of words and of pairs; each by 2**bits blocks. A task counts about `together` tokens at a time."""
     schema = "kind int, block int, keys binary, counts binary"
 
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +114,6 @@ def count_ngrams(texts: DataFrame, bits: int, min_count: int = 2, together: int
         keys, counts = keys[order], counts[order]
         heads = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
         keys, counts = keys[heads], np.add.reduceat(counts, heads)
-        if kind == PAIRS:
-            keys, counts = keys[counts >= min_count], counts[counts >= min_count]
         row = (kind, block, _packed(keys, WIDTH[kind]), counts.astype("<i8").tobytes(), len(keys), int(counts.sum()))
         return pd.DataFrame([row], columns=["kind", "block", "keys", "counts", "n_keys", "total"])
 
@@ -174,39 +172,116 @@ class Filter:
         return np.where(q > 0, _MIDDLE[q], 0.0)[back]
 
 
-def build_filter(counted: DataFrame, bits: int, max_bits: int = 1 << 28, hashes: int = 3, bits_per_entry: int = 10) -> Filter:
-    """The filter of the model's rows; the least count is raised until the entries fit max_bits."""
+def fine_levels(counts: np.ndarray) -> np.ndarray:
+    return np.floor(8 * np.log2(counts)).astype(np.int64)
+
+
+def build_filter(counted: DataFrame, bits: int, most: int, hashes: int = 3, bits_per_entry: int = 10) -> DataFrame:
+    """kind, block, data, often, often_levels: the filter's blocks, each as large as its entries need, and the levels that it gives for its share of the `most` most frequent n-grams."""
     model = counted.where(F.col("kind") != EXACT)
 
-    def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = np.zeros(128, np.int64)
+    def sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = np.zeros(512, np.int64)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                by += np.bincount(levels(np.frombuffer(raw, "<i8")), minlength=128) if raw else 0
-        yield pa.record_batch([pa.array(range(128), pa.int32()), pa.array(by)], names=["level", "n"])
+                by += np.bincount(fine_levels(np.frombuffer(raw, "<i8")), minlength=512) if raw else 0
+        yield pa.record_batch([pa.array(range(512), pa.int32()), pa.array(by)], names=["level", "n"])
 
-    rows = model.select("counts").mapInArrow(entries, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()
-    of_level = np.zeros(128, np.int64)
-    for r in rows:
+    of_level = np.zeros(512, np.int64)
+    for r in model.select("counts").mapInArrow(sizes, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
         of_level[r["level"]] = r["n"]
-    held = [int(sum(k * of_level[k] for k in range(least, 128))) for least in range(128)]
-    least = next(k for k in range(1, 128) if held[k] * bits_per_entry <= max_bits)
-    need = max(held[least] * bits_per_entry, 64 << bits)
-    block_bits = min(max_bits, 1 << math.ceil(math.log2(need))) >> bits
+    cut = next((k for k in range(512) if of_level[k:].sum() <= most), 512)
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for raw_keys, raw_counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                keys, counts = _unpacked([raw_keys], WIDTH[PAIRS]), np.frombuffer(raw_counts, "<i8")
-                kept = levels(counts) >= least if len(counts) else np.zeros(0, bool)
-                out.append(Filter.block(keys[kept], counts[kept], hashes, block_bits))
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["block", "data"])
+            for kind, block, raw_keys, raw_counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, counts = _unpacked([raw_keys], WIDTH[kind]), np.frombuffer(raw_counts, "<i8")
+                block_bits = 1 << math.ceil(math.log2(max(64, int(levels(counts).sum()) * bits_per_entry)))
+                data = Filter.block(keys, counts, hashes, block_bits)
+                often = keys[fine_levels(counts) >= cut]
+                found = block_levels(data, often, bits, hashes)
+                row = ([kind], [block], [data], [_packed(often, WIDTH[kind])], [found.astype(np.int8).tobytes()])
+                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], names=["kind", "block", "data", "often", "often_levels"])
+
+    return model.select("kind", "block", "keys", "counts").mapInArrow(fill, "kind int, block int, data binary, often binary, often_levels binary")
+
+
+def block_levels(data: bytes, keys: np.ndarray, bits: int, hashes: int = 3) -> np.ndarray:
+    """Levels that a block's bits give for keys under its number."""
+    return Filter(8 * len(data), bits, hashes, np.frombuffer(data, np.uint8)).level(keys << np.uint64(24 - bits))
+
+
+def frequent_levels(blocks: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By kind, the sorted codes (block and key) of the most frequent n-grams and their levels."""
+    out = {}
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {PAIRS: [], WORDS: []}
+    for r in blocks.where(F.length("often") > 0).select("kind", "block", "often", "often_levels").toLocalIterator():
+        codes = _unpacked([r["often"]], WIDTH[r["kind"]]) + (np.uint64(r["block"]) << np.uint64(40))
+        held[r["kind"]].append((codes, np.frombuffer(bytes(r["often_levels"]), np.int8)))
+    for kind, some in held.items():
+        codes = np.concatenate([np.zeros(0, np.uint64), *(c for c, _ in some)])
+        found = np.concatenate([np.zeros(0, np.int8), *(q for _, q in some)])
+        order = np.argsort(codes)
+        out[kind] = codes[order], found[order]
+    return out
+
+
+def known_levels(codes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The level of each n-gram, -1 where it isn't among the frequent ones."""
+    known, found = frequent
+    if not len(known):
+        return np.full(len(codes), -1, np.int8)
+    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    return np.where(known[at] == codes, found[at], np.int8(-1))
+
+
+def log_shares(of_word: np.ndarray, of_context: np.ndarray, of_pair: np.ndarray, mass: float, backoff: float) -> np.ndarray:
+    """log10 of the pair's share of its context and the smoothed share of the word, from levels."""
+    word, context = _MIDDLE[of_word], _MIDDLE[of_context]
+    pair = np.minimum(_MIDDLE[of_pair], context)
+    return np.log10(np.minimum((1 - backoff) * pair / np.maximum(1.0, context) + backoff * (word + 0.1) / (mass + word), 1.0))
+
+
+ROLES = (("word", WORDS), ("context", WORDS), ("pair", PAIRS))
+PROBES = "row_id long, word long, context long, pair long, word_level tinyint, context_level tinyint, pair_level tinyint"
 
-    data = np.zeros(block_bits // 8 << bits, np.uint8)
-    for r in model.select("block", "keys", "counts").mapInArrow(fill, "block int, data binary").toLocalIterator():
-        data[r["block"] * (block_bits // 8) : (r["block"] + 1) * (block_bits // 8)] |= np.frombuffer(r["data"], np.uint8)
-    return Filter(block_bits, bits, hashes, data)
+
+def probed(rows: DataFrame, blocks: DataFrame, role: str, kind: int, bits: int) -> DataFrame:
+    """rows, all with a code for the role, with the level that its block gives; the code is null then."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return left.drop_columns(["block"])
+        codes = left.column(role).to_numpy().view(np.uint64) & np.uint64((1 << 40) - 1)
+        found = block_levels(right.column("data")[0].as_py(), codes, bits) if right.num_rows else np.zeros(len(codes), np.int64)
+        left = left.set_column(left.schema.get_field_index(f"{role}_level"), f"{role}_level", pa.array(found.astype(np.int8)))
+        return left.set_column(left.schema.get_field_index(role), role, pa.nulls(len(codes), pa.int64())).drop_columns(["block"])
+
+    cut = rows.withColumn("block", F.shiftright(role, 40).cast("int"))
+    some = blocks.where(F.col("kind") == kind).select("block", "data")
+    return cut.groupBy("block").cogroup(some.groupBy("block")).applyInArrow(run, PROBES)
+
+
+def probe_scores(rows: DataFrame, blocks: DataFrame, bits: int, mass: float, backoff: float) -> DataFrame:
+    """row_id, score: the sums over the places (PROBES) whose n-grams aren't all frequent."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = [batch.column(k).to_numpy().astype(np.int64) for k in (4, 5, 6)]
+            owners, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            yield pa.record_batch([pa.array(owners), pa.array(np.bincount(at, log_shares(*of, mass, backoff), len(owners)))], names=["row_id", "score"])
+
+    done = []
+    for role, kind in ROLES:
+        has = F.col(role).isNotNull()
+        if role == "pair":
+            done.append(rows.where(~has))
+            rows = probed(rows.where(has), blocks, role, kind, bits)
+        else:
+            # Few places have a rare word, so that only theirs are written anew.
+            rows = rows.where(~has).unionByName(materialise(probed(rows.where(has), blocks, role, kind, bits), "probes"))
+    return done[0].unionByName(rows).mapInArrow(run, "row_id long, score double").groupBy("row_id").agg(F.sum("score").alias("rare_score"))
 
 
 def word_counts(counted: DataFrame) -> DataFrame:
@@ -220,7 +295,10 @@ def word_counts(counted: DataFrame) -> DataFrame:
     return counted.where(F.col("kind") == EXACT).select("keys", "counts").mapInArrow(run, "h long, c long")
 
 
-def lm_scores(documents: DataFrame, modulus: int = 10, keep: int = 0, backoff: float = 0.8, max_broadcast: int = 1 << 19, max_bits: int = 1 << 28) -> DataFrame:
+PARTS = ["row_id", "doc_id", "h", "times", "n_tokens", "n_known", "base_score", "score", *(role for role, _ in ROLES), *(f"{role}_level" for role, _ in ROLES)]
+
+
+def lm_scores(documents: DataFrame, modulus: int = 10, keep: int = 0, backoff: float = 0.8, max_broadcast: int = 1 << 19) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = documents.sparkSession
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == keep, F.lit(False))
@@ -234,18 +312,21 @@ def lm_scores(documents: DataFrame, modulus: int = 10, keep: int = 0, backoff: f
     common = largest(counts, "c", max_broadcast).toArrow()
     keys, times = (common.column(k).to_numpy() for k in (0, 1))
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((build_filter(counted, bits, max_bits), keys[order], times[order]))
+    blocks = materialise(build_filter(counted, bits, max_broadcast), "filter")
+    shared = spark.sparkContext.broadcast((frequent_levels(blocks), keys[order], times[order]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lfb, known, exact = shared.value
+        frequent, known, exact = shared.value
         for batch in text_slices(batches):
             tokens, contexts, first = token_runs(batch.column(2))
             rows = batch.num_rows
-            # The model: the pair's share of its context and the smoothed share of the word, all counts from probes.
-            of_word, of_context = lfb.count(word_hash(tokens)), lfb.count(word_hash(contexts))
-            of_pair = np.minimum(lfb.count(pair_hash(contexts, tokens)), of_context)
-            p = (1 - backoff) * of_pair / np.maximum(1.0, of_context) + backoff * (of_word + 0.1) / (mass + of_word)
-            score = np.add.reduceat(np.log10(np.minimum(p, 1.0)), first[:-1])
+            # The model: places whose n-grams are all frequent here, the others as rows of their own.
+            codes = [h >> np.uint64(24 - bits) for h in (word_hash(tokens), word_hash(contexts), pair_hash(contexts, tokens))]
+            of = [known_levels(code, frequent[kind]) for code, (_, kind) in zip(codes, ROLES, strict=True)]
+            lacking = (of[0] < 0) | (of[1] < 0) | (of[2] < 0)
+            shares = log_shares(*(np.maximum(q, 0) for q in of), mass, backoff)
+            score = np.add.reduceat(np.where(lacking, 0.0, shares), first[:-1])
+            asked = np.flatnonzero(lacking)
             # The base: exact counts of common words here, the other words as rows of their own.
             at = np.minimum(np.searchsorted(known, tokens.view(np.int64)), max(0, len(known) - 1))
             hit = known[at] == tokens.view(np.int64) if len(known) else np.zeros(len(tokens), bool)
@@ -253,27 +334,40 @@ def lm_scores(documents: DataFrame, modulus: int = 10, keep: int = 0, backoff: f
             found = np.add.reduceat(hit.astype(np.int64), first[:-1])
             rest = np.flatnonzero(~hit)
             owner = np.searchsorted(first, rest, side="right") - 1
-            owner_of = np.concatenate([np.arange(rows), owner])
-            zeros = np.zeros(len(rest))
-            take = pa.array(owner_of)
-            # A row for each text, counting no word itself, and a row for each place of a rarer word.
+            asked_by = np.searchsorted(first, asked, side="right") - 1
+            take = pa.array(np.concatenate([np.arange(rows), owner, asked_by]))
+
+            def column(of_text, of_word, of_place=None, kind=None):
+                """One value for each text, each place of a rarer word and each place whose n-grams aren't all frequent; None is null."""
+                sizes = (rows, len(rest), len(asked))
+                parts = [pa.nulls(n, kind) if x is None else pa.array(np.broadcast_to(x, n), kind) for x, n in zip((of_text, of_word, of_place), sizes, strict=True)]
+                return pa.concat_arrays(parts)
+
+            def probe(code, q):
+                return pa.concat_arrays([pa.nulls(rows + len(rest), pa.int64()), pa.array(code[asked].view(np.int64), mask=q[asked] >= 0)])
+
+            long, double = pa.int64(), pa.float64()
             yield pa.record_batch(
                 [
                     batch.column(0).take(take),
                     batch.column(1).take(take),
-                    pa.array(np.concatenate([batch.column(0).to_numpy(), tokens[rest].view(np.int64)])),
-                    pa.array(np.concatenate([np.zeros(rows, np.int64), np.ones(len(rest), np.int64)])),
-                    pa.array(np.concatenate([np.diff(first), zeros.astype(np.int64)])),
-                    pa.array(np.concatenate([found, zeros.astype(np.int64)])),
-                    pa.array(np.concatenate([base, zeros])),
-                    pa.array(np.concatenate([score, zeros])),
+                    column(batch.column(0).to_numpy(), tokens[rest].view(np.int64), kind=long),
+                    column(0, 1, kind=long),
+                    column(np.diff(first), 0, kind=long),
+                    column(found, 0, kind=long),
+                    column(base, 0.0, kind=double),
+                    column(score, 0.0, kind=double),
+                    *(probe(code, q) for code, q in zip(codes, of, strict=True)),
+                    *(column(None, None, q[asked], pa.int8()) for q in of),
                 ],
-                names=["row_id", "doc_id", "h", "times", "n_tokens", "n_known", "base_score", "score"],
+                names=PARTS,
             )
 
     rows = documents.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
-    parts = rows.mapInArrow(run, "row_id long, doc_id long, h long, times long, n_tokens long, n_known long, base_score double, score double")
-    parts = parts.join(counts, "h", "left")
+    schema = f"row_id long, doc_id long, h long, times long, n_tokens long, n_known long, base_score double, score double, {PROBES.partition(', ')[2]}"
+    written = materialise(rows.mapInArrow(run, schema), "places")
+    rare = probe_scores(written.where("word_level is not null").select(*[x.split()[0] for x in PROBES.split(", ")]), blocks, bits, mass, backoff)
+    parts = written.where("word_level is null").join(counts, "h", "left")
     c = F.coalesce("c", F.lit(0))
     out = parts.groupBy("row_id", "doc_id").agg(
         F.sum("n_tokens").alias("n_tokens"),
@@ -281,6 +375,7 @@ def lm_scores(documents: DataFrame, modulus: int = 10, keep: int = 0, backoff: f
         F.sum(F.col("base_score") + F.col("times") * (F.log10(c + 0.1) - math.log10(mass))).alias("base_score"),
         F.sum("score").alias("score"),
     )
+    out = out.join(rare, "row_id", "left").withColumn("score", F.col("score") + F.coalesce("rare_score", F.lit(0.0)))
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
