@@ -343,6 +343,27 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.contaminated(empty, items).count() == 0 == decontamination.contaminated(docs, items.where("item_id = 3")).count()
 
 
+def test_decontamination_by_any_window(spark):
+    """Brute force over all aligned windows of 16, with passages of 16 words and three or fewer substitutions inside longer items and documents."""
+    rng = np.random.default_rng(11)
+    items, texts = [], []
+    for k in range(60):
+        item = [f"i{k}w{i}" for i in range(48)]
+        passage = list(item[16:32])
+        for j in rng.choice(16, k % 4, replace=False):
+            passage[j] = f"s{k}x{j}"
+        items.append((k, " ".join(item)))
+        texts.append((k, " ".join([*(f"a{k}b{i}" for i in range(20)), *passage, *(f"c{k}d{i}" for i in range(20))])))
+    want = set()
+    for (k, item), (_, text) in zip(items, texts, strict=True):
+        x, y = item.split(), text.split()
+        if any(sum(map(str.__eq__, x[a : a + 16], y[b : b + 16])) >= 0.8 * 16 for a in range(33) for b in range(len(y) - 15)):
+            want.add((k, k))
+    got = decontamination.contaminated(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert len(want) == 60 and {(r.doc_id, r.item_id) for r in got} == want
+    assert all(r.first_word <= 20 + 3 and r.first_word >= 20 - 3 and r.similarity >= 0.8 for r in got)
+
+
 def near_groups(df):
     table = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect() if r.doc_id is not None]
     sets = {}

@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
 Each mask picks some of the tokens from a position on and ignores the others. The hashes of what the masks pick are joined between test items and documents; around
-every hit a window of aligned tokens is compared, and a window of which at least min_match tokens are equal reports the pair. Substituted tokens thus neither
-hide a passage from all masks nor from the comparison.
+every hit the windows of aligned tokens that hold it are compared, and a window of which at least min_match tokens are equal reports the pair. Substituted tokens thus neither
+hide a passage from all masks nor from the comparison. With any_window off only the window from six tokens before the hit on is compared, as OP7_SQL does: a hit near
+the end of a passage can then fail.
 
 The hashes of the items go to every worker while the items have at most max_broadcast_words words; beyond that the join is a shuffle join.
 
@@ -36,7 +37,7 @@ def seeds(rows: DataFrame, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
     return at.select("*", F.explode(F.array(*picked)).alias("seed"))
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, min_match: float = 0.8, min_words: int = 8, max_broadcast_words: int = 500_000) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, min_match: float = 0.8, min_words: int = 8, max_broadcast_words: int = 500_000, any_window: bool = True) -> DataFrame:
     """doc_id, item_id, n_hits, first_word, similarity (of the best window) for each document that holds a passage of an item."""
     items = benchmark.select("item_id", tokens(F.col("text")).alias("words")).where(F.size("words") >= min_words)
     total = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
@@ -45,16 +46,24 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, masks: tuple[tuple[
     hits = seeds(documents.select("doc_id", tokens(F.col("text")).alias("words")), masks).join(tested, "seed")
     # Item position p lies beside document position p + at - j: both exist from lo to before hi.
     lo, hi = "greatest(0, j - at)", "least(size(item), size(words) - at + j)"
-    hits = hits.withColumn("size", F.expr(f"least({window}, {hi} - {lo})")).withColumn("start", F.expr(f"least(greatest({lo}, j - {window // 2 - 2}), {hi} - size)"))
-    equal = F.expr("size(filter(zip_with(slice(item, start + 1, size), slice(words, start + at - j + 1, size), (x, y) -> x = y), e -> e))")
+    hits = hits.withColumn("size", F.expr(f"least({window}, {hi} - {lo})"))
+    if any_window:
+        hits = hits.withColumn("start", F.expr(f"greatest({lo}, j - {window - 1})")).withColumn("span", F.expr(f"least({hi}, j + {window}) - start"))
+    else:
+        hits = hits.withColumn("start", F.expr(f"least(greatest({lo}, j - {window // 2 - 2}), {hi} - size)")).withColumn("span", F.col("size"))
+    same = "zip_with(slice(item, start + 1, span), slice(words, start + at - j + 1, span), (x, y) -> x = y)"
+    # The most equal words of any window in the span, and how far into it the first such window begins.
+    best = F.expr(f"array_max(transform(array({same}), s -> array_max(transform(sequence(0, span - size), k -> struct(size(filter(slice(s, k + 1, size), e -> e)) as n, -k as k)))))")
     # The comparison stands in a generator, which no filter passes: inside the join's condition its lambda would take the join out of generated code.
-    compared = hits.where(F.col("size") >= min_words).select("doc_id", "item_id", "start", "at", "j", F.explode(F.array(equal / F.col("size"))).alias("similarity"))
+    compared = hits.where(F.col("size") >= min_words).select("doc_id", "item_id", "start", "at", "j", "size", F.explode(F.array(best)).alias("best"))
+    compared = compared.select("doc_id", "item_id", (F.col("start") - F.col("best.k")).alias("start"), "at", "j", (F.col("best.n") / F.col("size")).alias("similarity"))
     hits = compared.where(F.col("similarity") >= min_match)
     return hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"), F.min(F.expr("start + at - j")).cast("long").alias("first_word"), F.max("similarity").alias("similarity"))
 
 
 def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    # The rows of OP7_SQL, which defines a match by the one window at the hit.
+    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), any_window=False)
 
 
 OP7_SQL = r"""
