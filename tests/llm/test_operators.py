@@ -312,6 +312,22 @@ def test_license_scan(docs, empty):
     assert any("cc-by-nc-4.0" in r[6] for r in want) and license_scan.license_scan(empty).count() == 0
 
 
+def test_license_scan_of_wrapped_notices(spark):
+    import textwrap
+
+    texts, want = [], {}
+    for k, (label, template) in enumerate(license_scan.TEMPLATES):
+        wrapped = ["# " + x for x in textwrap.wrap(template, max(12, len(template) // 3))]
+        texts.append((k, "\n".join(["first line", *wrapped, "last line"])))
+        # The same words, each among many others, are no notice.
+        texts.append((100 + k, "\n".join(" ".join([w, *(f"x{j}" for j in range(60))]) for w in template.replace(",", "").split())))
+        want[k] = (label, list(range(1, len(wrapped) + 1)))
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    for k, (label, lines) in want.items():
+        assert len(lines) > 1 and label in got[k].labels.split(",") and got[k].score == 1.0 and set(got[k].blocks) <= set(lines) and got[k].blocks
+        assert label not in got[100 + k].labels.split(",") and not got[100 + k].blocks
+
+
 def test_line_dedup(docs, empty):
     holders: dict[str, set] = {}
 

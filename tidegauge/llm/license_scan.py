@@ -1,9 +1,10 @@
-"""License scans: an exact set-similarity join of text blocks (lines) with license templates, beside exact phrase counts.
+"""License scans: an exact set-similarity join of text blocks with license templates, beside exact phrase counts.
 
+Blocks are lines, and all windows of words that are as long as the template and as many words more as it may lack, so that wrapped notices are found too.
 The join keeps every block that holds at least threshold of a template's distinct words. Words are put in one global order, rarest in the whole corpus first.
 With o = ceil(threshold * |template|) words needed, a template and a block that meet it share a word among the first |template| - o + 1 of one and
 the first |block| - o + 1 of the other (prefix filter); a block of fewer than o template words can't meet it (length filter); and what is left behind the first
-shared words bounds the overlap (positional filter). Pairs that pass are counted exactly.
+shared words bounds the overlap (positional filter). Pairs that pass are counted exactly. A whole text is put to these filters before any of its windows is looked at.
 
 The corpus is counted and searched in Spark; the templates are a parameter and go to every worker, at most max_template_words words in all.
 
@@ -73,17 +74,19 @@ class TemplateIndex:
         every = sorted(set().union(*(s for _, s in sets)), key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(every)}
         self.labels = [label for label, _ in sets]
+        self.members = [frozenset(self.rank[w] for w in s) for _, s in sets]
         self.ordered = [sorted(self.rank[w] for w in s) for _, s in sets]
         # Less a hair, so that 0.8 of 5 words is 4 and not 5.
         self.needed = [max(1, math.ceil(threshold * len(t) - 1e-9)) for t in self.ordered]
+        self.widths = [len(words_of(text.encode())) + len(t) - need for (_, text), t, need in zip(templates, self.ordered, self.needed, strict=True)]
         self.prefixes: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, (order, need) in enumerate(zip(self.ordered, self.needed, strict=True)):
             for j, r in enumerate(order[: len(order) - need + 1]):
                 self.prefixes[r].append((t, j))
         self.first_words = frozenset(every[r] for r in self.prefixes)
 
-    def matches(self, block: list[bytes]) -> Iterator[tuple[str, float]]:
-        """(label, containment) of every template that the block meets."""
+    def matches(self, block: list[bytes]) -> Iterator[tuple[int, float]]:
+        """(template, containment) of every template that the block meets."""
         own = sorted({self.rank[w] for w in block if w in self.rank})
         tried: set[int] = set()
         for i, r in enumerate(own):
@@ -96,7 +99,34 @@ class TemplateIndex:
                     continue
                 shared = len(set(own).intersection(self.ordered[t]))
                 if shared >= need:
-                    yield self.labels[t], shared / size
+                    yield t, shared / size
+
+
+    def windows(self, words: list[bytes]) -> Iterator[tuple[int, float, int, int]]:
+        """(template, containment, first, last) of the places of words, as short as they can be, whose window meets a template; containment is that of the whole window."""
+        for t, _ in list(self.matches(words)):
+            members, need, width = self.members[t], self.needed[t], self.widths[t]
+            places = [(k, r) for k, w in enumerate(words) if (r := self.rank.get(w)) in members]
+            inside: Counter[int] = Counter()
+            left = 0
+            for right, (k, r) in enumerate(places):
+                inside[r] += 1
+                while places[left][0] <= k - width:
+                    gone = places[left][1]
+                    inside[gone] -= 1
+                    if not inside[gone]:
+                        del inside[gone]
+                    left += 1
+                if len(inside) < need:
+                    continue
+                seen: set[int] = set()
+                first = right
+                while len(seen) < need:
+                    seen.add(places[first][1])
+                    first -= 1
+                # A place whose last word stands in it before, too, is longer than it must be.
+                if all(x != r for _, x in places[first + 1 : right]):
+                    yield t, len(inside) / len(self.ordered[t]), places[first + 1][0], k
 
 
 def phrase_places(words: list[bytes], phrases: dict[str, str]) -> tuple[list[int], set[str]]:
@@ -118,7 +148,7 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 
 
 def license_scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = 0.9, max_template_words: int = 1_000_000) -> DataFrame:
-    """One row per document: phrase places and labels, template labels, the highest containment (a phrase found counts as 1), and the numbers of the blocks (lines) that matched."""
+    """One row per document: phrase places and labels, template labels, the highest containment (a phrase found counts as 1), and the numbers of the lines that matched or hold a place of a window that did."""
     vocabulary = frozenset(w for _, text in templates for w in words_of(text.encode()))
     if len(vocabulary) > max_template_words:
         raise ValueError(f"templates of more than {max_template_words} words are not sent to every worker")
@@ -128,15 +158,21 @@ def license_scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLA
     def row(raw: bytes) -> tuple:
         words = words_of(raw)
         starts, base = phrase_places(words, phrases)
-        labels, score, blocks = set(base), float(bool(starts)), []
+        labels, score, blocks = set(base), float(bool(starts)), set()
         if not index.first_words.isdisjoint(words):
+            line_of: list[int] = []
             for b, line in enumerate(raw.split(b"\n")):
-                found = list(index.matches(words_of(line)))
-                if found:
-                    blocks.append(b)
-                    labels.update(label for label, _ in found)
-                    score = max(score, *(c for _, c in found))
-        return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, blocks)
+                own = words_of(line)
+                line_of += [b] * len(own)
+                for t, c in index.matches(own):
+                    blocks.add(b)
+                    labels.add(index.labels[t])
+                    score = max(score, c)
+            for t, c, first, last in index.windows(words):
+                blocks.update(range(line_of[first], line_of[last] + 1))
+                labels.add(index.labels[t])
+                score = max(score, c)
+        return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, sorted(blocks))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
