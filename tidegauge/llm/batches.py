@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 # Bytes 0x20 and 0x09-0x0D part words; everything else belongs to one.
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -93,10 +94,16 @@ class Powers:
 _POWERS = Powers()
 
 
-def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each run, equal for equal runs wherever they stand."""
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, longest: int = 64) -> np.ndarray:
+    """A 64-bit hash of values[start:end] for each run, equal for equal runs of one type of values wherever they stand.
+
+    Runs of up to `longest` values go by a polynomial, which two long sequences could be made to share; longer ones by XXH64 of their bytes.
+    """
     up, down = _POWERS.get(len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
     length = (ends - starts).astype(np.uint64)
-    return mix((total[ends] - total[starts]) * down[starts] + mix(length + np.uint64(0x2545F4914F6CDD1D)))
+    out = mix((total[ends] - total[starts]) * down[starts] + mix(length + np.uint64(0x2545F4914F6CDD1D)))
+    for k in np.flatnonzero(ends - starts > longest):
+        out[k] = xxhash.xxh64_intdigest(values[starts[k] : ends[k]].tobytes())
+    return out

@@ -1,19 +1,21 @@
-"""Near copies by the Jaccard similarity of word shingles: SimHash with deletion-variant signatures first, an exact prefix-filter join after it.
+"""Near copies by the Jaccard similarity of word shingles: SimHash with deletion-variant signatures first, an exact prefix-filter join of the rest after it.
 
 1. Texts with the same words (A-Z in lower case) form a class; only one document of a class goes on.
 2. The fingerprint adds up the bits of the distinct words' hashes, each with the word's rarity (log of documents over documents with it, counted over the whole corpus in
-   2**20 hashed cells) as weight, so that a few changed words turn few bits: 120 bits in five segments of 24.
-3. Every segment is indexed with each of its bits as a wildcard, equal variants are joined, pairs within max_bits are verified on their exact shingle sets.
-   Variants that more than `crowd` documents share are not paired all with all: their members are compared with the hub of the variant (whose segments are
-   the most frequent ones, hence the text that the others were made from), those that it doesn't match with the next hub, and so on for `rounds` rounds.
-4. Fingerprints only save work: all documents with their components so far go on to an exact join of shingle sets. A prefix in the order of the hashes leaves those that can
-   have a partner in another component; of these, prefixes of the rarest shingles meet, and only pairs from different components are compared.
+   2**18 hashed cells) as weight, so that a few changed words turn few bits: 128 bits in four segments of 32.
+3. Every segment is indexed with each of its bits as a wildcard and equal variants are joined: every member of a variant is compared with the variant's hub (the member that
+   shares most variants, hence the text that the others were made from), those that it doesn't match with the next hub, for `rounds` rounds. Pairs within max_bits are verified
+   on their exact shingle sets. A variant with n members costs n pairs a round, never all of them.
+4. Fingerprints only save work; what they leave apart meets in an exact join. Each document has the first shingles of its set in the order of their hashes, `least` more than a
+   single common one would need, so that of these a similar pair shares at least `least` (all, where it needs fewer). Among them each document's most frequent ones can
+   again be left out, as many as must be shared less one; what stays is joined, and pairs of different components are compared: by how many of these they share, then on all
+   their first shingles, then on whole sets.
 5. Components of verified links; the smallest doc_id of each group stays.
 
 The groups are those of brute force: every pair of the similarity or more is in one group, and no pair under it is linked.
 
-Null and empty texts are one class. Rows without doc_id stay and link to nothing. Repeated rows of one doc_id count as one document. Texts of fewer words than a
-shingle are compared whole. Very long texts are read whole. An empty table gives an empty result. Extra columns stay as they are.
+Null and empty texts are one class. Rows without doc_id stay and link to nothing. Repeated rows of one doc_id and text count as one document, different texts under one doc_id as
+two. Texts of fewer words than a shingle are compared whole. Very long texts are read whole. An empty table gives an empty result. Extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -22,16 +24,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.batches import mix, run_hashes, text_buffer, text_slices, word_spans
 from tidegauge.llm.components import components
-from tidegauge.llm.shared import materialise
+from tidegauge.llm.shared import join_spread, materialise, small_enough
 
-SEGMENTS, LENGTH = 5, 24
-CELLS = 1 << 20
+SEGMENTS, LENGTH = 4, 32
+CELLS = 1 << 18
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -70,145 +71,188 @@ def rarity(documents: DataFrame) -> np.ndarray:
     return np.maximum(np.log(max(2, documents.count()) / counts), 1e-3).astype(np.float32)
 
 
-def prints(documents: DataFrame, weights: np.ndarray) -> DataFrame:
-    """doc_id, class1, class2 (a 128-bit name of the word sequence), fp0, fp1 (60 bits each) of every row with a doc_id."""
+def shingle_sets(words: np.ndarray, bounds: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles; a shorter text is one shingle."""
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        at = np.arange(a, max(a, b - width) + 1)
+        yield np.unique(run_hashes(words[a:b], at - a, np.minimum(at + width, b) - a))
+
+
+def class_names(words: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """Two 64-bit names of each text's word sequence."""
+    return [pa.array(run_hashes(mix(words ^ np.uint64(salt)), bounds[:-1], bounds[1:]).view(np.int64)) for salt in (0, 0x5BD1E995)]
+
+
+def needed(size: Column, similarity: float) -> Column:
+    """How many shingles a set of this size shares with any that reach the similarity."""
+    return F.ceil(F.lit(similarity) * size - 1e-9)
+
+
+PRINTS = "doc_id long, text_key long, class1 long, class2 long, fp0 long, fp1 long, size int, prefix array<long>"
+
+
+def with_keys(documents: DataFrame) -> DataFrame:
+    """doc_id, text_key, text of the rows with a doc_id."""
+    return documents.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+
+
+def prints(documents: DataFrame, weights: np.ndarray, similarity: float, width: int, least: int) -> DataFrame:
+    """PRINTS of every row: the class, the fingerprint, and of the size shingles the first ones by their hashes."""
     shared = documents.sparkSession.sparkContext.broadcast(weights)
-    bits = SEGMENTS * LENGTH
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 256 << 10):
-            words, bounds = lower_words(batch.column(1))
-            names = [run_hashes(mix(words ^ np.uint64(salt)), bounds[:-1], bounds[1:]) for salt in (0, 0x5BD1E995)]
+            words, bounds = lower_words(batch.column(2))
             text, distinct = distinct_words(words, bounds)
-            sums = np.zeros((batch.num_rows, bits), np.float32)
+            sums = np.zeros((batch.num_rows, 128), np.float32)
             # So many words at a time that their signs stay small, however long a text is.
             for at in range(0, len(text), 16_384):
                 owner, some = text[at : at + 16_384], distinct[at : at + 16_384]
                 raw = np.stack([mix(some + np.uint64(1)), mix(some ^ np.uint64(0xABCDEF0123456789))], axis=1).view(np.uint8)
-                signs = np.unpackbits(raw.reshape(len(some), 16), axis=1)[:, :bits].astype(np.float32)
+                signs = np.unpackbits(raw.reshape(len(some), 16), axis=1).astype(np.float32)
                 signs -= np.float32(0.5)
                 signs *= shared.value[(some % np.uint64(CELLS)).astype(np.int64)][:, None]
                 heads = np.flatnonzero(np.diff(owner, prepend=-1))
                 sums[owner[heads]] += np.add.reduceat(signs, heads, axis=0)
-            powers = 1 << np.arange(60, dtype=np.int64)
-            halves = [((sums[:, k : k + 60] > 0) * powers).sum(axis=1) for k in (0, 60)]
-            yield pa.record_batch([batch.column(0), *(pa.array(n.view(np.int64)) for n in names), *map(pa.array, halves)], names=["doc_id", "class1", "class2", "fp0", "fp1"])
+            halves = np.packbits(sums > 0, axis=1).view(np.int64)
+            sizes, firsts = [], []
+            for own in shingle_sets(words, bounds, width):
+                need = int(np.ceil(similarity * len(own) - 1e-9))
+                sizes.append(len(own))
+                firsts.append(own[: len(own) - need + min(least, need)].view(np.int64))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in firsts])]), pa.int32())
+            prefix = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
+            columns = [batch.column(0), batch.column(1), *class_names(words, bounds), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int32()), prefix]
+            yield pa.record_batch(columns, names=[x.split()[0] for x in PRINTS.split(", ")])
 
-    return documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, class1 long, class2 long, fp0 long, fp1 long")
+    return with_keys(documents).mapInArrow(run, PRINTS)
 
 
-def shingle_sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """doc_id, shingles (sorted distinct 64-bit hashes) of the wanted documents; texts travel compressed."""
-
-    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compress = zstandard.ZstdCompressor(level=3).compress
-        for batch in text_slices(batches):
-            yield pa.record_batch([batch.column(0), pa.array([compress(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "packed"])
+def verified(pairs: DataFrame, documents: DataFrame, reps: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs (a, b) of classes whose shingle sets reach the similarity; only texts of classes in a pair are read into sets."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decompress = zstandard.ZstdDecompressor().decompress
         for batch in text_slices(batches, 128 << 10):
-            hashes, bounds = lower_words(pa.array([decompress(x) for x in batch.column(1).to_pylist()], pa.large_binary()))
-            out = []
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                at = np.arange(a, max(a, b - words) + 1)
-                out.append(np.unique(run_hashes(hashes, at, np.minimum(at + words, b))).view(np.int64))
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
-
-    packed = documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(pack, "doc_id long, packed binary")
-    return packed.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, shingles array<long>")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the Jaccard similarity."""
-
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+            words, bounds = lower_words(batch.column(2))
+            sets = [own.view(np.int64) for own in shingle_sets(words, bounds, width)]
+            yield pa.record_batch([class_names(words, bounds)[0], pa.array(sets, pa.list_(pa.int64()))], names=["class1", "shingles"])
+
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("class1")).distinct(), "wanted")
+    wanted = materialise(reps.select("class1", "doc_id", "text_key").join(small_enough(wanted), "class1", "left_semi").select("doc_id", "text_key"), "wanted")
+    texts = with_keys(documents).join(small_enough(wanted), ["doc_id", "text_key"], "left_semi")
+    sets = materialise(texts.mapInArrow(run, "class1 long, shingles array<long>").dropDuplicates(["class1"]), "shingles")
+    left, right = sets.select(F.col("class1").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("class1").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def crossing(firsts: DataFrame, members: DataFrame, similarity: float, least: int = 16) -> DataFrame:
-    """The members (doc_id, component) that can reach the similarity with one of another component; firsts: doc_id, shingles of all.
+def members_of_variants(reps: DataFrame) -> DataFrame:
+    """key, class1, fp0, fp1, n of every representative and one-wildcard segment variant that n > 1 of them share."""
+    low = F.lit((1 << LENGTH) - 1)
+    segments = [x for h in ("fp0", "fp1") for x in (F.col(h).bitwiseAND(low), F.shiftrightunsigned(h, LENGTH))]
+    variants = [F.lit((s * LENGTH + i) << LENGTH).cast("long").bitwiseOR(x.bitwiseAND(F.lit(((1 << LENGTH) - 1) ^ (1 << i)))) for s, x in enumerate(segments) for i in range(LENGTH)]
+    keys = reps.select("class1", "fp0", "fp1", F.explode(F.array(*variants)).alias("key"))
+    shared = materialise(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "variants-shared")
+    return keys.join(small_enough(shared), "key")
 
-    Two sets that reach it share the `least` first of their common shingles (all, where they need fewer) in prefixes longer by as much, whatever the order; here it is
-    that of the hashes. So a member of whose prefix fewer shingles are in the prefixes of other components has no partner.
-    """
-    size = F.size("shingles")
-    need = F.ceil(F.lit(similarity) * size - 1e-9)
-    extra = F.least(F.lit(least), need)
-    cut = firsts.select("doc_id", extra.alias("extra"), F.slice("shingles", F.lit(1), (size - need + extra).cast("int")).alias("shingles"))
-    rows = cut.join(members, "doc_id").select("doc_id", "component", "extra", F.explode("shingles").alias("shingle"))
-    mixed = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
-    enough = rows.join(mixed, "shingle").groupBy("doc_id", "component").agg(F.count("*").alias("n"), F.first("extra").alias("extra")).where("n >= extra")
-    return enough.select("doc_id", "component")
-
-
-def across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b: the pairs of members (doc_id, component) in different components that can reach the similarity, by size and by the place of a shared shingle among each one's rarest."""
-
-    size = F.size("shingles")
-    rows = sets.join(members, "doc_id").select("doc_id", "component", size.alias("size"), F.explode("shingles").alias("shingle"))
-    counts = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle", "n")
-    # In the order of the prefixes the shingles of one component only stand first: they are counted, not listed.
-    own = Window.partitionBy("doc_id")
-    place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "shingle"))
-    # Two sets of which one lacks every shingle of the other's prefix have too few in common.
-    prefix = rows.join(counts, "shingle").withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1)
-    prefix = materialise(prefix.select("shingle", "doc_id", "component", "size", "place"), "prefixes")
-    left, right = (prefix.select("shingle", F.col("doc_id").alias(x), F.col("component").alias(f"{x}_of"), F.col("size").alias(f"{x}_size"), F.col("place").alias(f"{x}_at")) for x in "ab")
-    # At the first shingle that two sets share, what follows it bounds what they have in common; of two that reach the similarity at least this row stays.
-    bound = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")) + 1
-    fits = (F.col("a_of") < F.col("b_of")) & (bound >= F.lit(similarity / (1 + similarity)) * (F.col("a_size") + F.col("b_size")) - 1e-9)
-    return left.join(right, "shingle").where(fits).select("a", "b").distinct()
-
-
-def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, max_bits: int = 26, crowd: int = 32, rounds: int = 3) -> DataFrame:
-    """doc_id, component of every document with a doc_id; component is the smallest doc_id of its group."""
-    every = materialise(prints(documents, rarity(documents)), "prints")
-    classes = every.groupBy("class1", "class2").agg(F.min("doc_id").alias("rep"), F.first("fp0").alias("fp0"), F.first("fp1").alias("fp1"))
-    classes = materialise(classes, "classes")
-    reps = classes.groupBy("rep").agg(F.first("fp0").alias("fp0"), F.first("fp1").alias("fp1"))
-    # Segment s is bits 24 s to 24 s + 23 of the 120; fp0 has the first 60.
-    whole = [F.shiftrightunsigned("fp0", 24 * s) if s < 2 else F.shiftrightunsigned("fp0", 48).bitwiseOR(F.shiftleft("fp1", 12)) if s == 2 else F.shiftrightunsigned("fp1", 12 + 24 * (s - 3)) for s in range(SEGMENTS)]
-    cut = reps.select("rep", "fp0", "fp1", *[x.bitwiseAND(F.lit((1 << LENGTH) - 1)).alias(f"s{s}") for s, x in enumerate(whole)])
-    variants = [F.lit((s * LENGTH + i) << LENGTH).cast("long").bitwiseOR(F.col(f"s{s}").bitwiseAND(F.lit(((1 << LENGTH) - 1) ^ (1 << i)))) for s in range(SEGMENTS) for i in range(LENGTH)]
-    keys = cut.select("rep", F.explode(F.array(*variants)).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialise(keys.join(shared, "key").join(reps, "rep"), "variants")
-    sets = materialise(shingle_sets(documents, reps.select(F.col("rep").alias("doc_id")), words), "shingles")
-
-    def apart(a: str, b: str):
-        return sum(F.bit_count(F.col(f"{a}{h}").bitwiseXOR(F.col(f"{b}{h}"))) for h in (0, 1))
-
-    few = members.where(F.col("n") <= crowd)
-    left, right = (few.select("key", F.col("rep").alias(x), F.col("fp0").alias(f"{x}0"), F.col("fp1").alias(f"{x}1")) for x in "ab")
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (apart("a", "b") <= max_bits)).select("a", "b").distinct()
-    edges = materialise(verified(pairs, sets, similarity), "links")
-    # A hub has the segments that most representatives have.
-    frequent = cut.select(F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.col(f"s{s}").alias("v")) for s in range(SEGMENTS)])).alias("c"), "rep").select("rep", "c.s", "c.v")
-    score = frequent.join(frequent.groupBy("s", "v").agg(F.count("*").alias("n")), ["s", "v"]).groupBy("rep").agg(F.sum("n").alias("score"))
-    many = materialise(members.where(F.col("n") > crowd).join(score, "rep").select("key", "rep", "fp0", "fp1", "score"), "crowds")
+
+def linked_by_hubs(members: DataFrame, documents: DataFrame, reps: DataFrame, similarity: float, width: int, max_bits: int, rounds: int) -> list[DataFrame]:
+    """Tables a, b of verified links between members of variants and the variants' hubs."""
+    score = members.groupBy("class1").agg(F.sum("n").alias("score"))
+    left = materialise(members.drop("n").join(score, "class1"), "variants")
+    links = []
     for _ in range(rounds):
-        hubs = many.groupBy("key").agg(F.max(F.struct("score", F.col("rep").alias("hub"), F.col("fp0").alias("h0"), F.col("fp1").alias("h1"))).alias("h")).select("key", "h.hub", "h.h0", "h.h1")
-        tried = many.join(hubs, "key").where("rep <> hub").withColumns({"f0": F.col("fp0"), "f1": F.col("fp1")})
-        near = tried.where(apart("f", "h") <= max_bits).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        found = materialise(verified(near, sets, similarity), "links")
-        edges = edges.unionByName(found)
-        linked = found.select(F.col("a").alias("rep"), F.col("b").alias("hub")).unionByName(found.select(F.col("b").alias("rep"), F.col("a").alias("hub")))
-        many = materialise(tried.join(linked, ["rep", "hub"], "left_anti").select("key", "rep", "fp0", "fp1", "score"), "crowds")
-        if many.isEmpty():
+        hubs = left.groupBy("key").agg(F.max(F.struct("score", F.col("class1").alias("hub"), F.col("fp0").alias("h0"), F.col("fp1").alias("h1"))).alias("h"), F.count("*").alias("n"))
+        hubs = materialise(hubs.where("n > 1").select("key", "h.hub", "h.h0", "h.h1", "n"), "hubs")
+        if hubs.isEmpty():
             break
-    found = materialise(components(edges), "components")
-    every_rep = reps.join(found, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("component"))
-    rest = materialise(crossing(sets, every_rep, similarity), "crossing")
+        apart = sum(F.bit_count(F.col(f"fp{h}").bitwiseXOR(F.col(f"h{h}"))) for h in (0, 1))
+        tried = join_spread(left, hubs, ["key"]).where("class1 <> hub")
+        pairs = materialise(tried.where(apart <= max_bits).select(F.least("class1", "hub").alias("a"), F.greatest("class1", "hub").alias("b")).distinct(), "pairs")
+        found = materialise(verified(pairs, documents, reps, similarity, width), "links")
+        links.append(found)
+        both = found.select(F.col("a").alias("class1"), F.col("b").alias("hub")).unionByName(found.select(F.col("b").alias("class1"), F.col("a").alias("hub")))
+        left = materialise(tried.join(small_enough(both), ["class1", "hub"], "left_anti").select("key", "class1", "fp0", "fp1", "score"), "variants")
+    return links
+
+
+def across(reps: DataFrame, grouped: DataFrame, similarity: float, least: int) -> DataFrame:
+    """a, b: the pairs of classes in different components (grouped: node, component) that share enough of their first shingles to reach the similarity.
+
+    Any partner has at least similarity times as many shingles as a document, so that the pair shares at least `must` of the first ones of both, and one stands among those
+    left when each leaves out its must - 1 most frequent ones. How many of the first ones a pair has to share follows from both sizes (`enough`): all that the whole sets have
+    to share, less what can stand after the first ones; at most must - 1 of these were left out.
+    """
+    need = needed(F.col("size"), similarity)
+    sized = reps.select("class1", "size", (need - F.least(F.lit(least), need)).cast("int").alias("after"), F.least(F.lit(least), needed(F.col("size"), similarity * similarity)).cast("int").alias("must"), "prefix")
+    rows = sized.select("class1", "size", "after", "must", F.explode("prefix").alias("shingle"))
+    counts = materialise(rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "first-shingles")
+    rows = join_spread(rows.select("class1", "shingle"), counts, ["shingle"])
+    rows = rows.join(small_enough(grouped.select(F.col("node").alias("class1"), "component")), "class1", "left").withColumn("component", F.coalesce("component", "class1"))
+    rows = materialise(rows, "first-shared")
+    mixed = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held")).where("lo < hi").select("shingle", "held")
+    rows = join_spread(rows, materialise(mixed, "first-mixed"), ["shingle"], "held").join(sized.drop("prefix"), "class1")
+    own = Window.partitionBy("class1")
+    place = F.row_number().over(own.orderBy("n", "shingle"))
+    rare = rows.withColumn("place", place).withColumn("own", F.count("*").over(own)).where("place <= own - must + 1")
+    rare = materialise(rare.select("shingle", "class1", "component", "size", "after", "must"), "first-rare")
+    left, right = (rare.select("shingle", *[F.col(c).alias(x + n) for c, n in (("class1", ""), ("component", "_of"), ("size", "_size"), ("after", "_after"), ("must", "_must"))]) for x in "ab")
+    close = F.least("a_size", "b_size") >= F.lit(similarity) * F.greatest("a_size", "b_size") - 1e-9
+    enough = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("a_size") + F.col("b_size")) - 1e-9) - F.greatest("a_after", "b_after")
+    pairs = left.join(right, "shingle").where((F.col("a_of") < F.col("b_of")) & close).select("a", "b", enough.alias("enough"), (F.greatest("a_must", "b_must") - 1).alias("out"))
+    pairs = materialise(pairs.groupBy("a", "b", "enough", "out").agg(F.count("*").alias("n")).where("n + out >= enough").select("a", "b", "enough"), "pairs")
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("class1")).distinct(), "wanted")
+    firsts = materialise(sized.select("class1", "prefix").join(small_enough(wanted), "class1", "left_semi"), "firsts")
+    a, b = (firsts.select(F.col("class1").alias(x), F.col("prefix").alias(f"{x}_first")) for x in "ab")
+    return materialise(pairs.join(a, "a").join(b, "b").where(F.size(F.array_intersect("a_first", "b_first")) >= F.col("enough")).select("a", "b"), "pairs")
+
+
+def near_groups(documents: DataFrame, similarity: float = 0.8, words: int = 5, max_bits: int = 28, rounds: int = 2, least: int = 48) -> DataFrame:
+    """doc_id, text_key, first (doc_id and text_key of the first document of the group) of every row with a doc_id."""
+    every = materialise(prints(documents, rarity(documents), similarity, words, least), "prints")
+    named = every.select("doc_id", "text_key", "class1", "class2")
+    classes = materialise(named.groupBy("class1", "class2").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("n")), "classes")
+    copies = materialise(join_spread(named, classes.where("n > 1"), ["class1", "class2"]).where(F.struct("doc_id", "text_key") != F.col("first")).select("doc_id", "text_key").distinct(), "copies")
+    # One row for each class: a repeated row of its first document goes too.
+    twice = named.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")
+    reps = every.join(small_enough(copies), ["doc_id", "text_key"], "left_anti")
+    if not twice.isEmpty():
+        again = materialise(reps.join(twice, ["doc_id", "text_key"], "left_semi").dropDuplicates(["class1"]), "repeated")
+        reps = reps.join(twice, ["doc_id", "text_key"], "left_anti").unionByName(again)
+    members = materialise(members_of_variants(reps), "members")
+    nothing = members.select(F.col("class1").alias("a"), F.col("class1").alias("b")).where("false")
+    edges = nothing
+    for found in linked_by_hubs(members, documents, reps, similarity, words, max_bits, rounds):
+        edges = edges.unionByName(found)
+    grouped = materialise(components(edges), "grouped")
+    rest = across(reps, grouped, similarity, least)
     if not rest.isEmpty():
-        more = materialise(verified(across(rest, sets, similarity), sets, similarity), "links")
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    grouped = classes.select("class1", "class2", "rep").join(found, F.col("rep") == F.col("node"), "left")
-    return every.join(grouped, ["class1", "class2"]).select("doc_id", F.coalesce("component", "rep").alias("component"))
+        more = materialise(verified(rest, documents, reps, similarity, words), "links")
+        grouped = materialise(components(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "grouped")
+    # The first document of each component; only classes that are linked or have copies are looked at again.
+    of_class = classes.join(small_enough(grouped), F.col("class1") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class1"))
+    linked = materialise(of_class.where("node is not null").groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("members")), "linked")
+    moved = materialise(join_spread(of_class.where("node is not null"), linked, ["component"], "members").select("class1", "class2", F.col("least").alias("first"), "n").unionByName(classes.where("n > 1").join(grouped, F.col("class1") == F.col("node"), "left_anti").select("class1", "class2", "first", "n")), "moved")
+    alone = named.join(small_enough(moved.select("class1", "class2")), ["class1", "class2"], "left_anti").withColumn("first", F.struct("doc_id", "text_key"))
+    return join_spread(named, moved, ["class1", "class2"]).select("doc_id", "text_key", "first").unionByName(alone.select("doc_id", "text_key", "first"))
+
+
+def near_copies(documents: DataFrame, **how) -> DataFrame:
+    """doc_id, component of every document with a doc_id; component is the smallest doc_id of its group."""
+    return near_groups(documents, **how).select("doc_id", F.col("first.doc_id").alias("component"))
 
 
 def without_near_copies(documents: DataFrame, **how) -> DataFrame:
-    """The documents less all but the smallest doc_id of each group of near copies."""
-    gone = near_copies(documents, **how).where("doc_id <> component").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti")
+    """The documents less all but the first of each group of near copies."""
+    groups = materialise(near_groups(documents, **how), "groups")
+    gone = materialise(groups.where(F.struct("doc_id", "text_key") != F.col("first")).select("doc_id", "text_key").distinct(), "gone")
+    own = documents.withColumn("_text_key", F.xxhash64("text"))
+    at = (F.col("_text_key") == F.col("text_key"),)
+    keys = [x.alias("_doc_id") if k == 0 else x for k, x in enumerate((F.col("doc_id"), F.col("text_key")))]
+    kept = own.join(small_enough(gone.select(*keys)), (F.col("doc_id") == F.col("_doc_id")) & at[0], "left_anti")
+    twice = materialise(groups.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select(*keys), "twice")
+    if not twice.isEmpty():
+        same = (F.col("doc_id") == F.col("_doc_id")) & at[0]
+        once = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_text_key"])
+        kept = kept.join(twice, same, "left_anti").unionByName(once)
+    return kept.drop("_text_key")

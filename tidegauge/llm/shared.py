@@ -63,3 +63,8 @@ def join_spread(rows: DataFrame, counted: DataFrame, keys: list[str], n: str = "
     total = counted.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
     hot, cold = F.broadcast(counted.where(F.col(n) * parts > total)), counted.where(F.col(n) * parts <= total)
     return rows.join(hot, keys, "left_anti").join(cold, keys).unionByName(rows.join(hot, keys))
+
+
+def small_enough(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """df, a few columns of numbers of a written table, marked for broadcast if it has at most `most` rows; more of them are joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
