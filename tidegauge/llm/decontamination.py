@@ -2,13 +2,13 @@
 
 Each mask picks some of the tokens from a position on and ignores the others. The hashes of what the masks pick are joined between test items and documents; around
 every hit the windows of aligned tokens that hold it are compared, and a window of which at least min_match tokens are equal reports the pair. Substituted tokens thus neither
-hide a passage from all masks nor from the comparison. With any_window off only the window from six tokens before the hit on is compared, as OP7_SQL does: a hit near
-the end of a passage can then fail.
+hide a passage from all masks nor from the comparison. Items of fewer than min_words tokens are found where all of their tokens stand in a row.
 
-The hashes of the items go to every worker while the items have at most max_broadcast_words words; beyond that the join is a shuffle join.
+The hashes of the items go to every worker while the items have at most max_broadcast_words words; beyond that bare positions and hashes meet in a shuffle join (each seed in
+`salts` tasks), and only the tokens around a hit are fetched.
 
-Null and empty texts have no hit; items of fewer than min_words words are left out. Rows without doc_id are searched and reported without one; repeated rows report the same pair
-once. Very long texts are searched whole. Empty tables give an empty result. Extra columns are ignored.
+Null and empty texts have no hit; items without a token are left out. Rows without doc_id are searched and reported without one; repeated rows report the same pair
+once, with the hits of all. Very long texts are searched whole. Empty tables give an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm.shared import materialise, small_enough
+
 # Positions that each mask keeps, from the first token on.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 5), (0, 1, 4, 6, 7))
 WINDOW = 16
@@ -37,33 +39,75 @@ def seeds(rows: DataFrame, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
     return at.select("*", F.explode(F.array(*picked)).alias("seed"))
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, min_match: float = 0.8, min_words: int = 8, max_broadcast_words: int = 500_000, any_window: bool = True) -> DataFrame:
+def keyed(table: DataFrame, name: str) -> DataFrame:
+    """name, key (of the text, which tells rows of one name apart) and words of every row."""
+    return table.select(name, F.xxhash64("text").alias(f"{name}_key"), tokens(F.col("text")).alias("words"))
+
+
+def fetched(hits: DataFrame, rows: DataFrame, name: str, at: str, reach: int, new: str) -> DataFrame:
+    """hits with the tokens `new` from `reach` before to `reach` behind the position, and how many tokens the row has."""
+    found = rows.select(F.col(name).alias("_name"), F.col(f"{name}_key").alias("_key"), F.col("words").alias("_words"))
+    near = F.slice("_words", F.greatest(F.lit(1), F.col(at) - reach + 1), F.least(F.col(at), F.lit(reach)) + reach + 1)
+    joined = hits.join(found, F.col(name).eqNullSafe(F.col("_name")) & (F.col(f"{name}_key") == F.col("_key")))
+    return joined.select(*hits.columns, near.alias(new), F.size("_words").alias(f"{new}_size"))
+
+
+def seed_hits(documents: DataFrame, items: DataFrame, masks: tuple[tuple[int, ...], ...], reach: int, salts: int) -> DataFrame:
+    """doc_id, item_id, at, j of every hit, words and item as slices around it, and both sizes; by a shuffle join of bare seeds."""
+    at = seeds(documents, masks).where("seed is not null").select("doc_id", "doc_id_key", "at", "seed", F.pmod(F.hash("doc_id_key", "at"), F.lit(salts)).alias("salt"))
+    tested = seeds(items, masks).where("seed is not null").select("item_id", "item_id_key", F.col("at").alias("j"), "seed", F.explode(F.array(*map(F.lit, range(salts)))).alias("salt"))
+    hits = materialise(at.join(tested.hint("shuffle_merge"), ["seed", "salt"]).drop("seed", "salt").groupBy("doc_id", "doc_id_key", "at", "item_id", "item_id_key", "j").agg(F.count("*").alias("n")), "seed-hits")
+    # Repeated rows come back from the fetch as often as they are there, so that each hit is kept once for them and as often as masks found it.
+    times = F.least(F.col("n"), F.lit(len(masks)))
+    hits = hits.withColumn("times", times).drop("n")
+    return fetched(fetched(hits, documents, "doc_id", "at", reach, "words"), items, "item_id", "j", reach, "item")
+
+
+def contaminated(documents: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, min_match: float = 0.8, min_words: int = 8, max_broadcast_words: int = 500_000, salts: int = 8) -> DataFrame:
     """doc_id, item_id, n_hits, first_word, similarity (of the best window) for each document that holds a passage of an item."""
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("words")).where(F.size("words") >= min_words)
-    total = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
-    tested = seeds(items, masks).select("item_id", F.col("words").alias("item"), F.col("at").alias("j"), "seed")
-    tested = F.broadcast(tested) if total <= max_broadcast_words else tested
-    hits = seeds(documents.select("doc_id", tokens(F.col("text")).alias("words")), masks).join(tested, "seed")
+    items = keyed(benchmark, "item_id")
+    long = items.where(F.size("words") >= min_words)
+    total = long.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    reach = window - 1
+    if total <= max_broadcast_words:
+        tested = seeds(long, masks).select("item_id", F.col("words").alias("item"), F.col("at").alias("j"), "seed")
+        hits = seeds(documents.select("doc_id", tokens(F.col("text")).alias("words")), masks).join(F.broadcast(tested), "seed")
+        hits = hits.withColumns({"times": F.lit(1), "words_size": F.size("words"), "item_size": F.size("item"), "words_from": F.lit(0), "item_from": F.lit(0)})
+    else:
+        hits = seed_hits(keyed(documents, "doc_id"), long, masks, reach, salts)
+        hits = hits.withColumns({"words_from": F.greatest(F.lit(0), F.col("at") - reach), "item_from": F.greatest(F.lit(0), F.col("j") - reach)})
     # Item position p lies beside document position p + at - j: both exist from lo to before hi.
-    lo, hi = "greatest(0, j - at)", "least(size(item), size(words) - at + j)"
+    lo, hi = "greatest(0, j - at)", "least(item_size, words_size - at + j)"
     hits = hits.withColumn("size", F.expr(f"least({window}, {hi} - {lo})"))
-    if any_window:
-        hits = hits.withColumn("start", F.expr(f"greatest({lo}, j - {window - 1})")).withColumn("span", F.expr(f"least({hi}, j + {window}) - start"))
-    else:
-        hits = hits.withColumn("start", F.expr(f"least(greatest({lo}, j - {window // 2 - 2}), {hi} - size)")).withColumn("span", F.col("size"))
-    same = "zip_with(slice(item, start + 1, span), slice(words, start + at - j + 1, span), (x, y) -> x = y)"
+    hits = hits.withColumn("start", F.expr(f"greatest({lo}, j - {window - 1})")).withColumn("span", F.expr(f"least({hi}, j + {window}) - start"))
+    same = "zip_with(slice(item, start - item_from + 1, span), slice(words, start + at - j - words_from + 1, span), (x, y) -> x = y)"
     # The most equal words of any window in the span, and how far into it the first such window begins.
     best = F.expr(f"array_max(transform(array({same}), s -> array_max(transform(sequence(0, span - size), k -> struct(size(filter(slice(s, k + 1, size), e -> e)) as n, -k as k)))))")
     # The comparison stands in a generator, which no filter passes: inside the join's condition its lambda would take the join out of generated code.
-    compared = hits.where(F.col("size") >= min_words).select("doc_id", "item_id", "start", "at", "j", "size", F.explode(F.array(best)).alias("best"))
-    compared = compared.select("doc_id", "item_id", (F.col("start") - F.col("best.k")).alias("start"), "at", "j", (F.col("best.n") / F.col("size")).alias("similarity"))
-    hits = compared.where(F.col("similarity") >= min_match)
-    return hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"), F.min(F.expr("start + at - j")).cast("long").alias("first_word"), F.max("similarity").alias("similarity"))
+    compared = hits.where(F.col("size") >= min_words).select("doc_id", "item_id", "start", "at", "j", "size", "times", F.explode(F.array(best)).alias("best"))
+    compared = compared.select("doc_id", "item_id", (F.col("start") - F.col("best.k") + F.col("at") - F.col("j")).alias("first"), "times", (F.col("best.n") / F.col("size")).alias("similarity"))
+    found = compared.where(F.col("similarity") >= min_match)
+    short = items.withColumn("words", F.filter("words", lambda w: w != "")).where((F.size("words") < min_words) & (F.size("words") > 0))
+    lengths = sorted(r[0] for r in short.select(F.size("words")).distinct().collect())
+    if lengths:
+        found = found.unionByName(whole_hits(documents, short, tuple(lengths)))
+    return found.groupBy("doc_id", "item_id").agg(F.sum("times").alias("n_hits"), F.min("first").cast("long").alias("first_word"), F.max("similarity").alias("similarity"))
+
+
+def whole_hits(documents: DataFrame, short: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """Places where all words of a short item stand in a row; lengths are those of the items, fewer than min_words of them."""
+    masks = tuple(tuple(range(n)) for n in lengths)
+    tested = short.select("item_id", F.col("words").alias("item"), F.explode(F.array(*[F.when(F.size("words") == n, F.xxhash64(F.lit(m), *[F.get("words", F.lit(k)) for k in range(n)])) for m, n in enumerate(lengths)])).alias("seed"))
+    tested = materialise(tested.where("seed is not null"), "short-items")
+    # A row holds the few words that an item can have, so that it may be shuffled.
+    near = F.slice("words", F.col("at") + 1, max(lengths)).alias("near")
+    hits = seeds(documents.select("doc_id", tokens(F.col("text")).alias("words")), masks).where("seed is not null").select("doc_id", "at", "seed", near)
+    hits = hits.join(small_enough(tested, 100_000), "seed").where("slice(near, 1, size(item)) = item")
+    return hits.select("doc_id", "item_id", F.col("at").alias("first"), F.lit(1).alias("times"), F.lit(1.0).alias("similarity"))
 
 
 def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
-    # The rows of OP7_SQL, which defines a match by the one window at the hit.
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), any_window=False)
+    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 OP7_SQL = r"""
@@ -75,8 +119,13 @@ ds AS (SELECT doc_id, h, pos, mask, array_to_string(list_transform(keep, lambda
 bs AS (SELECT item_id, h AS item, j, mask, array_to_string(list_transform(keep, lambda k: h[j + k + 1]), ' ') AS seed
        FROM (SELECT *, unnest(range(len(h))) AS j FROM b WHERE len(h) >= 8), m WHERE j + keep[-1] < len(h)),
 x AS (SELECT *, greatest(0, j - pos) AS lo, least(len(item), len(h) - pos + j) AS hi FROM ds JOIN bs USING (mask, seed)),
-y AS (SELECT *, least(16, hi - lo) AS size, least(greatest(lo, j - 6), hi - least(16, hi - lo)) AS start FROM x),
-z AS (SELECT *, len(list_filter(range(size), lambda k: item[start + k + 1] = h[start + pos - j + k + 1])) / size AS similarity FROM y WHERE size >= 8)
-SELECT doc_id, item_id, count(*) AS n_hits, min(start + pos - j) AS first_word, max(similarity) AS similarity
-FROM z WHERE similarity >= 0.8 GROUP BY doc_id, item_id
+y AS (SELECT *, row_number() OVER () AS hit, least(16, hi - lo) AS size FROM x WHERE least(16, hi - lo) >= 8),
+w AS (SELECT hit, doc_id, item_id, pos - j AS shift, size, start,
+             len(list_filter(range(size), lambda k: item[start + k + 1] = h[start + pos - j + k + 1])) AS n
+      FROM (SELECT *, unnest(range(greatest(lo, j - 15), least(hi, j + 16) - size + 1)) AS start FROM y)),
+z AS (SELECT hit, doc_id, item_id, max(n) / any_value(size) AS similarity, arg_min(start + shift, (-n, start)) AS first FROM w GROUP BY hit, doc_id, item_id),
+s AS (SELECT doc_id, item_id, pos AS first FROM (SELECT *, unnest(range(len(h))) AS pos FROM d),
+      (SELECT item_id, list_filter(h, lambda x: x <> '') AS item FROM b) WHERE len(item) BETWEEN 1 AND 7 AND h[pos + 1 : pos + len(item)] = item)
+SELECT doc_id, item_id, count(*) AS n_hits, min(first) AS first_word, max(similarity) AS similarity
+FROM (SELECT doc_id, item_id, first, similarity FROM z WHERE similarity >= 0.8 UNION ALL SELECT doc_id, item_id, first, 1.0 FROM s) GROUP BY doc_id, item_id
 """
