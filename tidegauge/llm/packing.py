@@ -12,6 +12,7 @@ An empty table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -19,70 +20,158 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.batches import text_slices
+from tidegauge.llm.batches import mix, run_hashes, text_buffer, text_slices
 from tidegauge.llm.shared import materialise
 
 
+_SPACE, _NEWLINE = 32, 10
+# What else str.split() takes for white space: these bytes, and characters that may begin with one of these pairs of bytes.
+_OTHER = np.zeros(256, bool)
+_OTHER[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+_LEADS = ((0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80))
+
+
+def single_spaced(column: pa.Array) -> np.ndarray:
+    """Whether each text's words stand one space or newline apart, without any other white space and none at either end."""
+    data, offsets = text_buffer(column)
+    starts, ends = offsets[:-1], offsets[1:]
+    good = ends > starts
+    if not len(data):
+        return good
+    parts = (data == _SPACE) | (data == _NEWLINE)
+    good &= ~parts[np.minimum(starts, len(data) - 1)] & ~parts[np.maximum(ends, 1) - 1]
+    bad = _OTHER[data]
+    bad[1:] |= parts[1:] & parts[:-1]
+    good[np.searchsorted(ends, np.flatnonzero(bad), side="right")] = False
+    pairs = data[:-1].astype(np.uint16) << 8 | data[1:]
+    for k in np.unique(np.searchsorted(ends, np.flatnonzero(np.isin(pairs, [a << 8 | b for a, b in _LEADS])), side="right")):
+        text = column[int(k)].as_py() if good[k] else ""
+        good[k] = bool(text) and text.split() == text.replace("\n", " ").split(" ")
+    return good
+
+
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[k for k in range(128) if chr(k).isalnum()]] = True
+
+
+def elements(data: np.ndarray, offsets: np.ndarray, punctuation: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, after a space) of what single-spaced texts are put together from: words, runs of the given ASCII punctuation that end a word behind a letter or digit, newlines."""
+    newlines = np.flatnonzero(data == _NEWLINE)
+    parts = np.sort(np.concatenate([np.flatnonzero(data == _SPACE), newlines]))
+    starts, ends = np.sort(np.concatenate([offsets[:-1], parts + 1])), np.sort(np.concatenate([parts, offsets[1:]]))
+    cut = np.maximum.accumulate(np.where(punctuation[data], -1, np.arange(len(data))))[ends - 1] + 1
+    before = data[cut - 1]
+    # Of other characters only the letters of two bytes that begin with 0xC3 are looked for.
+    letter = _ALNUM[before] | ((before >= 0x80) & (data[cut - 2] == 0xC3) & (before != 0x97) & (before != 0xB7))
+    split = (cut < ends) & (cut > starts) & letter
+    spaced = (starts > 0) & (data[starts - 1] == _SPACE)
+    body = np.where(split, cut, ends)
+    starts, ends = np.concatenate([starts, cut[split], newlines]), np.concatenate([body, ends[split], newlines + 1])
+    order = np.argsort(starts, kind="stable")
+    return starts[order], ends[order], np.concatenate([spaced, np.zeros(len(starts) - len(spaced), bool)])[order]
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, by the tokenizer at path, which splits words in front of a space.
+    """Ids of texts by the tokenizer at path, which splits words in front of a space.
 
-    A text whose words stand one space or newline apart is put together from the ids of its words, of which at most `most` are remembered; any other
-    text goes through the tokenizer whole.
+    A text whose words stand one space or newline apart is put together from the ids of its words, of which at most `most` are remembered in one array, found by 64-bit hashes;
+    any other text goes through the tokenizer whole. Words of Latin letters alone go to the tokenizer's model without its splitting.
     """
 
     def __init__(self, path: str, most: int = 800_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
-        self.heads: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.forget()
+        letters = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.newline = self.whole("\n")
-        self.newline_id = int.from_bytes(self.newline, "little")
-        self.by_words = self.whole("a b\nc") == self.whole("a") + self.whole(" b") + self.newline + self.whole("c")
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[str], lead: str, known: dict[str, bytes], together: int = 200) -> None:
-        """Ids of new words; many are tokenized as the lines of one text, as a call costs more than a word."""
-        new = [w for w in words if w not in known]
-        parts = [new[i : i + together] for i in range(0, len(new), together)]
-        # A word holds no newline, and a newline before a word or its space is a token by itself.
-        for part, e in zip(parts, self.tokenizer.encode_batch(["\n".join(lead + w for w in part) for part in parts], add_special_tokens=False), strict=True):
-            lines = np.array(e.ids, "<u4")
-            cuts = np.flatnonzero(lines == self.newline_id)
-            if len(cuts) != len(part) - 1 or (not lead and "" in part):
-                known.update((w, self.whole(lead + w)) for w in part)
-                continue
-            raw = lines.tobytes()
-            for w, start, stop in zip(part, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
-                known[w] = raw[start:stop]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.heads) + len(self.spaced) > self.most:
-            self.heads.clear()
-            self.spaced.clear()
-        lines, heads, spaced = [], set(), set()
-        for text in texts:
-            if not self.by_words or text.split() != text.replace("\n", " ").split(" "):
-                lines.append(None)
-                continue
-            own = [line.split(" ") for line in text.split("\n")]
-            for line in own:
-                heads.add(line[0])
-                spaced.update(line[1:])
-            lines.append(own)
-        self.learn(heads, "", self.heads)
-        self.learn(spaced, " ", self.spaced)
-        at = self.spaced.__getitem__
-        return [self.whole(text) if own is None else self.newline.join(self.heads[line[0]] + b"".join(map(at, line[1:])) for line in own) for text, own in zip(texts, lines, strict=True)]
+        # Special strings go through the tokenizer in one piece.
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.punctuation = _PUNCTUATION.copy()
+        self.punctuation[list("".join(special).encode())] = False
+        self.by_words = len(self.newline) == 1 and not any(re.search(r"\s", t) or t.isalpha() for t in special) and self.whole("a b.\nc").tolist() == [*self.whole("a"), *self.whole(" b"), *self.whole("."), *self.newline, *self.whole("c")]
+        if self.by_words:
+            split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.letters = {ord(c): split(c)[0][0] for c in letters}
+            self.space, self.newline_name = split(" ")[0][0], split("\n")[0][0]
+            # These names are letters too, whose own names stand for something else.
+            self.letters |= {ord(c): c for c in self.space + self.newline_name}
+            self.latin = re.compile(f"[{''.join(c for c in letters if c not in self.space + self.newline_name)}]+").fullmatch
+            sample = ["the", "naïve", "Straße", "señor"]
+            ids, begins, ends = self.latin_ids(sample, " ")
+            self.by_model = len(begins) == len(sample) and all(ids[a:b].tolist() == self.whole(f" {w}").tolist() for w, a, b in zip(sample, begins, ends, strict=True))
+
+    def forget(self) -> None:
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.begins, self.ends, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def latin_ids(self, words: list[str], lead: str, together: int = 400) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begins, ends) of words of Latin letters; many go in one call, as a call costs more than a word."""
+        # In front of each stands a newline, which the model has by its own name and which ends in a token by itself.
+        between = f"\n{self.newline_name}\n{self.space if lead else ''}"
+        texts = [(between + between.join(words[i : i + together])).translate(self.letters) for i in range(0, len(words), together)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
+        begins = np.flatnonzero(ids == self.newline[0])
+        return ids, begins + 1, np.append(begins[1:], len(ids))
+
+    def other_ids(self, words: list[str], lead: str, together: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of any words, as lines of one text: none holds a newline, and a newline before a word or its space is a token by itself."""
+        texts = ["".join([f"\n{lead}{w}" for w in words[i : i + together]]) for i in range(0, len(words), together)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))])
+        begins = np.flatnonzero(ids == self.newline[0])
+        if len(begins) == len(words):
+            return ids, begins + 1, np.append(begins[1:], len(ids))
+        each = [self.whole(lead + w) for w in words]
+        begins = np.cumsum([0, *map(len, each)])
+        return np.concatenate(each), begins[:-1], begins[1:]
+
+    def learn(self, keys: np.ndarray, words: list[str], spaced: np.ndarray) -> None:
+        """Remember the ids of new elements; those after a space hold it."""
+        rows = np.empty(len(words), np.int64)
+        latin = np.array([self.latin(w) is not None for w in words], bool) & self.by_model
+        newline = np.array([w == "\n" for w in words], bool)
+        for mask, lead, ids_of in ((latin & spaced, " ", self.latin_ids), (latin & ~spaced, "", self.latin_ids), (~latin & spaced, " ", self.other_ids), (~latin & ~spaced & ~newline, "", self.other_ids), (newline, "", lambda *_: (self.newline, np.zeros(1, np.int64), np.ones(1, np.int64)))):
+            if len(at := np.flatnonzero(mask)):
+                ids, begins, ends = ids_of([words[k] for k in at], lead)
+                rows[at] = len(self.begins) + np.arange(len(at))
+                self.begins, self.ends = np.concatenate([self.begins, len(self.ids) + begins]), np.concatenate([self.ends, len(self.ids) + ends])
+                self.ids = np.concatenate([self.ids, ids])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.rows = np.insert(self.keys, at, keys), np.insert(self.rows, at, rows)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, list[int]]:
+        """(ids of all texts, bounds of the texts among them) of single-spaced texts."""
+        data, offsets = text_buffer(column)
+        starts, ends, spaced = elements(data, offsets, self.punctuation)
+        keys, first, back = np.unique(mix(run_hashes(data, starts, ends) + spaced.astype(np.uint64)), return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > self.most:
+            self.forget()
+        at = np.searchsorted(self.keys, keys)
+        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            where, raw = first[new], data.tobytes()
+            self.learn(keys[new], [raw[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], spaced[where])
+            at = np.searchsorted(self.keys, keys)
+        rows = self.rows[at]
+        begins, sizes = self.begins[rows][back], (self.ends[rows] - self.begins[rows])[back]
+        done = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(begins - done[:-1], sizes) + np.arange(done[-1])]
+        return ids, [*done[np.searchsorted(starts, offsets[:-1])].tolist(), int(done[-1])]
 
 
 @cache
@@ -95,16 +184,29 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 
 def token_pieces(documents: DataFrame, path: str, capacity: int, end_id: int, parts: int, remember: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece; part deals the pieces out evenly, copies of one text too."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
+
+    def encoded(texts: pa.Array, single: np.ndarray) -> Iterator[np.ndarray]:
+        """Ids of each text in turn."""
+        tokens = encoder(path, remember)
+        ids, bounds = tokens.encode(texts.filter(pa.array(single))) if single.any() else (np.zeros(0, np.uint32), [0])
+        k = 0
+        for i, known in enumerate(single.tolist()):
+            if known:
+                yield ids[bounds[k] : bounds[k + 1]]
+                k += 1
+            else:
+                yield tokens.whole(texts[i].as_py())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealt = 0
         for batch in text_slices(batches):
-            ids = batch.column(0).to_pylist()
+            texts = pc.fill_null(batch.column(1), "")
+            single = single_spaced(texts) & encoder(path, remember).by_words
             out: list[list] = [[], [], [], [], []]
-            for doc_id, tokens in zip(ids, encoder(path, remember).encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                tokens += end
-                n, view = len(tokens) // 4, memoryview(tokens)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(texts, single), strict=True):
+                raw = np.concatenate([ids.astype("<u4"), end]).tobytes()
+                n, view = len(raw) // 4, memoryview(raw)
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     for column, value in zip(out, (doc_id, k, a, b - a, zlib.crc32(view[4 * a : 4 * b])), strict=True):
