@@ -2,11 +2,12 @@
 
 Training counts words and pairs of neighbouring words in Spark, all training texts whole: every task counts what it has read, the counts meet by blocks of hashes, and
 each block is finished on its own. Counts are quantised as q = 1 + floor(2 log2 c), and an n-gram of level q is put into the filter q times, once for each level up to it. A probe asks for
-level 1, 2, ... until one is missing. All words and pairs of training are in the filter, which grows with them: it is a table of blocks of hashes in the shared folder. The levels
-of the most frequent n-grams, at most max_broadcast of them, go to every worker; all other probes go to their blocks by a shuffle.
+level 1, 2, ... until one is missing. All words and pairs of training are in the filter, which grows with them: it is a table of blocks of hashes in the shared folder. A filter
+of at most max_filter bytes goes to every worker; of a larger one only the levels of the most frequent n-grams do, at most max_broadcast of them, and all other probes go to their
+blocks by a shuffle. Both ways read the same bits and give the same scores.
 
 The base score is that of exact word counts: those of the most frequent words, at most max_broadcast of them, go to every worker, and the rest of each text's words
-are joined to the table of counts by a shuffle. Words are told apart by a 64-bit hash.
+are joined, once for each text, to the table of counts by a shuffle, but for words that the filter lacks, which training hasn't. Words are told apart by a 64-bit hash.
 
 Null and empty texts are the end token alone. Repeated rows are scored each. Rows without doc_id count as training, having no number to hold them out by. Very long texts
 are scored whole. With no training token at all, N and V are 0. Extra columns are ignored.
@@ -136,10 +137,11 @@ class Filter:
 
     @staticmethod
     def positions(keys: np.ndarray, level: int, hashes: int, block_bits: int) -> np.ndarray:
-        """Bits of n-grams in their block at a level; keys are the 40 bits under the block's number."""
+        """Bits of n-grams in their block at a level, or with no block_bits before they are cut to it; keys are the 40 bits under the block's number."""
         seed = mix(keys + np.uint64((level << 48) + 0x5851F42D4C957F2D))
         step = (seed >> np.uint64(32)) | np.uint64(1)
-        return np.stack([(seed + np.uint64(i) * step) & np.uint64(block_bits - 1) for i in range(hashes)])
+        mask = np.uint64((block_bits or 1 << 64) - 1)
+        return np.stack([(seed + np.uint64(i) * step) & mask for i in range(hashes)])
 
     @classmethod
     def block(cls, keys: np.ndarray, counts: np.ndarray, hashes: int, block_bits: int) -> bytes:
@@ -243,6 +245,50 @@ def log_shares(of_word: np.ndarray, of_context: np.ndarray, of_pair: np.ndarray,
     return np.log10(np.minimum((1 - backoff) * pair / np.maximum(1.0, context) + backoff * (word + 0.1) / (mass + word), 1.0))
 
 
+class Whole:
+    """All blocks of one kind in one array, each with a size of its own."""
+
+    def __init__(self, blocks: list[tuple[int, bytes]], bits: int, hashes: int = 3) -> None:
+        self.bits, self.hashes = bits, hashes
+        self.base, self.mask = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.there = np.zeros(1 << bits, bool)
+        at = 0
+        for block, data in blocks:
+            self.base[block], self.mask[block], self.there[block] = at, 8 * len(data) - 1, True
+            at += 8 * len(data)
+        self.data = np.frombuffer(b"".join([*(data for _, data in blocks), b"\0"]), np.uint8)
+
+    def level(self, codes: np.ndarray) -> np.ndarray:
+        """The highest level at which every probe up to it finds the n-gram, by its block and key."""
+        block, keys = (codes >> np.uint64(40)).astype(np.int64), codes & np.uint64((1 << 40) - 1)
+        out, left = np.zeros(len(codes), np.int8), np.flatnonzero(self.there[block])
+        for level in range(1, 128):
+            at = Filter.positions(keys[left], level, self.hashes, 0) & self.mask[block[left]]
+            found = np.ones(len(left), bool)
+            for p in at + self.base[block[left]]:
+                found &= (self.data[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            left = left[found]
+            if not len(left):
+                break
+            out[left] = level
+        return out
+
+    def fill(self, codes: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """found with the levels where it has -1; equal n-grams are probed once."""
+        lacking = np.flatnonzero(found < 0)
+        keys, back = np.unique(codes[lacking], return_inverse=True)
+        found[lacking] = self.level(keys)[back]
+        return found
+
+
+def whole_filter(blocks: DataFrame, bits: int) -> dict[int, Whole]:
+    """The filter by kind, on the driver: for one whose size has been checked."""
+    held: dict[int, list[tuple[int, bytes]]] = {PAIRS: [], WORDS: []}
+    for r in blocks.select("kind", "block", "data").toLocalIterator():
+        held[r["kind"]].append((r["block"], bytes(r["data"])))
+    return {kind: Whole(some, bits) for kind, some in held.items()}
+
+
 ROLES = (("word", WORDS), ("context", WORDS), ("pair", PAIRS))
 PROBES = "row_id long, word long, context long, pair long, word_level tinyint, context_level tinyint, pair_level tinyint"
 
@@ -298,7 +344,7 @@ def word_counts(counted: DataFrame) -> DataFrame:
 PARTS = ["row_id", "doc_id", "h", "times", "n_tokens", "n_known", "base_score", "score", *(role for role, _ in ROLES), *(f"{role}_level" for role, _ in ROLES)]
 
 
-def lm_scores(documents: DataFrame, modulus: int = 10, keep: int = 0, backoff: float = 0.8, max_broadcast: int = 1 << 19) -> DataFrame:
+def lm_scores(documents: DataFrame, modulus: int = 10, keep: int = 0, backoff: float = 0.8, max_broadcast: int = 1 << 19, max_filter: int = 64 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = documents.sparkSession
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == keep, F.lit(False))
@@ -313,16 +359,19 @@ def lm_scores(documents: DataFrame, modulus: int = 10, keep: int = 0, backoff: f
     keys, times = (common.column(k).to_numpy() for k in (0, 1))
     order = np.argsort(keys)
     blocks = materialise(build_filter(counted, bits, max_broadcast), "filter")
-    shared = spark.sparkContext.broadcast((frequent_levels(blocks), keys[order], times[order]))
+    bounded = blocks.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0] <= max_filter
+    shared = spark.sparkContext.broadcast((frequent_levels(blocks), whole_filter(blocks, bits) if bounded else None, keys[order], times[order]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, known, exact = shared.value
+        frequent, whole, known, exact = shared.value
         for batch in text_slices(batches):
             tokens, contexts, first = token_runs(batch.column(2))
             rows = batch.num_rows
             # The model: places whose n-grams are all frequent here, the others as rows of their own.
             codes = [h >> np.uint64(24 - bits) for h in (word_hash(tokens), word_hash(contexts), pair_hash(contexts, tokens))]
             of = [known_levels(code, frequent[kind]) for code, (_, kind) in zip(codes, ROLES, strict=True)]
+            if whole:
+                of = [whole[kind].fill(code, q) for code, q, (_, kind) in zip(codes, of, ROLES, strict=True)]
             lacking = (of[0] < 0) | (of[1] < 0) | (of[2] < 0)
             shares = log_shares(*(np.maximum(q, 0) for q in of), mass, backoff)
             score = np.add.reduceat(np.where(lacking, 0.0, shares), first[:-1])
@@ -332,8 +381,16 @@ def lm_scores(documents: DataFrame, modulus: int = 10, keep: int = 0, backoff: f
             hit = known[at] == tokens.view(np.int64) if len(known) else np.zeros(len(tokens), bool)
             base = np.add.reduceat(np.where(hit, np.log10((exact[at] if len(known) else np.zeros(1)) + 0.1) - math.log10(mass), 0.0), first[:-1])
             found = np.add.reduceat(hit.astype(np.int64), first[:-1])
-            rest = np.flatnonzero(~hit)
+            # Words of level 0 are none of training's; of the others a text's repeats are one row.
+            none = np.flatnonzero(~hit & (of[0] == 0))
+            base += np.bincount(np.searchsorted(first, none, side="right") - 1, minlength=rows) * (math.log10(0.1) - math.log10(mass))
+            rest = np.flatnonzero(~hit & (of[0] != 0))
             owner = np.searchsorted(first, rest, side="right") - 1
+            order = np.lexsort((tokens[rest], owner))
+            rest, owner = rest[order], owner[order]
+            heads = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(tokens[rest].view(np.int64), prepend=0) != 0) | (np.arange(len(rest)) == 0))
+            repeats = np.diff(np.append(heads, len(rest)))
+            rest, owner = rest[heads], owner[heads]
             asked_by = np.searchsorted(first, asked, side="right") - 1
             take = pa.array(np.concatenate([np.arange(rows), owner, asked_by]))
 
@@ -352,7 +409,7 @@ def lm_scores(documents: DataFrame, modulus: int = 10, keep: int = 0, backoff: f
                     batch.column(0).take(take),
                     batch.column(1).take(take),
                     column(batch.column(0).to_numpy(), tokens[rest].view(np.int64), kind=long),
-                    column(0, 1, kind=long),
+                    column(0, repeats, kind=long),
                     column(np.diff(first), 0, kind=long),
                     column(found, 0, kind=long),
                     column(base, 0.0, kind=double),
@@ -366,7 +423,7 @@ def lm_scores(documents: DataFrame, modulus: int = 10, keep: int = 0, backoff: f
     rows = documents.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
     schema = f"row_id long, doc_id long, h long, times long, n_tokens long, n_known long, base_score double, score double, {PROBES.partition(', ')[2]}"
     written = materialise(rows.mapInArrow(run, schema), "places")
-    rare = probe_scores(written.where("word_level is not null").select(*[x.split()[0] for x in PROBES.split(", ")]), blocks, bits, mass, backoff)
+    rare = None if bounded else probe_scores(written.where("word_level is not null").select(*[x.split()[0] for x in PROBES.split(", ")]), blocks, bits, mass, backoff)
     parts = written.where("word_level is null").join(counts, "h", "left")
     c = F.coalesce("c", F.lit(0))
     out = parts.groupBy("row_id", "doc_id").agg(
@@ -375,7 +432,8 @@ def lm_scores(documents: DataFrame, modulus: int = 10, keep: int = 0, backoff: f
         F.sum(F.col("base_score") + F.col("times") * (F.log10(c + 0.1) - math.log10(mass))).alias("base_score"),
         F.sum("score").alias("score"),
     )
-    out = out.join(rare, "row_id", "left").withColumn("score", F.col("score") + F.coalesce("rare_score", F.lit(0.0)))
+    if rare is not None:
+        out = out.join(rare, "row_id", "left").withColumn("score", F.col("score") + F.coalesce("rare_score", F.lit(0.0)))
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
