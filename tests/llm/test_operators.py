@@ -157,8 +157,8 @@ def test_lm_scoring(docs, empty):
             c.update(tokens[k])
     n, v = sum(c.values()), len(c)
     want = sorted(((i, len(tokens[k]), sum(c[x] > 0 for x in tokens[k]), n) for k, (i, _) in enumerate(TEXTS)), key=repr)
-    for most in (1 << 19, 10):
-        got = lm_scoring.lm_scores(docs, max_broadcast=most)
+    for most, size in ((1 << 19, 1 << 26), (10, 1 << 26), (10, 0)):
+        got = lm_scoring.lm_scores(docs, max_broadcast=most, max_filter=size)
         assert rows(got, "doc_id", "n_tokens", "n_known", "train_tokens") == want
         base = sorted(r.base_score for r in got.collect())
         assert np.allclose(base, sorted(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in tokens[k]) for k in tokens))
@@ -187,9 +187,12 @@ def test_language_model_holds_all_pairs(docs):
         return total
 
     want = sorted(((len(run) + 1, score(run)) for run in runs))
-    for most in (1 << 19, 10, 0):
-        got = sorted((r.n_tokens, r.score) for r in lm_scoring.lm_scores(docs, max_broadcast=most).collect())
+    first = None
+    for most, size in ((1 << 19, 1 << 26), (0, 1 << 26), (10, 0), (0, 0)):
+        got = sorted((r.n_tokens, r.score) for r in lm_scoring.lm_scores(docs, max_broadcast=most, max_filter=size).collect())
         a, b = np.array(got), np.array(want)
+        first = a if first is None else first
+        assert np.allclose(a, first)  # the filter sent whole and probed by a shuffle
         assert (a[:, 0] == b[:, 0]).all() and np.allclose(a[:, 1].sum(), b[:, 1].sum(), rtol=0.01)
         assert np.isclose(a[:, 1], b[:, 1], rtol=0.05, atol=0.5).mean() > 0.9
 
