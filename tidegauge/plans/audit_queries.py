@@ -185,9 +185,9 @@ def score_task_label(spark, d):
     return rows.select("task_id", scoring.label(total, same("priority"), same("status"), F.col("pred_total").isNotNull()).alias("label"))
 
 
-@query("number_variants_match", "SELECT l_orderkey, l_linenumber, l_partkey, contains(text, a) OR contains(text, b) OR contains(text, c) OR contains(text, e) OR contains(text, regexp_replace(a, '\\.?0+$', '')) AS found FROM (SELECT *, 'it was ' || printf('%.1f', l_extendedprice) || ' in all' AS text, printf('%.4f', l_extendedprice / 10) AS a, printf('%.3f', l_extendedprice / 10) AS b, printf('%.2f', l_extendedprice / 10) AS c, printf('%.1f', l_extendedprice / 10) AS e FROM lineitem WHERE l_quantity > 40)")
+@query("number_variants_match", "SELECT l_orderkey, l_linenumber, l_partkey, contains(text, a) OR contains(text, b) OR contains(text, c) OR contains(text, e) OR contains(text, regexp_replace(a, '\\.?0+$', '')) AS found FROM (SELECT *, 'it was ' || printf('%.1f', l_extendedprice) || ' in all' AS text, printf('%.4f', l_extendedprice / 10) AS a, printf('%.3f', l_extendedprice / 10) AS b, printf('%.2f', l_extendedprice / 10) AS c, printf('%.1f', l_extendedprice / 10) AS e FROM lineitem)")
 def number_variants_match(spark, d):
-    l = V.table(spark, d, "lineitem").where("l_quantity > 40")
+    l = V.table(spark, d, "lineitem")
     text = F.format_string("it was %.1f in all", "l_extendedprice")
     return l.select("l_orderkey", "l_linenumber", "l_partkey", scoring.mentions(text, K.number_variants(F.col("l_extendedprice") / 10)).alias("found"))
 
@@ -261,9 +261,9 @@ def trace_binding(spark, d):
     return audit.binding(o, tasks, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
 
 
-@query("stream_lineage_list", "SELECT l_suppkey, string_agg(DISTINCT CAST(l_orderkey AS VARCHAR), ';' ORDER BY CAST(l_orderkey AS VARCHAR)) AS orders FROM lineitem WHERE l_quantity >= 49 GROUP BY 1")
+@query("stream_lineage_list", "SELECT l_suppkey, string_agg(DISTINCT CAST(l_orderkey AS VARCHAR), ';' ORDER BY CAST(l_orderkey AS VARCHAR)) AS orders FROM lineitem GROUP BY 1")
 def stream_lineage_list(spark, d):
-    l = V.table(spark, d, "lineitem").where("l_quantity >= 49")
+    l = V.table(spark, d, "lineitem")
     return l.groupBy("l_suppkey").agg(F.concat_ws(";", F.array_sort(F.collect_set(F.col("l_orderkey").cast("string")))).alias("orders"))
 
 
@@ -298,8 +298,8 @@ def call_sequence_refs(spark, d):
 
 @query("week_around_anchor", """SELECT request_id, stream_id, window_start, count FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY place) AS k FROM (
     SELECT e.event_id AS request_id, 'usr_' || e.user_id AS stream_id, place, CAST(date_trunc('week', e.ts) AS TIMESTAMP) + days * INTERVAL 1 DAY AS window_start, count(*) AS count
-    FROM events e, (SELECT unnest([0, 1, 2]) AS place, unnest([0, -7, 7]) AS days) p, obs_fine o WHERE e.event_id % 50 = 0 AND o.stream_id = 'usr_' || e.user_id AND o.ts >= date_trunc('week', e.ts) + days * INTERVAL 1 DAY AND o.ts < date_trunc('week', e.ts) + (days + 7) * INTERVAL 1 DAY GROUP BY ALL)) WHERE k = 1""")
+    FROM events e, (SELECT unnest([0, 1, 2]) AS place, unnest([0, -7, 7]) AS days) p, obs_fine o WHERE o.stream_id = 'usr_' || e.user_id AND o.ts >= date_trunc('week', e.ts) + days * INTERVAL 1 DAY AND o.ts < date_trunc('week', e.ts) + (days + 7) * INTERVAL 1 DAY GROUP BY ALL)) WHERE k = 1""")
 def week_around_anchor(spark, d):
-    e = V.table(spark, d, "events").where("event_id % 50 = 0")
+    e = V.table(spark, d, "events")
     anchors = e.select(F.col("event_id").alias("request_id"), F.concat(F.lit("usr_"), F.col("user_id").cast("string")).alias("stream_id"), F.col("ts").alias("anchor_ts"))
     return episodes.week_around(V.obs_fine(spark, d), anchors).select(F.col("request_id").cast("bigint").alias("request_id"), "stream_id", "window_start", "count")

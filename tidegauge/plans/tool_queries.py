@@ -118,12 +118,12 @@ def rank_window_topk(spark, d):
 
 
 def probes(spark, d):
-    """Every tenth event moved by half an hour, and every tenth one as it is."""
-    e = V.table(spark, d, "events").where("event_id % 10 < 2")
-    return e.select(F.col("event_id").alias("probe_id"), F.concat(F.lit("usr_"), F.col("user_id").cast("string")).alias("stream_id"), (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.when(F.col("event_id") % 10 == 0, 30).otherwise(0))).alias("probe_ts"))
+    """Every event: those of even number moved by half an hour, the others as they are."""
+    e = V.table(spark, d, "events")
+    return e.select(F.col("event_id").alias("probe_id"), F.concat(F.lit("usr_"), F.col("user_id").cast("string")).alias("stream_id"), (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.when(F.col("event_id") % 2 == 0, 30).otherwise(0))).alias("probe_ts"))
 
 
-V.CTES["probes"] = "SELECT event_id AS probe_id, 'usr_' || user_id AS stream_id, CASE WHEN event_id % 10 = 0 THEN ts + INTERVAL 30 MINUTE ELSE ts END AS probe_ts FROM events WHERE event_id % 10 < 2"
+V.CTES["probes"] = "SELECT event_id AS probe_id, 'usr_' || user_id AS stream_id, CASE WHEN event_id % 2 = 0 THEN ts + INTERVAL 30 MINUTE ELSE ts END AS probe_ts FROM events"
 V.CTES["nearest_rows"] = """SELECT probe_id, stream_id, probe_ts, ts AS observed_ts, round(value, 4) AS value, round(gap, 3) AS offset_seconds, ts = probe_ts AS exact_match_found FROM (
   SELECT p.*, o.ts, o.value, abs(date_diff('microsecond', o.ts, probe_ts)) / 1e6 AS gap, row_number() OVER (PARTITION BY probe_id ORDER BY abs(date_diff('microsecond', o.ts, probe_ts)), o.ts, o.value) AS k
   FROM probes p JOIN obs_fine o USING (stream_id)) WHERE k = 1"""
@@ -143,10 +143,10 @@ V.CTES["fine_reference"] = f"""SELECT round(quantile_cont(observed_fraction, 0.1
   round(quantile_cont({RATIO}, 0.50), 4) AS answer_gap_ratio_at_most, round(quantile_cont({RATIO}, 0.95), 4) AS abstain_gap_ratio_above FROM fine_quality"""
 
 
-@query("inspect_quality", f"SELECT q.*, round({RATIO}, 4) AS gap_ratio, r.* FROM fine_quality q, fine_reference r WHERE stream_id LIKE '%7'")
+@query("inspect_quality", f"SELECT q.*, round({RATIO}, 4) AS gap_ratio, r.* FROM fine_quality q, fine_reference r")
 def inspect_quality(spark, d):
     q = A.quality(V.obs_fine(spark, d))
-    return tools.inspect_quality(q, T.quality_reference(q), q.where("stream_id like '%7'").select("stream_id"))
+    return tools.inspect_quality(q, T.quality_reference(q), q.select("stream_id"))
 
 
 V.CTES["window_metrics"] = V.quality_sql(f"(SELECT o.*, request_id FROM (SELECT {REQUEST} AS request_id, stream_id, window_start + INTERVAL 3 DAY AS a, window_end + INTERVAL 3 DAY AS b FROM fine_week) r JOIN obs_fine o ON o.stream_id = r.stream_id AND ts >= a AND ts < b)", "request_id")
