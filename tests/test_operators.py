@@ -110,3 +110,16 @@ def test_difference_counts_repeated_rows(spark):
     a, b = spark.createDataFrame([(1,), (1,), (2,)], "x int"), spark.createDataFrame([(1,), (3,)], "x int")
     assert sorted((r.x, r.side) for r in audit.difference(a, b).collect()) == [(1, "left"), (2, "left"), (3, "right")]
     assert audit.fingerprint(a).first() == audit.fingerprint(a.repartition(3)).first() != audit.fingerprint(b).first()
+
+
+def test_numbers_as_text_round_by_their_binary_value(spark):
+    import random
+
+    from tidegauge.functions import columns as K
+
+    r = random.Random(3)
+    values = [0.0, 0.5, 2.5, 0.125, 2222.25, 2.675, 1.005, -0.25, -1.35, 99999.99995, 0.00005, 12345678901.0625, 3e11]
+    values += [round(r.uniform(-1e6, 1e6), k) for k in range(6) for _ in range(200)] + [r.randrange(10**6) / 2**k for k in range(8) for _ in range(50)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for row in df.select("v", *[K.fixed("v", n).alias(f"t{n}") for n in (1, 2, 3, 4)]).collect():
+        assert [row[f"t{n}"] for n in (1, 2, 3, 4)] == [f"{row.v:.{n}f}" for n in (1, 2, 3, 4)]

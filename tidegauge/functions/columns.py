@@ -187,10 +187,27 @@ def rounded(x: Column, digits: int | None) -> Column:
     return x if digits is None else F.round(x, digits)
 
 
+def fixed(x: Column | str, digits: int) -> Column:
+    """A number as text with so many decimals, rounded by its exact binary value and halves to even; of 1e11 or more as the JVM writes it.
+
+    The product with the power of ten and its rounding error, from halves of the factors' bits, together are exact.
+    """
+    v, scale = F.abs(col(x).cast("double")), float(10**digits)
+    product, wide = v * scale, v * 134217729.0
+    high = wide - (wide - v)
+    error = high * scale - product + (v - high) * scale
+    whole = F.floor(product)
+    over = (product - whole.cast("double") - 0.5) + error
+    units = whole + F.when((over > 0) | ((over == 0) & (whole % 2 == 1)), 1).otherwise(0)
+    power = F.lit(10**digits).cast("long")
+    text = F.concat(F.when(col(x) < 0, "-").otherwise(""), ((units - units % power) / power).cast("long").cast("string"), F.lit("." if digits else ""), F.lpad((units % power).cast("string"), digits, "0"))
+    return F.when(v < 1e11, text).otherwise(F.format_string(f"%.{digits}f", col(x).cast("double")))
+
+
 def number_variants(x: Column | str) -> Column:
     """A number as text with four to one decimals, and with the zeros at its end cut."""
     v = col(x)
-    texts = [F.format_string(f"%.{n}f", v) for n in (4, 3, 2, 1)]
+    texts = [fixed(v, n) for n in (4, 3, 2, 1)]
     return F.array_distinct(F.array(*texts, F.regexp_replace(texts[0], r"\.?0+$", "")))
 
 

@@ -188,7 +188,7 @@ def score_task_label(spark, d):
 @query("number_variants_match", "SELECT l_orderkey, l_linenumber, l_partkey, contains(text, a) OR contains(text, b) OR contains(text, c) OR contains(text, e) OR contains(text, regexp_replace(a, '\\.?0+$', '')) AS found FROM (SELECT *, 'it was ' || printf('%.1f', l_extendedprice) || ' in all' AS text, printf('%.4f', l_extendedprice / 10) AS a, printf('%.3f', l_extendedprice / 10) AS b, printf('%.2f', l_extendedprice / 10) AS c, printf('%.1f', l_extendedprice / 10) AS e FROM lineitem)")
 def number_variants_match(spark, d):
     l = V.table(spark, d, "lineitem")
-    text = F.format_string("it was %.1f in all", "l_extendedprice")
+    text = F.concat(F.lit("it was "), K.fixed("l_extendedprice", 1), F.lit(" in all"))
     return l.select("l_orderkey", "l_linenumber", "l_partkey", scoring.mentions(text, K.number_variants(F.col("l_extendedprice") / 10)).alias("found"))
 
 
