@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,13 +13,15 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (as in tests), a folder of this process that goes when it ends."""
+    """spark.checkpoint.dir of the session. Where it is unset: on one machine a folder of this process that goes when it ends, on a cluster one in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not found:
-        own = tempfile.mkdtemp(prefix="tidegauge-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(own)
-        found = own
+        if re.match(r"local(\[|$)", spark.sparkContext.master):
+            found = tempfile.mkdtemp(prefix="tidegauge-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
+        else:
+            found = f"{spark.conf.get('spark.sql.warehouse.dir')}/tidegauge-{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(found)
     return found
 
 
