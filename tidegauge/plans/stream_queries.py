@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,8 +16,10 @@ from tidegauge.streaming import daily
 
 
 def shared_folder(spark) -> str:
-    """spark.checkpoint.dir where it is set; else a folder of this process."""
+    """spark.checkpoint.dir where it is set; else a folder of this process on one machine, one in the warehouse on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        return f"{spark.conf.get('spark.sql.warehouse.dir')}/stream-{uuid.uuid4().hex}"
     if not found:
         found = tempfile.mkdtemp(prefix="tidegauge-stream-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
