@@ -3,9 +3,8 @@
 A fingerprint is cut into so few segments that of two linked ones some segment differs by at most one bit. Every segment is indexed once for each of its bits with
 that bit as a wildcard; equal variants are joined and the pairs verified. Only distinct fingerprints are indexed, so copies cost nothing.
 
-Two uses:
-- simhash_components: 64-bit fingerprints of 3-word shingles in two segments of 32 bits; all links within 3 bits are found, whatever the data.
-- near_copies: word fingerprints weighted by rarity, five segments of 24 bits, verified by the Jaccard similarity of 5-word shingles.
+The 64-bit fingerprints of 3-word shingles are cut into two segments of 32 bits, so that all links within 3 bits are found, whatever the data. near_copies.py has
+fingerprints of its own, four segments of 32 bits, and verifies on sets of shingles.
 
 Null and empty texts have fingerprint zero and link like any other. Rows without doc_id get a fingerprint and no component. Repeated rows and ties share a component.
 Very long texts are fingerprinted whole. An empty table gives an empty result. Extra columns are ignored.
