@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,19 +61,31 @@ def word_hash(tokens: np.ndarray) -> np.ndarray:
     return mix(tokens ^ _ONE)
 
 
-def _packed(x: np.ndarray, width: int) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def code_of(hashed: np.ndarray, bits: int) -> np.ndarray:
+    """An n-gram in the filter: its block above 40 bits, of which the lower 8 are zero, so that a key takes 4 bytes."""
+    return (hashed >> np.uint64(24 - bits)) & ~np.uint64(0xFF)
 
 
-def _unpacked(raw: list[bytes], width: int) -> np.ndarray:
-    joined = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, width)
-    out = np.zeros((len(joined), 8), np.uint8)
-    out[:, :width] = joined
-    return out.reshape(-1).view("<u8").astype(np.uint64)
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers by planes of their bytes, compressed: of small numbers most planes are empty."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
 
 
-EXACT, PAIRS, WORDS = 0, 1, 2
-WIDTH = {EXACT: 8, PAIRS: 5, WORDS: 5}
+def _widened(raw: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending keys as the steps between them."""
+    return _squeezed(np.diff(x, prepend=np.uint64(0)))
+
+
+def _unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(_widened(raw, "<u8"), dtype=np.uint64)
+
+
+PAIRS, WORDS = 1, 2
 
 
 def _rows(kind: int, keys: np.ndarray, counts: np.ndarray, high: int) -> Iterator[tuple]:
@@ -80,27 +93,27 @@ def _rows(kind: int, keys: np.ndarray, counts: np.ndarray, high: int) -> Iterato
     blocks = (keys >> np.uint64(high)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(blocks, prepend=-1))
     for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
-        yield kind, int(blocks[a]), _packed(keys[a:b], WIDTH[kind]), counts[a:b].astype("<u4").tobytes()
+        yield kind, int(blocks[a]), _pack_sorted(keys[a:b] - (keys[a] >> np.uint64(high) << np.uint64(high))), _squeezed(counts[a:b].astype("<u4"))
 
 
-def count_ngrams(texts: DataFrame, bits: int, together: int = 1_500_000) -> DataFrame:
-    """kind, block, keys, counts, n_keys, total: exact word counts, and the model's counts of words and of pairs; each by 2**bits blocks. A task counts about `together` tokens at a time."""
+def count_ngrams(texts: DataFrame, bits: int, hashes: int = 3, bits_per_entry: int = 10, together: int = 1_500_000) -> DataFrame:
+    """kind, block, data, keys, counts, n_keys, total by 2**bits blocks of words and of pairs: each block's part of the filter, as large as its entries need, from all its counts.
+
+    Keys and counts are those of all words, under the block's number, and of the pairs seen twice or more: the rest of the pairs live in the filter alone.
+    A task counts about `together` tokens at a time.
+    """
     schema = "kind int, block int, keys binary, counts binary"
 
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        words, times = np.unique(np.concatenate([t for t, _ in held]), return_counts=True)
-        pairs, pair_times = np.unique(np.concatenate([p for _, p in held]), return_counts=True)
-        single = word_hash(words) >> np.uint64(24 - bits)
-        order = np.argsort(single)
-        for kind, keys, counts, high in ((EXACT, words, times, 64 - bits), (WORDS, single[order], times[order], 40), (PAIRS, pairs, pair_times, 40)):
-            rows = list(_rows(kind, keys, counts, high))
+        for kind, k, high in ((WORDS, 0, 64 - bits), (PAIRS, 1, 40)):
+            rows = list(_rows(kind, *np.unique(np.concatenate([h[k] for h in held]), return_counts=True), high))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "block", "keys", "counts"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in text_slices(batches, 1 << 20):
             tokens, contexts, _ = token_runs(batch.column(0))
-            held.append((tokens, pair_hash(contexts, tokens) >> np.uint64(24 - bits)))
+            held.append((word_hash(tokens), code_of(pair_hash(contexts, tokens), bits)))
             if sum(len(t) for t, _ in held) >= together:
                 yield from flush(held)
                 held = []
@@ -109,16 +122,24 @@ def count_ngrams(texts: DataFrame, bits: int, together: int = 1_500_000) -> Data
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         kind, block = int(group["kind"].iloc[0]), int(group["block"].iloc[0])
-        keys = _unpacked(list(group["keys"]), WIDTH[kind])
-        counts = np.frombuffer(b"".join(group["counts"]), "<u4").astype(np.int64)
+        keys = np.concatenate([_unpack_sorted(x) for x in group["keys"]])
+        counts = np.concatenate([_widened(x, "<u4") for x in group["counts"]]).astype(np.int64)
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
         heads = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
         keys, counts = keys[heads], np.add.reduceat(counts, heads)
-        row = (kind, block, _packed(keys, WIDTH[kind]), counts.astype("<i8").tobytes(), len(keys), int(counts.sum()))
-        return pd.DataFrame([row], columns=["kind", "block", "keys", "counts", "n_keys", "total"])
+        size = -(-max(64, int(levels(counts).sum()) * bits_per_entry) // 64) * 64
+        data = Filter.block(block_keys(kind, keys, bits), counts, hashes, size)
+        kept = np.ones(len(keys), bool) if kind == WORDS else counts > 1
+        row = (kind, block, data, _pack_sorted(keys[kept]), _squeezed(counts[kept]), len(keys), int(counts.sum()))
+        return pd.DataFrame([row], columns=["kind", "block", "data", "keys", "counts", "n_keys", "total"])
+
+    return texts.select("text").mapInArrow(count, schema).groupBy("kind", "block").applyInPandas(add, "kind int, block int, data binary, keys binary, counts binary, n_keys long, total long")
 
-    return texts.select("text").mapInArrow(count, schema).groupBy("kind", "block").applyInPandas(add, f"{schema}, n_keys long, total long")
+
+def block_keys(kind: int, keys: np.ndarray, bits: int) -> np.ndarray:
+    """What the filter of a block holds for keys as they are counted: words have more bits than it takes."""
+    return code_of(keys, bits) if kind == WORDS else keys
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -136,12 +157,12 @@ class Filter:
         self.block_bits, self.bits, self.hashes, self.data = block_bits, bits, hashes, data
 
     @staticmethod
-    def positions(keys: np.ndarray, level: int, hashes: int, block_bits: int) -> np.ndarray:
-        """Bits of n-grams in their block at a level, or with no block_bits before they are cut to it; keys are the 40 bits under the block's number."""
-        seed = mix(keys + np.uint64((level << 48) + 0x5851F42D4C957F2D))
-        step = (seed >> np.uint64(32)) | np.uint64(1)
-        mask = np.uint64((block_bits or 1 << 64) - 1)
-        return np.stack([(seed + np.uint64(i) * step) & mask for i in range(hashes)])
+    def positions(keys: np.ndarray, level: int, hashes: int, block_bits: int | np.ndarray) -> np.ndarray:
+        """Bits of n-grams in their block, of under 2**32 bits, at a level; keys are the 40 bits under the block's number."""
+        seed, half = mix(keys + np.uint64((level << 48) + 0x5851F42D4C957F2D)), np.uint64(32)
+        step = (seed << half) | (seed >> half) | np.uint64(1)
+        size = np.asarray(block_bits, np.uint64)
+        return np.stack([(((seed + np.uint64(i) * step) >> half) * size) >> half for i in range(hashes)])
 
     @classmethod
     def block(cls, keys: np.ndarray, counts: np.ndarray, hashes: int, block_bits: int) -> bytes:
@@ -178,35 +199,20 @@ def fine_levels(counts: np.ndarray) -> np.ndarray:
     return np.floor(8 * np.log2(counts)).astype(np.int64)
 
 
-def build_filter(counted: DataFrame, bits: int, most: int, hashes: int = 3, bits_per_entry: int = 10) -> DataFrame:
-    """kind, block, data, often, often_levels: the filter's blocks, each as large as its entries need, and the levels that it gives for its share of the `most` most frequent n-grams."""
-    model = counted.where(F.col("kind") != EXACT)
+def level_counts(counted: DataFrame) -> np.ndarray:
+    """How many n-grams there are of each fine level, of those whose counts are kept."""
 
     def sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = np.zeros(512, np.int64)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                by += np.bincount(fine_levels(np.frombuffer(raw, "<i8")), minlength=512) if raw else 0
+                by += np.bincount(fine_levels(_widened(raw, "<i8")), minlength=512)
         yield pa.record_batch([pa.array(range(512), pa.int32()), pa.array(by)], names=["level", "n"])
 
-    of_level = np.zeros(512, np.int64)
-    for r in model.select("counts").mapInArrow(sizes, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
-        of_level[r["level"]] = r["n"]
-    cut = next((k for k in range(512) if of_level[k:].sum() <= most), 512)
-
-    def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for kind, block, raw_keys, raw_counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys, counts = _unpacked([raw_keys], WIDTH[kind]), np.frombuffer(raw_counts, "<i8")
-                block_bits = 1 << math.ceil(math.log2(max(64, int(levels(counts).sum()) * bits_per_entry)))
-                data = Filter.block(keys, counts, hashes, block_bits)
-                often = keys[fine_levels(counts) >= cut]
-                found = block_levels(data, often, bits, hashes)
-                row = ([kind], [block], [data], [_packed(often, WIDTH[kind])], [found.astype(np.int8).tobytes()])
-                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], names=["kind", "block", "data", "often", "often_levels"])
-
-    return model.select("kind", "block", "keys", "counts").mapInArrow(fill, "kind int, block int, data binary, often binary, often_levels binary")
+    out = np.zeros(512, np.int64)
+    for r in counted.select("counts").mapInArrow(sizes, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
+        out[r["level"]] = r["n"]
+    return out
 
 
 def block_levels(data: bytes, keys: np.ndarray, bits: int, hashes: int = 3) -> np.ndarray:
@@ -214,13 +220,24 @@ def block_levels(data: bytes, keys: np.ndarray, bits: int, hashes: int = 3) -> n
     return Filter(8 * len(data), bits, hashes, np.frombuffer(data, np.uint8)).level(keys << np.uint64(24 - bits))
 
 
-def frequent_levels(blocks: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By kind, the sorted codes (block and key) of the most frequent n-grams and their levels."""
-    out = {}
+def frequent_levels(counted: DataFrame, bits: int, most: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By kind, the sorted codes (block and key) of the `most` most frequent n-grams and the levels that the filter gives for them."""
+    of_level = level_counts(counted)
+    cut = next((k for k in range(512) if of_level[k:].sum() <= most), 512)
+
+    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, block, data, raw_keys, raw_counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys = _unpack_sorted(raw_keys)[fine_levels(_widened(raw_counts, "<i8")) >= cut]
+                if len(keys):
+                    keys = np.unique(block_keys(kind, keys, bits))
+                    row = (kind, _pack_sorted(keys + (np.uint64(block) << np.uint64(40))), block_levels(data, keys, bits).astype(np.int8).tobytes())
+                    yield pa.record_batch([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "codes", "levels"])
+
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {PAIRS: [], WORDS: []}
-    for r in blocks.where(F.length("often") > 0).select("kind", "block", "often", "often_levels").toLocalIterator():
-        codes = _unpacked([r["often"]], WIDTH[r["kind"]]) + (np.uint64(r["block"]) << np.uint64(40))
-        held[r["kind"]].append((codes, np.frombuffer(bytes(r["often_levels"]), np.int8)))
+    for r in counted.select("kind", "block", "data", "keys", "counts").mapInArrow(pick, "kind int, codes binary, levels binary").toLocalIterator():
+        held[r["kind"]].append((_unpack_sorted(bytes(r["codes"])), np.frombuffer(bytes(r["levels"]), np.int8)))
+    out = {}
     for kind, some in held.items():
         codes = np.concatenate([np.zeros(0, np.uint64), *(c for c, _ in some)])
         found = np.concatenate([np.zeros(0, np.int8), *(q for _, q in some)])
@@ -250,11 +267,11 @@ class Whole:
 
     def __init__(self, blocks: list[tuple[int, bytes]], bits: int, hashes: int = 3) -> None:
         self.bits, self.hashes = bits, hashes
-        self.base, self.mask = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.base, self.size = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
         self.there = np.zeros(1 << bits, bool)
         at = 0
         for block, data in blocks:
-            self.base[block], self.mask[block], self.there[block] = at, 8 * len(data) - 1, True
+            self.base[block], self.size[block], self.there[block] = at, 8 * len(data), True
             at += 8 * len(data)
         self.data = np.frombuffer(b"".join([*(data for _, data in blocks), b"\0"]), np.uint8)
 
@@ -263,7 +280,7 @@ class Whole:
         block, keys = (codes >> np.uint64(40)).astype(np.int64), codes & np.uint64((1 << 40) - 1)
         out, left = np.zeros(len(codes), np.int8), np.flatnonzero(self.there[block])
         for level in range(1, 128):
-            at = Filter.positions(keys[left], level, self.hashes, 0) & self.mask[block[left]]
+            at = Filter.positions(keys[left], level, self.hashes, self.size[block[left]])
             found = np.ones(len(left), bool)
             for p in at + self.base[block[left]]:
                 found &= (self.data[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -289,59 +306,85 @@ def whole_filter(blocks: DataFrame, bits: int) -> dict[int, Whole]:
     return {kind: Whole(some, bits) for kind, some in held.items()}
 
 
-ROLES = (("word", WORDS), ("context", WORDS), ("pair", PAIRS))
-PROBES = "row_id long, word long, context long, pair long, word_level tinyint, context_level tinyint, pair_level tinyint"
-
-
-def probed(rows: DataFrame, blocks: DataFrame, role: str, kind: int, bits: int) -> DataFrame:
-    """rows, all with a code for the role, with the level that its block gives; the code is null then."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return left.drop_columns(["block"])
-        codes = left.column(role).to_numpy().view(np.uint64) & np.uint64((1 << 40) - 1)
-        found = block_levels(right.column("data")[0].as_py(), codes, bits) if right.num_rows else np.zeros(len(codes), np.int64)
-        left = left.set_column(left.schema.get_field_index(f"{role}_level"), f"{role}_level", pa.array(found.astype(np.int8)))
-        return left.set_column(left.schema.get_field_index(role), role, pa.nulls(len(codes), pa.int64())).drop_columns(["block"])
+KINDS = (WORDS, PAIRS)
+PLACES = (
+    "row_id long, doc_id long, h long, times long, n_tokens long, n_known long, base_score double, score double, slice_id long, kind int, block int, keys binary, state array<binary>"
+)
+_ASKED, _SAME = -1, -2
+
+
+def questions(codes: np.ndarray, found: np.ndarray) -> tuple[list[tuple[int, bytes]], list[bytes]]:
+    """(block, keys) for the n-grams that found lacks, each asked once for a slice of text; and what answered() needs to put the answers into their places."""
+    lacking = np.flatnonzero(found < 0)
+    _, heads, back = np.unique(codes[lacking], return_index=True, return_inverse=True)
+    same = np.ones(len(lacking), bool)
+    same[heads] = False
+    marked = found.copy()
+    marked[lacking] = np.where(same, np.int8(_SAME), np.int8(_ASKED))
+    asked = codes[lacking[~same]]
+    blocks = (asked >> np.uint64(40)).astype("<u4")
+    order = np.argsort(blocks, kind="stable")
+    keys, sorted_blocks = ((asked[order] >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype("<u4"), blocks[order]
+    cuts = np.flatnonzero(np.diff(sorted_blocks.astype(np.int64), prepend=-1))
+    rows = [(int(sorted_blocks[a]), keys[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
+    return rows, [_squeezed(marked), _squeezed(blocks), _squeezed(lacking[heads][back[same]].astype("<u4"))]
+
+
+def answered(state: list[bytes], answers: list[tuple[int, bytes]]) -> np.ndarray:
+    """The levels of all places from questions() and the answers by block."""
+    found, blocks, same = (_widened(raw, kind) for raw, kind in zip(state, ("i1", "<u4", "<u4"), strict=True))
+    out = found.copy()
+    out[np.flatnonzero(found == _ASKED)[np.argsort(blocks, kind="stable")]] = np.frombuffer(b"".join(x for _, x in sorted(answers)), np.int8)
+    out[found == _SAME] = out[same]
+    return out
 
-    cut = rows.withColumn("block", F.shiftright(role, 40).cast("int"))
-    some = blocks.where(F.col("kind") == kind).select("block", "data")
-    return cut.groupBy("block").cogroup(some.groupBy("block")).applyInArrow(run, PROBES)
 
+def context_levels(of_word: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The level of the token before each; before the first stands END, as at the end of each text."""
+    out = np.empty_like(of_word)
+    out[1:] = of_word[:-1]
+    out[first[:-1]] = of_word[first[1:] - 1]
+    return out
 
-def probe_scores(rows: DataFrame, blocks: DataFrame, bits: int, mass: float, backoff: float) -> DataFrame:
-    """row_id, score: the sums over the places (PROBES) whose n-grams aren't all frequent."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of = [batch.column(k).to_numpy().astype(np.int64) for k in (4, 5, 6)]
-            owners, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
-            yield pa.record_batch([pa.array(owners), pa.array(np.bincount(at, log_shares(*of, mass, backoff), len(owners)))], names=["row_id", "score"])
-
-    done = []
-    for role, kind in ROLES:
-        has = F.col(role).isNotNull()
-        if role == "pair":
-            done.append(rows.where(~has))
-            rows = probed(rows.where(has), blocks, role, kind, bits)
-        else:
-            # Few places have a rare word, so that only theirs are written anew.
-            rows = rows.where(~has).unionByName(materialise(probed(rows.where(has), blocks, role, kind, bits), "probes"))
-    return done[0].unionByName(rows).mapInArrow(run, "row_id long, score double").groupBy("row_id").agg(F.sum("score").alias("rare_score"))
-
-
-def word_counts(counted: DataFrame) -> DataFrame:
+def probe_scores(written: DataFrame, filter_blocks: DataFrame, bits: int, mass: float, backoff: float) -> DataFrame:
+    """row_id, rare_score of all texts: questions go to their block of the filter, one row for each slice of text and block, and the answers, a byte each, back to the slice."""
+
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        for raw in left.column("keys").to_pylist():
+            keys = np.frombuffer(raw, "<u4").astype(np.uint64) << np.uint64(8)
+            found.append((block_levels(right.column("data")[0].as_py(), keys, bits) if right.num_rows else np.zeros(len(keys), np.int64)).astype(np.int8).tobytes())
+        return left.drop_columns(["keys"]).append_column("levels", pa.array(found, pa.binary()))
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
+        answers: dict[int, list[tuple[int, bytes]]] = {kind: [] for kind in KINDS}
+        for kind, block, found in zip(*(right.column(c).to_pylist() for c in ("kind", "block", "levels")), strict=True):
+            answers[kind].append((block, found))
+        for state in left.column("state").to_pylist():
+            of_word, of_pair = (answered(state[2 + 3 * k : 5 + 3 * k], answers[kind]) for k, kind in enumerate(KINDS))
+            first = np.concatenate([[0], np.cumsum(_widened(state[1], "<i8"))])
+            shares = log_shares(of_word, context_levels(of_word, first), of_pair, mass, backoff)
+            ids.append(_widened(state[0], "<i8"))
+            scores.append(np.add.reduceat(shares, first[:-1]))
+        return pa.table({"row_id": np.concatenate(ids), "rare_score": np.concatenate(scores)})
+
+    asked = written.where("kind is not null").select("slice_id", "kind", "block", "keys").groupBy("kind", "block")
+    answers = asked.cogroup(filter_blocks.select("kind", "block", "data").groupBy("kind", "block")).applyInArrow(probe, "slice_id long, kind int, block int, levels binary")
+    states = written.where("state is not null").select("slice_id", "state").groupBy("slice_id")
+    return states.cogroup(answers.groupBy("slice_id")).applyInArrow(finish, "row_id long, rare_score double")
+
+
+def word_counts(counted: DataFrame, bits: int) -> DataFrame:
     """h, c of every training token."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.record_batch([pa.array(_unpacked([keys], 8).view(np.int64)), pa.array(np.frombuffer(counts, "<i8"))], names=["h", "c"])
-
-    return counted.where(F.col("kind") == EXACT).select("keys", "counts").mapInArrow(run, "h long, c long")
+            for block, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.record_batch([pa.array((_unpack_sorted(keys) + (np.uint64(block) << np.uint64(64 - bits))).view(np.int64)), pa.array(_widened(counts, "<i8"))], names=["h", "c"])
 
-
-PARTS = ["row_id", "doc_id", "h", "times", "n_tokens", "n_known", "base_score", "score", *(role for role, _ in ROLES), *(f"{role}_level" for role, _ in ROLES)]
+    return counted.where(F.col("kind") == WORDS).select("block", "keys", "counts").mapInArrow(run, "h long, c long")
 
 
 def lm_scores(documents: DataFrame, modulus: int = 10, keep: int = 0, backoff: float = 0.8, max_broadcast: int = 1 << 19, max_filter: int = 64 << 20) -> DataFrame:
@@ -349,82 +392,66 @@ def lm_scores(documents: DataFrame, modulus: int = 10, keep: int = 0, backoff: f
     spark = documents.sparkSession
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == keep, F.lit(False))
     size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    # About 16 MB of text to a block, in whole bits; never so many that a block of the filter gets under 64 bits.
-    bits = min(16, max(4, math.ceil(math.log2(max(1, size / (16 << 20))))))
-    counted = materialise(count_ngrams(documents.where(~held), bits), "ngrams")
-    n, v = counted.where(F.col("kind") == EXACT).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
+    # About 16 MB of text to a block, in whole bits.
+    bits = min(24, max(4, math.ceil(math.log2(max(1, size / (16 << 20))))))
+    counted = materialise(count_ngrams(documents.where(~held), bits), "filter")
+    of_words = F.col("kind") == WORDS
+    n, v, filter_size = counted.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in (F.when(of_words, F.col("total")), F.when(of_words, F.col("n_keys")), F.length("data")))).first()
     mass = n + 0.1 * (v + 1)
-    counts = materialise(word_counts(counted), "word-counts")
+    counts = materialise(word_counts(counted, bits), "word-counts")
     common = largest(counts, "c", max_broadcast).toArrow()
     keys, times = (common.column(k).to_numpy() for k in (0, 1))
     order = np.argsort(keys)
-    blocks = materialise(build_filter(counted, bits, max_broadcast), "filter")
-    bounded = blocks.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0] <= max_filter
-    shared = spark.sparkContext.broadcast((frequent_levels(blocks), whole_filter(blocks, bits) if bounded else None, keys[order], times[order]))
+    bounded = filter_size <= max_filter
+    shared = spark.sparkContext.broadcast((frequent_levels(counted, bits, max_broadcast), whole_filter(counted, bits) if bounded else None, keys[order], times[order]))
+    fields = spark.createDataFrame([], PLACES).schema
+    arrow = {f.name: {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}.get(f.dataType.simpleString(), pa.list_(pa.binary())) for f in fields}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, whole, known, exact = shared.value
+
+        def out(n: int, **given) -> pa.RecordBatch:
+            """n rows of PLACES; columns that aren't given are null."""
+            return pa.record_batch([given[c] if isinstance(given.get(c), pa.Array) else pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in arrow.items()], names=list(arrow))
+
         for batch in text_slices(batches):
             tokens, contexts, first = token_runs(batch.column(2))
-            rows = batch.num_rows
-            # The model: places whose n-grams are all frequent here, the others as rows of their own.
-            codes = [h >> np.uint64(24 - bits) for h in (word_hash(tokens), word_hash(contexts), pair_hash(contexts, tokens))]
-            of = [known_levels(code, frequent[kind]) for code, (_, kind) in zip(codes, ROLES, strict=True)]
+            rows, words = batch.num_rows, word_hash(tokens)
+            codes = {WORDS: code_of(words, bits), PAIRS: code_of(pair_hash(contexts, tokens), bits)}
+            of = {kind: known_levels(codes[kind], frequent[kind]) for kind in KINDS}
+            score = np.zeros(rows)
             if whole:
-                of = [whole[kind].fill(code, q) for code, q, (_, kind) in zip(codes, of, ROLES, strict=True)]
-            lacking = (of[0] < 0) | (of[1] < 0) | (of[2] < 0)
-            shares = log_shares(*(np.maximum(q, 0) for q in of), mass, backoff)
-            score = np.add.reduceat(np.where(lacking, 0.0, shares), first[:-1])
-            asked = np.flatnonzero(lacking)
+                of = {kind: whole[kind].fill(codes[kind], of[kind]) for kind in KINDS}
+                score = np.add.reduceat(log_shares(of[WORDS], context_levels(of[WORDS], first), of[PAIRS], mass, backoff), first[:-1])
+            else:
+                name, state = int(batch.column(0)[0].as_py()), [_squeezed(batch.column(0).to_numpy()), _squeezed(np.diff(first).astype("<i8"))]
+                for kind in KINDS:
+                    asked, more = questions(codes[kind], of[kind])
+                    state += more
+                    if asked:
+                        yield out(len(asked), slice_id=np.full(len(asked), name), kind=np.full(len(asked), kind), block=[b for b, _ in asked], keys=[k for _, k in asked])
+                yield out(1, slice_id=[name], state=[state])
             # The base: exact counts of common words here, the other words as rows of their own.
-            at = np.minimum(np.searchsorted(known, tokens.view(np.int64)), max(0, len(known) - 1))
-            hit = known[at] == tokens.view(np.int64) if len(known) else np.zeros(len(tokens), bool)
+            at = np.minimum(np.searchsorted(known, words.view(np.int64)), max(0, len(known) - 1))
+            hit = known[at] == words.view(np.int64) if len(known) else np.zeros(len(tokens), bool)
             base = np.add.reduceat(np.where(hit, np.log10((exact[at] if len(known) else np.zeros(1)) + 0.1) - math.log10(mass), 0.0), first[:-1])
             found = np.add.reduceat(hit.astype(np.int64), first[:-1])
             # Words of level 0 are none of training's; of the others a text's repeats are one row.
-            none = np.flatnonzero(~hit & (of[0] == 0))
+            none = np.flatnonzero(~hit & (of[WORDS] == 0))
             base += np.bincount(np.searchsorted(first, none, side="right") - 1, minlength=rows) * (math.log10(0.1) - math.log10(mass))
-            rest = np.flatnonzero(~hit & (of[0] != 0))
+            yield out(rows, row_id=batch.column(0), doc_id=batch.column(1), times=np.zeros(rows, np.int64), n_tokens=np.diff(first), n_known=found, base_score=base, score=score)
+            rest = np.flatnonzero(~hit & (of[WORDS] != 0))
             owner = np.searchsorted(first, rest, side="right") - 1
-            order = np.lexsort((tokens[rest], owner))
+            order = np.lexsort((words[rest], owner))
             rest, owner = rest[order], owner[order]
-            heads = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(tokens[rest].view(np.int64), prepend=0) != 0) | (np.arange(len(rest)) == 0))
-            repeats = np.diff(np.append(heads, len(rest)))
-            rest, owner = rest[heads], owner[heads]
-            asked_by = np.searchsorted(first, asked, side="right") - 1
-            take = pa.array(np.concatenate([np.arange(rows), owner, asked_by]))
-
-            def column(of_text, of_word, of_place=None, kind=None):
-                """One value for each text, each place of a rarer word and each place whose n-grams aren't all frequent; None is null."""
-                sizes = (rows, len(rest), len(asked))
-                parts = [pa.nulls(n, kind) if x is None else pa.array(np.broadcast_to(x, n), kind) for x, n in zip((of_text, of_word, of_place), sizes, strict=True)]
-                return pa.concat_arrays(parts)
-
-            def probe(code, q):
-                return pa.concat_arrays([pa.nulls(rows + len(rest), pa.int64()), pa.array(code[asked].view(np.int64), mask=q[asked] >= 0)])
-
-            long, double = pa.int64(), pa.float64()
-            yield pa.record_batch(
-                [
-                    batch.column(0).take(take),
-                    batch.column(1).take(take),
-                    column(batch.column(0).to_numpy(), tokens[rest].view(np.int64), kind=long),
-                    column(0, repeats, kind=long),
-                    column(np.diff(first), 0, kind=long),
-                    column(found, 0, kind=long),
-                    column(base, 0.0, kind=double),
-                    column(score, 0.0, kind=double),
-                    *(probe(code, q) for code, q in zip(codes, of, strict=True)),
-                    *(column(None, None, q[asked], pa.int8()) for q in of),
-                ],
-                names=PARTS,
-            )
+            heads = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(words[rest].view(np.int64), prepend=0) != 0) | (np.arange(len(rest)) == 0))
+            repeats, take, k = np.diff(np.append(heads, len(rest))), pa.array(owner[heads]), len(heads)
+            zero = np.zeros(k, np.int64)
+            yield out(k, row_id=batch.column(0).take(take), doc_id=batch.column(1).take(take), h=words[rest[heads]].view(np.int64), times=repeats, n_tokens=zero, n_known=zero, base_score=np.zeros(k), score=np.zeros(k))
 
     rows = documents.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
-    schema = f"row_id long, doc_id long, h long, times long, n_tokens long, n_known long, base_score double, score double, {PROBES.partition(', ')[2]}"
-    written = materialise(rows.mapInArrow(run, schema), "places")
-    rare = None if bounded else probe_scores(written.where("word_level is not null").select(*[x.split()[0] for x in PROBES.split(", ")]), blocks, bits, mass, backoff)
-    parts = written.where("word_level is null").join(counts, "h", "left")
+    written = materialise(rows.mapInArrow(run, PLACES), "places")
+    parts = written.where("slice_id is null").join(counts, "h", "left")
     c = F.coalesce("c", F.lit(0))
     out = parts.groupBy("row_id", "doc_id").agg(
         F.sum("n_tokens").alias("n_tokens"),
@@ -432,8 +459,8 @@ def lm_scores(documents: DataFrame, modulus: int = 10, keep: int = 0, backoff: f
         F.sum(F.col("base_score") + F.col("times") * (F.log10(c + 0.1) - math.log10(mass))).alias("base_score"),
         F.sum("score").alias("score"),
     )
-    if rare is not None:
-        out = out.join(rare, "row_id", "left").withColumn("score", F.col("score") + F.coalesce("rare_score", F.lit(0.0)))
+    if not bounded:
+        out = out.drop("score").join(probe_scores(written, counted, bits, mass, backoff).withColumnRenamed("rare_score", "score"), "row_id")
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
