@@ -197,6 +197,15 @@ def test_language_model_holds_all_pairs(docs):
         assert np.isclose(a[:, 1], b[:, 1], rtol=0.05, atol=0.5).mean() > 0.9
 
 
+def test_language_model_of_frequent_words_alone(spark):
+    """Copies of one text: every n-gram is frequent, and no slice has a question for the filter."""
+    copies = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("a b a c").alias("text"))
+    got = lm_scoring.lm_scores(copies).collect()
+    whole = lm_scoring.lm_scores(copies, max_filter=1 << 26).collect()
+    assert len(got) == 50 and {r.n_tokens for r in got} == {r.n_known for r in got} == {5}
+    assert len({r.score for r in got}) == 1 and np.isclose(got[0].score, whole[0].score)
+
+
 def test_language_model_beats_words_alone(spark, small):
     rows_ = [r for r in lm_scoring.lm_scores(spark.read.parquet(f"{small}/documents.parquet")).collect() if r.held_out]
     assert sum(r.score for r in rows_) > sum(r.base_score for r in rows_)

@@ -2,9 +2,9 @@
 
 Training counts words and pairs of neighbouring words in Spark, all training texts whole: every task counts what it has read, the counts meet by blocks of hashes, and
 each block is finished on its own. Counts are quantised as q = 1 + floor(2 log2 c), and an n-gram of level q is put into the filter q times, once for each level up to it. A probe asks for
-level 1, 2, ... until one is missing. All words and pairs of training are in the filter, which grows with them: it is a table of blocks of hashes in the shared folder. A filter
-of at most max_filter bytes goes to every worker; of a larger one only the levels of the most frequent n-grams do, at most max_broadcast of them, and all other probes go to their
-blocks by a shuffle. Both ways read the same bits and give the same scores.
+level 1, 2, ... until one is missing. All words and pairs of training are in the filter, which grows with them: it is a table of blocks of hashes in the shared folder. The levels that the
+filter gives for the most frequent n-grams, at most max_broadcast of them, go to every worker; all other probes go to their blocks by a shuffle, one row of packed keys for each slice of
+text and block, and come back as a byte each. A filter of at most max_filter bytes can be sent whole instead. Both ways read the same bits and give the same scores.
 
 The base score is that of exact word counts: those of the most frequent words, at most max_broadcast of them, go to every worker, and the rest of each text's words
 are joined, once for each text, to the table of counts by a shuffle, but for words that the filter lacks, which training hasn't. Words are told apart by a 64-bit hash.
@@ -326,7 +326,7 @@ def questions(codes: np.ndarray, found: np.ndarray) -> tuple[list[tuple[int, byt
     order = np.argsort(blocks, kind="stable")
     keys, sorted_blocks = ((asked[order] >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype("<u4"), blocks[order]
     cuts = np.flatnonzero(np.diff(sorted_blocks.astype(np.int64), prepend=-1))
-    rows = [(int(sorted_blocks[a]), keys[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
+    rows = [(int(sorted_blocks[a]), keys[a:b].tobytes()) for a, b in zip(cuts, [*cuts, len(keys)][1:], strict=True)]
     return rows, [_squeezed(marked), _squeezed(blocks), _squeezed(lacking[heads][back[same]].astype("<u4"))]
 
 
@@ -351,10 +351,15 @@ def probe_scores(written: DataFrame, filter_blocks: DataFrame, bits: int, mass:
     """row_id, rare_score of all texts: questions go to their block of the filter, one row for each slice of text and block, and the answers, a byte each, back to the slice."""
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        raw = left.column("keys").to_pylist()
+        ends = np.cumsum([len(x) // 4 for x in raw], dtype=np.int64)
+        data = right.column("data")[0].as_py() if right.num_rows else bytes(8)
         found = []
-        for raw in left.column("keys").to_pylist():
-            keys = np.frombuffer(raw, "<u4").astype(np.uint64) << np.uint64(8)
-            found.append((block_levels(right.column("data")[0].as_py(), keys, bits) if right.num_rows else np.zeros(len(keys), np.int64)).astype(np.int8).tobytes())
+        # Many questions together, but not so many that their arrays leave the cache.
+        for rows in np.split(np.arange(len(raw)), np.flatnonzero(np.diff(ends // (1 << 16))) + 1):
+            keys = np.frombuffer(b"".join(raw[i] for i in rows), "<u4").astype(np.uint64) << np.uint64(8)
+            answer = block_levels(data, keys, bits).astype(np.int8)
+            found += [x.tobytes() for x in np.split(answer, ends[rows][:-1] - (ends[rows[0] - 1] if rows.size and rows[0] else 0))] if rows.size else []
         return left.drop_columns(["keys"]).append_column("levels", pa.array(found, pa.binary()))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -387,8 +392,8 @@ def word_counts(counted: DataFrame, bits: int) -> DataFrame:
     return counted.where(F.col("kind") == WORDS).select("block", "keys", "counts").mapInArrow(run, "h long, c long")
 
 
-def lm_scores(documents: DataFrame, modulus: int = 10, keep: int = 0, backoff: float = 0.8, max_broadcast: int = 1 << 19, max_filter: int = 64 << 20) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+def lm_scores(documents: DataFrame, modulus: int = 10, keep: int = 0, backoff: float = 0.8, max_broadcast: int = 1 << 19, max_filter: int = 0) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. A filter of at most max_filter bytes goes to the workers whole; by default none does, so that all sizes take one way."""
     spark = documents.sparkSession
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == keep, F.lit(False))
     size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
