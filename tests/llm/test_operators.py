@@ -279,6 +279,13 @@ def test_audio_parser_resynchronises_and_sees_damage():
     broken = bytearray(good)
     broken[at + 10] ^= 1
     assert media_columns.parse_audio(bytes(broken))["bad"] == 1
+    # Frames of two rates: the duration is the sum of each rate's. A Layer II frame's checksum isn't verified but counted.
+    frames = [bytes((0xFF, b, 0x90 | rate << 2, 0)).ljust(size, b"\0") for b, rate, size in ((0xFB, 0, 417), (0xFB, 1, 384))]
+    assert media_columns.parse_audio(frames[0] * 100 + frames[1] * 100)["us"] == 115_200 * 1_000_000 // 44_100 + 2_400_000
+    assert media_columns.parse_audio(bytes((0xFF, 0xFC, 0x90, 0)).ljust(522, b"\0") * 3)["unchecked"] == 3
+    # A VBRI table of more than 4096 entries is read whole.
+    table = b"VBRI" + bytes(6) + (9).to_bytes(4, "big") + (8).to_bytes(4, "big") + b"\x13\x88" + b"\0\1" + b"\0\2" + bytes(2) + b"\0\7" * 5000
+    assert media_columns.parse_vbr(frames[0][:36] + table, 0, media_columns.header(frames[0][:4]))["toc"] == [7] * 5000
     for junk in (b"", b"ID3", b"\xff" * 50, bytes(1000)):
         assert media_columns.parse_audio(junk)["offsets"] == []
 

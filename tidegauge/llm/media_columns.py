@@ -2,14 +2,17 @@
 
 The writer lays bytes into Layer III frames as ancillary data (side information all zero, so a player hears silence), after
 an ID3v2 tag and a variable-bitrate table. The parser resynchronises on frame headers, reads tags and variable-bitrate tables, verifies the
-checksum of every frame that has one, and gives exact durations and the offset of every frame.
+checksums of Layer III, counts the frames of other layers that have one as crc_unchecked, and gives exact durations (by each frame's own rate) and the offset of every frame; sample_rate is
+the last frame's. Frames of free format count as no header.
 
 Null and empty texts store one 64-byte zero payload; very long texts only need more frames; broken or empty media give zero frames and no error.
+An empty table gives no rows, repeated rows give a row each, and extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -34,7 +37,7 @@ RATES = {3: [44100, 48000, 32000], 2: [22050, 24000, 16000], 0: [11025, 12000, 8
 MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary"
 PROBE_SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
-    "n_frames long, sample_rate int, n_samples long, duration_us long, crc_checked long, crc_bad long, resync_bytes long, seek_offsets array<long>"
+    "n_frames long, sample_rate int, n_samples long, duration_us long, crc_checked long, crc_bad long, crc_unchecked long, resync_bytes long, seek_offsets array<long>"
 )
 
 
@@ -175,7 +178,7 @@ def parse_vbr(data: bytes, at: int, h: Header) -> dict | None:
     x = at + 36
     if data[x : x + 4] == b"VBRI" and len(data) >= x + 26:
         size, frames, n, scale, width = struct.unpack(">IIHHH", data[x + 10 : x + 24])
-        toc = [int.from_bytes(data[x + 26 + k * width : x + 26 + (k + 1) * width], "big") * scale for k in range(min(n, 4096))] if width else []
+        toc = [int.from_bytes(data[x + 26 + k * width : x + 26 + (k + 1) * width], "big") * scale for k in range(n)] if width else []
         return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": toc}
     return None
 
@@ -184,7 +187,8 @@ def parse_audio(data: bytes) -> dict:
     """Tags, table, frames, checksums, exact duration and offsets of MPEG audio; see the module's docstring."""
     start, end, fields = parse_tags(data)
     at, offsets, bodies, vbr = start, [], [], None
-    rate = samples = checked = bad = lost = 0
+    rate = samples = checked = bad = unchecked = lost = 0
+    by_rate: dict[int, int] = {}
     synced = False
     while at + 4 <= end:
         h = header(data[at : at + 4])
@@ -202,13 +206,18 @@ def parse_audio(data: bytes) -> dict:
         body = at + 4
         if h.crc:
             body += 2
+            unchecked += h.layer != 3
             if h.layer == 3:
                 checked += 1
                 bad += crc16_cached(data[at + 2 : at + 4] + data[body : body + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
         offsets.append(at)
         bodies.append((body + h.side, after))
+        by_rate[h.rate] = by_rate.get(h.rate, 0) + h.samples
         rate, samples, at = h.rate, samples + h.samples, after
-    return {"fields": fields, "vbr": vbr, "offsets": offsets, "bodies": bodies, "rate": rate, "samples": samples, "checked": checked, "bad": bad, "lost": lost}
+    # Whole microseconds of the sum over the rates, which need not be one.
+    common = math.lcm(*by_rate)
+    us = sum(n * (common // r) for r, n in by_rate.items()) * 1_000_000 // common
+    return {"fields": fields, "vbr": vbr, "offsets": offsets, "bodies": bodies, "rate": rate, "samples": samples, "us": us, "checked": checked, "bad": bad, "unchecked": unchecked, "lost": lost}
 
 
 _SEEN_CRC: dict[bytes, int] = {}
@@ -248,16 +257,15 @@ def store_as_audio(documents: DataFrame, block: int = 64) -> DataFrame:
 def probe_audio(media: DataFrame, tail: int = 64) -> DataFrame:
     """Parse a media column (doc_id, n_bytes, media) back into durations, seek offsets, checksum counts and digests."""
     names = [x.split()[0] for x in PROBE_SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def row(data: bytes) -> tuple:
         p = parse_audio(data)
         payload = read_payload(data, p)
-        us = p["samples"] * 1_000_000 // p["rate"] if p["rate"] else 0
         seek = zlib.crc32(np.array(p["offsets"], dtype="<u8").tobytes())
         table = p["vbr"] or {}
         feature = f"rate={p['rate']};samples={p['samples']};frames={len(p['offsets'])};table={table.get('kind', '')}:{table.get('frames', 0)};crc={p['checked'] - p['bad']}/{p['checked']};seek={seek:08x}"
-        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-tail:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(p["offsets"]), p["rate"], p["samples"], us, p["checked"], p["bad"], p["lost"], p["offsets"])
+        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-tail:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(p["offsets"]), p["rate"], p["samples"], p["us"], p["checked"], p["bad"], p["unchecked"], p["lost"], p["offsets"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 8 << 20):
@@ -269,4 +277,4 @@ def probe_audio(media: DataFrame, tail: int = 64) -> DataFrame:
 
 
 def op6_media_columns(spark, sf_dir: str) -> DataFrame:
-    return probe_audio(store_as_audio(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("seek_offsets")
+    return probe_audio(store_as_audio(spark.read.parquet(f"{sf_dir}/documents.parquet")))
