@@ -103,3 +103,10 @@ def reportability(status: Column, action: Column, reason: Column) -> Column:
         .when(status == "unique_nearest", answer("answer", "nearest_but_acceptable"))
         .otherwise(answer("re_clarify", "timestamp_too_imprecise"))
     )
+
+
+def prompted_commitment(action: Column, reason: Column, exact: Column, offset: Column, prompt: Column, within: float = 30.0) -> Column:
+    """Abstain for quality; ask again for a far instant only where the prompt speaks of a more precise timestamp; else answer."""
+    far = ~F.coalesce(exact, F.lit(False)) & F.coalesce(offset > within, F.lit(False)) & F.coalesce(F.contains(prompt, F.lit("more precise timestamp")), F.lit(False))
+    good = F.when(F.coalesce(exact, F.lit(False)), "exact_timestamp").otherwise("nearest_but_acceptable")
+    return F.when(action == "abstain", answer("abstain", F.coalesce(F.nullif(reason, F.lit("")), F.lit("marginal_quality")))).when(far, answer("re_clarify", "timestamp_too_imprecise")).otherwise(answer("answer", good))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.columns import exact_mean, rounded, shifted, week_mon
+from tidegauge.operators.aggregates import quality
 from tidegauge.operators.asof import rows_in_windows
+from tidegauge.operators.thresholds import gap_ratio
 
 
 def adjacent_window(obs: DataFrame, windows: DataFrame, digits: int | None = 4) -> DataFrame:
@@ -20,6 +22,56 @@ def adjacent_window(obs: DataFrame, windows: DataFrame, digits: int | None = 4)
     return best.select(F.col("window_id").alias("request_id"), "direction", "stream_id", s, e, "mean_value", "count")
 
 
+def moved_windows(windows: DataFrame, *carry: str) -> DataFrame:
+    """Each window (request_id, window_start, window_end) one length before and after, as window_id, with place 0 for the one before."""
+    s, e = "window_start", "window_end"
+    step = F.explode(F.array(F.struct(F.lit(0).alias("place"), F.lit("previous").alias("direction"), F.lit(-1).alias("n")), F.struct(F.lit(1).alias("place"), F.lit("next").alias("direction"), F.lit(1).alias("n"))))
+    moved = windows.select("request_id", s, e, *carry, step.alias("m"))
+    return moved.select(F.col("request_id").alias("window_id"), "m.place", "m.direction", *carry, shifted(s, s, e, F.col("m.n")).alias(s), shifted(e, s, e, F.col("m.n")).alias(e))
+
+
+def _means(obs: DataFrame, tries: DataFrame, digits: int | None) -> DataFrame:
+    """Mean and count of each (window_id, place, stream_id) whose window has values."""
+    asked = tries.withColumn("request_id", F.concat_ws("|", "window_id", "place", "stream_id"))
+    rows = rows_in_windows(obs.where("value is not null and not isnan(value)"), asked).where("value is not null")
+    return rows.groupBy("window_id", "place", "direction", "stream_id", "window_start", "window_end").agg(rounded(exact_mean("value"), digits).alias("mean_value"), F.count("value").alias("count"))
+
+
+def _first_place(rows: DataFrame, *fields: str) -> DataFrame:
+    best = rows.groupBy("window_id").agg(F.min(F.struct("place", *fields)).alias("b"))
+    return best.select(F.col("window_id").alias("request_id"), *[f"b.{f}" for f in fields])
+
+
+def adjacent_compare(obs: DataFrame, windows: DataFrame, digits: int | None = 4) -> DataFrame:
+    """For each (request_id, left_stream_id, right_stream_id, window_start, window_end) the window before, else after, in which both streams have values, and its winner.
+
+    The left one wins only if it is strictly larger.
+    """
+    tries = moved_windows(windows, "left_stream_id", "right_stream_id")
+    sides = tries.withColumn("stream_id", F.explode(F.array_distinct(F.array("left_stream_id", "right_stream_id"))))
+    keys = ["window_id", "place"]
+    means = _means(obs, sides, digits)
+    left, right = (means.select(*keys, F.col("stream_id").alias(f"{x}_stream_id"), F.col("mean_value").alias(f"{x}_mean_value")) for x in ("left", "right"))
+    both = tries.join(left, [*keys, "left_stream_id"]).join(right, [*keys, "right_stream_id"])
+    winner = F.when(F.col("left_mean_value") > F.col("right_mean_value"), F.col("left_stream_id")).otherwise(F.col("right_stream_id"))
+    return _first_place(both.withColumn("winning_stream_id", winner), "direction", "window_start", "window_end", "left_mean_value", "right_mean_value", "winning_stream_id")
+
+
+def adjacent_rank(obs: DataFrame, windows: DataFrame, members: DataFrame, digits: int | None = 4) -> DataFrame:
+    """For each (request_id, group, window_start, window_end) the window before, else after, in which a member (group, stream_id) has values, and the largest mean there."""
+    tries = moved_windows(windows, "group").join(members.select("group", "stream_id"), "group")
+    best = _means(obs, tries, digits).groupBy("window_id", "place", "direction", "window_start", "window_end").agg(F.max(F.struct("mean_value", "stream_id")).alias("top"))
+    return _first_place(best.select("window_id", "place", "direction", "window_start", "window_end", "top.stream_id", "top.mean_value"), "direction", "window_start", "window_end", "stream_id", "mean_value")
+
+
+def adjacent_quality(obs: DataFrame, windows: DataFrame) -> DataFrame:
+    """For each (request_id, stream_id, window_start, window_end) the window before, else after, that has metrics of quality, and these."""
+    tries = moved_windows(windows, "stream_id").withColumn("request_id", F.concat_ws("|", "window_id", "place"))
+    rows = rows_in_windows(obs, tries.select("request_id", "stream_id", "window_start", "window_end")).where("ts is not null")
+    metrics = quality(rows, ["request_id"]).withColumn("gap_ratio", F.round(gap_ratio(), 4)).where("observed_fraction is not null or gap_ratio is not null")
+    return _first_place(tries.join(metrics, "request_id"), "direction", "stream_id", "window_start", "window_end", "observed_fraction", "gap_ratio")
+
+
 def week_around(obs: DataFrame, anchors: DataFrame) -> DataFrame:
     """For each anchor (request_id, stream_id, anchor_ts) the Monday week that holds it, or the one before, or the one after: the first with data."""
     start = week_mon("anchor_ts")

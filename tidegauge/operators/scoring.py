@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.columns import within
+from tidegauge.operators.asof import nearest
 
 
 def structured(rows: DataFrame, fields: dict[str, float | None]) -> DataFrame:
@@ -54,6 +55,59 @@ def temporal(requirements: DataFrame, calls: DataFrame) -> DataFrame:
     return met.groupBy("task_id").agg((F.sum(F.coalesce("met", F.lit(0))) / F.count("*")).alias("score"))
 
 
+def temporal_best(requirements: DataFrame, calls: DataFrame, ignored: tuple[str, ...] = ("sample", "quality")) -> DataFrame:
+    """task_id, score: the best of a task's variants (task_id, variant, call_id, tool, window_start, window_end) by the share of its windows that some call has.
+
+    Requirements whose call_id holds an ignored word don't count; a task without others scores 1.
+    """
+    keys = ["task_id", "tool", "window_start", "window_end"]
+    counts = ~F.coalesce(F.col("call_id"), F.lit("")).rlike("|".join(ignored)) if ignored else F.lit(True)
+    met = requirements.where(counts).join(calls.select(*keys).distinct().withColumn("met", F.lit(1)), keys, "left")
+    shares = met.groupBy("task_id", "variant").agg((F.sum(F.coalesce("met", F.lit(0))) / F.count("*")).alias("score"))
+    best = shares.groupBy("task_id").agg(F.max("score").alias("score"))
+    return requirements.select("task_id").distinct().join(best, "task_id", "left").withColumn("score", F.coalesce("score", F.lit(1.0)))
+
+
+def relaxed_windows(obs: DataFrame, golds: DataFrame) -> DataFrame:
+    """task_id, stream_id, label, window_start, window_end that count as the gold window (task_id, stream_id, window_start, window_end).
+
+    The window itself, then its ends moved to the nearest observations, or its start with the same length; equal ones keep the first label.
+    """
+    sides = golds.select("stream_id", "task_id", F.posexplode(F.array("window_start", "window_end")).alias("side", "probe_ts"))
+    asked = sides.withColumn("probe_id", F.xxhash64("task_id", "stream_id", "side"))
+    near = nearest(obs, asked).join(asked.select("probe_id", "task_id", "side"), "probe_id").groupBy("task_id")
+    ends = near.agg(F.max(F.when(F.col("side") == 0, F.col("observed_ts"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("observed_ts"))).alias("b"))
+    rows = golds.join(ends, "task_id", "left")
+    s, e, a, b = (F.col(x) for x in ("window_start", "window_end", "a", "b"))
+    ways = [("exact", s, e), ("exact_start_nearest_end", s, b), ("nearest_start_fixed_duration", a, a + (e - s)), ("nearest_start_nearest_end", a, b)]
+    tries = F.array(*[F.struct(F.lit(name).alias("label"), x.alias("window_start"), y.alias("window_end")) for name, x, y in ways])
+    every = rows.select("task_id", "stream_id", F.posexplode(tries).alias("place", "w")).where("w.window_end > w.window_start")
+    first = every.groupBy("task_id", "stream_id", "w.window_start", "w.window_end").agg(F.min_by("w.label", "place").alias("label"))
+    return first.select("task_id", "stream_id", "label", "window_start", "window_end")
+
+
+def phase_score(phases: DataFrame, answers: DataFrame) -> DataFrame:
+    """task_id, score: the share of phases (task_id, phase) with a good answer (task_id, phase, good); 0 where a phase has none."""
+    both = phases.join(answers, ["task_id", "phase"], "left")
+    share = F.sum(F.coalesce(F.col("good").cast("int"), F.lit(0))) / F.count("*")
+    return both.groupBy("task_id").agg(F.when(F.bool_or(F.col("good").isNull()), 0.0).otherwise(share).alias("score"))
+
+
+def verdict(process: Column, core: Column, evidence: Column, reporting: Column, timing: Column, phases: Column) -> Column:
+    """struct of grounding, task score, label and strict label from the part scores (0 to 1, 1 is good).
+
+    Grounding is the mean of evidence and reporting; a task the mean of core, grounding, time and phases; strict takes the process with it.
+    """
+    grounding = (evidence + reporting) / 2
+    task = (core + grounding + timing + phases) / 4
+    good = (core == 1) & (evidence == 1) & (reporting == 1) & (timing == 1) & (phases == 1)
+
+    def grade(ok: Column, score: Column) -> Column:
+        return F.when(ok, "accomplished").when(score > 0, "partially_accomplished").otherwise("not_accomplished")
+
+    return F.struct(F.round(grounding, 4).alias("grounding"), F.round(task, 4).alias("task"), grade(good, task).alias("label"), grade(good & (process == 1), (process + task) / 2).alias("strict_label"))
+
+
 def label(core: Column, grounding: Column, timing: Column, phases: Column) -> Column:
     """The first that fails of core answer, grounding, time and phases; success if none does."""
     return F.when(~core, "wrong_answer").when(~grounding, "ungrounded").when(~timing, "wrong_time").when(~phases, "phases_missing").otherwise("success")
