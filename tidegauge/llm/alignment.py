@@ -8,7 +8,7 @@ Both tokenizers split a text in front of a space or newline that stands between
 model is read), so that the intervals of a text are those of its units one after another. Units are aligned once by each worker, many at a time, and at most
 `most` of them are remembered.
 
-A pair's count is how many links of the corpus hold it. Counts are gathered by a first pass over all texts, in which tasks add up before they hand on; the most
+A pair's count is how many links of the corpus hold it. All texts' links are written, two ids each, and counted in tasks before they are handed on; the most
 frequent pairs, at most max_broadcast, go to every worker, and the links of the others are joined to their table by a shuffle. None of those others is frequent:
 a level of counts is sent whole or not at all.
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.batches import text_slices
+from tidegauge.llm.batches import text_buffer, text_slices
 from tidegauge.llm.shared import largest, materialise
 
 # Between other characters only: within a run of white space the tokenizers may do as they like.
@@ -75,7 +75,8 @@ def _tokenizers(path_a: str, path_b: str):
 
 
 def _flat(parts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.fromiter(chain.from_iterable(parts), np.int64), np.fromiter(map(len, parts), np.int64, len(parts))
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    return np.fromiter(chain.from_iterable(parts), np.int64, int(sizes.sum())), sizes
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -84,62 +85,114 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
+def _decimals(n: int) -> np.ndarray:
+    """Decimal digits of 0 to n - 1 at the right of a row, zeros before them and room for what follows at its end."""
+    width = len(str(n)) + 1
+    return np.frombuffer("".join(f"{i:>{width - 1}} " for i in range(n)).replace(" ", "\0").encode(), np.uint8).reshape(n, width)
+
+
+class _Codes(dict):
+    """Gives each new unit the next number and notes it."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self.new.append(unit)
+        self[unit] = code = len(self)
+        return code
+
+
 class Units:
-    """What a worker remembers of units: sizes, links as A id << 32 | B id, groups as text."""
+    """What a worker remembers of units: sizes, links as A id and B id, groups as text. Beyond `most` units those seen once are forgotten, or all."""
 
-    def __init__(self, path_a: str, path_b: str, most: int = 1 << 18, groups: bool = True) -> None:
+    def __init__(self, path_a: str, path_b: str, most: int = 1 << 18) -> None:
         self.a, self.bytes_a, self.b, self.bytes_b = _tokenizers(path_a, path_b)
         self.size_a, self.size_b = (np.array([len(x) for x in y]) for y in (self.bytes_a, self.bytes_b))
-        self.most, self.with_groups = most, groups
-        self.forget()
-
-    def forget(self) -> None:
-        self.code: dict[str, int] = {}
-        self.groups: list[str] = []
-        self.good, self.counts = np.zeros(0, bool), np.zeros((0, 3), np.int64)
-        self.links, self.start, self.n_links = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def full(self) -> bool:
-        return len(self.code) > self.most or len(self.links) > 8 * self.most
+        self.kind = np.dtype("<u2" if max(len(self.bytes_a), len(self.bytes_b)) <= 1 << 16 else "<u4")
+        self.decimals = _decimals(max(len(self.bytes_a), len(self.bytes_b)))
+        self.most = most
+        self.forget(0)
+
+    def forget(self, times: int) -> None:
+        """Keep units that were seen more than `times` times, if these are at most half of what may be kept; times 0: none."""
+        kept = np.flatnonzero(self.used > times) if times else np.zeros(0, np.int64)
+        if times and len(kept) * 2 <= self.most:
+            names, places = list(self.code), _spread(self.start[kept], self.n_links[kept])
+            self.code = _Codes()
+            self.code.update((names[k], i) for i, k in enumerate(kept.tolist()))
+            self.groups = [self.groups[k] for k in kept.tolist()]
+            self.good, self.counts, self.used, self.n_links, self.links = self.good[kept], self.counts[kept], self.used[kept], self.n_links[kept], self.links[places]
+            self.start = np.cumsum(self.n_links) - self.n_links
+            if len(self.links) * 2 <= 8 * self.most:
+                return
+        self.code, self.groups = _Codes(), []
+        self.good, self.counts, self.links = np.zeros(0, bool), np.zeros((0, 3), np.int64), np.zeros((0, 2), self.kind)
+        self.used, self.start, self.n_links = (np.zeros(0, np.int64) for _ in range(3))
+
+    def same_bytes(self, raw: list[bytes], ids: list[list[int]], names: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """Whether each unit's tokens give its bytes; all at once where they all do."""
+        flat, n = _flat(ids)
+        ends = np.cumsum(np.append(0, sizes[flat]))
+        upto = np.cumsum(np.append(0, n))
+        if np.array_equal(ends[upto[1:]] - ends[upto[:-1]], [len(r) for r in raw]) and b"".join(map(names.__getitem__, flat.tolist())) == b"".join(raw):
+            return np.ones(len(raw), bool)
+        return np.array([b"".join(map(names.__getitem__, x)) == r for r, x in zip(raw, ids, strict=True)], bool)
 
     def learn(self, new: list[str]) -> None:
         raw = [u.encode() for u in new]
         ids_a = [x.ids for x in self.a.encode_batch_fast(new, add_special_tokens=False)]
         # B sets a space before each text: the unit's own one, or a token of its own in front of a newline.
         ids_b = [x if u[0] == " " else x[1:] for u, x in zip(new, self.b.encode([u[1:] if u[0] == " " else u for u in new], num_threads=1), strict=True)]
-        good = np.array([b"".join(map(self.bytes_a.__getitem__, a)) == r == b"".join(map(self.bytes_b.__getitem__, b)) for r, a, b in zip(raw, ids_a, ids_b, strict=True)], bool)
+        good = self.same_bytes(raw, ids_a, self.bytes_a, self.size_a) & self.same_bytes(raw, ids_b, self.bytes_b, self.size_b)
         kept = np.flatnonzero(good)
-        (a, n_a), (b, n_b) = _flat([ids_a[k] for k in kept]), _flat([ids_b[k] for k in kept])
+        if len(kept) < len(new):
+            raw, ids_a, ids_b = ([x[k] for k in kept.tolist()] for x in (raw, ids_a, ids_b))
+        (a, n_a), (b, n_b) = _flat(ids_a), _flat(ids_b)
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         ends, in_a, in_b, shared = intervals(ends_a, ends_b) if len(a) else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
-        unit = np.searchsorted(np.cumsum([len(raw[k]) for k in kept]), ends) if len(kept) else ends
+        unit = np.searchsorted(np.cumsum([len(r) for r in raw]), ends) if len(raw) else ends
         counts, n_links = np.zeros((len(new), 3), np.int64), np.zeros(len(new), np.int64)
         counts[kept, 0], counts[kept, 1] = n_a, n_b
         counts[kept, 2] = np.bincount(unit[shared], minlength=len(kept))
         n_links[kept] = np.bincount(unit, minlength=len(kept))
-        if self.with_groups:
-            # Tokens of a group lie between the last ones of two neighbouring groups.
-            to_a, to_b = in_a[shared] + 1, in_b[shared] + 1
-            text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-            at_a = at_b = 0
-            parts: list[list[str]] = [[] for _ in new]
-            for k, x, y in zip(kept[unit[shared]].tolist(), to_a.tolist(), to_b.tolist(), strict=True):
-                parts[k].append(f"{','.join(text_a[at_a:x])}|{','.join(text_b[at_b:y])}")
-                at_a, at_b = x, y
-            self.groups += [";".join(p) for p in parts]
-        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
+        texts = [""] * len(new)
+        for k, t in zip(kept.tolist(), self.group_texts(a, b, ends_a, ends_b, ends[shared], unit[shared], len(kept)), strict=True):
+            texts[k] = t
+        self.groups += texts
         self.start = np.concatenate([self.start, len(self.links) + np.cumsum(n_links) - n_links])
-        self.links = np.concatenate([self.links, a[in_a] << 32 | b[in_b]])
+        self.links = np.concatenate([self.links, np.stack([a[in_a], b[in_b]], axis=1).astype(self.kind)])
         self.n_links = np.concatenate([self.n_links, n_links])
         self.good, self.counts = np.concatenate([self.good, good]), np.concatenate([self.counts, counts])
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+
+    def group_texts(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, ends: np.ndarray, unit: np.ndarray, n: int) -> list[str]:
+        """Groups of each of n units as a1,a2|b1;a3|b2: all tokens' digits and what follows them in the groups' order, cut between units."""
+        if not len(a):
+            return [""] * n
+        group = np.concatenate([2 * np.searchsorted(ends, ends_a), 2 * np.searchsorted(ends, ends_b) + 1])
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        cells = self.decimals[np.concatenate([a, b])[order]]
+        last = np.append(group[1:] != group[:-1], True)
+        cells[:, -1] = np.where(last, np.where(group % 2, ord(";"), ord("|")), ord(","))
+        text = cells[cells > 0].tobytes().decode()
+        upto = np.cumsum((cells > 0).sum(axis=1))
+        # Each unit's text ends with its last group's semicolon, which goes.
+        final = upto[np.searchsorted(group, 2 * np.flatnonzero(np.append(unit[1:] != unit[:-1], True)) + 1, side="right") - 1].tolist()
+        return [text[s : e - 1] for s, e in zip([0, *final[:-1]], final, strict=True)]
 
     def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(code of every unit of the texts that have tokens, text it belongs to)."""
+        if len(self.code) > self.most or len(self.links) > 8 * self.most:
+            self.forget(1)
         split = [units(t) for t in texts]
         flat = list(chain.from_iterable(split))
-        if new := set(flat) - self.code.keys():
-            self.learn(sorted(new))
         codes = np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))
+        if self.code.new:
+            self.learn(self.code.new)
+            self.code.new = []
+        self.used += np.bincount(codes, minlength=len(self.used))
         text = np.repeat(np.arange(len(texts)), [len(x) for x in split])
         if not self.good.all():
             bad = np.zeros(len(texts), bool)
@@ -148,32 +201,67 @@ class Units:
         return codes, text
 
 
-def pair_counts(documents: DataFrame, path_a: str, path_b: str, most: int = 1 << 18) -> DataFrame:
-    """a, b, n, best of every linked pair of ids: its links in all texts, and whether no other pair of b has more."""
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _keys(links: np.ndarray) -> np.ndarray:
+    return links[:, 0].astype(np.int64) << 32 | links[:, 1].astype(np.int64)
+
+
+def linked(documents: DataFrame, path_a: str, path_b: str, most: int = 1 << 18) -> DataFrame:
+    """row_id, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, links of every row; links: pairs of A id and B id, two bytes each (four, if a vocabulary has over 65,536 tokens)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Units(path_a, path_b, most, groups=False)
-        times = np.zeros(0, np.int64)
+        known = Units(path_a, path_b, most)
+        for batch in text_slices(batches):
+            codes, text = known.codes(batch.column(2).to_pylist())
+            edge = np.searchsorted(text, np.arange(batch.num_rows + 1))
+
+            def total(of: np.ndarray) -> np.ndarray:
+                upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(of[codes])])
+                return upto[edge[1:]] - upto[edge[:-1]]
+
+            groups = list(map(known.groups.__getitem__, codes.tolist()))
+            digests = [hashlib.sha256(";".join(groups[x:y]).encode()).hexdigest() if y > x else "" for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            n_links = total(known.n_links)
+            links = known.links[_spread(known.start[codes], known.n_links[codes])]
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1), *(pa.array(total(known.counts[:, k])) for k in range(3)), pa.array(n_links), pa.array(digests, pa.string()), _binary(links, np.cumsum(n_links) * 2 * known.kind.itemsize)],
+                names=["row_id", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"],
+            )
+
+    rows = documents.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "row_id long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary")
+
+
+def _links(column: pa.Array, n_links: np.ndarray) -> np.ndarray:
+    """Links of all rows of a batch."""
+    data, _ = text_buffer(column)
+    pairs = int(n_links.sum())
+    return np.frombuffer(data.tobytes(), "<u4" if len(data) == 8 * pairs else "<u2").reshape(pairs, 2)
+
+
+def pair_counts(links: DataFrame, most: int = 1 << 21) -> DataFrame:
+    """a, b, n, best of every pair of ids: its links in all rows of linked(), and whether no other pair of b has more. A task hands on after about `most` pairs."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def gathered() -> pa.RecordBatch:
-            keys, at = np.unique(known.links, return_inverse=True)
-            n = np.zeros(len(keys), np.int64)
-            np.add.at(n, at, np.repeat(times, known.n_links))
-            keys, n = keys[n > 0], n[n > 0]
             return pa.record_batch([pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF), pa.array(n)], names=["a", "b", "n"])
 
-        for batch in text_slices(batches):
-            codes, _ = known.codes(batch.column(0).to_pylist())
-            seen = np.bincount(codes, minlength=len(known.code))
-            seen[: len(times)] += times
-            times = seen
-            if known.full():
+        for batch in text_slices(batches, 8 << 20):
+            some, times = np.unique(_keys(_links(batch.column(1), batch.column(0).to_numpy())), return_counts=True)
+            both, at = np.unique(np.concatenate([keys, some]), return_inverse=True)
+            keys, n, old = both, np.zeros(len(both), np.int64), n
+            np.add.at(n, at, np.concatenate([old, times]))
+            if len(keys) > most:
                 yield gathered()
-                known.forget()
-                times = np.zeros(0, np.int64)
+                keys, n = keys[:0], n[:0]
         yield gathered()
 
-    counted = documents.select("text").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    counted = links.select("n_links", "links").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     # A B id has at most as many pairs as A has ids.
     return counted.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("b")))
 
@@ -181,71 +269,43 @@ def pair_counts(documents: DataFrame, path_a: str, path_b: str, most: int = 1 <<
 def align(documents: DataFrame, path_a: str, path_b: str, most: int = 1 << 18, max_broadcast: int = 1 << 19) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row, for the byte-level tokenizer at path_a and the sentencepiece model at path_b."""
     spark = documents.sparkSession
-    pairs = materialise(pair_counts(documents, path_a, path_b, most), "pairs")
+    links = materialise(linked(documents, path_a, path_b, most), "links")
+    pairs = materialise(pair_counts(links), "pairs")
     # Bounded: max_broadcast pairs, whatever the corpus.
     sent = largest(pairs, "n", max_broadcast).select((F.col("a") * (1 << 32) + F.col("b")).alias("key"), "n", "best").toArrow().sort_by("key")
     common = spark.sparkContext.broadcast(tuple(sent.column(k).to_numpy() for k in range(3)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n, best = common.value
-        known = Units(path_a, path_b, most)
-        sums, bests, asked = (np.zeros(0, np.int64) for _ in range(3))
-        rare = np.zeros(0, bool)
-
-        def look_up() -> None:
-            """Sums over the links of units learnt since, and which links have to be asked for."""
-            nonlocal sums, bests, asked, rare
-            done = len(sums)
-            if done == len(known.n_links):
-                return
-            sizes, links = known.n_links[done:], known.links[len(rare) :]
-            at = np.minimum(np.searchsorted(keys, links), max(len(keys) - 1, 0))
-            found = keys[at] == links if len(keys) else np.zeros(len(links), bool)
-            unit = np.repeat(np.arange(len(sizes)), sizes)
-            add = np.zeros((3, len(sizes)), np.int64)
-            if len(keys):
-                np.add.at(add[0], unit[found], n[at[found]])
-                np.add.at(add[1], unit[found], best[at[found]].astype(np.int64))
-            np.add.at(add[2], unit[~found], 1)
-            sums, bests, asked, rare = (np.concatenate(x) for x in ((sums, add[0]), (bests, add[1]), (asked, add[2]), (rare, ~found)))
-
-        for batch in text_slices(batches):
-            rows = batch.num_rows
-            codes, text = known.codes(batch.column(2).to_pylist())
-            look_up()
-            edge = np.searchsorted(text, np.arange(rows + 1))
+        n, best = np.append(n, 0), np.append(best, False)  # of a link that wasn't sent
+        for batch in text_slices(batches, 4 << 20):
+            sizes = batch.column(1).to_numpy()
+            asked = _keys(_links(batch.column(2), sizes))
+            at = np.searchsorted(keys, asked)
+            found = keys[np.minimum(at, len(keys) - 1)] == asked if len(keys) else np.zeros(len(asked), bool)
+            at = np.where(found, at, len(keys))
+            edge = np.cumsum(np.append(0, sizes))
 
             def total(of: np.ndarray) -> np.ndarray:
-                upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(of[codes])])
+                upto = np.cumsum(np.append(0, of))
                 return upto[edge[1:]] - upto[edge[:-1]]
 
-            groups = list(map(known.groups.__getitem__, codes.tolist()))
-            digests = [hashlib.sha256(";".join(groups[x:y]).encode()).hexdigest() if y > x else "" for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-            few = np.flatnonzero(asked[codes])
-            places = _spread(known.start[codes[few]], known.n_links[codes[few]])
-            row = np.repeat(text[few], known.n_links[codes[few]])[rare[places]]
-            links = known.links[places][rare[places]]
-            base = [total(known.counts[:, k]) for k in range(3)] + [total(x) for x in (known.n_links, bests, sums)]
-            names = ["row_id", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "a", "b"]
-            none = [pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())]
-            yield pa.record_batch([batch.column(0), batch.column(1), *map(pa.array, base), pa.array(digests, pa.string()), *none], names=names)
-            if len(links):
-                empty = [pa.nulls(len(links), pa.int64())] * 7 + [pa.nulls(len(links), pa.string())]
-                yield pa.record_batch([batch.column(0).take(pa.array(row)), *empty, pa.array(links >> 32), pa.array(links & 0xFFFFFFFF)], names=names)
-            if known.full():
-                known.forget()
-                sums, bests, asked = (np.zeros(0, np.int64) for _ in range(3))
-                rare = np.zeros(0, bool)
+            none = [pa.nulls(batch.num_rows, pa.int64())] * 2
+            names = ["row_id", "n_best", "count_sum", "a", "b"]
+            yield pa.record_batch([batch.column(0), pa.array(total(best[at].astype(np.int64))), pa.array(total(n[at])), *none], names=names)
+            if not found.all():
+                row, rare = np.repeat(np.arange(batch.num_rows), sizes)[~found], asked[~found]
+                empty = [pa.nulls(len(rare), pa.int64())] * 2
+                yield pa.record_batch([batch.column(0).take(pa.array(row)), *empty, pa.array(rare >> 32), pa.array(rare & 0xFFFFFFFF)], names=names)
 
-    rows = documents.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "row_id long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, a long, b long"
-    # Written, as row_id joins what is read of it twice.
-    parts = materialise(rows.mapInArrow(run, schema), "aligned")
-    found = parts.where("a is not null").select("row_id", "a", "b").join(pairs, ["a", "b"]).groupBy("row_id").agg(F.sum(F.col("best").cast("long")).alias("more_best"), F.sum("n").alias("more"))
-    out = parts.where("a is null").join(found, "row_id", "left")
-    return out.select(
-        "doc_id", "n_a", "n_b", "n_groups", "n_links", (F.col("n_best") + F.coalesce("more_best", F.lit(0))).alias("n_best"), (F.col("count_sum") + F.coalesce("more", F.lit(0))).alias("count_sum"), "groups_sha256"
-    )
+    parts = links.select("row_id", "n_links", "links").mapInArrow(run, "row_id long, n_best long, count_sum long, a long, b long")
+    if sent.num_rows < pairs.count():
+        parts = materialise(parts, "link-sums")
+        rare = parts.where("a is not null").select("row_id", "a", "b").join(pairs, ["a", "b"]).select("row_id", F.col("best").cast("long").alias("n_best"), F.col("n").alias("count_sum"))
+        parts = parts.where("a is null").select("row_id", "n_best", "count_sum").unionByName(rare)
+    rows = links.select("row_id", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
+    sums = parts.groupBy("row_id").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    return rows.join(sums, "row_id").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 def groups(documents: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -270,8 +330,6 @@ def groups(documents: DataFrame, path_a: str, path_b: str) -> DataFrame:
             kinds = [pa.int64()] * 4 + [ids, ids]
             if rows:
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "group_no", "start", "stop", "a_ids", "b_ids"])
-            if known.full():
-                known.forget()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, group_no long, start long, stop long, a_ids array<long>, b_ids array<long>")
