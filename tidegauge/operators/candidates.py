@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.columns import seconds_between
 from tidegauge.operators.aggregates import STREAM
+from tidegauge.operators.order import place, quantiles
+from tidegauge.operators.pairs import widest_pairs
 from tidegauge.operators.thresholds import gap_ratio, window_coverage
+from tidegauge.tables import materialise
 
 # Which point classes take part.
 VALID = "^[A-Z][A-Za-z0-9_]*$"
@@ -39,14 +42,15 @@ def rank(keys: Sequence[Column | str], *order) -> Column:
 
 def class_caps(points: DataFrame, aggregates: DataFrame, q: float = 0.995, least: int = 100) -> DataFrame:
     """The q-quantile of |mean| for each site and class with at least so many windows."""
-    rows = points.where(usable_class(NO_AGGREGATION)).select(*STREAM, "point_class").join(aggregates.where("mean_value is not null"), STREAM)
-    return rows.groupBy("site_id", "point_class").agg(F.percentile(F.abs("mean_value"), q).alias("max_abs_mean"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+    rows = points.where(usable_class(NO_AGGREGATION)).select(*STREAM, "point_class").join(aggregates.where("mean_value is not null").select(*STREAM, "mean_value"), STREAM)
+    enough = rows.groupBy("site_id", "point_class").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+    return quantiles(rows, ["site_id", "point_class"], F.abs("mean_value"), {"max_abs_mean": q}).join(enough, ["site_id", "point_class"])
 
 
 def supported_windows(points: DataFrame, aggregates: DataFrame, quality: DataFrame, keep: Column, q: float = 0.10) -> DataFrame:
     """Windows of points that `keep` lets in, with enough coverage (the q-quantile over all windows) and a mean under the cap of the class."""
     covered = window_coverage(aggregates, quality)
-    cutoff = covered.agg(F.percentile("window_coverage", q).alias("min_window_coverage"))
+    cutoff = quantiles(covered, [], F.col("window_coverage"), {"min_window_coverage": q})
     rows = points.where(keep & usable_class(NO_AGGREGATION)).join(covered, STREAM).crossJoin(F.broadcast(cutoff))
     rows = rows.where(F.col("window_coverage") >= F.col("min_window_coverage")).join(class_caps(points, aggregates), ["site_id", "point_class"])
     return rows.where(F.abs("mean_value") <= F.col("max_abs_mean"))
@@ -59,7 +63,7 @@ def _window_columns() -> list[str]:
 def mean_lookup(points: DataFrame, weekly: DataFrame, quality: DataFrame, per_site: int = 3000) -> DataFrame:
     """Each stream's first supported week, while the site's rank over all candidate weeks is within per_site."""
     rows = supported_windows(points, weekly, quality, unambiguous())
-    ranked = rows.withColumns({"own": rank(STREAM, "window_start"), "site_rank": rank(["site_id"], "stream_id", "window_start")})
+    ranked = place(rows.withColumn("own", rank(STREAM, "window_start")), ["site_id"], ["stream_id", "window_start"], "site_rank")
     return ranked.where((F.col("own") == 1) & (F.col("site_rank") <= per_site)).select(*_window_columns())
 
 
@@ -67,34 +71,21 @@ def quarter_lookup(points: DataFrame, daily: DataFrame, quality: DataFrame, late
     """Each stream's first (or latest) supported day of every quarter."""
     day = F.col("window_start").desc() if latest else F.col("window_start").asc()
     rows = supported_windows(points, daily, quality, unambiguous())
-    ranked = rows.withColumns({"own": rank([*STREAM, F.quarter("window_start")], day), "site_rank": rank(["site_id"], "stream_id", day)})
+    ranked = place(rows.withColumn("own", rank([*STREAM, F.quarter("window_start")], day)), ["site_id"], ["stream_id", day], "site_rank")
     return ranked.where((F.col("own") == 1) & (F.col("site_rank") <= per_site)).select(*_window_columns())
 
 
 def disambiguation(points: DataFrame, per_site: int = 2000) -> DataFrame:
     """Points of classes with at least two members, larger classes first."""
     sizes = points.where(unambiguous()).groupBy("site_id", "point_class").agg(F.count("*").alias("class_size")).where("class_size >= 2")
-    rows = points.where("candidate_ambiguity = 1").join(sizes, ["site_id", "point_class"]).withColumn("site_rank", rank(["site_id"], F.desc("class_size"), "stream_id"))
+    rows = place(points.where("candidate_ambiguity = 1").join(sizes, ["site_id", "point_class"]), ["site_id"], [F.desc("class_size"), "stream_id"], "site_rank")
     return rows.where(F.col("site_rank") <= per_site).select("site_id", "stream_id", "point_class", "equipment_label", "location_label", "class_size", "site_rank")
 
 
 def pairwise(points: DataFrame, weekly: DataFrame, quality: DataFrame, per_site: int = 2500) -> DataFrame:
-    """Pairs of one class and week on different equipment, of which the means differ by at least the median of the class.
-
-    A hash join on site, class and week with the order of the streams as a further condition; the number of pairs grows with the square of the streams of a
-    class in one week, and AQE splits large weeks.
-    """
+    """Pairs of one class and week on different equipment, of which the means differ by at least the median of the class; pairs under it are counted, not made."""
     rows = supported_windows(points, weekly, quality, unambiguous())
-
-    def side(name: str) -> DataFrame:
-        return rows.select("site_id", "point_class", "window_start", *[F.col(c).alias(f"{name}_{c}") for c in ("stream_id", "equipment_label", "mean_value")])
-
-    both = side("left").join(side("right"), ["site_id", "point_class", "window_start"]).where((F.col("left_stream_id") < F.col("right_stream_id")) & (F.col("left_equipment_label") != F.col("right_equipment_label")))
-    both = both.withColumn("diff_value", F.abs(F.col("left_mean_value") - F.col("right_mean_value")))
-    cut = both.groupBy("site_id", "point_class").agg(F.percentile("diff_value", 0.5).alias("min_gap"))
-    wide = both.join(F.broadcast(cut), ["site_id", "point_class"]).where((F.col("diff_value") > 0) & (F.col("diff_value") >= F.col("min_gap")))
-    order = [F.desc("diff_value"), "point_class", "window_start", "left_stream_id", "right_stream_id"]
-    return wide.withColumn("site_rank", rank(["site_id"], *order)).where(F.col("site_rank") <= per_site)
+    return widest_pairs(rows.withColumn("value", F.col("mean_value")), per_site)
 
 
 def window_rank(points: DataFrame, monthly: DataFrame, quality: DataFrame, least: int = 3, per_site: int = 2000) -> DataFrame:
@@ -105,29 +96,30 @@ def window_rank(points: DataFrame, monthly: DataFrame, quality: DataFrame, least
     group = ["site_id", "location_type", "point_class", "window_start", "window_end"]
     rows = supported_windows(points, monthly, quality, F.col("location_type").isNotNull())
     # A stream has one row a month, so that rows are streams. Groups by start alone decide places, those by start and end how many take part.
-    place = Window.partitionBy("site_id", "location_type", "point_class", "window_start").orderBy(F.desc("mean_value"), "stream_id")
+    by_mean = Window.partitionBy("site_id", "location_type", "point_class", "window_start").orderBy(F.desc("mean_value"), "stream_id")
     sized = rows.withColumn("n_streams", F.count("*").over(Window.partitionBy(*group))).where(F.col("n_streams") >= least)
     led = sized.select(
         *group, "n_streams", "window_coverage", F.col("stream_id").alias("top_stream_id"), F.col("mean_value").alias("top_mean_value"),
-        F.lead("stream_id").over(place).alias("runner_stream_id"), F.lead("mean_value").over(place).alias("runner_mean_value"), F.row_number().over(place).alias("pos"),
+        F.lead("stream_id").over(by_mean).alias("runner_stream_id"), F.lead("mean_value").over(by_mean).alias("runner_mean_value"), F.row_number().over(by_mean).alias("pos"),
     ).where("pos = 1 and runner_stream_id is not null").drop("pos")
     led = led.withColumn("margin_value", F.abs(F.col("top_mean_value") - F.col("runner_mean_value")))
-    cut = led.groupBy("site_id", "location_type", "point_class").agg(F.percentile("margin_value", 0.5).alias("min_margin"))
-    good = led.join(F.broadcast(cut), ["site_id", "location_type", "point_class"]).where((F.col("margin_value") > 0) & (F.col("margin_value") >= F.col("min_margin")))
+    led = materialise(led, "led")
+    cut = quantiles(led, ["site_id", "location_type", "point_class"], F.col("margin_value"), {"min_margin": 0.5})
+    good = led.join(cut, ["site_id", "location_type", "point_class"]).where((F.col("margin_value") > 0) & (F.col("margin_value") >= F.col("min_margin")))
     order = [F.desc("n_streams"), F.desc("margin_value"), "location_type", "point_class", "window_start", "top_stream_id", "runner_stream_id"]
-    return good.withColumn("site_rank", rank(["site_id"], *order)).where(F.col("site_rank") <= per_site)
+    return place(good, ["site_id"], order, "site_rank").where(F.col("site_rank") <= per_site)
 
 
 def timestamp_points(points: DataFrame, quality: DataFrame, positive_step: bool, per_site: int = 1200) -> DataFrame:
     rows = points.where(unambiguous(NO_TIMESTAMP)).join(quality.select(*STREAM, "median_step_seconds", "duplicate_timestamp_fraction"), STREAM)
     rows = rows.where(F.coalesce("duplicate_timestamp_fraction", F.lit(0.0)) == 0.0)
     rows = rows.where("median_step_seconds > 0") if positive_step else rows
-    return rows.withColumn("site_rank", rank(["site_id"], "point_class", "stream_id")).where(F.col("site_rank") <= per_site)
+    return place(rows, ["site_id"], ["point_class", "stream_id"], "site_rank").where(F.col("site_rank") <= per_site)
 
 
 def _capped(rows: DataFrame, cap: int) -> DataFrame:
     """The first `cap` rows of a site in the order of class and stream."""
-    return rows.withColumn("n", rank(["site_id"], "point_class", "stream_id")).where(F.col("n") <= cap).drop("n")
+    return place(rows, ["site_id"], ["point_class", "stream_id"], "n").where(F.col("n") <= cap).drop("n")
 
 
 def timestamp_value(points: DataFrame, quality: DataFrame, obs: DataFrame, cap: int = 180, least: int = 3) -> DataFrame:
@@ -159,7 +151,7 @@ def quality_gate(points: DataFrame, weekly: DataFrame, quality: DataFrame, windo
     """
     covered = window_coverage(weekly, quality)
     rows = points.where(unambiguous(NO_QUALITY)).select(*STREAM, "point_class").join(covered.select(*STREAM, "window_start", "window_end", "window_coverage"), STREAM)
-    ranked = rows.withColumns({"own": rank(STREAM, "window_start"), "site_rank": rank(["site_id"], "point_class", "stream_id", "window_start")})
+    ranked = place(rows.withColumn("own", rank(STREAM, "window_start")), ["site_id"], ["point_class", "stream_id", "window_start"], "site_rank")
     sample = ranked.where(((F.col("own") <= 8) | (F.col("own").between(17, 97) & ((F.col("own") - 17) % 8 == 0))) & (F.col("site_rank") <= per_site))
     metrics = window_quality.select(*STREAM, "window_start", "n_points", "observed_fraction", gap_ratio().alias("gap_ratio"), "duplicate_timestamp_fraction", "nan_fraction")
     judged = sample.join(metrics, [*STREAM, "window_start"]).where("observed_fraction is not null and n_points >= 2").crossJoin(F.broadcast(thresholds))
@@ -167,8 +159,8 @@ def quality_gate(points: DataFrame, weekly: DataFrame, quality: DataFrame, windo
     judged = judged.select("site_id", "stream_id", "point_class", "window_start", "observed_fraction", "gap_ratio", decision.alias("d")).where("d is not null")
     judged = judged.select("*", F.col("d.decision").alias("decision"), F.col("d.reason").alias("reason")).drop("d")
     # Taking turns: the k-th bad before the k-th good; 'abstain' comes before 'answer'.
-    judged = judged.withColumn("turn", rank(["site_id", "decision"], "point_class", "stream_id", "window_start"))
-    return judged.withColumn("place", rank(["site_id"], "turn", "decision"))
+    judged = place(judged, ["site_id", "decision"], ["point_class", "stream_id", "window_start"], "turn")
+    return place(judged, ["site_id"], ["turn", "decision"], "place")
 
 
 def gate_decision() -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.operators.order import place
+
 
 def unique_points(summary: DataFrame, keys: list[str]) -> DataFrame:
     """Streams whose key no other stream has, as a semi-join."""
@@ -18,8 +20,8 @@ def metadata_only(inventory: DataFrame, summary: DataFrame) -> DataFrame:
 
 def numbered(rows: DataFrame, order: list[str], splits: int = 5) -> DataFrame:
     """ordinal from 0 within the site, and a split: every fifth row of a site is dev, every fifth but one test."""
-    k = F.row_number().over(Window.partitionBy("site_id").orderBy(*order)) - 1
-    return rows.withColumn("ordinal", k).withColumn("split", F.when(k % splits == splits - 1, "dev").when(k % splits == splits - 2, "test").otherwise("train"))
+    k = F.col("ordinal")
+    return place(rows, ["site_id"], order, "ordinal").withColumn("ordinal", k - 1).withColumn("split", F.when(k % splits == splits - 1, "dev").when(k % splits == splits - 2, "test").otherwise("train"))
 
 
 def point_extrema(summary: DataFrame, order: list[str]) -> DataFrame:
@@ -46,5 +48,4 @@ def neighbours(summary: DataFrame, groups: list[str], metric: str, margin: float
 
 def every_nth(rows: DataFrame, order: list[str], n: int, cap: int) -> DataFrame:
     """Every n-th row in order, from the first on, at most cap of them."""
-    k = F.row_number().over(Window.partitionBy("site_id").orderBy(*order))
-    return rows.withColumn("_k", k).where((F.col("_k") % n == 1) & (F.col("_k") <= n * cap)).drop("_k")
+    return place(rows, ["site_id"], order, "_k").where((F.col("_k") % n == 1) & (F.col("_k") <= n * cap)).drop("_k")

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.operators.order import place, running_total
 
-def with_split(rows: DataFrame, order: list, held_out: str) -> DataFrame:
-    """test for held-out rows; of the others every fifth is dev. The count runs over all of them, also those that are not selected later.
 
-    The running count needs one order over all candidates: callers bound them (ranks within sites) before.
-    """
-    seen = F.sum(F.when(F.expr(held_out), 0).otherwise(1)).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("split", F.when(F.expr(held_out), "test").when((seen - 1) % 5 == 4, "dev").otherwise("train"))
+def with_split(rows: DataFrame, order: list, held_out: str) -> DataFrame:
+    """test for held-out rows; of the others every fifth is dev. The count runs over all of them, also those that are not selected later."""
+    counted = running_total(rows, [], order, F.when(F.expr(held_out), 0).otherwise(1), "_seen")
+    return counted.withColumn("split", F.when(F.expr(held_out), "test").when((F.col("_seen") - 1) % 5 == 4, "dev").otherwise("train")).drop("_seen")
 
 
 def take_by_split(rows: DataFrame, order: list, held_out: str, balance: list[str], targets: dict[str, int], caps: dict[str, int]) -> DataFrame:
@@ -22,8 +21,8 @@ def take_by_split(rows: DataFrame, order: list, held_out: str, balance: list[str
     def limit(values: dict[str, int]):
         return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("split"))
 
-    capped = split.withColumn("_k", F.row_number().over(Window.partitionBy("split", *balance).orderBy(*order))).where(F.col("_k") <= limit(caps)).drop("_k")
-    return capped.withColumn("ordinal", F.row_number().over(Window.partitionBy("split").orderBy(*order))).where(F.col("ordinal") <= limit(targets))
+    capped = place(split, ["split", *balance], order, "_k").where(F.col("_k") <= limit(caps)).drop("_k")
+    return place(capped, ["split"], order, "ordinal").where(F.col("ordinal") <= limit(targets))
 
 
 def identity_problems(candidates: DataFrame, contract: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.columns import seconds_between, week_tue
 from tidegauge.operators.aggregates import STREAM, quality
+from tidegauge.operators.order import place, quantiles, running_total
 
 
 def gap_ratio() -> Column:
@@ -23,9 +24,9 @@ def window_coverage(aggregates: DataFrame, stream_quality: DataFrame) -> DataFra
 
 def quality_reference(stream_quality: DataFrame, digits: int = 4) -> DataFrame:
     """One row: abstain and answer thresholds of coverage (p10, p75) and gap ratio (p95, p50) over all streams."""
-    q = F.percentile("observed_fraction", F.array(F.lit(0.10), F.lit(0.75)))
-    g = F.percentile(gap_ratio(), F.array(F.lit(0.50), F.lit(0.95)))
-    return _thresholds(stream_quality.agg(q.alias("q"), g.alias("g")), digits)
+    q = quantiles(stream_quality, [], F.col("observed_fraction"), {"low": 0.10, "high": 0.75}).select(F.array("low", "high").alias("q"))
+    g = quantiles(stream_quality, [], gap_ratio(), {"mid": 0.50, "long": 0.95}).select(F.array("mid", "long").alias("g"))
+    return _thresholds(q.crossJoin(F.broadcast(g)), digits)
 
 
 def _thresholds(row: DataFrame, digits: int) -> DataFrame:
@@ -47,14 +48,14 @@ def window_reference_week(windows: DataFrame, digits: int = 4, per_stream: int =
 
     The sampling is the feature: it is the rule by which the thresholds are defined. windows: week_quality rows.
     """
-    site = Window.partitionBy("site_id").orderBy("stream_id", "window_start")
     stream = Window.partitionBy(*STREAM).orderBy("window_start")
-    ranked = windows.select("*", F.row_number().over(stream).alias("k"), F.row_number().over(site).alias("s"), gap_ratio().alias("ratio"))
-    sample = ranked.where((F.col("k") <= per_stream) & (F.col("s") <= per_site))
-    # At most per_site rows of each site come here, so one ordered pass over them is bounded.
-    before = Window.orderBy("site_id", "stream_id", "window_start").rowsBetween(Window.unboundedPreceding, -1)
-    seen = sample.select("observed_fraction", "ratio", F.least(F.count("observed_fraction").over(before), F.count("ratio").over(before)).alias("seen"))
-    used = seen.where(F.col("seen") < enough)
+    order = ["site_id", "stream_id", "window_start"]
+    ranked = place(windows.select("*", F.row_number().over(stream).alias("k"), gap_ratio().alias("ratio")), ["site_id"], order[1:], "s")
+    sample = ranked.where((F.col("k") <= per_stream) & (F.col("s") <= per_site)).select(*order, "observed_fraction", "ratio")
+    ok, known = F.col("observed_fraction").isNotNull().cast("int"), F.col("ratio").isNotNull().cast("int")
+    seen = running_total(running_total(sample, [], order, ok, "n_observed"), [], order, known, "n_ratio")
+    # What rows before this one have.
+    used = seen.where(F.least(F.col("n_observed") - ok, F.col("n_ratio") - known) < enough)
     q = F.percentile("observed_fraction", F.array(F.lit(0.10), F.lit(0.75)))
     g = F.percentile("ratio", F.array(F.lit(0.50), F.lit(0.85)))
     return _thresholds(used.agg(q.alias("q"), g.alias("g")), digits)
@@ -62,6 +63,6 @@ def window_reference_week(windows: DataFrame, digits: int = 4, per_stream: int =
 
 def window_reference_from_coverage(covered: DataFrame, reference: DataFrame, digits: int = 4) -> DataFrame:
     """Day and month thresholds: coverage from the aggregates, gap thresholds from all streams."""
-    q = covered.agg(F.percentile("window_coverage", F.array(F.lit(0.10), F.lit(0.75))).alias("q"))
-    row = q.select(F.round(F.col("q")[0], digits).alias("abstain_observed_fraction_below"), F.round(F.col("q")[1], digits).alias("answer_observed_fraction_at_least"))
+    q = quantiles(covered, [], F.col("window_coverage"), {"low": 0.10, "high": 0.75})
+    row = q.select(F.round("low", digits).alias("abstain_observed_fraction_below"), F.round("high", digits).alias("answer_observed_fraction_at_least"))
     return row.crossJoin(F.broadcast(reference.select("answer_gap_ratio_at_most", "abstain_gap_ratio_above")))

@@ -11,6 +11,7 @@ from tidegauge.operators import selection as S
 from tidegauge.operators import thresholds as T
 from tidegauge.plans import views as V
 from tidegauge.plans.registry import query
+from tidegauge.tables import materialise
 
 
 def points(spark, d):
@@ -18,13 +19,13 @@ def points(spark, d):
 
 
 def coarse(spark, d, period):
-    """(points, aggregates, quality) of the coarse observations."""
+    """(points, aggregates, quality) of the coarse observations; the latter two are written, as several steps of a query read them."""
     obs = V.obs_coarse(spark, d)
-    return points(spark, d), A.summarize(obs, period), A.quality(obs)
+    return points(spark, d), materialise(A.summarize(obs, period), period), materialise(A.quality(obs), "quality")
 
 
 RATIO = "longest_gap_seconds / nullif(median_step_seconds, 0)"
-USABLE = "point_class <> 'Point' AND regexp_matches(point_class, '^[A-Z][A-Za-z0-9_]*$') AND regexp_matches(point_class, '(_Sensor|_Setpoint|_Limit)$') AND NOT regexp_matches(point_class, '{}')"
+USABLE = f"point_class <> 'Point' AND regexp_matches(point_class, '{C.VALID}') AND regexp_matches(point_class, '{C.COMPATIBLE}') AND NOT regexp_matches(point_class, '{{}}')"
 AGG = USABLE.format(C.NO_AGGREGATION)
 
 V.CTES["points"] = "SELECT *, count(*) OVER (PARTITION BY site_id, point_class, equipment_label, location_label) AS candidate_ambiguity FROM inventory"
@@ -46,7 +47,7 @@ COLUMNS = "site_id, stream_id, point_class, equipment_label, location_label, win
     round(quantile_cont({RATIO}, 0.50), 4) AS answer_gap_ratio_at_most, round(quantile_cont({RATIO}, 0.95), 4) AS abstain_gap_ratio_above FROM fine_quality""",
 )
 def quality_thresholds(spark, d):
-    return T.quality_reference(A.quality(V.obs_fine(spark, d)))
+    return T.quality_reference(materialise(A.quality(V.obs_fine(spark, d)), "quality"))
 
 
 @query("window_coverage", "SELECT * FROM cover_week")
@@ -204,7 +205,7 @@ V.CTES["gate"] = f"""SELECT * FROM (SELECT site_id, stream_id, point_class, wind
 )
 def candidates_quality_gate(spark, d):
     p, weekly, quality = coarse(spark, d, "week")
-    windows = T.week_quality(V.obs_coarse(spark, d))
+    windows = materialise(T.week_quality(V.obs_coarse(spark, d)), "week-quality")
     return C.quality_gate(p, weekly, quality, windows, T.window_reference_week(windows))
 
 
