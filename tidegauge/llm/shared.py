@@ -1,50 +1,13 @@
-"""Intermediate tables in the folder that all executors share."""
+"""What several operators share: intermediate tables, frequent rows, joins with hot keys."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.tables import materialise, release, shared_folder, small_enough
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Where it is unset: on one machine a folder of this process that goes when it ends, on a cluster one in the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if re.match(r"local(\[|$)", spark.sparkContext.master):
-            found = tempfile.mkdtemp(prefix="tidegauge-")
-            atexit.register(shutil.rmtree, found, ignore_errors=True)
-        else:
-            found = f"{spark.conf.get('spark.sql.warehouse.dir')}/tidegauge-{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-#: Folders that materialise() has written and release() not yet removed.
-_WRITTEN: list[str] = []
-
-
-def release(spark: SparkSession) -> None:
-    """Remove all tables that materialise() has written; for callers that know that no result still to be computed reads them."""
-    jvm = spark.sparkContext._jvm
-    for path in _WRITTEN:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _WRITTEN.clear()
-
-
-def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["join_spread", "largest", "materialise", "release", "shared_folder", "small_enough"]
 
 
 def largest(df: DataFrame, column: str, most: int) -> DataFrame:
@@ -66,8 +29,3 @@ def join_spread(rows: DataFrame, counted: DataFrame, keys: list[str], n: str = "
     total = counted.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
     hot, cold = F.broadcast(counted.where(F.col(n) * parts > total)), counted.where(F.col(n) * parts <= total)
     return rows.join(hot, keys, "left_anti").join(cold, keys).unionByName(rows.join(hot, keys))
-
-
-def small_enough(df: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """df, a few columns of numbers of a written table, marked for broadcast if it has at most `most` rows; more of them are joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= most else df
