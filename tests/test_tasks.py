@@ -49,7 +49,9 @@ def test_names_in_words(spark):
 def test_json_values(spark):
     assert value(spark, X.ids_in("j"), j='{"stream_id": "a", "x": [{"stream_id":"b"}], "other_stream_id": "c", "stream_id": 3}') == ["a", "b"]
     assert value(spark, X.numbers_in("j"), j="x1 has 2.5 and -3, v_4") == [2.5, -3.0]
-    assert value(spark, X.clean_json("a", "b"), a="NaN", b="x") == '{"b":"x"}'
+    assert value(spark, X.ids_in("j"), j='{"stream_id": "a\\"b"}') == ['a"b']
+    rows = spark.createDataFrame([(float("nan"), "NaN", 1.5, None)], "a double, b string, c double, d string")
+    assert X.clean_json(rows, "a", "b", "c", "d").first()["json"] == '{"b":"NaN","c":1.5}'
 
 
 def test_call_sequences(spark):

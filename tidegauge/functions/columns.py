@@ -159,9 +159,17 @@ def iso_text(ts: Column | str) -> Column:
     return F.when(micros == "000000", plain).otherwise(F.concat(plain, F.lit("."), micros))
 
 
+def instant(x: Column | str) -> Column:
+    """The instant that a text names, in any format that Spark parses; without a zone it is in UTC, whatever the session's. Null for rubbish."""
+    t = F.trim(col(x))
+    day = F.concat(t, F.lit("T00:00:00Z"))
+    minutes = t.rlike(r"[T ]\d\d?:\d\d?$")
+    return F.try_to_timestamp(F.when(t.rlike(r"^\d{4}-\d\d?-\d\d?$"), day).when(minutes, F.concat(t, F.lit(":00Z"))).when(t.rlike(r"(?i)\d(z|utc|[+-]\d\d(:?\d\d)?)$") & t.rlike("[T ]"), t).otherwise(F.concat(t, F.lit("Z"))))
+
+
 def same_instant(a: Column | str, b: Column | str) -> Column:
-    """Whether two texts name one instant, in any format that Spark parses; null and rubbish are never equal."""
-    return F.coalesce(F.try_to_timestamp(col(a)) == F.try_to_timestamp(col(b)), F.lit(False))
+    """Whether two texts name one instant; null and rubbish are never equal."""
+    return F.coalesce(instant(a) == instant(b), F.lit(False))
 
 
 # ---- numbers

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.columns import col, normalize_text
@@ -128,8 +128,9 @@ def ordinal_of(x: Column | str) -> Column:
 
 
 def ids_in(json: Column | str, key: str = "stream_id") -> Column:
-    """Text values of the key at any depth, in order of the text."""
-    return F.regexp_extract_all(col(json), F.lit(rf'"{key}"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    """Text values of the key at any depth, in order of the text, without their escapes."""
+    found = F.regexp_extract_all(col(json), F.lit(rf'[{{,]\s*"{key}"\s*:\s*("(?:[^"\\]|\\.)*")'), F.lit(1))
+    return F.transform(found, lambda x: F.try_variant_get(F.try_parse_json(x), "$", "string"))
 
 
 def numbers_in(text: Column | str) -> Column:
@@ -145,14 +146,15 @@ def call_key(tool: Column | str, arguments: Column | str) -> Column:
     return F.to_json(F.struct(col(tool).alias("tool"), F.array_sort(F.map_entries(col(arguments))).alias("arguments")))
 
 
-def clean_json(*fields: str) -> Column:
-    """The fields as JSON; null fields are left out, and so are numbers that aren't finite."""
+def clean_json(rows: DataFrame, *fields: str, name: str = "json") -> DataFrame:
+    """rows with their fields as JSON; null fields are left out, and so are numbers that aren't finite. Texts stay, whatever they read as."""
+    kinds = dict(rows.dtypes)
+
     def clean(f: str) -> Column:
-        v = col(f)
-        bad = v.try_cast("double")
-        return F.when(F.isnan(bad) | (F.abs(bad) == float("inf")), None).otherwise(v).alias(f)
+        v = F.col(f)
+        return F.when(~(F.isnan(v) | (F.abs(v) == float("inf"))), v).alias(f) if kinds[f] in ("double", "float") else v
 
-    return F.to_json(F.struct(*map(clean, fields)))
+    return rows.withColumn(name, F.to_json(F.struct(*map(clean, fields))))
 
 
 def time_anchor(observed: Column, requested: Column, gold_start: Column, call_start: Column, first: Column) -> Column:

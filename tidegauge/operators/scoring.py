@@ -10,16 +10,16 @@ from tidegauge.operators.asof import nearest
 
 
 def structured(rows: DataFrame, fields: dict[str, float | None]) -> DataFrame:
-    """rows with gold_<f> and pred_<f>: how many fields are missing, wrong, and right of all. A tolerance makes a field a number, None a category.
+    """rows with gold_<f> and pred_<f>: how many fields are missing, wrong, and right of all. A tolerance makes a field a number, None an exact value.
 
-    A field without a gold value is not checked.
+    Every field is checked, with or without a gold value; one that isn't given is wrong.
     """
     checks = []
     for f, tolerance in fields.items():
         gold, pred = F.col(f"gold_{f}"), F.col(f"pred_{f}")
-        good = within(gold, pred, tolerance) if tolerance is not None else F.coalesce(F.lower(gold) == F.lower(pred), F.lit(False))
-        checks.append(F.when(gold.isNotNull(), F.struct(F.lit(f).alias("field"), pred.isNull().alias("missing"), good.alias("good"))))
-    c = F.filter(F.array(*checks), lambda x: x.isNotNull())
+        good = within(gold, pred, tolerance) if tolerance is not None else F.coalesce(gold == pred, F.lit(False))
+        checks.append(F.struct(F.lit(f).alias("field"), pred.isNull().alias("missing"), good.alias("good")))
+    c = F.array(*checks)
     total = F.size(c)
     right = F.size(F.filter(c, lambda x: x["good"]))
     return rows.withColumns({
@@ -30,15 +30,15 @@ def structured(rows: DataFrame, fields: dict[str, float | None]) -> DataFrame:
 
 
 def recall(required: Column, given: Column) -> Column:
-    """Share of required items that are given; 1 where nothing is required."""
-    n = F.size(F.array_distinct(required))
-    return F.when(n == 0, 1.0).otherwise(F.size(F.array_intersect(required, F.coalesce(given, F.array().cast("array<string>")))) / n)
+    """Share of required items, repeats counted, that are given; 1 where nothing is required."""
+    n, there = F.size(required), F.coalesce(given, F.array().cast("array<string>"))
+    return F.when(n == 0, 1.0).otherwise(F.size(F.filter(required, lambda x: F.array_contains(there, x))) / n)
 
 
-def sequence_match(gold: Column, given: Column) -> Column:
-    """Share of places at which two sequences agree, of the longer one's length."""
-    n = F.greatest(F.size(gold), F.size(given))
-    same = F.size(F.filter(F.arrays_zip(gold.alias("g"), given.alias("p")), lambda x: x["g"] == x["p"]))
+def sequence_match(gold: Column, given: Column, equal=lambda g, p: g == p) -> Column:
+    """Share of a gold sequence's places at which the given one agrees; 1 for an empty one. What is given beyond it doesn't count."""
+    n = F.size(gold)
+    same = F.size(F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(equal(F.get(gold, i), F.get(given, i)), F.lit(False))))
     return F.when(n == 0, 1.0).otherwise(same / n)
 
 
@@ -69,15 +69,21 @@ def temporal_best(requirements: DataFrame, calls: DataFrame, ignored: tuple[str,
 
 
 def relaxed_windows(obs: DataFrame, golds: DataFrame) -> DataFrame:
-    """task_id, stream_id, label, window_start, window_end that count as the gold window (task_id, stream_id, window_start, window_end).
+    """task_id, stream_id, label, window_start, window_end that count as a gold window (task_id, stream_id, window_start, window_end).
 
-    The window itself, then its ends moved to the nearest observations, or its start with the same length; equal ones keep the first label.
+    The window itself, then its ends moved to the stream's nearest observations, or its start with the same length; equal ones keep the first label. A task may have several
+    streams and windows.
     """
-    sides = golds.select("stream_id", "task_id", F.posexplode(F.array("window_start", "window_end")).alias("side", "probe_ts"))
-    asked = sides.withColumn("probe_id", F.xxhash64("task_id", "stream_id", "side"))
-    near = nearest(obs, asked).join(asked.select("probe_id", "task_id", "side"), "probe_id").groupBy("task_id")
-    ends = near.agg(F.max(F.when(F.col("side") == 0, F.col("observed_ts"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("observed_ts"))).alias("b"))
-    rows = golds.join(ends, "task_id", "left")
+    probe = F.explode(F.array("window_start", "window_end")).alias("probe_ts")
+    asked = golds.select("stream_id", probe).distinct().withColumn("probe_id", F.xxhash64("stream_id", "probe_ts"))
+    # Of the other streams nothing is asked.
+    near = nearest(obs.join(asked.select("stream_id").distinct(), "stream_id", "left_semi"), asked)
+    at = near.groupBy("stream_id", "probe_ts").agg(F.max("observed_ts").alias("near"))
+
+    def side(name: str, column: str) -> DataFrame:
+        return at.select("stream_id", F.col("probe_ts").alias(column), F.col("near").alias(name))
+
+    rows = golds.join(side("a", "window_start"), ["stream_id", "window_start"], "left").join(side("b", "window_end"), ["stream_id", "window_end"], "left")
     s, e, a, b = (F.col(x) for x in ("window_start", "window_end", "a", "b"))
     ways = [("exact", s, e), ("exact_start_nearest_end", s, b), ("nearest_start_fixed_duration", a, a + (e - s)), ("nearest_start_nearest_end", a, b)]
     tries = F.array(*[F.struct(F.lit(name).alias("label"), x.alias("window_start"), y.alias("window_end")) for name, x, y in ways])

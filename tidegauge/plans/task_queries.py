@@ -189,15 +189,18 @@ def score_temporal_variants(spark, d):
 
 @query(
     "relaxed_windows",
-    """SELECT task_id, count(*) AS n, min(window_start) AS earliest, max(window_end) AS latest FROM (SELECT DISTINCT task_id, window_start, window_end FROM (
-      SELECT task_id, unnest([a, a, x, x]) AS window_start, unnest([b, y, x + (b - a), y]) AS window_end FROM (SELECT w.*, (SELECT arg_min(ts, struct_pack(p := abs(date_diff('microsecond', ts, a)), q := ts)) FROM obs_fine o WHERE o.stream_id = w.stream_id AND value IS NOT NULL) AS x,
+    """SELECT task_id, count(*) AS n, min(window_start) AS earliest, max(window_end) AS latest, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT task_id, window_start, window_end, arg_min(w.label, w.k) AS label FROM (
+      SELECT task_id, w, w.s AS window_start, w.e AS window_end FROM (SELECT task_id, unnest([struct_pack(k := 1, label := 'exact', s := a, e := b), struct_pack(k := 2, label := 'exact_start_nearest_end', s := a, e := y),
+        struct_pack(k := 3, label := 'nearest_start_fixed_duration', s := x, e := x + (b - a)), struct_pack(k := 4, label := 'nearest_start_nearest_end', s := x, e := y)]) AS w
+      FROM (SELECT w.*, (SELECT arg_min(ts, struct_pack(p := abs(date_diff('microsecond', ts, a)), q := ts)) FROM obs_fine o WHERE o.stream_id = w.stream_id AND value IS NOT NULL) AS x,
         (SELECT arg_min(ts, struct_pack(p := abs(date_diff('microsecond', ts, b)), q := ts)) FROM obs_fine o WHERE o.stream_id = w.stream_id AND value IS NOT NULL) AS y
-        FROM (SELECT stream_id || '@' || strftime(window_start, '%Y%m%d') AS task_id, stream_id, window_start AS a, window_start + INTERVAL 7 DAY AS b FROM fine_week) w)) WHERE window_end > window_start) GROUP BY 1""",
+        FROM (SELECT stream_id || '@' || strftime(window_start, '%Y%m%d') AS task_id, stream_id, window_start AS a, window_start + INTERVAL 7 DAY AS b FROM fine_week) w)))
+      WHERE window_end > window_start GROUP BY 1, 2, 3) GROUP BY 1""",
 )
 def relaxed_windows(spark, d):
     obs = V.obs_fine(spark, d)
     golds = A.summarize(obs, "week").select(F.concat_ws("@", "stream_id", F.date_format("window_start", "yyyyMMdd")).alias("task_id"), "stream_id", "window_start", (F.col("window_start") + F.make_dt_interval(F.lit(7))).alias("window_end"))
-    return scoring.relaxed_windows(obs, golds).groupBy("task_id").agg(F.count("*").alias("n"), F.min("window_start").alias("earliest"), F.max("window_end").alias("latest"))
+    return scoring.relaxed_windows(obs, golds).groupBy("task_id").agg(F.count("*").alias("n"), F.min("window_start").alias("earliest"), F.max("window_end").alias("latest"), F.array_join(F.array_sort(F.collect_list("label")), ",").alias("labels"))
 
 
 @query(
