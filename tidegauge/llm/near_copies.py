@@ -8,8 +8,8 @@
    on their exact shingle sets. A variant with n members costs n pairs a round, never all of them.
 4. Fingerprints only save work; what they leave apart meets in an exact join. Each document has the first shingles of its set in the order of their hashes, `least` more than a
    single common one would need, so that of these a similar pair shares at least `least` (all, where it needs fewer). Among them each document's most frequent ones can
-   again be left out, as many as must be shared less one; what stays is joined, and pairs of different components are compared: by how many of these they share, then on all
-   their first shingles, then on whole sets.
+   again be left out, as many as must be shared less one; what stays is joined, and pairs of different components are compared: by the parity maps of their whole sets while they
+   are joined, which differ in no more bits than the sets in shingles, by how many of these they share, then on all their first shingles, then on whole sets.
 5. Components of verified links; the smallest doc_id of each group stays.
 
 The groups are those of brute force: every pair of the similarity or more is in one group, and no pair under it is linked.
@@ -88,7 +88,16 @@ def needed(size: Column, similarity: float) -> Column:
     return F.ceil(F.lit(similarity) * size - 1e-9)
 
 
-PRINTS = "doc_id long, text_key long, class1 long, class2 long, fp0 long, fp1 long, size int, prefix array<long>"
+PRINTS = "doc_id long, text_key long, class1 long, class2 long, fp0 long, fp1 long, size int, prefix array<long>, parity array<long>"
+
+#: Longs of a parity map. Two sets' maps differ in at most as many bits as there are shingles in only one of them.
+PARITY = 8
+
+
+def parity_map(own: np.ndarray) -> np.ndarray:
+    """For each cell of a hash of the shingles, whether an odd number of them falls in it."""
+    odd = np.bincount((own % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def with_keys(documents: DataFrame) -> DataFrame:
@@ -115,14 +124,16 @@ def prints(documents: DataFrame, weights: np.ndarray, similarity: float, width:
                 heads = np.flatnonzero(np.diff(owner, prepend=-1))
                 sums[owner[heads]] += np.add.reduceat(signs, heads, axis=0)
             halves = np.packbits(sums > 0, axis=1).view(np.int64)
-            sizes, firsts = [], []
+            sizes, firsts, maps = [], [], [np.zeros(0, np.int64)]
             for own in shingle_sets(words, bounds, width):
                 need = int(np.ceil(similarity * len(own) - 1e-9))
                 sizes.append(len(own))
+                maps.append(parity_map(own))
                 firsts.append(own[: len(own) - need + min(least, need)].view(np.int64))
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in firsts])]), pa.int32())
             prefix = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
-            columns = [batch.column(0), batch.column(1), *class_names(words, bounds), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int32()), prefix]
+            parity = pa.ListArray.from_arrays(pa.array(np.arange(len(maps)) * PARITY, pa.int32()), pa.array(np.concatenate(maps)))
+            columns = [batch.column(0), batch.column(1), *class_names(words, bounds), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int32()), prefix, parity]
             yield pa.record_batch(columns, names=[x.split()[0] for x in PRINTS.split(", ")])
 
     return with_keys(documents).mapInArrow(run, PRINTS)
@@ -184,7 +195,7 @@ def across(reps: DataFrame, grouped: DataFrame, similarity: float, least: int) -
     to share, less what can stand after the first ones; at most must - 1 of these were left out.
     """
     need = needed(F.col("size"), similarity)
-    sized = reps.select("class1", "size", (need - F.least(F.lit(least), need)).cast("int").alias("after"), F.least(F.lit(least), needed(F.col("size"), similarity * similarity)).cast("int").alias("must"), "prefix")
+    sized = reps.select("class1", "size", "parity", (need - F.least(F.lit(least), need)).cast("int").alias("after"), F.least(F.lit(least), needed(F.col("size"), similarity * similarity)).cast("int").alias("must"), "prefix")
     rows = sized.select("class1", "size", "after", "must", F.explode("prefix").alias("shingle"))
     counts = materialise(rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "first-shingles")
     rows = join_spread(rows.select("class1", "shingle"), counts, ["shingle"])
@@ -195,9 +206,12 @@ def across(reps: DataFrame, grouped: DataFrame, similarity: float, least: int) -
     own = Window.partitionBy("class1")
     place = F.row_number().over(own.orderBy("n", "shingle"))
     rare = rows.withColumn("place", place).withColumn("own", F.count("*").over(own)).where("place <= own - must + 1")
-    rare = materialise(rare.select("shingle", "class1", "component", "size", "after", "must"), "first-rare")
-    left, right = (rare.select("shingle", *[F.col(c).alias(x + n) for c, n in (("class1", ""), ("component", "_of"), ("size", "_size"), ("after", "_after"), ("must", "_must"))]) for x in "ab")
+    rare = materialise(rare.select("shingle", "class1", "component", "size", "after", "must", "parity"), "first-rare")
+    left, right = (rare.select("shingle", *[F.col(c).alias(x + n) for c, n in (("class1", ""), ("component", "_of"), ("size", "_size"), ("after", "_after"), ("must", "_must"), ("parity", "_parity"))]) for x in "ab")
     close = F.least("a_size", "b_size") >= F.lit(similarity) * F.greatest("a_size", "b_size") - 1e-9
+    # A similar pair has at most this share of both sizes in only one of the sets, so that its parity maps can't differ in more bits.
+    apart = sum(F.bit_count(F.get("a_parity", F.lit(k)).bitwiseXOR(F.get("b_parity", F.lit(k)))) for k in range(PARITY))
+    close = close & (apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("a_size") + F.col("b_size")) + 1e-9)
     enough = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("a_size") + F.col("b_size")) - 1e-9) - F.greatest("a_after", "b_after")
     pairs = left.join(right, "shingle").where((F.col("a_of") < F.col("b_of")) & close).select("a", "b", enough.alias("enough"), (F.greatest("a_must", "b_must") - 1).alias("out"))
     pairs = materialise(pairs.groupBy("a", "b", "enough", "out").agg(F.count("*").alias("n")).where("n + out >= enough").select("a", "b", "enough"), "pairs")
