@@ -394,6 +394,16 @@ def test_decontamination_of_long_texts_by_shuffle(spark):
     assert both[0] == both[1] and {r[:2] for r in both[0]} == {(1, 1), (2, 1), (None, 1)}
 
 
+def test_decontamination_counts_repeated_rows_alike_both_ways(spark):
+    item = [f"i{k}" for k in range(30)]
+    passage = [x if k % 7 else f"s{k}" for k, x in enumerate(item)]
+    texts = spark.createDataFrame([(1, " ".join(passage))] * 3 + [(2, " ".join(item)), (None, " ".join(item[:20]))], "doc_id bigint, text string")
+    for items in ([(1, " ".join(item))], [(1, " ".join(item))] * 2):
+        table = spark.createDataFrame(items, "item_id bigint, text string")
+        both = [rows(decontamination.contaminated(texts, table, max_broadcast_words=most), "doc_id", "item_id", "n_hits", "first_word", "similarity") for most in (500_000, 0)]
+        assert both[0] == both[1] and len(both[0]) == 3
+
+
 def test_decontamination_by_any_window(spark):
     """Brute force over all aligned windows of 16, with passages of 16 words and three or fewer substitutions inside longer items and documents."""
     rng = np.random.default_rng(11)

@@ -56,10 +56,9 @@ def seed_hits(documents: DataFrame, items: DataFrame, masks: tuple[tuple[int, ..
     """doc_id, item_id, at, j of every hit, words and item as slices around it, and both sizes; by a shuffle join of bare seeds."""
     at = seeds(documents, masks).where("seed is not null").select("doc_id", "doc_id_key", "at", "seed", F.pmod(F.hash("doc_id_key", "at"), F.lit(salts)).alias("salt"))
     tested = seeds(items, masks).where("seed is not null").select("item_id", "item_id_key", F.col("at").alias("j"), "seed", F.explode(F.array(*map(F.lit, range(salts)))).alias("salt"))
-    hits = materialise(at.join(tested.hint("shuffle_merge"), ["seed", "salt"]).drop("seed", "salt").groupBy("doc_id", "doc_id_key", "at", "item_id", "item_id_key", "j").agg(F.count("*").alias("n")), "seed-hits")
-    # Repeated rows come back from the fetch as often as they are there, so that each hit is kept once for them and as often as masks found it.
-    times = F.least(F.col("n"), F.lit(len(masks)))
-    hits = hits.withColumn("times", times).drop("n")
+    # Repeated rows come back from the fetch as often as they are there, so that each hit is kept once for them and counts the masks that found it: their seeds differ.
+    found = at.join(tested.hint("shuffle_merge"), ["seed", "salt"]).groupBy("doc_id", "doc_id_key", "at", "item_id", "item_id_key", "j").agg(F.size(F.collect_set("seed")).alias("times"))
+    hits = materialise(found, "seed-hits")
     return fetched(fetched(hits, documents, "doc_id", "at", reach, "words"), items, "item_id", "j", reach, "item")
 
 
