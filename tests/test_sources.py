@@ -79,6 +79,44 @@ def test_stream_equals_batch(spark, small, tmp_path, period):
     for k in range(2):
         events.where(F.col("event_id") % 2 == k).select(*cols).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(OBSERVATIONS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = daily.run_available(spark, stream, str(tmp_path / "out"), period)
+    got = daily.run_available(spark, stream, str(tmp_path / "out"), period, "10000 days")
     want = daily.windowed(events.select(*cols), period)
     assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+
+
+def test_stream_drops_what_is_late_and_keeps_what_was(spark, tmp_path):
+    cols = "site_id string, stream_id string, ts timestamp_ntz, value double"
+
+    def run(*rows):
+        spark.createDataFrame([("S", "a", datetime(2024, 1, d, h), v) for d, h, v in rows], cols).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(OBSERVATIONS).parquet(str(tmp_path / "in"))
+        return {r["window_start"].day: (r["count"], r["mean_value"]) for r in daily.run_available(spark, stream, str(tmp_path / "out")).collect()}
+
+    assert run((1, 1, 1.0), (20, 1, 2.0)) == {1: (1, 1.0), 20: (1, 2.0)}
+    # A day old is in time, 19 days are not.
+    assert run((19, 5, 4.0), (20, 2, 4.0)) == {1: (1, 1.0), 19: (1, 4.0), 20: (2, 3.0)}
+    assert run((1, 2, 9.0), (21, 1, 5.0)) == {1: (1, 1.0), 19: (1, 4.0), 20: (2, 3.0), 21: (1, 5.0)}
+
+
+def test_escapes_in_turtle():
+    rows = list(turtle.triples('b:p b:label "caf\\u00e9 \\u20AC \\U0001F600 \\t\\"x\\" é" .'))
+    assert rows == [("b:p", "b:label", 'café € \U0001F600 \t"x" é', True)]
+
+
+def test_metadata_statistics(spark, tmp_path):
+    (tmp_path / "Site_C_metadata.csv").write_text("Stream GUID,Units,Num Points,Average,Std,Start Timestamp,last_t\n0a1b2c3d-1111-2222-3333-444455556666,degC,12,1.5,x,2024-01-01,2024-01-02T03:00:00Z\n")
+    (r,) = readers.load_metadata(spark, [str(tmp_path / "Site_C_metadata.csv")]).collect()
+    assert (r.stream_id, r.unit, r["count"], r.mean_value, r.std_value, r.min_value) == ("0a1b2c3d_1111_2222_3333_444455556666", "degC", 12, 1.5, None, None)
+    assert r.first_ts == datetime(2024, 1, 1) and r.last_ts == datetime(2024, 1, 2, 3)
+
+
+def test_means_of_small_and_large_values(spark):
+    from tidegauge.functions.columns import exact_mean, snake_case
+
+    def mean(*values):
+        return spark.createDataFrame([(v,) for v in values], "v double").agg(exact_mean("v").alias("m")).first()["m"]
+
+    assert mean(1e-7, 3e-7) == 2e-7 and mean(1e15, 3e15) == 2e15 and mean(0.1, 0.2, None) == 0.15 and mean(None) is None
+    names = ["pointClass", " A-b  C", "HTTPServer2Name", "x1Y", "__", "Éa_b"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(snake_case("n")).collect()]
+    assert got == ["point_class", "a_b_c", "httpserver2_name", "x1_y", "", "a_b"] == [readers._snake(n) for n in names]

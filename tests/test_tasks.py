@@ -55,10 +55,10 @@ def test_json_values(spark):
 
 
 def test_call_sequences(spark):
-    calls = spark.createDataFrame([(1, 1, None, "echo", {"x": "7"}), (1, 2, None, "echo", {"x": "$c1.list[0].x", "y": "$c9.x", "z": "$c1.none"}), (1, 3, None, "gone", {}), (2, 1, "a", "echo", {})], CALLS)
+    calls = spark.createDataFrame([(1, 1, None, "echo", {"x": "7"}), (1, 2, None, "echo", {"x": "$c1.list[0].x", "y": "$c9.x", "z": "$c1.none", "w": "$5.00 rate"}), (1, 3, None, "gone", {}), (2, 1, "a", "echo", {})], CALLS)
     echo = lambda asked: asked.withColumn("output", F.to_json(F.struct(F.array(F.struct(F.col("arguments")["x"].alias("x"))).alias("list"))))
     rows = {(r["task_id"], r["position"]): r for r in tools.execute_sequences(calls, {"echo": echo}, steps=2).collect()}
-    assert len(rows) == 4 and rows[1, 2]["arguments"] == {"x": "7", "y": None, "z": None}
+    assert len(rows) == 4 and rows[1, 2]["arguments"] == {"x": "7", "y": "$c9.x", "z": None, "w": "$5.00 rate"}
     assert rows[1, 2]["output"] == rows[1, 1]["output"] == '{"list":[{"x":"7"}]}' and rows[1, 3]["output"] is None and rows[2, 1]["call_id"] == "a"
     assert tools.execute_sequences(calls.limit(0), {"echo": echo}, steps=2).count() == 0
 
@@ -95,7 +95,7 @@ def test_summaries(spark):
     assert {r["k"]: r["alternate"] for r in S.other_member(rows.where("o = 1").withColumn("g", F.lit(1)), ["g"], "k").collect()} == {"a": "b", "b": "a", "c": "a"}
     assert [r["n"] for r in S.standardized(rows.where("k = 'c'").select(F.col("o").cast("double").alias("n")), ["n"]).collect()] == [0.0]
     assert value(spark, S.combinations_up_to(F.lit(4), 6)) == 15 and value(spark, S.combinations_up_to(F.lit(0), 2)) == 0
-    hits = S.phrase_hits(spark.createDataFrame([(1, "The air flow!"), (2, None), (3, "airflow")], "id int, t string"), "id", "t", spark.createDataFrame([("air", "A"), ("air flow", "B")], "phrase string, value string"), words=2)
+    hits = S.phrase_hits(spark.createDataFrame([(1, "The air flow!"), (2, None), (3, "airflow")], "id int, t string"), "id", "t", spark.createDataFrame([("air", "A"), ("air flow", "B")], "phrase string, value string"))
     assert sorted(tuple(r) for r in S.longest_hit(hits, "id").collect()) == [(1, "B", "air flow")]
 
 

@@ -44,6 +44,7 @@ def quality_trend(first_action: Column, second_action: Column, first_obs: Column
     has_first, has_second = first_obs.isNotNull() & first_gap.isNotNull(), second_obs.isNotNull() & second_gap.isNotNull()
     zero = F.lit(0.0)
     obs, gap = F.coalesce(second_obs, zero) - F.coalesce(first_obs, zero), F.coalesce(first_gap, zero) - F.coalesce(second_gap, zero)
+    # The changes of coverage and gap that count.
     up = ((obs >= 0.02) & (gap >= -1.0)) | ((gap >= 0.5) & (obs >= -0.05))
     down = ((obs <= -0.02) & (gap <= 1.0)) | ((gap <= -0.5) & (obs <= 0.05))
     return (

@@ -61,3 +61,29 @@ def written(**values: Column) -> Column:
 def _one(v: Column) -> Column:
     # to_json writes structs, so that the value goes as the only field and comes out frozen.
     return F.element_at(fields(F.to_json(F.struct(v.alias("v")))), "v")
+
+
+def object_of(values: Column) -> Column:
+    """A map of frozen values as JSON text."""
+    pairs = F.transform(F.map_entries(values), lambda e: F.concat(F.to_json(F.array(e["key"])), F.lit(":"), F.coalesce(e["value"], F.lit("null"))))
+    # A key is written as the only item of an array, to have its escapes.
+    return F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.regexp_replace(p, r"^\[(\"(?:[^\"\\\\]|\\\\.)*\")\]", "$1")), ","), F.lit("}"))
+
+
+def array_of(values: Column) -> Column:
+    """An array of frozen values as JSON text."""
+    return F.concat(F.lit("["), F.array_join(F.transform(values, lambda v: F.coalesce(v, F.lit("null"))), ","), F.lit("]"))
+
+
+def at_path(json: Column, path: Column) -> Column:
+    """What stands at a path such as a.b[3] or a[0][1].c, frozen; null where it leads nowhere."""
+    steps = F.regexp_extract_all(path, F.lit(r"\[\d+\]|[^.\[\]]+"), F.lit(0))
+
+    def walk(v: Column, step: Column) -> Column:
+        place = F.regexp_extract(step, r"^\[(\d+)\]$", 1)
+        inner = F.try_parse_json(v)
+        item = F.to_json(F.get(F.try_variant_get(inner, "$", "array<variant>"), place.try_cast("int")))
+        field = F.to_json(F.element_at(F.try_variant_get(inner, "$", "map<string,variant>"), step))
+        return F.when(place != "", item).otherwise(field)
+
+    return F.aggregate(steps, frozen(json), walk)

@@ -65,14 +65,16 @@ def first_of_each(rows: DataFrame, key: str, what: str, order: str) -> DataFrame
     return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", what))), lambda x: x[what]).alias("values"))
 
 
-def phrase_hits(texts: DataFrame, key: str, text: str, phrases: DataFrame, words: int) -> DataFrame:
-    """(key, value, phrase) of every phrase of up to so many words that stands in the text between word borders.
+def phrase_hits(texts: DataFrame, key: str, text: str, phrases: DataFrame) -> DataFrame:
+    """(key, value, phrase) of every phrase that stands in the text between word borders.
 
-    phrases: (phrase, value), normalised. Runs of words meet phrases by equality, so that no text is compared with every phrase.
+    phrases: (phrase, value), normalised, of any length. Runs of as many words as some phrase has meet phrases by equality, so that no text is compared with every phrase.
     """
-    split = texts.select(key, F.split(normalize_text(text), " ").alias("_w"))
-    starts = split.select(key, "_w", F.explode(F.sequence(F.lit(1), F.size("_w"))).alias("_i"))
-    runs = starts.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(words), F.size("_w") - F.col("_i") + 1)), lambda n: F.array_join(F.slice("_w", F.col("_i"), n), " "))).alias("phrase"))
+    lengths = phrases.agg(F.collect_set(F.size(F.split("phrase", " "))).alias("_lengths"))
+    split = texts.select(key, F.split(normalize_text(text), " ").alias("_w")).crossJoin(F.broadcast(lengths))
+    # Starts of a run of n words; a text with fewer has none.
+    starts = lambda n: F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1)).otherwise(F.array().cast("array<int>"))
+    runs = split.select(key, F.explode(F.flatten(F.transform("_lengths", lambda n: F.transform(starts(n), lambda i: F.array_join(F.slice("_w", i, n), " "))))).alias("phrase"))
     return runs.join(phrases, "phrase").select(key, "value", "phrase").distinct()
 
 

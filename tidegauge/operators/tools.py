@@ -12,6 +12,7 @@ from tidegauge.functions.columns import exact_mean, normalize_label, rounded
 from tidegauge.operators.aggregates import quality
 from tidegauge.operators.asof import rows_in_windows
 from tidegauge.operators.thresholds import gap_ratio
+from tidegauge.tables import materialise
 
 METRICS = ("mean_value", "std_value", "min_value", "max_value", "count")
 
@@ -130,14 +131,14 @@ def resolve_references(calls: DataFrame) -> DataFrame:
 def resolve_paths(calls: DataFrame, outputs: DataFrame) -> DataFrame:
     """calls with every argument $<call>.<path> replaced by what stands there in that call's output.
 
-    calls: task_id, call_id, arguments (map of text); outputs: task_id, call_id, output (JSON). A path has fields and places such as a.b[3]. A call or a path that
-    isn't there leaves null.
+    calls: task_id, call_id, arguments (map of text); outputs: task_id, call_id, output (JSON). A path has fields and places such as a.b[3]. A path that isn't there
+    leaves null; with a call that isn't there the argument is plain text and stays.
     """
     args = calls.select("task_id", "call_id", F.explode("arguments").alias("name", "given"))
     refs = args.select("*", F.regexp_extract("given", r"^\$([^.]+)\.(.+)$", 1).alias("from_call"), F.regexp_extract("given", r"^\$([^.]+)\.(.+)$", 2).alias("path"))
-    known = outputs.select("task_id", F.col("call_id").alias("from_call"), "output")
+    known = outputs.select("task_id", F.col("call_id").alias("from_call"), "output", F.lit(True).alias("known"))
     there = F.call_function("get_json_object", F.col("output"), F.concat(F.lit("$."), F.col("path")))
-    values = refs.join(known, ["task_id", "from_call"], "left").select("task_id", "call_id", "name", F.when(F.col("from_call") != "", there).otherwise(F.col("given")).alias("value"))
+    values = refs.join(known, ["task_id", "from_call"], "left").select("task_id", "call_id", "name", F.when(F.col("known"), there).otherwise(F.col("given")).alias("value"))
     maps = values.groupBy("task_id", "call_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("arguments"))
     none = F.create_map().cast("map<string,string>")
     return calls.drop("arguments").join(maps, ["task_id", "call_id"], "left").withColumn("arguments", F.coalesce("arguments", none))
@@ -148,7 +149,7 @@ def execute_sequences(calls: DataFrame, run: dict[str, Callable[[DataFrame], Dat
 
     calls: task_id, position (from 1), call_id (null: c and the position), tool_name, arguments (map of text). A tool gets task_id, call_id and arguments, with
     references to earlier outputs replaced, and returns task_id, call_id and output (JSON); a call without an answer has null. Calls beyond `steps` or of unknown
-    tools are in the result, without output. Steps are kept in storage, as each reads all before it.
+    tools are in the result, without output. Steps are written, as each reads all before it.
     """
     named = calls.withColumn("call_id", F.coalesce("call_id", F.concat(F.lit("c"), F.col("position").cast("string"))))
     cols = ["task_id", "position", "call_id", "tool_name", "arguments", "output"]
@@ -158,6 +159,6 @@ def execute_sequences(calls: DataFrame, run: dict[str, Callable[[DataFrame], Dat
         now = named.where((F.col("position") == step) & F.col("tool_name").isin(*run))
         ready = now if done is None else resolve_paths(now, done.select("task_id", "call_id", "output"))
         answers = reduce(lambda a, b: a.unionByName(b), [tool(ready.where(F.col("tool_name") == name).select("task_id", "call_id", "arguments")).select("task_id", "call_id", "output") for name, tool in run.items()])
-        result = ready.join(answers, ["task_id", "call_id"], "left").select(*cols).persist()
+        result = materialise(ready.join(answers, ["task_id", "call_id"], "left").select(*cols), "calls")
         done = result if done is None else done.unionByName(result)
     return rest if done is None else done.unionByName(rest)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from tidegauge.operators import aggregates as A
 from tidegauge.operators import lineage
 from tidegauge.plans import views as V
 from tidegauge.plans.registry import query
+from tidegauge.sources import zips
+from tidegauge.tables import shared_folder
 
 
 @query("daily_aggregates", "SELECT * FROM fine_day")
@@ -105,3 +109,15 @@ def daily_mean_by_class(spark, d):
 
     joined = V.obs_coarse(spark, d).join(V.inventory(spark, d), ["site_id", "stream_id"])
     return joined.groupBy("point_class", month_of("ts").alias("month")).agg(F.count("*").alias("n"), F.countDistinct("stream_id").alias("streams"))
+
+
+@query(
+    "archive_index",
+    "SELECT stream_id, count(*) AS n_points, min(ts) AS first_ts, max(ts) AS last_ts, round(sum(value), 2) AS total FROM obs_fine GROUP BY 1",
+)
+def archive_index(spark, d):
+    """All fine observations written as archives of a member for each stream, and read back by members."""
+    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    zips.write_archives(V.obs_fine(spark, d), folder.removeprefix("file://"), 8)
+    rows = zips.load_streams(spark, folder.removeprefix("file://")).where("error_type is null")
+    return rows.groupBy("stream_id").agg(F.count("*").alias("n_points"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.round(F.sum("value"), 2).alias("total"))

@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from tidegauge.plans import views as V
 from tidegauge.plans.registry import query
-from tidegauge.streaming import daily
-
-
-def shared_folder(spark) -> str:
-    """spark.checkpoint.dir where it is set; else a folder of this process on one machine, one in the warehouse on a cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        return f"{spark.conf.get('spark.sql.warehouse.dir')}/stream-{uuid.uuid4().hex}"
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidegauge-stream-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-    return found
+from tidegauge.streaming import daily, quality
+from tidegauge.tables import shared_folder
 
 
 @query(
@@ -36,3 +22,12 @@ def streaming_daily(spark, d):
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     obs = stream.select(F.concat(F.lit("SITE_"), (F.col("user_id") % 3).cast("string")).alias("site_id"), F.concat(F.lit("usr_"), F.col("user_id").cast("string")).alias("stream_id"), "ts", "value")
     return daily.run_available(spark, obs, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+
+
+@query("streaming_quality", "SELECT * FROM fine_quality")
+def streaming_quality(spark, d):
+    """Metrics of all fine streams from a stream of their observations."""
+    events = V.table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    obs = stream.select(F.concat(F.lit("SITE_"), (F.col("user_id") % 3).cast("string")).alias("site_id"), F.concat(F.lit("usr_"), F.col("user_id").cast("string")).alias("stream_id"), "ts", "value")
+    return quality.run_available(spark, obs, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")

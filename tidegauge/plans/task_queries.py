@@ -256,7 +256,7 @@ def phrase_grounding(spark, d):
     i = V.inventory(spark, d)
     phrases = i.select("point_class").distinct().select(F.col("point_class").alias("value"), F.explode(X.class_phrases("point_class")).alias("phrase"))
     asked = i.select("stream_id", F.concat(F.lit("Which point has the best "), F.element_at(X.class_phrases("point_class"), -1), F.lit(" in "), F.col("site_id"), F.lit("?")).alias("text"))
-    return S.longest_hit(S.phrase_hits(asked, "stream_id", "text", phrases, words=4), "stream_id").select("stream_id", "value")
+    return S.longest_hit(S.phrase_hits(asked, "stream_id", "text", phrases), "stream_id").select("stream_id", "value")
 
 
 @query("task_ids", "SELECT o_orderkey, 'run_' || o_orderstatus || '_' || lpad(CAST(o_orderkey % 90000 AS VARCHAR), 5, '0') AS task_id, o_orderkey % 90000 AS ordinal, replace(replace(o_orderpriority, '-', ' '), 'URGENT', 'NOW') AS priority FROM orders")

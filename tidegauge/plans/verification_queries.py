@@ -1,4 +1,4 @@
-"""Queries that verify calls and answers, from calls to labels."""
+"""Queries that run sequences of calls, and verify calls and answers."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tidegauge.functions import typed as J
 from tidegauge.functions.columns import exact_mean, iso_text
 from tidegauge.operators import aggregates as A
+from tidegauge.operators import thresholds as T
 from tidegauge.operators import verification as W
+from tidegauge.operators.sequences import Tools, execute
 from tidegauge.plans import views as V
 from tidegauge.plans.registry import query
 from tidegauge.tables import materialise
@@ -83,3 +85,60 @@ def verified(spark, d):
 def verify_calls(spark, d):
     out = verified(spark, d)
     return out.withColumn("issues", F.array_join("issues", ","))
+
+
+# ---- sequences of calls on the real tools: a site's and class's points, their January compared and ranked by references, the winner's observation nearest to mid-January
+
+
+def january_calls(spark, d):
+    groups = V.inventory(spark, d).groupBy("site_id", "point_class").agg(F.count("*").alias("n")).where("n >= 2")
+    span = {"window_start": F.lit("1995-01-01T00:00:00"), "window_end": F.lit("1995-02-01T00:00:00"), "period": F.lit("custom"), "metric": F.lit("mean_value")}
+    first, second = (F.lit(f"$c1.stream_ids[{k}]") for k in (0, 1))
+
+    def call(position, tool, call_id=None, **arguments):
+        return F.struct(F.lit(position).alias("position"), F.lit(call_id).cast("string").alias("call_id"), F.lit(tool).alias("tool_name"), J.written(**arguments).alias("arguments"))
+
+    ranked = call(4, "rank_window", "best", stream_ids=F.array(first, second, F.lit("$c1.points[1].stream_id"), F.lit("$nothing.here")), topk=F.lit(2), **span)
+    calls = F.array(
+        call(1, "list_points", site_id=F.col("site_id"), point_class=F.col("point_class")),
+        call(2, "aggregate_window", stream_id=first, **span),
+        call(3, "compare_window", left_stream_id=first, right_stream_id=second, **span),
+        ranked,
+        call(5, "lookup_observation", stream_id=F.lit("$best.ranked_streams[0].stream_id"), timestamp=F.lit("1995-01-15"), mode=F.lit("nearest")),
+        call(6, "inspect_quality", stream_id=F.lit("$c3.winning_stream_id")),
+        call(7, "unheard_of", a=F.lit("$c1.count")),
+    )
+    return groups.select(F.concat_ws("/", "site_id", "point_class").alias("task_id"), F.explode(calls).alias("c")).select("task_id", "c.*")
+
+
+def store(spark, d):
+    obs = materialise(V.obs_coarse(spark, d), "observations")
+    quality = materialise(A.quality(obs), "quality")
+    aggregates = materialise(A.summarize(obs, "week").unionByName(A.summarize(obs, "month")), "aggregates")
+    none = spark.createDataFrame([], "alias string, point_class string")
+    reference = materialise(T.quality_reference(quality), "reference")
+    return Tools(V.inventory(spark, d), obs, aggregates, quality, none, reference, reference.withColumn("period", F.lit("week")))
+
+
+V.CTES["january"] = """SELECT site_id, point_class, stream_id, row_number() OVER (PARTITION BY site_id, point_class ORDER BY stream_id) AS k, count(*) OVER (PARTITION BY site_id, point_class) AS size,
+  (SELECT CASE WHEN count(*) > 0 THEN round(CAST(sum(CAST(value AS DECIMAL(20, 6))) AS DOUBLE) / count(*), 4) END FROM obs_coarse o WHERE o.stream_id = i.stream_id AND ts >= TIMESTAMP '1995-01-01' AND ts < TIMESTAMP '1995-02-01') AS mean FROM inventory i"""
+V.CTES["january_two"] = """SELECT a.site_id || '/' || a.point_class AS task_id, a.size, a.stream_id AS a, b.stream_id AS b, a.mean AS x, b.mean AS y, CASE WHEN a.mean IS NULL OR b.mean IS NULL THEN NULL WHEN a.mean > b.mean THEN a.stream_id ELSE b.stream_id END AS winner,
+  CASE WHEN a.mean IS NULL AND b.mean IS NULL THEN NULL WHEN b.mean IS NULL OR a.mean > b.mean OR a.mean = b.mean AND a.stream_id > b.stream_id THEN a.stream_id ELSE b.stream_id END AS best
+  FROM january a JOIN january b ON a.site_id = b.site_id AND a.point_class = b.point_class AND a.k = 1 AND b.k = 2"""
+
+
+@query(
+    "call_sequence_tools",
+    """SELECT task_id, 1 AS position, size::VARCHAR AS answer FROM january_two UNION ALL SELECT task_id, 2, CAST(x AS DECIMAL(20, 4))::VARCHAR FROM january_two UNION ALL SELECT task_id, 3, winner FROM january_two UNION ALL SELECT task_id, 4, best FROM january_two
+    UNION ALL SELECT task_id, 5, (SELECT strftime(arg_min(ts, struct_pack(p := abs(date_diff('microsecond', ts, TIMESTAMP '1995-01-15')), q := ts)), '%Y-%m-%d') FROM obs_coarse o WHERE o.stream_id = best) FROM january_two
+    UNION ALL SELECT task_id, 6, CAST(round(observed_fraction, 4) AS DECIMAL(20, 4))::VARCHAR FROM january_two LEFT JOIN coarse_quality q ON q.stream_id = winner UNION ALL SELECT task_id, 7, NULL FROM january_two""",
+)
+def call_sequence_tools(spark, d):
+    done = execute(january_calls(spark, d), store(spark, d).all(), steps=7)
+    out = J.fields("output")
+    number = lambda name: J.number_of(out[name]).cast("decimal(20,4)").cast("string")
+    answer = (
+        F.when(F.col("position") == 1, out["count"]).when(F.col("position") == 2, number("mean_value")).when(F.col("position") == 3, J.text_of(out["winning_stream_id"]))
+        .when(F.col("position") == 4, J.text_of(J.at_path(F.col("output"), F.lit("ranked_streams[0].stream_id")))).when(F.col("position") == 5, F.substr(J.text_of(out["observed_timestamp"]), F.lit(1), F.lit(10))).when(F.col("position") == 6, number("observed_fraction"))
+    )
+    return done.select("task_id", "position", answer.alias("answer"))

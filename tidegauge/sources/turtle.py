@@ -13,6 +13,14 @@ _TOKEN = re.compile(
     r'\s+|#[^\n]*|(?P<iri><[^>]*>)|(?P<string>"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*")(?:@[\w-]+|\^\^(?:<[^>]*>|[\w-]*:[\w.-]*))?'
     r"|(?P<at>@prefix|@base|PREFIX|BASE)|(?P<open>\[)|(?P<close>\])|(?P<mark>[;,.])(?=\s|$|[\]])|(?P<number>[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?(?=[\s;,.\]]))|(?P<name>[\w-]*:[\w%.:-]*[\w%:-]|[\w-]*:|_:\w+|a\b|true\b|false\b)"
 )
+_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", re.DOTALL)
+_LETTERS = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f"}
+
+
+def _unescaped(m: re.Match[str]) -> str:
+    return chr(int(m[1] or m[2], 16)) if m[1] or m[2] else _LETTERS.get(m[3], m[3])
+
+
 SCHEMA = "path string, s string, p string, o string, is_literal boolean, problem string"
 
 
@@ -57,7 +65,7 @@ def triples(text: str) -> Iterator[tuple[str, str, str, bool]]:
         else:
             literal = kind in ("string", "number") or value in ("true", "false")
             body = value[3:-3] if value.startswith('"""') else value[1:-1] if kind == "string" else value.strip("<>")
-            yield subject, predicate, body.encode().decode("unicode_escape").encode("latin-1", "ignore").decode("utf-8", "ignore") if "\\" in body else body, literal
+            yield subject, predicate, _ESCAPE.sub(_unescaped, body) if "\\" in body else body, literal
     if subject is not None:
         raise ValueError("the last statement is not closed")
 

@@ -30,15 +30,23 @@ def windowed(stream: DataFrame, period: str = "day", late: str = "2 days") -> Da
     return stats.select("site_id", "stream_id", zoneless("w.start").alias("window_start"), zoneless("w.end").alias("window_end"), "count", "mean_value", "min_value", "max_value")
 
 
-def run_available(spark: SparkSession, stream: DataFrame, path: str, period: str = "day") -> DataFrame:
+def run_available(spark: SparkSession, stream: DataFrame, path: str, period: str = "day", late: str = "2 days") -> DataFrame:
     """Process what the source holds now and return the statistics, written under path with the checkpoint that a later run goes on from.
 
-    Each batch replaces the table: the state is the result, however many batches there were.
+    Each batch writes the windows that it changed, under its own number, so that one that is run again replaces itself; a window's last batch counts. Windows that the
+    watermark has passed leave the state.
     """
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/table")
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table/batch={number}")
 
-    query = windowed(stream, period).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query = windowed(stream, period, late).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{path}/table")
+    return latest(spark.read.parquet(f"{path}/table"))
+
+
+def latest(updates: DataFrame) -> DataFrame:
+    """Each window as the last batch that changed it left it."""
+    keys = ["site_id", "stream_id", "window_start", "window_end"]
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_s")).select(*keys, "_s.*")
