@@ -176,15 +176,21 @@ def test_language_model_holds_all_pairs(docs):
             pairs.update(zip([None, *run], [*run, None], strict=True))
     mass = sum(words.values()) + 0.1 * (len(words) + 1)
 
-    def middle(c):
-        return lm_scoring._MIDDLE[lm_scoring.levels(np.array([c]))[0]] if c else 0.0
+    def ends(c):
+        """The least and the largest count that share a level with c: half octaves of whole numbers."""
+        same = [x for x in range(max(1, c // 2), 2 * c + 2) if math.floor(2 * math.log2(x) + 1e-9) == math.floor(2 * math.log2(c) + 1e-9)] if c else [0]
+        return same[0], same[-1]
+
+    def share(a, b):
+        word, context = (ends(words[b])[0] + 0.1) / mass, ends(words[a])[1]
+        return 0.2 * ends(pairs[a, b])[0] / context + 0.8 * word if context else word
 
     def score(run):
-        total = 0.0
-        for a, b in zip([None, *run], [*run, None], strict=True):
-            w, c = middle(words[b]), middle(words[a])
-            total += math.log10(min(1.0, 0.2 * min(middle(pairs[a, b]), c) / max(1.0, c) + 0.8 * (w + 0.1) / (mass + w)))
-        return total
+        return sum(math.log10(min(1.0, share(a, b))) for a, b in zip([None, *run], [*run, None], strict=True))
+
+    # A context's shares, that of an unknown word included, are those of a probability.
+    for a in [None, "never", *list(words)[:40]]:
+        assert 0.5 < sum(share(a, b) for b in [*words, "unknown"]) <= 1 + 1e-9
 
     want = sorted(((len(run) + 1, score(run)) for run in runs))
     first = None
@@ -194,7 +200,7 @@ def test_language_model_holds_all_pairs(docs):
         first = a if first is None else first
         assert np.allclose(a, first)  # the filter sent whole and probed by a shuffle
         assert (a[:, 0] == b[:, 0]).all() and np.allclose(a[:, 1].sum(), b[:, 1].sum(), rtol=0.01)
-        assert np.isclose(a[:, 1], b[:, 1], rtol=0.05, atol=0.5).mean() > 0.9
+        assert np.isclose(a[:, 1], b[:, 1], rtol=0.05, atol=0.5).mean() > 0.95
 
 
 def test_language_model_of_frequent_words_alone(spark):

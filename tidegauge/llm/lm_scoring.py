@@ -146,7 +146,9 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(2 * np.log2(counts) + 1e-9).astype(np.int64)
 
 
-# The middle of the whole counts of each level; levels 2 and 4 hold none.
+# The least and the largest whole count of each level, and their middle; where a level holds none, the least above it.
+_LOW = np.array([0.0] + [float(math.ceil(2 ** ((q - 1) / 2) - 1e-9)) for q in range(1, 128)])
+_HIGH = np.maximum(_LOW, [0.0] + [float(math.ceil(2 ** (q / 2) - 1e-9) - 1) for q in range(1, 128)])
 _MIDDLE = np.array([0.0] + [(math.ceil(2 ** ((q - 1) / 2) - 1e-9) + max(math.ceil(2 ** (q / 2) - 1e-9) - 1, math.ceil(2 ** ((q - 1) / 2) - 1e-9))) / 2 for q in range(1, 128)])
 
 
@@ -256,10 +258,14 @@ def known_levels(codes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) ->
 
 
 def log_shares(of_word: np.ndarray, of_context: np.ndarray, of_pair: np.ndarray, mass: float, backoff: float) -> np.ndarray:
-    """log10 of the pair's share of its context and the smoothed share of the word, from levels."""
-    word, context = _MIDDLE[of_word], _MIDDLE[of_context]
-    pair = np.minimum(_MIDDLE[of_pair], context)
-    return np.log10(np.minimum((1 - backoff) * pair / np.maximum(1.0, context) + backoff * (word + 0.1) / (mass + word), 1.0))
+    """log10 of the pair's share of its context and the smoothed share of the word, from levels.
+
+    Counts above are the least of their level and those below the largest, so that the shares of a context's words, an unknown one included, add up to at most 1, but for what the filter finds
+    by chance. Behind a context that training lacks the word's share stands alone.
+    """
+    word, context = (_LOW[of_word] + 0.1) / mass, _HIGH[of_context]
+    pair = np.minimum(_LOW[of_pair], context) / np.maximum(1.0, context)
+    return np.log10(np.minimum(np.where(context > 0, (1 - backoff) * pair + backoff * word, word), 1.0))
 
 
 class Whole:
@@ -456,7 +462,10 @@ def lm_scores(documents: DataFrame, modulus: int = 10, keep: int = 0, backoff: f
 
     rows = documents.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
     written = materialise(rows.mapInArrow(run, PLACES), "places")
-    parts = written.where("slice_id is null").join(counts, "h", "left")
+    # Rows of whole texts have no word to look up: in the join they would all meet in one task.
+    places = written.where("slice_id is null")
+    parts = places.where("h is not null").join(counts, "h", "left")
+    parts = parts.unionByName(places.where("h is null").withColumn("c", F.lit(None).cast("long")).select(*parts.columns))
     c = F.coalesce("c", F.lit(0))
     out = parts.groupBy("row_id", "doc_id").agg(
         F.sum("n_tokens").alias("n_tokens"),
