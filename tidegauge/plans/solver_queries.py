@@ -9,7 +9,7 @@ from tidegauge.functions import typed as J
 from tidegauge.functions.columns import iso_text
 from tidegauge.operators import aggregates as A
 from tidegauge.operators import capabilities as C
-from tidegauge.operators import episodes, planning, preflight, repairs
+from tidegauge.operators import episodes, planning, preflight, repairs, text_checks
 from tidegauge.operators import rollouts as R
 from tidegauge.operators import thresholds as T
 from tidegauge.operators.sequences import Tools
@@ -190,3 +190,27 @@ def goal_revisions(spark, d):
     out = repairs.revise_goals(asked, revisions)
     last = F.element_at(F.get("variants", F.lit(1)), -1)["arguments"]["stream_id"]
     return out.select("task_id", F.size("phase_golds").alias("n_phases"), F.size("calls").alias("n_calls"), F.size("variants").alias("n_variants"), F.round(J.number_of(F.col("gold")["mean_value"]), 4).alias("mean_value"), F.array_join("milestones", ",").alias("milestones"), F.coalesce(last, F.lit("-")).alias("again"), F.get("history", F.lit(0))["status"].alias("status"))
+
+
+@query(
+    "answers_in_words",
+    """SELECT o_orderkey AS task_id, CASE WHEN k = 0 THEN 1.0 WHEN k = 1 THEN 0.5 WHEN k = 2 THEN 0.0 WHEN k = 3 THEN 1.0 ELSE 0.5 END AS score, CASE k WHEN 1 THEN 'missing_answer_fact:mean_value' WHEN 2 THEN 'missing_answer_fact:winning_stream,missing_answer_fact:mean_value' WHEN 4 THEN 'missing_answer_fact:reason' ELSE '' END AS issues
+    FROM (SELECT *, o_orderkey % 5 AS k FROM orders)""",
+)
+def answers_in_words(spark, d):
+    """Answers of ranks and of quality gates that tell all, a part or nothing of an order's total, its customer's name and a decision."""
+    o, c = V.table(spark, d, "orders"), V.table(spark, d, "customer")
+    k, total = F.col("o_orderkey") % 5, F.col("o_totalprice")
+    stream = F.concat(F.lit("cust-"), F.col("o_custkey").cast("string"))
+    label = F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
+    rank = k < 3
+    gold = F.when(rank, J.written(stream_id=stream, mean_value=total)).otherwise(J.written(decision=F.lit("abstain"), reason=F.when(k == 3, "long_gap").otherwise("low_coverage")))
+    text = (
+        F.when(k == 0, F.concat(F.lit("The highest is\n"), F.upper(label), F.lit(" with "), R.fixed(total, 2))).when(k == 1, F.concat(stream, F.lit(" is on top")))
+        .when(k >= 3, F.lit("I would abstain: there is a large GAP."))
+    )
+    required = F.when(rank, F.array(F.lit("stream_id"))).otherwise(F.array(F.lit("reason")))
+    tasks = o.select(F.col("o_orderkey").alias("task_id"), F.when(rank, "window_rank").otherwise("quality_gate").alias("family"), gold.alias("gold"), required.alias("required"))
+    names = c.select(F.concat(F.lit("cust-"), F.col("c_custkey").cast("string")).alias("stream_id"), F.col("c_name").alias("point_label"), F.lit(None).cast("string").alias("equipment_label"), F.lit(None).cast("string").alias("location_label"))
+    found = text_checks.check(tasks, o.select(F.col("o_orderkey").alias("task_id"), text.alias("text")), names)
+    return found.select("task_id", "score", F.array_join("issues", ",").alias("issues"))
