@@ -24,7 +24,9 @@ def rows_in_windows(obs: DataFrame, windows: DataFrame, key: str = "stream_id")
 
 def exact(obs: DataFrame, probes: DataFrame) -> DataFrame:
     """probe_id, stream_id, probe_ts, found, value: the observation at the very instant, the least value where there are several."""
-    at = obs.groupBy("stream_id", "ts").agg(F.min("value").alias("value"))
+    # Of other instants nothing is asked.
+    asked = obs.join(probes.select("stream_id", F.col("probe_ts").alias("ts")).distinct(), ["stream_id", "ts"], "left_semi")
+    at = asked.groupBy("stream_id", "ts").agg(F.min("value").alias("value"))
     joined = probes.join(at, (probes.stream_id == at.stream_id) & (probes.probe_ts == at.ts), "left").drop(at.stream_id)
     return joined.select("probe_id", "stream_id", "probe_ts", F.col("ts").isNotNull().alias("found"), F.round("value", 4).alias("value"))
 
@@ -35,7 +37,8 @@ def nearest(obs: DataFrame, probes: DataFrame) -> DataFrame:
     Probes and observations are one ordered stream: the last observation up to a probe and the first from it on are its neighbours. The work grows with
     both tables and not with their product.
     """
-    marks = obs.where("ts is not null and value is not null").select("stream_id", "ts", F.struct("ts", "value").alias("o"), F.lit(None).cast("bigint").alias("probe_id"))
+    there = obs.where("ts is not null and value is not null").join(probes.select("stream_id").distinct(), "stream_id", "left_semi")
+    marks = there.select("stream_id", "ts", F.struct("ts", "value").alias("o"), F.lit(None).cast("bigint").alias("probe_id"))
     asked = probes.select("stream_id", F.col("probe_ts").alias("ts"), F.lit(None).cast(marks.schema["o"].dataType).alias("o"), F.col("probe_id").cast("bigint").alias("probe_id"))
     # Observations come before the probe of their instant, the larger value first, so that `last` takes the least one.
     order = Window.partitionBy("stream_id").orderBy("ts", F.col("probe_id").isNotNull(), F.col("o.value").desc())

@@ -9,11 +9,11 @@ from tidegauge.functions import typed as J
 from tidegauge.functions.columns import iso_text
 from tidegauge.operators import aggregates as A
 from tidegauge.operators import capabilities as C
-from tidegauge.operators import episodes, planning, preflight, repairs, text_checks
+from tidegauge.operators import contexts, episodes, planning, preflight, repairs, text_checks
 from tidegauge.operators import rollouts as R
 from tidegauge.operators import thresholds as T
 from tidegauge.operators.sequences import Tools
-from tidegauge.plans import verification_queries
+from tidegauge.plans import tool_queries, verification_queries  # noqa: F401  their common table expressions are used here
 from tidegauge.plans import views as V
 from tidegauge.plans.registry import query
 from tidegauge.tables import materialise
@@ -214,3 +214,20 @@ def answers_in_words(spark, d):
     names = c.select(F.concat(F.lit("cust-"), F.col("c_custkey").cast("string")).alias("stream_id"), F.col("c_name").alias("point_label"), F.lit(None).cast("string").alias("equipment_label"), F.lit(None).cast("string").alias("location_label"))
     found = text_checks.check(tasks, o.select(F.col("o_orderkey").alias("task_id"), text.alias("text")), names)
     return found.select("task_id", "score", F.array_join("issues", ",").alias("issues"))
+
+
+V.CTES["first_week_metrics"] = V.quality_sql("(SELECT o.*, o.stream_id AS request_id FROM first_week w JOIN obs_fine o ON o.stream_id = w.stream_id AND o.ts >= ws AND o.ts < we)", "request_id")
+
+
+@query(
+    "phase_quality",
+    """SELECT stream_id AS task_id, 1 AS phase, 'week' AS period, round(observed_fraction, 4) AS observed_fraction, CASE WHEN observed_fraction4 >= answer_observed_fraction_at_least AND (gap IS NULL OR gap <= answer_gap_ratio_at_most)
+      AND NOT coalesce(observed_fraction4 < abstain_observed_fraction_below OR gap > abstain_gap_ratio_above, false) THEN 'answer' ELSE 'abstain' END AS decision
+    FROM (SELECT w.stream_id, observed_fraction, round(observed_fraction, 4) AS observed_fraction4, round(longest_gap_seconds / nullif(median_step_seconds, 0), 4) AS gap FROM first_week w LEFT JOIN first_week_metrics m ON m.request_id = w.stream_id), fine_reference""",
+)
+def phase_quality(spark, d):
+    """What each task's week allows: its phases' windows inspected and judged."""
+    rows = contracts(spark, d)
+    tasks = rows.select("task_id", F.lit("window_mean_lookup").alias("family"), F.lit("odd").alias("period"), F.transform("phases", lambda p: p["gold"]).alias("phase_golds"), F.array().cast("array<struct<tool_name: string, arguments: map<string,string>>>").alias("calls"))
+    found = contexts.quality_golds(contexts.phase_contexts(tasks), fine_store(spark, d).inspect_quality_window)
+    return found.select("task_id", "phase", "period", "observed_fraction", "decision")
