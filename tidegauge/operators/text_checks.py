@@ -80,11 +80,28 @@ FAMILIES: dict[str, list[tuple[str, str]]] = {
     "quality_gate": [("decision", "decision")],
     "quality_trend_assessment": [("trend_status", "trend_status")],
     "timestamp_resolution_context": [("resolution_status", "resolution_status"), ("observed_timestamp", "observed_timestamp"), ("offset_seconds", "offset_seconds")],
+    "quality_preference": [("preferred_reference", "preferred_reference")],
+    "timestamp_preference": [("preferred_reference", "preferred_reference"), ("exact_cue", "exact_or_nearest"), ("observed_timestamp", "observed_timestamp"), ("value", "value")],
     "reporting_commitment": [("commitment_action", "commitment_action")],
     "timestamp_reportability_decision": [("commitment_action", "commitment_action")],
 }
+# Of follow-up answers: what tells a decision, what speaks against it, and what gives its reason; cues of a ranking and of a comparison.
+RATIONALE = {
+    "answer": (
+        ["would answer", "would not abstain", "not abstain", "can answer", "answer this", "healthy enough", "reliable enough", "looks healthy", "supports answering", "supports reporting"],
+        ["would abstain", "cannot answer", "can't answer", "insufficient"],
+    ),
+    "abstain": (["abstain", "cannot answer", "can't answer", "not reliable enough", "insufficient", "not enough data", "poor quality"], []),
+}
+REASONS = {
+    "coverage": ["coverage", "observed fraction", "fraction observed"],
+    "gap": ["gap ratio", "longest gap", "large gap", "big gap", "too many gaps", "missing data", "missingness"],
+    "quality": ["data quality", "signal quality", "quality metrics", "quality is poor", "quality looks healthy", "quality is healthy", "quality is reliable"],
+}
+RANKING = ["ranked", "ranking", "candidate streams", "candidate points", "across streams", "across points"]
+COMPARISON = ["winning", "higher average", "higher mean", "higher value", "compared", "comparison", "versus", "vs"]
 #: A cue that tells a field of its own, and families of which a reason need not be told.
-CUE_OF = {"nearest_cue": "fallback_reason"}
+CUE_OF = {"nearest_cue": "fallback_reason", "exact_or_nearest": "fallback_reason"}
 SILENT = ("reporting_commitment", "timestamp_reportability_decision")
 
 _TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss'+00:00'", "yyyy-MM-dd HH:mm:ss'+00:00'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "HH:mm:ss", "HH:mm", "MMM dd, yyyy HH:mm", "MMMM dd, yyyy HH:mm")
@@ -107,7 +124,31 @@ def said_time(value: Column) -> Column:
     return F.when(t.isNull(), texts([])).otherwise(F.transform(F.array(*[F.date_format(t, f) for f in _TIME_FORMATS]), normalize_answer))
 
 
-def label_ways(label: str) -> Column:
+def said_date(value: Column, period: Column) -> Column:
+    """A day or the time of it; in a month's answer also the month and year. Longer forms hold one of these."""
+    t = instant(J.text_of(value))
+    forms = [normalize_answer(F.date_format(t, f)) for f in ("MMM dd", "MMMM dd", "yyyy-MM-dd", "HH:mm")]
+    months = [F.when(period == "month", normalize_answer(F.date_format(t, f))) for f in ("MMM yyyy", "MMMM yyyy")]
+    return F.array_compact(F.array(*forms, *months))
+
+
+def said_reference(gold: Column) -> Column:
+    """The ways to tell which of two results is preferred: first or second, its stream, its day or time."""
+    period = J.text_of(gold["period"])
+    dates = [said_date(gold[f], period) for f in ("window_start", "requested_timestamp", "observed_timestamp")]
+    return F.concat(F.array_compact(F.array(normalize_answer(J.text_of(gold["preferred_reference"])), normalize_answer(J.text_of(gold["stream_id"])))), *dates)
+
+
+def said_window(start: Column, period: Column) -> Column:
+    """The ways to tell a window as a basis: a week's beginning, a month, a day, else the instant."""
+    t = instant(J.text_of(start))
+    told = lambda *formats: F.array_compact(F.array(*[F.concat(F.lit(head), normalize_answer(F.date_format(t, f))) for head, f in formats]))
+    week = told(("week beginning ", "MMM dd"), ("week beginning ", "MMMM dd"), ("week of ", "MMM dd, yyyy"), ("week of ", "MMMM dd, yyyy"))
+    month, day = told(("", "MMM yyyy"), ("", "MMMM yyyy")), told(("", "MMM dd"), ("", "MMMM dd"), ("", "yyyy-MM-dd"))
+    return F.when(period == "week", week).when(period == "month", month).when(period == "day", day).otherwise(said_time(start))
+
+
+def label_ways(label: Column | str) -> Column:
     """A label, it with equipment in short form, and it without a first word that has an underscore; none for a blank one."""
     t = normalize_answer(label)
     short = [F.when(F.contains(t, F.lit(k)), F.replace(t, F.lit(k), F.lit(v))) for k, v in SHORT_FORMS.items()]
@@ -159,6 +200,7 @@ def check(tasks: DataFrame, answers: DataFrame, inventory: DataFrame, core: bool
     plain = F.when(F.coalesce(F.col("word"), F.lit("")) != "", F.array(normalize_answer("word"))).otherwise(none)
     ways = (
         F.when(F.col("exact"), plain).when(F.col("cue").isNotNull(), F.col("cue")).when(field == "fallback", F.array(normalize_answer(J.object_of("gold"))))
+        .when(field == "preferred_reference", said_reference(F.col("gold"))).when(field == "exact_or_nearest", F.when(F.col("gold")["exact_match_found"] == "true", texts(CUES["exact_cue"])).otherwise(texts(FALLBACK)))
         .when(field.isin(*STREAMS), F.array_union(plain, F.coalesce("names", none))).when(field.isin(*NUMBERS), said_number(F.col("value"))).when(field.isin(*TIMES), said_time(F.col("value")))
         .when(field.isin(*SAID), F.coalesce("phrases", plain)).otherwise(none)
     )
@@ -169,3 +211,71 @@ def check(tasks: DataFrame, answers: DataFrame, inventory: DataFrame, core: bool
     sums = judged.groupBy("task_id").agg(F.count("*").alias("n"), F.transform(F.array_sort(lost), lambda x: x["issue"]).alias("issues"))
     out = tasks.select("task_id").join(sums, "task_id", "left").select("task_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("issues", none).alias("issues"))
     return out.select("task_id", (F.size("issues") == 0).alias("ok"), F.when(F.col("n") == 0, 1.0).otherwise((F.col("n") - F.size("issues")) / F.col("n")).alias("score"), "issues")
+
+
+def holds(text: Column, ways: Column) -> Column:
+    return F.exists(ways, lambda w: (w != "") & F.contains(text, w))
+
+
+def mentions(rows: DataFrame, inventory: DataFrame) -> DataFrame:
+    """task_id, mentioned (array of streams): which streams (task_id, said, stream_id) a text names by id or label."""
+    named = rows.distinct().join(stream_labels(inventory), "stream_id", "left")
+    told = F.array_union(F.array(normalize_answer("stream_id")), F.coalesce("names", texts([])))
+    return named.where(holds(F.col("said"), told)).groupBy("task_id").agg(F.collect_set("stream_id").alias("mentioned"))
+
+
+def evidence_followup(tasks: DataFrame, answers: DataFrame, inventory: DataFrame) -> DataFrame:
+    """task_id, ok: whether a follow-up names the streams that an answer rests on, and their basis.
+
+    tasks: task_id, family, gold, phase_golds (maps of frozen values), streams (required ids), basis (map of frozen values: observed_timestamp, window_start, requested_timestamp, period,
+    preferred_reference, equipment_label, point_label, location_label), seen (ids in the calls' outputs). All required streams are named; or in rankings the winner, two of the seen streams, or words of a ranking; or in
+    comparisons the last winner, or one required stream and words of a comparison. If the basis has anything to tell, some of it is told.
+    """
+    text = answers.select("task_id", normalize_answer(F.coalesce("text", F.lit(""))).alias("said"))
+    rows = tasks.join(text, "task_id", "left").withColumn("said", F.coalesce("said", F.lit("")))
+    rank, pair = F.col("family") == "window_rank", F.col("family") == "window_pairwise_compare"
+    winners = F.filter(F.transform(F.coalesce("phase_golds", F.array().cast("array<map<string,string>>")), lambda g: J.text_of(g["winning_stream_id"])), lambda w: w.isNotNull() & (w != ""))
+    rows = rows.withColumn("winner", F.when(rank, J.text_of(F.col("gold")["stream_id"])).when(pair & (F.size(winners) > 0), F.element_at(winners, -1)))
+    none = texts([])
+    asked = rows.select("task_id", "said", F.explode(F.array_compact(F.concat(F.coalesce("streams", none), F.coalesce("seen", none), F.array("winner")))).alias("stream_id"))
+    rows = rows.join(mentions(asked, inventory), "task_id", "left").withColumn("mentioned", F.coalesce("mentioned", none))
+    basis = lambda f: F.nullif(F.col("basis")[f], F.lit("null"))
+    said, period = F.col("said"), J.text_of(basis("period"))
+    preferred = F.map_filter("basis", lambda k, _: k != "stream_id")
+    told = [
+        F.when(basis("observed_timestamp").isNotNull(), holds(said, said_time(basis("observed_timestamp")))), F.when(basis("window_start").isNotNull() & (F.coalesce(period, F.lit("")) != ""), holds(said, said_window(basis("window_start"), period))),
+        F.when(F.coalesce(J.text_of(basis("preferred_reference")), F.lit("")) != "", holds(said, said_reference(preferred))),
+        *[F.when(F.length(F.trim(J.text_of(basis(f)))) > 0, holds(said, label_ways(J.text_of(basis(f))))) for f in ("equipment_label", "point_label", "location_label")],
+    ]
+    hits = F.array_compact(F.array(*told))
+    based = (F.size(hits) == 0) | F.array_contains(hits, True)
+    named = lambda s: F.array_contains("mentioned", s)
+    required = F.coalesce("streams", none)
+    own = F.size(F.array_intersect(required, F.col("mentioned")))
+    seen = F.size(F.array_intersect(F.array_distinct(F.coalesce("seen", none)), F.col("mentioned")))
+    ranked = rank & (F.coalesce(named(F.col("winner")), F.lit(False)) | (seen >= 2) | holds(said, texts(RANKING)))
+    compared = pair & (F.coalesce(named(F.col("winner")), F.lit(False)) | ((own >= 1) & holds(said, texts(COMPARISON))))
+    ok = (said != "") & (F.size(required) > 0) & based & ((F.size(F.array_except(required, F.col("mentioned"))) == 0) | ranked | compared)
+    return rows.select("task_id", F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
+def rationale_followup(tasks: DataFrame, answers: DataFrame, reference: DataFrame) -> DataFrame:
+    """task_id, ok: whether a follow-up tells the decision of the gold (the last gate's, in gates of quality), nothing against it, and a reason that fits.
+
+    tasks: task_id, family, gold, phase_families, phase_golds. reference: one row of the weekly thresholds. Who abstains for coverage or for gaps alone has to say so, or speak of quality.
+    """
+    text = answers.select("task_id", normalize_answer(F.coalesce("text", F.lit(""))).alias("said"))
+    gates = F.filter(F.arrays_zip(F.coalesce("phase_families", texts([])).alias("f"), F.coalesce("phase_golds", F.array().cast("array<map<string,string>>")).alias("g")), lambda p: (p["f"] == "quality_gate") & p["g"].isNotNull())
+    gold = F.when((F.col("family") == "quality_gate") & (F.size(gates) > 0), F.element_at(gates, -1)["g"]).otherwise(F.col("gold"))
+    rows = tasks.withColumn("_gold", gold).join(text, "task_id", "left").withColumn("said", F.coalesce("said", F.lit(""))).crossJoin(F.broadcast(reference))
+    g, said = F.col("_gold"), F.col("said")
+    answered = F.coalesce(J.text_of(g["decision"]) == "answer", F.lit(False))
+    told = F.when(answered, holds(said, texts(RATIONALE["answer"][0])) & ~holds(said, texts(RATIONALE["answer"][1]))).otherwise(holds(said, texts(RATIONALE["abstain"][0])))
+    coverage = holds(said, texts(REASONS["coverage"])) | holds(said, said_number(g["observed_fraction"]))
+    gap = holds(said, texts(REASONS["gap"])) | holds(said, said_number(g["gap_ratio"]))
+    quality = holds(said, texts(REASONS["quality"]))
+    low = F.coalesce(J.number_of(g["observed_fraction"]) < F.col("abstain_observed_fraction_below"), F.lit(False))
+    high = F.coalesce(J.number_of(g["gap_ratio"]) > F.col("abstain_gap_ratio_above"), F.lit(False))
+    abstains = F.coalesce(J.text_of(g["decision"]) == "abstain", F.lit(False))
+    reason = F.when(abstains & low & ~high, coverage | quality).when(abstains & high & ~low, gap | quality).otherwise(coverage | gap | quality)
+    return rows.select("task_id", ((said != "") & told & reason).alias("ok"))
