@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions import typed as J
 from tidegauge.functions.columns import exact_mean, iso_text
 from tidegauge.operators import aggregates as A
+from tidegauge.operators import reports
 from tidegauge.operators import thresholds as T
 from tidegauge.operators import verification as W
 from tidegauge.operators.sequences import Tools, execute
@@ -66,9 +67,7 @@ def verified(spark, d):
     return W.verify(tasks, calls, rows.select(stream.alias("task_id"), final.alias("final"), evidence.alias("evidence")), obs)
 
 
-@query(
-    "verify_calls",
-    """SELECT task_id, CASE WHEN good THEN 'accomplished' WHEN task_score > 0 THEN 'partially_accomplished' ELSE 'not_accomplished' END AS label,
+V.CTES["verified_calls"] = """SELECT task_id, CASE WHEN good THEN 'accomplished' WHEN task_score > 0 THEN 'partially_accomplished' ELSE 'not_accomplished' END AS label,
       CASE WHEN good AND process_score = 1 THEN 'accomplished' WHEN process_score + task_score > 0 THEN 'partially_accomplished' ELSE 'not_accomplished' END AS strict_label,
       process_score, core_score AS final_score, core_score, 1.0 AS reporting_score, evidence_score, temporal_score, 1.0 AS phase_score, round((evidence_score + 1) / 2, 4) AS grounding_score, round(task_score, 4) AS task_score,
       concat_ws(',', CASE WHEN k % 6 = 5 THEN 'missing_tool:aggregate_window' END, CASE WHEN NOT placed THEN 'call_sequence_mismatch' END, CASE WHEN temporal_score = 0 THEN 'temporal_mismatch:aggregate_window:window_start,window_end,period' END,
@@ -80,13 +79,28 @@ def verified(spark, d):
         FROM (SELECT stream_id AS task_id, *, k % 6 NOT IN (4, 5) AND s = ws AND e = we OR k % 6 = 1 AND movable OR k % 6 = 4 AS in_time,
           CASE WHEN k % 6 = 5 THEN 0.0 WHEN s = ws AND e = we OR near_way THEN 1.0 ELSE 0.0 END AS temporal_score,
           coalesce(abs(mean - CASE WHEN near_way THEN mean ELSE gold END) <= 0.01, false) AS mean_ok, k % 6 IN (0, 1, 2) AND (s = ws AND e = we OR near_way AND mean IS NOT NULL) AS placed
-          FROM (SELECT *, movable AND k % 6 NOT IN (4, 5) AND (s = ws AND e = we OR s = first_ts AND e = first_ts + (we - ws)) AS near_way FROM asked_means))))""",
-)
+          FROM (SELECT *, movable AND k % 6 NOT IN (4, 5) AND (s = ws AND e = we OR s = first_ts AND e = first_ts + (we - ws)) AS near_way FROM asked_means))))"""
+
+
+@query("verify_calls", "SELECT * FROM verified_calls")
 def verify_calls(spark, d):
     out = verified(spark, d)
     return out.withColumn("issues", F.array_join("issues", ","))
 
 
+@query(
+    "failure_report",
+    """SELECT what, value, count(*) AS n FROM (SELECT 'label' AS what, label AS value FROM verified_calls UNION ALL SELECT 'category', c.value FROM verified_calls,
+      (VALUES ('missing_tool:', 'process_required_tool_missing'), ('call_sequence_mismatch', 'process_call_sequence_mismatch'), ('temporal_mismatch:', 'temporal_contract_mismatch'), ('missing_answer_fact:', 'final_answer_content_missing'), ('missing_evidence:', 'grounding_evidence_missing')) AS c(part, value) WHERE contains(issues, part)
+      UNION ALL SELECT 'category', 'other' FROM verified_calls WHERE contains(issues, 'missing_final_field') OR contains(issues, 'numeric_mismatch') OR contains(issues, 'value_mismatch')) GROUP BY 1, 2""",
+)
+def failure_report(spark, d):
+    """How many of the verified tasks have each label and each category of issues."""
+    none = F.array().cast("array<string>")
+    parts = {f"{p}_issues": none for p in ("phase", "process", "temporal", "final")}
+    return reports.report(reports.failures(verified(spark, d).withColumns({"error": F.lit(None).cast("string"), "traced": F.lit(True), **parts})))
+
+
 # ---- sequences of calls on the real tools: a site's and class's points, their January compared and ranked by references, the winner's observation nearest to mid-January
 
 
