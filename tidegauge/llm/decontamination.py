@@ -8,7 +8,7 @@ The hashes of the items go to every worker while the items have at most max_broa
 `salts` tasks), and only the tokens around a hit are fetched.
 
 Null and empty texts have no hit; items without a token are left out. Rows without doc_id are searched and reported without one; repeated rows report the same pair
-once, with the hits of all. Very long texts are searched whole. Empty tables give an empty result. Extra columns are ignored.
+once, with the hits of all. Very long texts are searched whole. Of windows that tie the first counts. Empty tables give an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ languages x buckets, and the number of languages is held under max_languages. Th
 scored in batches: the sparse matrix of texts and buckets times the weights, in numpy.
 
 A text that is null, empty or without a letter is `und` with score 0. Rows without a label teach nothing. With no labelled row at all, every text is `und`.
-Very long texts are scored whole. Ties between languages go to the first by name. Extra columns are ignored.
+Very long texts are scored whole. Ties between languages go to the first by name. Repeated rows are scored, and teach, each on its own. An empty table gives an empty
+result. Extra columns are ignored. n-grams are of the bytes of characters, so that those of other scripts are shorter in characters.
 """
 
 from __future__ import annotations

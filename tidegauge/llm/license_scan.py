@@ -8,7 +8,8 @@ shared words bounds the overlap (positional filter). Pairs that pass are counted
 
 The corpus is counted and searched in Spark; the templates are a parameter and go to every worker, at most max_template_words words in all.
 
-Null and empty texts have no word, no place and no label. Repeated rows are scanned each; very long texts whole. Extra columns are ignored.
+Null and empty texts have no word, no place and no label. Repeated rows are scanned each; very long texts whole. Words that tie in frequency go by themselves; of places that tie the first
+counts. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

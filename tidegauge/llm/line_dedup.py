@@ -8,7 +8,8 @@ added to the levels of repeats, with their counts. A level of fan_out runs is co
 about fan_out * log(batches) runs.
 
 Null and empty texts are one empty line and stay. Rows without doc_id stay whole and count for no key. Repeated rows count as one document; rows
-that share a doc_id but not the text are one document for the count, and each loses its own lines. Very long texts cost in proportion to their lines.
+that share a doc_id but not the text are one document for the count, and each loses its own lines. Very long texts cost in proportion to their lines. Lines that tie in one
+document go or stay together. An empty table gives an empty result; columns that carry doesn't name are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ the capacity go at most two to a sequence, each with the longest partner that st
 sequences are planned as one group with a count. Every piece then finds its place from its rank among the pieces of its length.
 
 Null and empty texts are the end id alone. Repeated rows, and rows without doc_id, are packed each on its own. Very long texts are cut, never truncated.
-An empty table gives an empty result. Extra columns are ignored.
+Pieces of one length tie, and go by the task and place in which they are read. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ A window of `width` words that starts earlier somewhere else (in a smaller doc_i
 Copies of whole texts are repeated throughout but for the smallest doc_id, and skip 2 and 3.
 
 Null and empty texts have no word. Rows without doc_id stay whole. Repeated rows keep what the first would keep; rows that share a doc_id but not the
-text count as one document and are cleaned each on its own. Very long texts are searched whole. Extra columns are ignored. Words are told apart by 48 bits of a hash.
+text count as one document and are cleaned each on its own. Very long texts are searched whole. Of windows that tie, in one document too, the one that starts first stays. An empty table
+gives an empty result. Extra columns, whatever their names, are ignored. Words are told apart by 48 bits of a hash.
 """
 
 from __future__ import annotations
