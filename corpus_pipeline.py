@@ -1,7 +1,9 @@
 """A corpus pipeline of five stages: language, repeated lines, near copies, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir) with docs the documents that the stage before it kept, and all but the last return the columns of documents.
-Stages read whole tables and texts; the docstrings of the operators say what they do with nulls, empty texts and repeated rows.
+Stages read whole tables and texts. Null and empty texts have no known language and go in the first stage; rows without doc_id stay whole, and link to nothing, until packing, which takes each
+row on its own. Repeated rows count as one document of repeated lines and near copies, of which one stays. Very long texts are read whole. Of lines and copies that tie the largest and the smallest
+doc_id stay. An empty table passes all stages empty. Extra columns go with the first stage.
 """
 
 from __future__ import annotations
