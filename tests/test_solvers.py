@@ -127,6 +127,13 @@ def test_sequences_on_the_tools(spark, store):
     assert done[2, 4] == {"stream_id": "gone", "requested_timestamp": "2024-01-04T06:00:00", "exact_match_found": False}
 
 
+def test_sequences_without_calls(spark, store):
+    none = spark.createDataFrame([], "task_id int, position int, call_id string, tool_name string, arguments map<string,string>")
+    assert sequences.execute(none, store.all(), 3).count() == 0
+    late = spark.createDataFrame([(1, 2, None, "list_points", frozen_map(site_id="$c1.site"))], none.schema)
+    assert [(r["call_id"], json.loads(r["output"])["count"]) for r in sequences.execute(late, store.all(), 3).collect()] == [("c2", 0)]
+
+
 # ---- from text to answers
 
 

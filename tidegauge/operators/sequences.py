@@ -50,7 +50,7 @@ def execute(calls: DataFrame, run: dict[str, Tool], steps: int) -> DataFrame:
     done = [named.where(~made).withColumn("output", F.lit(None).cast("string")).select(*columns)]
     for step in range(1, steps + 1):
         now = named.where(made & (F.col("position") == step))
-        if step > 1:
+        if len(done) > 1:
             now = resolve(now, reduce(DataFrame.unionByName, done[1:]).select("task_id", "call_id", "output"))
         # A number for each request, fixed as the table is written.
         now = materialise(now.withColumn("request_id", F.monotonically_increasing_id()), "requests")
