@@ -148,6 +148,42 @@ def test_language_id(spark, small, docs, empty):
     assert {r.lang_pred for r in language_id.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_id_against_brute_force(spark):
+    """Counts, posteriors and ties by plain Python, on scripts of one to four bytes a character; only the hash of an n-gram is the operator's."""
+    said = [("en", "The cat sat, on 3 MATS"), ("en", "a dog's day"), ("ru", "Кот сидел на ковре"), ("ja", "猫が座った。"), ("ru", None), (None, "unlabelled words"), ("xx", "𝔘𝔫 🙂 Éa"), ("en", "")]
+    train = spark.createDataFrame(said, "lang string, text string")
+    asked = ["the mat", "кОТ", "猫", "𝔘", "Zebra 99", "É", "", None, "?!", "the cat " * 400, " a"]
+    buckets = 1 << 12
+    languages, weights = language_id.train(train, buckets=buckets)
+    assert languages == ["en", "ja", "ru", "xx"]
+
+    def folded(t):
+        out = [c.lower() if c.isalpha() else " " for c in t or ""]
+        return [c if len(c) == 1 else d for c, d in zip(out, t or "", strict=True)]
+
+    def grams(t):
+        f = folded(t)
+        return ["".join(f[k : k + n]) for n in (1, 2, 3) for k in range(len(f) - n + 1) if set(f[k : k + n]) != {" "}]
+
+    def bucket(gram):
+        found = list(language_id.ngram_buckets(np.array([ord(c) for c in gram], np.uint32), np.array([0, len(gram)]), (len(gram),), buckets))
+        return int(found[0][1][0])
+
+    counts = {x: Counter(bucket(g) for lang, t in said if lang == x for g in grams(t)) for x in languages}
+    total = {x: sum(counts[x].values()) + buckets for x in languages}
+    got = language_id.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string"), languages, weights).collect()
+    for r in got:
+        t = asked[r.doc_id]
+        g = grams(t)
+        logs = [sum(math.log((counts[x][bucket(w)] + 1) / total[x]) for w in g) for x in languages]
+        z = [math.exp(10 * (v - max(logs)) / math.sqrt(max(1, len(g)))) for v in logs]
+        if any(c.isalpha() for c in t or ""):
+            assert r.lang_pred == languages[int(np.argmax(z))] and math.isclose(r.score, max(z) / sum(z), rel_tol=1e-3), t
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+    assert {asked[r.doc_id]: r.lang_pred for r in got if asked[r.doc_id] in ("the mat", "кОТ", "猫", "𝔘")} == {"the mat": "en", "кОТ": "ru", "猫": "ja", "𝔘": "xx"}
+
+
 def test_lm_scoring(docs, empty):
     c: Counter = Counter()
     tokens = {}

@@ -1,17 +1,18 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts the n-grams of every labelled row, in Spark; what reaches the driver is one count for each language and bucket, at most
+Training counts the n-grams, of one to three characters, of every labelled row, in Spark; what reaches the driver is one count for each language and bucket, at most
 languages x buckets, and the number of languages is held under max_languages. The matrix of log-probabilities is broadcast, and texts are
 scored in batches: the sparse matrix of texts and buckets times the weights, in numpy.
 
 A text that is null, empty or without a letter is `und` with score 0. Rows without a label teach nothing. With no labelled row at all, every text is `und`.
 Very long texts are scored whole. Ties between languages go to the first by name. Repeated rows are scored, and teach, each on its own. An empty table gives an empty
-result. Extra columns are ignored. n-grams are of the bytes of characters, so that those of other scripts are shorter in characters.
+result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,27 +23,40 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tidegauge.llm.batches import text_buffer, text_slices
 
-# Bytes that n-grams don't tell apart: ASCII capitals count as small, digits and signs as one space.
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[ord("A") : ord("Z") + 1] += 32
-_FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
+_SPACE = 32
 
 
-def ngram_buckets(data: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order (text index, bucket) of every n-gram of the folded UTF-8 bytes; an n-gram stays inside its text, and those of only spaces don't count."""
-    folded = _FOLD[data].astype(np.uint32)
+@cache
+def _fold() -> np.ndarray:
+    """What n-grams don't tell apart, for characters up to U+FFFF: capitals count as small, and all that are no letters as one space."""
+    small = [c.lower() if c.isalpha() else " " for c in map(chr, range(1 << 16))]
+    return np.array([ord(c) if len(c) == 1 else k for k, c in enumerate(small)], np.uint32)
+
+
+def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(folded code points of all texts, offsets of the texts in them); null as empty."""
+    data, offsets = text_buffer(column)
+    codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
+    # A character begins with every byte that doesn't continue one.
+    before = np.concatenate([np.zeros(1, np.int64), np.cumsum((data & 0xC0) != 0x80)])
+    return np.where(codes < 1 << 16, _fold()[np.minimum(codes, (1 << 16) - 1)], codes), before[offsets]
+
+
+def ngram_buckets(folded: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order (text index, bucket) of every n-gram of the folded characters; an n-gram stays inside its text, and those of only spaces don't count."""
     owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+    wide = folded.astype(np.uint64)
     for n in orders:
         if len(folded) < n:
             continue
-        code, spaces = np.zeros(len(folded) - n + 1, np.uint32), 0
-        for k in range(n):
-            code = (code << np.uint32(8)) | folded[k : len(folded) - n + 1 + k]
-            spaces = spaces << 8 | 32
-        inside = (owner[: len(code)] == owner[n - 1 :]) & (code != np.uint32(spaces))
         # Multiplicative hashing; the order goes in, so that equal codes of two orders part.
-        code = (code[inside] + np.uint32(n)) * np.uint32(2654435769)
-        yield owner[: len(inside)][inside], ((code ^ (code >> np.uint32(15))) % np.uint32(buckets)).astype(np.int64)
+        code, spaces = np.full(len(folded) - n + 1, n, np.uint64), np.full(1, n, np.uint64)
+        for k in range(n):
+            code = code * np.uint64(0x9E3779B97F4A7C15) + wide[k : len(folded) - n + 1 + k]
+            spaces = spaces * np.uint64(0x9E3779B97F4A7C15) + np.uint64(_SPACE)
+        inside = (owner[: len(code)] == owner[n - 1 :]) & (code != spaces[0])
+        code = code[inside] * np.uint64(0xD6E8FEB86659FD93)
+        yield owner[: len(inside)][inside], ((code >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
 def train(labelled: DataFrame, orders: tuple[int, ...] = (1, 2, 3), buckets: int = 1 << 15, max_languages: int = 200) -> tuple[list[str], np.ndarray]:
@@ -56,7 +70,7 @@ def train(labelled: DataFrame, orders: tuple[int, ...] = (1, 2, 3), buckets: int
         totals = np.zeros(len(languages) * buckets, np.int64)
         for batch in text_slices(batches):
             where = np.array([place[x] for x in batch.column(0).to_pylist()], dtype=np.int64)
-            for owner, bucket in ngram_buckets(*text_buffer(batch.column(1)), orders, buckets):
+            for owner, bucket in ngram_buckets(*characters(batch.column(1)), orders, buckets):
                 totals += np.bincount(where[owner] * buckets + bucket, minlength=len(totals))
         used = np.flatnonzero(totals)
         yield pa.record_batch([pa.array(used), pa.array(totals[used])], names=["cell", "n"])
@@ -80,7 +94,7 @@ def predict(texts: DataFrame, languages: list[str], weights: np.ndarray, orders:
         for batch in text_slices(batches):
             w, n = shared.value, batch.num_rows
             totals, size = np.zeros((n, len(languages))), np.zeros((n, 1))
-            for owner, bucket in ngram_buckets(*text_buffer(batch.column(-1)), orders, buckets):
+            for owner, bucket in ngram_buckets(*characters(batch.column(-1)), orders, buckets):
                 # Rows of the sparse matrix texts x buckets times the weights: gather the entries' weights, add them up by text.
                 starts = np.flatnonzero(np.diff(owner, prepend=-1))
                 if len(starts):
