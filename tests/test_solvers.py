@@ -155,6 +155,7 @@ def test_texts_to_answers(spark, store):
         (6, "quality_gate", f"Can I trust the air temperature sensor of Unit 0 {week}?"),
         (7, "window_mean_lookup", "What was the average air temperature reading on Unit 2?"),
         (8, "poem", "Roses are red."),
+        (9, "window_pairwise_compare", f"Is the air temperature sensor higher on Unit 0 {week}?"),
     ]
     table = spark.createDataFrame([(k, "S", f, t) for k, f, t in tasks], "task_id int, site_id string, family string, text string")
     got = {r["task_id"]: r["answer"] for r in planning.solve(table, store.inventory, store.all()).collect()}
@@ -164,7 +165,7 @@ def test_texts_to_answers(spark, store):
     assert got[4] == {"stream_id": '"p1"', "value": "15", "observed_timestamp": '"2024-01-05T06:00:00"', "exact_match_found": "false"}
     assert got[5] == {"stream_id": '"p3"', "value": "35", "observed_timestamp": '"2024-01-05T06:00:00"', "exact_match_found": "true"}
     assert got[6]["decision"] in ('"answer"', '"abstain"') and got[6]["stream_id"] == '"p0"'
-    assert got[7] is None and got[8] is None
+    assert got[7] is None and got[8] is None and got[9] is None
 
 
 # ---- preflight

@@ -1,6 +1,6 @@
 """Archives of pickled streams: (token, timestamps, values) in each member of a ZIP file, read with a decoder that makes no objects but plain ones.
 
-A ZIP file is one row of Spark's binaryFile source, which holds up to 2 GB; larger ones have to be unpacked first. Land the result as Parquet once and query that.
+A ZIP file is one row of Spark's binaryFile source, which holds up to 2 GB; `sources.zips` reads larger ones, by members. Land the result as Parquet once and query that.
 """
 
 from __future__ import annotations
