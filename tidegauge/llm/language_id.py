@@ -24,6 +24,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from tidegauge.llm.batches import text_buffer, text_slices
 
 _SPACE = 32
+#: Bytes of text at a time: a character takes some 60 bytes while its n-grams are looked up.
+_SLICE = 128 << 10
 
 
 @cache
@@ -68,7 +70,7 @@ def train(labelled: DataFrame, orders: tuple[int, ...] = (1, 2, 3), buckets: int
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(len(languages) * buckets, np.int64)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, _SLICE):
             where = np.array([place[x] for x in batch.column(0).to_pylist()], dtype=np.int64)
             for owner, bucket in ngram_buckets(*characters(batch.column(1)), orders, buckets):
                 totals += np.bincount(where[owner] * buckets + bucket, minlength=len(totals))
@@ -91,7 +93,7 @@ def predict(texts: DataFrame, languages: list[str], weights: np.ndarray, orders:
     shared, buckets = spark.sparkContext.broadcast(weights), weights.shape[0]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, _SLICE):
             w, n = shared.value, batch.num_rows
             totals, size = np.zeros((n, len(languages))), np.zeros((n, 1))
             for owner, bucket in ngram_buckets(*characters(batch.column(-1)), orders, buckets):
