@@ -57,10 +57,14 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage(f: Stage) -> Stage:
-    """A stage that first removes what earlier stages left in the shared folder: their results are written tables by then."""
+    """A stage that first removes what earlier stages left in the shared folder: their results are written tables by then.
+
+    Rows go to Python in batches of 2000: with whole texts in them, the usual 10,000 take more memory than the work on them.
+    """
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(spark)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
         return f(spark, docs, sf_dir)
 
     return run_stage
