@@ -13,6 +13,7 @@ from tidegauge.functions import typed as J
 from tidegauge.functions.columns import iso_text, normalize_text
 from tidegauge.operators.sequences import Tool, execute
 from tidegauge.operators.summaries import phrase_hits
+from tidegauge.tables import materialise
 
 MEANS = ("day_mean_lookup", "relative_24h_mean_lookup", "window_mean_lookup")
 STEPS = 3
@@ -116,5 +117,13 @@ def answers(tasks: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def solve(tasks: DataFrame, inventory: DataFrame, tools: dict[str, Tool]) -> DataFrame:
-    """task_id, answer of every task, from its text."""
-    return answers(tasks, execute(plans(tasks, phrase_table(inventory)), tools, STEPS))
+    """task_id, answer of every task, from its text.
+
+    Tasks of one site, family and text have one answer and are solved once: what their calls give back, lists of all points of a class included, isn't kept for each.
+    """
+    key = F.struct("site_id", "family", "text").alias("asked")
+    asked = materialise(tasks.select(key).distinct().select("asked", F.monotonically_increasing_id().alias("task_id")), "asked")
+    each = asked.select("task_id", "asked.*")
+    found = answers(each, execute(plans(each, phrase_table(inventory)), tools, STEPS))
+    known = materialise(asked.join(found, "task_id").select("asked", "answer"), "answers")
+    return tasks.select("task_id", key).join(known, "asked").select("task_id", "answer")
