@@ -47,3 +47,35 @@ def test_answers_in_words_name_customers_as_their_table_does(spark, small, duck,
     got = {tuple(r) for r in QUERIES["answers_in_words"](spark, str(tmp_path)).select("task_id", "score", "issues").collect()}
     want = {(a, float(b), c) for a, b, c in duck.sql(f"SELECT task_id, score, issues FROM ({SQL['answers_in_words']})").fetchall()}
     assert got == want
+
+
+def test_labels_are_met_by_equality(spark):
+    points = [("S", "a", "Temp", "S Unit 1", "Hall"), ("S", "b", "Temp", "s unit 1", None), ("S", "c", "Temp", None, "Hall"), ("S", "d", "Temp", None, None), ("S", "e", "Flow", "`S  Unit 1`", "Hall"), ("S", "f", None, "S Unit 1", "Hall"), ("T", "g", "Temp", "S Unit 1", "Hall")]
+    labels = (None, "S UNIT 1", "Unit 1", "hall", "Hall")
+    asks = [(0, s, c, e, p) for s in ("S", "T", None) for c in ("Temp", "Any", "Flow", None) for e in labels for p in labels]
+    asks = [(i, *a[1:]) for i, a in enumerate(asks + asks[:9])]
+    alias = [("Any", "Temp"), ("Any", "Flow")]
+    low = lambda x, _: x.lower()
+
+    def loose(x, site):
+        x = x.translate(str.maketrans("", "", "'\"`")).strip().lower()
+        return " ".join((x[len(site) + 1 :] if x.startswith(site.lower() + " ") else x).split())
+
+    def met(ask, classes, how):
+        _, site, _, *wanted = ask
+        return sorted(p[1] for p in points if p[0] == site and p[2] in classes and all(w is None or (o is not None and how(w, site) == how(o, site)) for w, o in zip(wanted, p[3:], strict=True)))
+
+    want = {}
+    for a in asks:
+        first = met(a, {a[2]} - {None}, low)
+        ids = first or met(a, ({a[2]} | {c for k, c in alias if k == a[2]}) - {None}, loose)
+        want[a[0]] = (len(ids), ids or None, ids[0] if len(ids) == 1 else None, "fallback" if ids and not first else None)
+    found = tools.resolve_points(spark.createDataFrame(points, SCHEMAS["points"]), spark.createDataFrame(asks, SCHEMAS["asks"]), spark.createDataFrame(alias, "alias string, point_class string"))
+    assert {r[0]: tuple(r)[1:] for r in found.select("request_id", "match_count", "stream_ids", "stream_id", "resolution_strategy").collect()} == want
+    # Labels are keys of the joins: no row is made only to be thrown away for its label.
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert joins and not any("lower(" in j or "regexp_replace(" in j for j in joins)
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().toString()

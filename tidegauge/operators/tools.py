@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.columns import exact_mean, normalize_label, rounded
@@ -23,21 +23,31 @@ def resolve_points(inventory: DataFrame, requests: DataFrame, aliases: DataFrame
     First class and site as given with labels compared without case; requests without any match then try the classes that the given one stands for (aliases:
     alias, point_class) and labels without site, quotes and case. A label that is null asks nothing.
     """
-    points = inventory.select("site_id", "stream_id", F.col("point_class").alias("_class"), F.col("equipment_label").alias("_equipment"), F.col("location_label").alias("_location"))
-
-    def label(asked: str, own: str):
-        return F.col(asked).isNull() | (F.lower(asked) == F.lower(own))
-
-    def loose(asked: str, own: str):
-        return F.col(asked).isNull() | (normalize_label(asked, "site_id") == normalize_label(own, "site_id"))
-
-    first = requests.join(points, "site_id").where((F.col("point_class") == F.col("_class")) & label("equipment_label", "_equipment") & label("location_label", "_location")).select("request_id", "stream_id")
-    rest = requests.join(first, "request_id", "left_anti")
+    fields = ("equipment_label", "location_label")
+    asked = requests.select("request_id", F.struct("site_id", "point_class", *fields).alias("_ask"))
+    # Requests that ask the same are answered once.
+    asks = asked.select("_ask").distinct().select("_ask", "_ask.*")
+
+    def loose(label: str) -> Column:
+        return normalize_label(label, "site_id")
+
+    def keyed(how: Callable[[str], Column]) -> DataFrame:
+        """Points with each of their labels and without it: what an ask with or without that label is equal to."""
+        kept = [F.struct(*[(how(f) if f in some else F.lit(None).cast("string")).alias(f) for f in fields]) for some in (fields, fields[:1], fields[1:], ())]
+        there = [reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in some], F.lit(True)) for some in (fields, fields[:1], fields[1:], ())]
+        forms = F.explode(F.array_compact(F.array(*[F.when(t, k) for t, k in zip(there, kept, strict=True)])))
+        return inventory.select("site_id", "stream_id", F.col("point_class").alias("_class"), forms.alias("_key"))
+
+    def key(how: Callable[[str], Column]) -> Column:
+        return F.struct(*[how(f).alias(f) for f in fields])
+
+    first = asks.withColumns({"_class": F.col("point_class"), "_key": key(F.lower)}).join(keyed(F.lower), ["site_id", "_class", "_key"]).select("_ask", "stream_id")
+    rest = asks.join(first, "_ask", "left_anti")
     wider = aliases.select(F.col("alias").alias("point_class"), F.col("point_class").alias("_class")).unionByName(rest.select("point_class", F.col("point_class").alias("_class")).distinct()).distinct()
-    second = rest.join(wider, "point_class").join(points, ["site_id", "_class"]).where(loose("equipment_label", "_equipment") & loose("location_label", "_location")).select("request_id", "stream_id")
+    second = rest.join(wider, "point_class").withColumn("_key", key(loose)).join(keyed(loose), ["site_id", "_class", "_key"]).select("_ask", "stream_id")
     found = first.withColumn("how", F.lit("exact")).unionByName(second.distinct().withColumn("how", F.lit("fallback")))
-    grouped = found.groupBy("request_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("stream_id")).alias("stream_ids"), F.first("how").alias("how"))
-    out = requests.select("request_id").join(grouped, "request_id", "left")
+    grouped = found.groupBy("_ask").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("stream_id")).alias("stream_ids"), F.first("how").alias("how"))
+    out = asked.join(grouped, "_ask", "left")
     n = F.coalesce("n", F.lit(0)).cast("bigint")
     return out.select("request_id", n.alias("match_count"), "stream_ids", F.when(n == 1, F.element_at("stream_ids", 1)).alias("stream_id"), F.when(F.col("how") == "fallback", "fallback").alias("resolution_strategy"))
 
