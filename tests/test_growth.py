@@ -79,3 +79,14 @@ def test_labels_are_met_by_equality(spark):
 
 def plan_of(df) -> str:
     return df._jdf.queryExecution().toString()
+
+
+def test_weeks_are_counted_once(spark):
+    at = lambda *a: dt.datetime(2024, 1, *a)
+    obs = spark.createDataFrame([("S", "a", at(1), 1.0), ("S", "a", at(7, 23), None), ("S", "a", at(22), 2.0), ("S", "b", at(9), 1.0), ("S", "a", None, 1.0)], "site_id string, stream_id string, ts timestamp_ntz, value double")
+    anchors = spark.createDataFrame([(1, "a", at(3)), (2, "a", at(8)), (3, "a", at(15)), (4, "a", at(29)), (5, "b", at(1)), (6, "b", at(31)), (7, "c", at(1)), (8, "a", None)], "request_id long, stream_id string, anchor_ts timestamp_ntz")
+    found = episodes.week_around(obs, anchors)
+    got = {r["request_id"]: (r["window_start"].day, r["window_end"].day, r["count"]) for r in found.collect()}
+    assert got == {1: (1, 8, 2), 2: (1, 8, 2), 3: (22, 29, 1), 4: (22, 29, 1), 5: (8, 15, 1)}
+    # Observations meet no anchor before they are counted: one row for each day of a window would be made by sequence().
+    assert "sequence(" not in plan_of(found)

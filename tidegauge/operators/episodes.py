@@ -74,12 +74,12 @@ def adjacent_quality(obs: DataFrame, windows: DataFrame) -> DataFrame:
 
 def week_around(obs: DataFrame, anchors: DataFrame) -> DataFrame:
     """For each anchor (request_id, stream_id, anchor_ts) the Monday week that holds it, or the one before, or the one after: the first with data."""
-    start = week_mon("anchor_ts")
-    tries = anchors.select("request_id", "stream_id", F.posexplode(F.array(F.lit(0), F.lit(-7), F.lit(7))).alias("place", "days"), start.alias("start"))
-    windows = tries.select(F.concat_ws("|", "request_id", "place").alias("request_id"), F.col("request_id").alias("anchor_id"), "place", "stream_id", (F.col("start") + F.make_dt_interval(F.col("days"))).alias("window_start"), (F.col("start") + F.make_dt_interval(F.col("days") + 7)).alias("window_end"))
-    found = rows_in_windows(obs, windows).where("ts is not null").groupBy("anchor_id", "place", "stream_id", "window_start", "window_end").agg(F.count("*").alias("count"))
-    best = found.groupBy("anchor_id").agg(F.min(F.struct("place", "stream_id", "window_start", "window_end", "count")).alias("b"))
-    return best.select(F.col("anchor_id").alias("request_id"), "b.stream_id", "b.window_start", "b.window_end", "b.count")
+    weeks = obs.where("ts is not null").groupBy("stream_id", week_mon("ts").alias("window_start")).agg(F.count("*").alias("count"))
+    # A week is offered to itself, to the one after it and to the one before it, so that rows are counted once and not for each anchor.
+    offered = weeks.select("*", F.posexplode(F.array(F.lit(0), F.lit(7), F.lit(-7))).alias("place", "days")).withColumn("_week", F.col("window_start") + F.make_dt_interval(F.col("days")))
+    best = offered.groupBy("stream_id", "_week").agg(F.min(F.struct("place", "window_start", "count")).alias("b"))
+    found = anchors.select("request_id", "stream_id", week_mon("anchor_ts").alias("_week")).join(best, ["stream_id", "_week"])
+    return found.select("request_id", "stream_id", "b.window_start", (F.col("b.window_start") + F.make_dt_interval(F.lit(7))).alias("window_end"), "b.count")
 
 
 def dialogue_states(turns: DataFrame) -> DataFrame:
