@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tidegauge.functions import columns as K
 from tidegauge.functions import typed as J
 from tidegauge.operators import episodes, planning, tools
 from tidegauge.plans import QUERIES, SQL
@@ -90,3 +91,15 @@ def test_weeks_are_counted_once(spark):
     assert got == {1: (1, 8, 2), 2: (1, 8, 2), 3: (22, 29, 1), 4: (22, 29, 1), 5: (8, 15, 1)}
     # Observations meet no anchor before they are counted: one row for each day of a window would be made by sequence().
     assert "sequence(" not in plan_of(found)
+
+
+def test_number_texts_in_steps(spark):
+    numbers = [0.0, -0.0, 1.0, -1.05, 0.125, 0.375, 2.5, 1234.56789, 99999999999.99995, 1e11, -3e15, 1e-9, None]
+    rows = spark.createDataFrame([(x,) for x in numbers], "x double")
+    for n in (4, 3, 2, 1):
+        pairs = K.with_fixed(rows, "t", "x", n).select("t", K.fixed("x", n).alias("want")).collect()
+        assert [p["t"] for p in pairs] == [p["want"] for p in pairs]
+
+
+def test_numbers_are_met_without_a_lambda(spark, small):
+    assert "lambdafunction" not in plan_of(QUERIES["number_variants_match"](spark, small))

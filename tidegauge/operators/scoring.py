@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,6 +121,8 @@ def label(core: Column, grounding: Column, timing: Column, phases: Column) -> Co
     return F.when(~core, "wrong_answer").when(~grounding, "ungrounded").when(~timing, "wrong_time").when(~phases, "phases_missing").otherwise("success")
 
 
-def mentions(text: Column, variants: Column) -> Column:
-    """Whether the text holds any of the variants."""
+def mentions(text: Column, variants: Column | list[Column]) -> Column:
+    """Whether the text holds any of the variants. Columns in a list are compiled; those inside an array and its lambda are walked through for every row."""
+    if isinstance(variants, list):
+        return reduce(lambda a, b: a | b, [F.contains(text, v) for v in variants])
     return F.exists(variants, lambda v: F.contains(text, v))

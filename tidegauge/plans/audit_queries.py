@@ -188,8 +188,12 @@ def score_task_label(spark, d):
 @query("number_variants_match", "SELECT l_orderkey, l_linenumber, l_partkey, contains(text, a) OR contains(text, b) OR contains(text, c) OR contains(text, e) OR contains(text, regexp_replace(a, '\\.?0+$', '')) AS found FROM (SELECT *, 'it was ' || printf('%.1f', l_extendedprice) || ' in all' AS text, printf('%.4f', l_extendedprice / 10) AS a, printf('%.3f', l_extendedprice / 10) AS b, printf('%.2f', l_extendedprice / 10) AS c, printf('%.1f', l_extendedprice / 10) AS e FROM lineitem)")
 def number_variants_match(spark, d):
     l = V.table(spark, d, "lineitem")
-    text = F.concat(F.lit("it was "), K.fixed("l_extendedprice", 1), F.lit(" in all"))
-    return l.select("l_orderkey", "l_linenumber", "l_partkey", scoring.mentions(text, K.number_variants(F.col("l_extendedprice") / 10)).alias("found"))
+    ways = [f"way{n}" for n in (4, 3, 2, 1)]
+    rows = K.with_fixed(l.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", (F.col("l_extendedprice") / 10).alias("tenth")), "said", "l_extendedprice", 1)
+    for w in ways:
+        rows = K.with_fixed(rows, w, "tenth", int(w[-1]))
+    text = F.concat(F.lit("it was "), F.col("said"), F.lit(" in all"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", scoring.mentions(text, [*map(F.col, ways), F.regexp_replace("way4", r"\.?0+$", "")]).alias("found"))
 
 
 @query("stable_template_choice", "SELECT stream_id, CAST(('0x' || md5(stream_id)[1:8])::BIGINT % 5 AS BIGINT) AS template, 'pv_' || sha1(stream_id)[1:12] AS short_id FROM inventory")
