@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import columns as K
 from tidegauge.functions import typed as J
+from tidegauge.operators import aggregates as A
 from tidegauge.operators import episodes, planning, tools
 from tidegauge.plans import QUERIES, SQL
 from tidegauge.plans.views import table
@@ -103,3 +104,13 @@ def test_number_texts_in_steps(spark):
 
 def test_numbers_are_met_without_a_lambda(spark, small):
     assert "lambdafunction" not in plan_of(QUERIES["number_variants_match"](spark, small))
+
+
+def test_sums_before_the_shuffle_are_bounded(spark):
+    rows = spark.range(600_000).select(F.lit("S").alias("site_id"), (F.col("id") % 300_000).cast("string").alias("stream_id"), F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("ts"), F.col("id").cast("double").alias("value"))
+    inventory = rows.select("site_id", "stream_id").distinct()
+    for found in (A.summarize(rows, "day"), A.inventory_summary(inventory, rows)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        # By keys to as many tasks as the rows ask for, before anything is summed up.
+        assert ", 3), REPARTITION_BY_NUM" in plan
+    assert A.summarize(rows, "day").agg(F.sum("count"), F.count("*")).first()[:] == (600_000, 300_000)
