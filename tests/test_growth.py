@@ -114,3 +114,23 @@ def test_sums_before_the_shuffle_are_bounded(spark):
         # By keys to as many tasks as the rows ask for, before anything is summed up.
         assert ", 3), REPARTITION_BY_NUM" in plan
     assert A.summarize(rows, "day").agg(F.sum("count"), F.count("*")).first()[:] == (600_000, 300_000)
+
+
+def test_median_steps_by_places(spark):
+    steps = {"odd": [5, 1, 3], "even": [4, 1, 0, 2, 9], "one": [7], "none": [], "equal": [0, 0]}
+    rows = []
+    for k, gaps in steps.items():
+        at = dt.datetime(2024, 1, 1)
+        rows.append(("S", k, at, 1.0))
+        for g in gaps:
+            at += dt.timedelta(seconds=g)
+            rows.append(("S", k, at, None if g == 9 else float(g)))
+    found = A.quality(spark.createDataFrame(rows, "site_id string, stream_id string, ts timestamp_ntz, value double"))
+    got = {r["stream_id"]: (r["median_step_seconds"], r["longest_gap_seconds"], r["duplicate_timestamp_fraction"]) for r in found.collect()}
+    assert got == {"odd": (3.0, 5.0, 0.0), "even": (3.0, 9.0, 0.166667), "one": (7.0, 7.0, 0.0), "none": (None, None, 0.0), "equal": (None, 0.0, 0.666667)}
+    # Neither a buffer of a group's steps nor further shuffles for its distinct instants.
+    assert "percentile(" not in plan_of(found) and "distinct" not in plan_of(found)
+
+
+def test_quality_of_weeks_is_computed_once(spark, small):
+    assert "lag(" not in QUERIES["quality_preference"](spark, small)._jdf.queryExecution().optimizedPlan().toString()

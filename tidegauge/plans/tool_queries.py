@@ -14,6 +14,7 @@ from tidegauge.operators import tools
 from tidegauge.plans import views as V
 from tidegauge.plans.candidate_queries import RATIO
 from tidegauge.plans.registry import query
+from tidegauge.tables import materialise
 
 
 def flat(df):
@@ -181,7 +182,8 @@ V.CTES["judged"] = f"""SELECT *, CASE WHEN low OR far THEN 'abstain' WHEN good T
 
 
 def judged(spark, d):
-    windows = T.week_quality(V.obs_coarse(spark, d))
+    # Written, as the thresholds and the decisions both read it.
+    windows = materialise(T.week_quality(V.obs_coarse(spark, d)), "week-quality")
     rows = windows.withColumn("gap_ratio", T.gap_ratio()).crossJoin(F.broadcast(T.window_reference_week(windows)))
     return rows.select("site_id", "stream_id", "window_start", "observed_fraction", "gap_ratio", D.quality_decision().alias("d")).select("site_id", "stream_id", "window_start", "observed_fraction", "gap_ratio", "d.action", "d.reason")
 
