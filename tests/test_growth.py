@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions import columns as K
 from tidegauge.functions import typed as J
 from tidegauge.operators import aggregates as A
+from tidegauge.operators import candidates as C
 from tidegauge.operators import episodes, planning, tools
 from tidegauge.plans import QUERIES, SQL
 from tidegauge.plans.views import table
@@ -134,3 +135,27 @@ def test_median_steps_by_places(spark):
 
 def test_quality_of_weeks_is_computed_once(spark, small):
     assert "lag(" not in QUERIES["quality_preference"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def steady(spark, streams, windows, days):
+    """(points, aggregates, quality): so many streams of one site, each with so many full windows of equal means."""
+    name = F.format_string("p%03d", F.col("id"))
+    points = spark.range(streams).select(F.lit("S").alias("site_id"), name.alias("stream_id"), F.lit("Air_Temperature_Sensor").alias("point_class"), name.alias("equipment_label"), F.lit("R").alias("location_label"), F.lit("Room").alias("location_type"), F.lit(1).alias("candidate_ambiguity"))
+    start = lambda k: F.timestamp_add("DAY", k * days, F.lit("2020-01-07").cast("timestamp_ntz"))
+    rows = points.select("site_id", "stream_id").crossJoin(spark.range(windows))
+    aggregates = rows.select("site_id", "stream_id", start(F.col("id")).alias("window_start"), start(F.col("id") + 1).alias("window_end"), F.lit(days).alias("count"), F.lit(1.0).alias("mean_value"))
+    return points, aggregates, points.select("site_id", "stream_id", F.lit(86400.0).alias("median_step_seconds"))
+
+
+def test_all_streams_have_their_first_windows(spark):
+    parts = steady(spark, 40, 100, 7)
+    got = {(r["stream_id"], r["window_start"], r["site_rank"]) for r in C.mean_lookup(*parts).collect()}
+    assert got == {(f"p{i:03}", dt.datetime(2020, 1, 7), 100 * i + 1) for i in range(40)}
+    assert C.mean_lookup(*parts, per_site=3000).count() == 30
+    parts = steady(spark, 20, 400, 1)
+    for latest in (False, True):
+        found = C.quarter_lookup(*parts, latest=latest)
+        assert [r[:] for r in found.groupBy("stream_id").count().orderBy("stream_id").collect()] == [(f"p{i:03}", 4) for i in range(20)]
+        # From 7 January 2020 to 9 February 2021.
+        days = {r[0].date() for r in found.select("window_start").distinct().collect()}
+        assert days == ({dt.date(2021, 2, 9), dt.date(2020, 6, 30), dt.date(2020, 9, 30), dt.date(2020, 12, 31)} if latest else {dt.date(2020, 1, 7), dt.date(2020, 4, 1), dt.date(2020, 7, 1), dt.date(2020, 10, 1)})
