@@ -159,3 +159,14 @@ def test_all_streams_have_their_first_windows(spark):
         # From 7 January 2020 to 9 February 2021.
         days = {r[0].date() for r in found.select("window_start").distinct().collect()}
         assert days == ({dt.date(2021, 2, 9), dt.date(2020, 6, 30), dt.date(2020, 9, 30), dt.date(2020, 12, 31)} if latest else {dt.date(2020, 1, 7), dt.date(2020, 4, 1), dt.date(2020, 7, 1), dt.date(2020, 10, 1)})
+
+
+def test_all_weeks_are_judged(spark):
+    points, weekly, quality = steady(spark, 70, 120, 7)
+    k = F.datediff("window_start", F.lit("2020-01-07")) / 7
+    metrics = weekly.select("site_id", "stream_id", "window_start", F.lit(7).alias("n_points"), F.when(k % 3 == 0, 0.1).otherwise(1.0).alias("observed_fraction"), F.lit(1.0).alias("longest_gap_seconds"), F.lit(1.0).alias("median_step_seconds"), F.lit(0.0).alias("duplicate_timestamp_fraction"), F.lit(0.0).alias("nan_fraction"))
+    thresholds = spark.createDataFrame([(0.5, 0.9, 2.0, 3.0)], "abstain_observed_fraction_below double, answer_observed_fraction_at_least double, answer_gap_ratio_at_most double, abstain_gap_ratio_above double")
+    found = C.quality_gate(points, weekly, quality, metrics, thresholds)
+    assert {r[0]: r[1] for r in found.groupBy("decision").count().collect()} == {"abstain": 70 * 40, "answer": 70 * 80}
+    places = [r[:] for r in found.orderBy("place").select("place", "decision").collect()]
+    assert places == [(i + 1, "abstain" if i < 5600 and i % 2 == 0 else "answer") for i in range(8400)]
