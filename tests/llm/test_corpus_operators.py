@@ -126,6 +126,19 @@ def test_simhash(docs, empty):
     assert simhash.simhash_components(empty).count() == 0
 
 
+def test_variants_are_never_broadcast(spark, monkeypatch):
+    """Spark takes exploded rows for as few as there were before, so that a table under its threshold would be broadcast with all variants."""
+    plans = []
+    for module in (simhash, near_copies):
+        write = module.materialise
+        monkeypatch.setattr(module, "materialise", lambda df, name, write=write: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    monkeypatch.setattr(near_copies, "small_enough", lambda df: df)
+    pairs = simhash.links(spark.range(3000).select((F.col("id") * 3).alias("fp")))
+    reps = spark.range(3000).select(F.col("id").alias("class1"), (F.col("id") * 3).alias("fp0"), F.lit(0).cast("long").alias("fp1"))
+    seen = [p for name, p in plans if name == "simhash-variants"] + [x._jdf.queryExecution().executedPlan().toString() for x in (pairs, near_copies.members_of_variants(reps))]
+    assert len(seen) == 3 and all("SortMergeJoin" in p and "BroadcastExchange" not in p for p in seen)
+
+
 def test_links_of_crowded_variants(spark):
     rng = np.random.default_rng(3)
     base = int(rng.integers(0, 1 << 62))

@@ -164,7 +164,8 @@ def members_of_variants(reps: DataFrame) -> DataFrame:
     variants = [F.lit((s * LENGTH + i) << LENGTH).cast("long").bitwiseOR(x.bitwiseAND(F.lit(((1 << LENGTH) - 1) ^ (1 << i)))) for s, x in enumerate(segments) for i in range(LENGTH)]
     keys = reps.select("class1", "fp0", "fp1", F.explode(F.array(*variants)).alias("key"))
     shared = materialise(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "variants-shared")
-    return keys.join(small_enough(shared), "key")
+    # What shuffles if the shared ones are many: Spark sizes the keys by the rows before they are exploded, and would broadcast them.
+    return keys.hint("shuffle_merge").join(small_enough(shared), "key")
 
 
 def linked_by_hubs(members: DataFrame, documents: DataFrame, reps: DataFrame, similarity: float, width: int, max_bits: int, rounds: int) -> list[DataFrame]:

@@ -66,7 +66,8 @@ def links(fps: DataFrame, hot: int = 2000) -> DataFrame:
     variants = F.explode(F.array(*[F.struct(F.lit(j).cast("short").alias("j"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for j, m in enumerate(masks)])).alias("k")
     keys = fps.select("fp", variants).select("fp", "k.j", "k.v")
     shared = keys.groupBy("j", "v").agg(F.count("*").alias("n")).where("n > 1")
-    keys = materialise(keys.join(shared, ["j", "v"]), "simhash-variants")
+    # Spark sizes the variants by the rows before they are exploded, a 64th of them, and would broadcast them: both joins say how they are done.
+    keys = materialise(keys.join(shared.hint("shuffle_merge"), ["j", "v"]), "simhash-variants")
     # j < 32: the low half is the segment, the four bytes are those of the high half; and the other way round.
     other = F.array(*[F.struct(F.lit(q).alias("q"), F.shiftrightunsigned("fp", 8 * q).bitwiseAND(F.lit(255)).alias("byte")) for q in range(8)])
     cut = F.when(F.col("n") <= hot, F.array(F.struct(F.lit(-1).alias("q"), F.lit(0).cast("long").alias("byte")))).otherwise(F.when(F.col("j") < 32, F.slice(other, 5, 4)).otherwise(F.slice(other, 1, 4)))
@@ -77,7 +78,7 @@ def links(fps: DataFrame, hot: int = 2000) -> DataFrame:
     high = F.shiftrightunsigned(differ, 32)
     # The first variant that a pair shares reports it, so that no pair is reported for each of them.
     first = F.when(F.bit_count(low) == 0, 0).when(F.bit_count(low) == 1, F.log2(low)).when(F.bit_count(high) == 0, 32).otherwise(32 + F.log2(high))
-    pairs = a.join(b, ["j", "v", "q", "byte"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= 3) & (F.col("j") == F.round(first)))
+    pairs = a.join(b.hint("shuffle_merge"), ["j", "v", "q", "byte"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= 3) & (F.col("j") == F.round(first)))
     return pairs.select("a", "b").distinct()
 
 
