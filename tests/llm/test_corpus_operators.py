@@ -459,6 +459,29 @@ def test_decontamination_counts_repeated_rows_alike_both_ways(spark):
         assert both[0] == both[1] and len(both[0]) == 3
 
 
+def test_items_of_one_text_are_searched_once(spark, monkeypatch):
+    """What goes to all workers has a row for each place and mask of a different text, without the text; items with a text of others have its hits, and repeated rows count again."""
+    item = [f"i{k}" for k in range(30)]
+    long, other, short = " ".join(item), " ".join(item[:12]), "Two three"
+    texts = spark.createDataFrame([(1, " ".join([*item[:20], "x", *item[21:]])), (2, "one two three"), (None, long)], "doc_id bigint, text string")
+    table = [(k, long) for k in range(40)] + [(40, long), (40, long), (40, other), (41, other), (42, short), (43, short), (None, long), (44, None)]
+    for most in (500_000, 0):
+        found = decontamination.contaminated(texts, spark.createDataFrame(table, "item_id bigint, text string"), max_broadcast_words=most)
+        alone = {t: {r[0]: r[1:] for r in decontamination.contaminated(texts, spark.createDataFrame([(1, t)], "item_id bigint, text string"), max_broadcast_words=most).select("doc_id", "n_hits", "first_word", "similarity").collect()} for t in (long, other, short)}
+        want = {}
+        for i, t in table:
+            for d, (n, first, like) in alone.get(t, {}).items():
+                a = want.get((d, i), (0, first, like))
+                want[d, i] = (a[0] + n, min(a[1], first), max(a[2], like))
+        assert {(r["doc_id"], r["item_id"]): (r["n_hits"], r["first_word"], r["similarity"]) for r in found.collect()} == want and len(want) == 88
+    sent = []
+    monkeypatch.setattr(decontamination.F, "broadcast", lambda df, mark=F.broadcast: sent.append(df) or mark(df))
+    decontamination.contaminated(texts, spark.createDataFrame(table * 50, "item_id bigint, text string"))
+    places = [df for df in sent if "seed" in df.columns and "j" in df.columns]
+    assert len(places) == 1 and places[0].dtypes == [("ref", "bigint"), ("j", "int"), ("seed", "bigint")]
+    assert places[0].count() == sum(n - m for n in (30, 12) for m in (4, 5, 7))
+
+
 def test_decontamination_by_any_window(spark):
     """Brute force over all aligned windows of 16, with passages of 16 words and three or fewer substitutions inside longer items and documents."""
     rng = np.random.default_rng(11)
