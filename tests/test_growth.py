@@ -10,7 +10,7 @@ from tidegauge.functions import columns as K
 from tidegauge.functions import typed as J
 from tidegauge.operators import aggregates as A
 from tidegauge.operators import candidates as C
-from tidegauge.operators import episodes, planning, tools
+from tidegauge.operators import episodes, planning, text_checks, tools
 from tidegauge.plans import QUERIES, SQL
 from tidegauge.plans.views import table
 
@@ -52,6 +52,19 @@ def test_answers_in_words_name_customers_as_their_table_does(spark, small, duck,
     assert got == want
 
 
+def test_answers_are_judged_in_one_pass(spark):
+    tasks = spark.range(7).select(F.col("id").alias("task_id"), F.lit("window_rank").alias("family"), J.written(stream_id=F.lit("p"), mean_value=F.lit(1.25)).alias("gold"), F.array(F.lit("value")).alias("required"))
+    answers = spark.createDataFrame([(0, "P with 1.25"), (1, "Pump 1, 1.3"), (2, "1.2500"), (3, None)], "task_id long, text string")
+    inventory = spark.createDataFrame([("p", "Pump 1", None, None)], "stream_id string, point_label string, equipment_label string, location_label string")
+    found = text_checks.check(tasks, answers, inventory)
+    lost = {r["task_id"]: [x.partition(":")[2] for x in r["issues"]] for r in found.collect()}
+    both = ["winning_stream", "mean_value"]
+    assert lost == {0: [], 1: ["mean_value"], 2: ["winning_stream"]} | {k: both for k in range(3, 7)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Tasks are read once, whatever they have to tell, and nothing of their size is broadcast for its files being small.
+    assert plan.count("Range (0, 7") == 1 and found._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == 2
+
+
 def test_labels_are_met_by_equality(spark):
     points = [("S", "a", "Temp", "S Unit 1", "Hall"), ("S", "b", "Temp", "s unit 1", None), ("S", "c", "Temp", None, "Hall"), ("S", "d", "Temp", None, None), ("S", "e", "Flow", "`S  Unit 1`", "Hall"), ("S", "f", None, "S Unit 1", "Hall"), ("T", "g", "Temp", "S Unit 1", "Hall")]
     labels = (None, "S UNIT 1", "Unit 1", "hall", "Hall")

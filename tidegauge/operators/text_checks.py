@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions import typed as J
-from tidegauge.functions.columns import instant, normalize_answer, number_variants
+from tidegauge.functions.columns import instant, normalize_answer, number_variants, with_fixed
 from tidegauge.functions.texts import SHORT_FORMS
 from tidegauge.operators.verification import REPORTING
 
@@ -168,49 +168,66 @@ def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def facts(tasks: DataFrame, core: bool, reporting: bool) -> DataFrame:
-    """task_id, place, name, field, extra of what each task's answer has to tell: the facts of its family, then other required fields (extra: only where there are ways to tell them)."""
-    spark = tasks.sparkSession
+    """tasks once for each fact that its answer has to tell, in one row each: place, name, field, extra (null for a task without any).
+
+    These are the facts of its family, then other required fields (extra: only where there are ways to tell them). The families' lists come by broadcast, so that no task is shuffled for them.
+    """
+    own = _table(tasks.sparkSession, [(f, [(k, n, x, False) for k, (n, x) in enumerate(list_)], [CUE_OF.get(x, x) for _, x in list_]) for f, list_ in FAMILIES.items()], "family string, own array<struct<place: int, name: string, field: string, extra: boolean>>, done array<string>")
+    fact = lambda place, name, field, extra: F.struct(place.cast("int").alias("place"), name.alias("name"), field.alias("field"), extra.alias("extra"))
+    required, done = F.coalesce("required", texts([])), F.coalesce("done", texts([]))
     parts = []
     if core:
-        own = _table(spark, [(f, k, n, x) for f, list_ in FAMILIES.items() for k, (n, x) in enumerate(list_)], "family string, place int, name string, field string")
-        parts.append(tasks.select("task_id", "family").join(own, "family").select("task_id", "place", "name", "field", F.lit(False).alias("extra")))
-        known = _table(spark, [(f, [CUE_OF.get(x, x) for _, x in list_]) for f, list_ in FAMILIES.items()], "family string, done array<string>")
-        with_done = tasks.select("task_id", "family", "required").join(known, "family", "left")
-        parts.append(with_done.where("done is null").select("task_id", F.lit(0).alias("place"), F.lit("fallback").alias("name"), F.lit("fallback").alias("field"), F.lit(False).alias("extra")))
-        quiet = F.col("family").isin(*SILENT) & (F.col("field") == "reason")
-        more = with_done.select("task_id", "family", "done", F.posexplode("required").alias("k", "field")).where(~F.col("field").isin(*REPORTING) & ~F.coalesce(F.array_contains("done", F.col("field")), F.lit(False)) & ~quiet)
-        parts.append(more.select("task_id", (F.col("k") + 100).alias("place"), F.col("field").alias("name"), "field", F.lit(True).alias("extra")))
+        quiet = lambda x: F.col("family").isin(*SILENT) & (x == "reason")
+        more = F.filter(F.transform(required, lambda x, k: fact(k + 100, x, x, F.lit(True))), lambda f: ~f["field"].isin(*REPORTING) & ~F.array_contains(done, f["field"]) & ~quiet(f["field"]))
+        parts += [F.coalesce("own", F.array(fact(F.lit(0), F.lit("fallback"), F.lit("fallback"), F.lit(False)))), more]
     if reporting:
-        told = tasks.select("task_id", F.explode(F.array_intersect("required", texts(REPORTING))).alias("field"))
-        parts.append(told.select("task_id", (F.when(F.col("field") == REPORTING[0], 1000).otherwise(1001)).alias("place"), F.col("field").alias("name"), "field", (F.col("field") == REPORTING[1]).alias("extra")))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(F.transform(F.array_intersect(required, texts(REPORTING)), lambda x: fact(F.when(x == REPORTING[0], 1000).otherwise(1001), x, x, x == REPORTING[1])))
+    return tasks.join(own, "family", "left").select(*tasks.columns, F.explode_outer(F.concat(*parts)).alias("fact")).select(*tasks.columns, "fact.*")
 
 
 def check(tasks: DataFrame, answers: DataFrame, inventory: DataFrame, core: bool = True, reporting: bool = True) -> DataFrame:
-    """task_id, ok, score, issues of every task's answer; without an answer no fact is told. core: facts of the family and required fields; reporting: the fields that report."""
+    """task_id, ok, score, issues of every task's answer; without an answer no fact is told. core: facts of the family and required fields; reporting: the fields that report.
+
+    A task meets its answer once, its facts meet the labels of their streams, and are summed up: three shuffles. What Spark would broadcast by the size of files says how it is joined.
+    """
     spark = tasks.sparkSession
-    asked = facts(tasks, core, reporting).join(tasks.select("task_id", "family", "gold"), "task_id")
-    value = F.col("gold")[F.col("field")]
-    exact = (F.col("family") == "point_disambiguation") & (F.col("field") == "stream_id") & ~F.col("extra")
-    asked = asked.withColumns({"value": value, "stream": F.when(F.col("field").isin(*STREAMS), J.text_of(value)), "word": J.text_of(value), "exact": exact})
+    text = answers.select("task_id", normalize_answer(F.coalesce("text", F.lit(""))).alias("said"))
+    answered = tasks.select("task_id", "family", "gold", "required").join(text.hint("shuffle_merge"), "task_id", "left").withColumn("said", F.coalesce("said", F.lit("")))
+    field, none, value = F.col("field"), texts([]), F.col("gold")[F.col("field")]
+    exact = (F.col("family") == "point_disambiguation") & (field == "stream_id") & ~F.col("extra")
+    asked = facts(answered, core, reporting).withColumn("word", J.text_of(value))
+    # Numbers and times are read once, and each step on them is a column of its own.
+    asked = asked.withColumns({"number": F.when(field.isin(*NUMBERS), J.number_of(value)), "time": F.when(field.isin(*TIMES), instant("word")), "stream": F.when(field.isin(*STREAMS) & ~F.coalesce(exact, F.lit(False)), F.col("word"))})
     said = _table(spark, [(f, v, w) for f, values in SAID.items() for v, w in values.items()], "field string, word string, phrases array<string>")
     cues = _table(spark, [*CUES.items(), ("fallback_reason", FALLBACK)], "field string, cue array<string>")
-    rows = asked.join(said, ["field", "word"], "left").join(cues, "field", "left").join(stream_labels(inventory).withColumnRenamed("stream_id", "stream"), "stream", "left")
-    field, none = F.col("field"), texts([])
+    rows = asked.join(said, ["field", "word"], "left").join(cues, "field", "left")
     plain = F.when(F.coalesce(F.col("word"), F.lit("")) != "", F.array(normalize_answer("word"))).otherwise(none)
     ways = (
-        F.when(F.col("exact"), plain).when(F.col("cue").isNotNull(), F.col("cue")).when(field == "fallback", F.array(normalize_answer(J.object_of("gold"))))
+        F.when(F.col("cue").isNotNull(), F.col("cue")).when(field == "fallback", F.array(normalize_answer(J.object_of("gold"))))
         .when(field == "preferred_reference", said_reference(F.col("gold"))).when(field == "exact_or_nearest", F.when(F.col("gold")["exact_match_found"] == "true", texts(CUES["exact_cue"])).otherwise(texts(FALLBACK)))
-        .when(field.isin(*STREAMS), F.array_union(plain, F.coalesce("names", none))).when(field.isin(*NUMBERS), said_number(F.col("value"))).when(field.isin(*TIMES), said_time(F.col("value")))
-        .when(field.isin(*SAID), F.coalesce("phrases", plain)).otherwise(none)
+        .when(field.isin(*STREAMS), plain).when(field.isin(*SAID), F.coalesce("phrases", plain)).otherwise(none)
     )
-    told = rows.select("task_id", "place", "name", "extra", ways.alias("ways")).where(~F.col("extra") | (F.size("ways") > 0))
-    text = answers.select("task_id", normalize_answer(F.coalesce("text", F.lit(""))).alias("said"))
-    judged = told.join(text, "task_id", "left").select("task_id", "place", "name", F.exists("ways", lambda w: (w != "") & F.contains(F.coalesce("said", F.lit("")), w)).alias("good"))
-    lost = F.collect_list(F.when(~F.col("good"), F.struct("place", F.concat(F.lit("missing_answer_fact:"), F.col("name")).alias("issue"))))
-    sums = judged.groupBy("task_id").agg(F.count("*").alias("n"), F.transform(F.array_sort(lost), lambda x: x["issue"]).alias("issues"))
-    out = tasks.select("task_id").join(sums, "task_id", "left").select("task_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("issues", none).alias("issues"))
-    return out.select("task_id", (F.size("issues") == 0).alias("ok"), F.when(F.col("n") == 0, 1.0).otherwise((F.col("n") - F.size("issues")) / F.col("n")).alias("score"), "issues")
+    rows = rows.select("task_id", "place", "name", "extra", "said", "number", "time", "stream", ways.alias("ways"))
+    numbers = [f"_number{n}" for n in (4, 3, 2, 1)]
+    for n, name in zip((4, 3, 2, 1), numbers, strict=True):
+        rows = with_fixed(rows, name, "number", n)
+    told = lambda w: (w != "") & F.contains("said", w)
+    # A number without the zeros at its end begins the one with them, so that a text with either has it.
+    by_number = reduce(Column.__or__, [told(F.rtrim(F.rtrim(F.col(c), F.lit("0")), F.lit("."))) for c in numbers])
+    by_time = reduce(Column.__or__, [told(normalize_answer(F.date_format("time", f))) for f in _TIME_FORMATS])
+    good = F.when(F.col("number").isNotNull(), by_number).when(F.col("time").isNotNull(), by_time).otherwise(holds(F.col("said"), F.col("ways")))
+    counts = F.col("name").isNotNull() & (~F.col("extra") | F.col("number").isNotNull() | F.col("time").isNotNull() | (F.size("ways") > 0))
+    rows = rows.select("task_id", "place", "name", "said", "stream", counts.alias("counts"), F.coalesce(good, F.lit(False)).alias("good"))
+    # Only a stream that isn't told by its id asks for labels, and takes the text along; other facts are dealt by their task, as a single key would take them all to one place.
+    asks = F.col("stream").isNotNull() & ~F.col("good")
+    dealt = rows.select("task_id", "place", "name", "counts", "good", F.when(asks, F.col("said")).alias("said"), F.when(asks, F.col("stream")).otherwise("").alias("_stream"), F.when(asks, 0).otherwise(F.xxhash64("task_id")).alias("_deal"))
+    labels = stream_labels(inventory).select(F.col("stream_id").alias("_stream"), F.lit(0).cast("long").alias("_deal"), "names")
+    met = dealt.join(labels.hint("shuffle_merge"), ["_stream", "_deal"], "left")
+    labelled = F.col("said").isNotNull() & (F.size(F.coalesce("names", none)) > 0)
+    judged = met.select("task_id", "place", "name", (F.col("counts") | labelled).alias("counts"), (F.col("good") | (labelled & holds(F.col("said"), F.col("names")))).alias("good"))
+    lost = F.collect_list(F.when(F.col("counts") & ~F.col("good"), F.struct("place", F.concat(F.lit("missing_answer_fact:"), F.col("name")).alias("issue"))))
+    sums = judged.groupBy("task_id").agg(F.count(F.when(F.col("counts"), 1)).alias("n"), F.transform(F.array_sort(lost), lambda x: x["issue"]).alias("issues"))
+    return sums.select("task_id", (F.size("issues") == 0).alias("ok"), F.when(F.col("n") == 0, 1.0).otherwise((F.col("n") - F.size("issues")) / F.col("n")).alias("score"), "issues")
 
 
 def holds(text: Column, ways: Column) -> Column:
